@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fernsieve.llm import bpe, html_text, language, packing, quality, simhash, substrings, toxicity, url_filters
+from fernsieve.llm import audio, bpe, html_text, language, packing, quality, simhash, substrings, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality": quality.op6_quality,
     "op7_simhash": simhash.op7_simhash,
     "op8_html": html_text.op8_html,
+    "op9_audio": audio.op9_audio,
     "op10_substrings": substrings.op10_substrings,
 }
 ORACLES = {"op1_url_filters": url_filters.ORACLE_SQL}
