@@ -20,11 +20,11 @@ from fernsieve.llm.common import map_batches, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Characters of a part that is encoded whole, first reach of a window, longest pre-token that is remembered, and how many are.
-LEAF, REACH, LONGEST_KEPT, MOST_KEPT = 4096, 48, 40, 400_000
+LEAF, REACH, LONGEST_KEPT, MOST_KEPT = 4096, 48, 40, 800_000
 #: Characters whose splitting and lower case are the same in Python as in the tokenizer: ASCII, Latin-1 letters, common punctuation.
 PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e¡§«·»¿À-ÿ–—‘’“”…]*")
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
-END = "</w>"
+END, IDS = "</w>", "<u4"
 #: What Unicode calls white space; Python's own class holds the separators U+001C to U+001F as well.
 SPACE = re.compile("[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
@@ -35,6 +35,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def number(i: int) -> bytes:
+    return i.to_bytes(4, "little")
+
+
 class Encoder:
     """Gives the ids that the tokenizers library gives for a whole text without special tokens added."""
 
@@ -59,7 +63,7 @@ class Encoder:
         self.ends = np.array([t.endswith(END) for t in self.tokens])
         self.bytes = [len(t) - len(END) * t.endswith(END) for t in self.tokens]  # one character stands for a byte
         self.decimals = [str(i) for i in range(size)]
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -69,73 +73,77 @@ class Encoder:
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; of null or an empty text none."""
-        if not text:
-            return []
-        if self.special_at is None or not any(s in text for s in self.special):
-            return self.tree(self.normal(text))
-        out: list[int] = []
-        for k, part in enumerate(self.special_at.split(text)):
-            out += [self.special[part]] if k % 2 else self.tree(self.normal(part))
-        return out
+        return np.frombuffer(self.encode_many([text])[0], IDS).tolist()
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each whole text as little-endian 32-bit numbers."""
+        parts: list[list[bytes | str]] = []
+        for text in texts:
+            if not text:
+                parts.append([])
+            elif any(s in text for s in self.special):
+                parts.append([number(self.special[x]) if k % 2 else self.normal(x) for k, x in enumerate(self.special_at.split(text))])
+            else:
+                parts.append([self.normal(text)])
+        whole = [x for part in parts for x in part if isinstance(x, str)]
+        leaves = iter(self.leaves([x[k : k + LEAF] for x in whole for k in range(0, len(x), LEAF)]))
+        return [b"".join(x if isinstance(x, bytes) else self.tree(x, [next(leaves) for _ in range(0, len(x), LEAF)]) for x in part) for part in parts]
 
     def normal(self, text: str) -> str:
         return text.lower() if PLAIN.fullmatch(text) else self.normalizer.normalize_str(text)
 
-    def tree(self, text: str) -> list[int]:
-        """Encode normalized text: its short parts, then pairs of neighbours, until one is left."""
-        if len(text) <= LEAF:
-            return self.leaf(text)
-        cuts = list(range(0, len(text), LEAF)) + [len(text)]
-        parts = [self.leaf(text[a:b]) for a, b in zip(cuts, cuts[1:])]
-        while len(parts) > 1:
-            joined, bounds = [], [cuts[0]]
-            for k in range(0, len(parts), 2):
-                if k + 1 < len(parts):
-                    joined.append(self.join(text, cuts[k], cuts[k + 1], cuts[k + 2], parts[k], parts[k + 1]))
-                else:
-                    joined.append(parts[k])
-                bounds.append(cuts[min(k + 2, len(cuts) - 1)])
-            parts, cuts = joined, bounds
-        return parts[0]
-
-    def leaf(self, text: str) -> list[int]:
-        if not PLAIN.fullmatch(text):
-            return self.part.encode(text, add_special_tokens=False).ids
-        kept, pieces = self.pieces, PIECE.findall(text)
-        out: list[int] = []
-        try:
-            for p in pieces:
-                out += kept[p]
-            return out
-        except KeyError:
-            pass
-        new = [p for p in set(pieces) if p not in kept]
+    def leaves(self, texts: list[str]) -> list[bytes]:
+        """Ids of short normalized texts: of plain ones by their pre-tokens, each of which is encoded once for all."""
+        kept = self.pieces
         if len(kept) > MOST_KEPT:
             kept.clear()
-            new = list(set(pieces))
-        ids = self.part.encode(" ".join(new), add_special_tokens=False).ids
-        at = 0
-        cut = np.flatnonzero(self.ends[ids]) + 1
-        for p, stop in zip(new, cut.tolist(), strict=True):
-            kept[p] = tuple(ids[at:stop])
-            at = stop
-        out = [i for p in pieces for i in kept[p]]
+        split = [PIECE.findall(x) if PLAIN.fullmatch(x) else None for x in texts]
+        found = [x and list(map(kept.get, x)) for x in split]
+        lacking = [k for k, x in enumerate(found) if x and None in x]
+        new = list(set().union(*(set(split[k]).difference(kept) for k in lacking)))
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            ids = np.array(self.part.encode(" ".join(some), add_special_tokens=False).ids, IDS)
+            data, a = ids.tobytes(), 0
+            for p, b in zip(some, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
+                kept[p] = data[a:b]
+                a = b
+        for k in lacking:
+            found[k] = map(kept.__getitem__, split[k])
+        out = [self.foreign(x) if ids is None else b"".join(ids) for x, ids in zip(texts, found)]
         for p in new:
             if len(p) > LONGEST_KEPT:
                 del kept[p]
         return out
 
-    def join(self, text: str, a: int, cut: int, b: int, left: list[int], right: list[int]) -> list[int]:
+    def foreign(self, text: str) -> bytes:
+        return np.array(self.part.encode(text, add_special_tokens=False).ids, IDS).tobytes()
+
+    def tree(self, text: str, parts: list[bytes]) -> bytes:
+        """Join the encodings of the consecutive leaves of normalized text, neighbours first, until one is left."""
+        cuts = [*range(0, len(text), LEAF), len(text)]
+        while len(parts) > 1:
+            joined = [self.join(text, *cuts[k : k + 3], *parts[k : k + 2]) for k in range(0, len(parts) - 1, 2)]
+            parts = joined + parts[2 * len(joined) :]
+            cuts = [*cuts[:-1:2], cuts[-1]]
+        return parts[0] if parts else b""
+
+    def join(self, text: str, a: int, cut: int, b: int, left: bytes, right: bytes) -> bytes:
         """Join the encodings of text[a:cut] and text[cut:b]."""
         reach = REACH
         while True:
             start, stop = max(a, cut - reach), min(b, cut + reach)
-            window = self.leaf(text[start:stop]) if stop - start <= LEAF else self.part.encode(text[start:stop], add_special_tokens=False).ids
+            data = self.foreign(text[start:stop])
+            window = np.frombuffer(data, IDS).tolist()
             before, after = self.solid(text[start:cut]), self.solid(text[cut:stop])
-            p = (0, 0) if start == a else self.agree_left(left, window, before)
-            q = (len(right), len(window)) if stop == b else self.agree_right(right, window, before, after)
+            # a token has a byte at least: no more of the sides can lie within the window
+            tail = np.frombuffer(left[-4 * before :] if before else b"", IDS).tolist()
+            head = np.frombuffer(right[: 4 * after + 4], IDS).tolist()
+            p = (0, 0) if start == a else self.agree_left(tail, window, before)
+            q = (len(right) // 4, len(window)) if stop == b else self.agree_right(head, window, before, after)
             if p and q and p[1] <= q[1]:
-                return left[: p[0]] + window[p[1] : q[1]] + right[q[0] :]
+                stays = 0 if start == a else len(left) - 4 * (len(tail) - p[0])
+                return left[:stays] + data[4 * p[1] : 4 * q[1]] + right[4 * q[0] :]
             reach *= 2
 
     @staticmethod
@@ -189,7 +197,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
 
     def work(cols: dict[str, list]) -> dict[str, list]:
         e = Encoder.of(path)
-        ids = [e.encode(t) for t in cols["text"]]
+        ids = [np.frombuffer(x, IDS).tolist() for x in e.encode_many(cols["text"])]
         return {"key": cols["key"], "ids": ids, "decoded": [e.decode(i) for i in ids]}
 
     kind = dict(docs.dtypes)[key]
@@ -202,8 +210,8 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
     def work(cols: dict[str, list]) -> dict[str, list]:
         e = Encoder.of(path)
         out: dict[str, list] = {"doc_id": cols["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for t in cols["text"]:
-            ids = e.encode(t)
+        for data in e.encode_many(cols["text"]):
+            ids = np.frombuffer(data, IDS).tolist()
             out["n_tokens"].append(len(ids))
             out["ids_sha256"].append(hashlib.sha256(" ".join(map(e.decimals.__getitem__, ids)).encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(e.decode(ids).encode()).hexdigest())

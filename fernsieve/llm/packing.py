@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fernsieve.llm.bpe import Encoder, vocabulary_path
+from fernsieve.llm.bpe import Encoder, number, vocabulary_path
 from fernsieve.llm.common import map_batches, table
 from fernsieve.plans.staging import stage_table
 
@@ -105,11 +105,11 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, separato
     def work(cols: dict[str, list]) -> dict[str, list]:
         e = Encoder.of(path)
         out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-        for doc_id, text in zip(cols["doc_id"], cols["text"]):
-            ids = np.array([*e.encode(text), separator], "<u4")
-            for piece, start in enumerate(range(0, len(ids), capacity)):
-                part = ids[start : start + capacity]
-                for k, v in zip(out, (doc_id, piece, start, len(part), zlib.crc32(part.tobytes()))):
+        for doc_id, data in zip(cols["doc_id"], e.encode_many(cols["text"])):
+            data += number(separator)
+            for piece, start in enumerate(range(0, len(data) // 4, capacity)):
+                part = data[4 * start : 4 * (start + capacity)]
+                for k, v in zip(out, (doc_id, piece, start, len(part) // 4, zlib.crc32(part))):
                     out[k].append(v)
         return out
 
