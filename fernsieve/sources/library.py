@@ -21,7 +21,7 @@ def expand_bursts(photos: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     ``photos`` has uuid, burst, burst_photos (array of structs with uuid and intrash) and an ordinal. All members of
     a burst have the uuid of its key photo as burst_key. Members in the trash are left out.
     """
-    row = photos.withColumn("burst_key", F.when("burst", F.col("uuid")))
+    row = photos.withColumn("burst_key", F.when(F.col("burst"), F.col("uuid")))
     own = row.select(F.struct(F.col(ordinal).alias("a"), F.lit(-1).alias("b")).alias("at"), "uuid", "burst_key")
     siblings = row.where("burst").select(F.col(ordinal), "burst_key", F.posexplode("burst_photos").alias("b", "s")).where("not coalesce(s.intrash, false)").select(F.struct(F.col(ordinal).alias("a"), "b").alias("at"), F.col("s.uuid").alias("uuid"), "burst_key")
     return own.union(siblings).groupBy("uuid").agg(F.min_by("burst_key", "at").alias("burst_key"), F.min("at").alias("at"))
