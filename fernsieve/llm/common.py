@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernsieve.plans.staging import let_workers_import
+
 #: Rows of one Arrow batch: long texts stay well inside a worker's memory.
 BATCH_ROWS = 500
 
@@ -25,6 +27,7 @@ def map_batches(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]
     """Apply ``work`` to columns as Python lists, a bounded number of rows at a time, on the executors."""
     from pyspark.sql.types import StructType
 
+    let_workers_import(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     kinds = pa.schema([(f.name, arrow_type(f.dataType)) for f in StructType.fromDDL(schema)])
 

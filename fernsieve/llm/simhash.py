@@ -33,6 +33,11 @@ WIDE_FROM = 1 << 22
 #: Fingerprints of one value of a part, from which on it is worked through in cells, and of one side of a cell.
 HOT, CELL = 256, 2048
 PROBE_COST = 1.0
+#: Fingerprints of words that find candidates, and of shingles that confirm them, by ``similar_documents``.
+BLOCKS, WIDE = 8, 16
+#: About a standard error of a similarity estimated from WIDE * 64 bits: candidates may fall so far short.
+SLACK = 0.02
+MULTIPLIERS = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(max(BLOCKS, WIDE))]  # odd
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -147,120 +152,156 @@ class Allocation:
         return np.minimum(near[2 * part, low], near[2 * part + 1, high])
 
 
-def arrow_map(df: DataFrame, work, schema: str) -> DataFrame:
-    """``work`` from and to pandas, on the executors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = work(batch.to_pandas())
-            if len(out):
-                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
-
-    return df.mapInArrow(run, schema)
+def columns_of(batch: pa.RecordBatch) -> np.ndarray:
+    """(row, block) -> fingerprint, from a batch whose first column is an array of equally many each."""
+    flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1), np.int64)
 
 
-def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of fingerprints and in how many each two bits are set: 4096 sums, whatever the corpus."""
+def bit_statistics(distinct: DataFrame, blocks: int) -> tuple[int, list[np.ndarray]]:
+    """Number of rows, and for each block in how many each two bits are set: 4096 sums a block, whatever the corpus."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((64, 64))
+        both = np.zeros((blocks, 64, 64))
         n = 0
         for batch in batches:
-            b = bits_of(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.float32)
-            both += b.T @ b
-            n += len(b)
-        yield pa.RecordBatch.from_pydict({"cell": list(range(4097)), "n": [*both.astype(np.int64).ravel().tolist(), n]})
-
-    rows = distinct.select("fp").mapInArrow(work, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(4097, np.int64)
+            fps = columns_of(batch)
+            for k in range(blocks if len(fps) else 0):
+                b = bits_of(np.ascontiguousarray(fps[:, k])).astype(np.float32)
+                both[k] += b.T @ b
+            n += len(fps)
+        yield pa.RecordBatch.from_pydict({"cell": list(range(blocks * 4096 + 1)), "n": [*both.astype(np.int64).ravel().tolist(), n]})
+
+    rows = distinct.select("fps").mapInArrow(work, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(blocks * 4096 + 1, np.int64)
     for r in rows:
         out[r["cell"]] = r["n"]
-    return int(out[-1]), out[:-1].reshape(64, 64).astype(float)
+    return int(out[-1]), list(out[:-1].reshape(blocks, 64, 64).astype(float))
 
 
-def value_counts(distinct: DataFrame, groups: list[list[int]]) -> np.ndarray:
-    """How many fingerprints have each value of each group: GROUPS << WIDTH numbers at most."""
+def value_counts(distinct: DataFrame, groups: list[list[list[int]]]) -> np.ndarray:
+    """How many rows have each value of each group of each block: blocks * GROUPS << WIDTH numbers at most."""
+    blocks = len(groups)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(GROUPS << WIDTH, np.int64)
+        counts = np.zeros(blocks * GROUPS << WIDTH, np.int64)
         for batch in batches:
-            v = values_of(batch.column(0).to_numpy(zero_copy_only=False), groups)
-            for g in range(GROUPS):
-                counts += np.bincount((g << WIDTH) + v[:, g], minlength=len(counts))
+            fps = columns_of(batch)
+            for k in range(blocks if len(fps) else 0):
+                v = values_of(np.ascontiguousarray(fps[:, k]), groups[k])
+                for g in range(GROUPS):
+                    np.add.at(counts, (k * GROUPS + g << WIDTH) + v[:, g], 1)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"cell": at, "n": counts[at]})
 
-    got = distinct.select("fp").mapInArrow(work, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(GROUPS << WIDTH, np.int64)
+    got = distinct.select("fps").mapInArrow(work, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(blocks * GROUPS << WIDTH, np.int64)
     out[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return out.reshape(GROUPS, 1 << WIDTH)
+    return out.reshape(blocks, GROUPS, 1 << WIDTH)
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) between fingerprints of ``distinct(fp)``, a table of distinct ones, at up to ``radius`` bits.
+def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = 1, most_wide: int | None = None) -> DataFrame:
+    """Links (a, b) between nodes of ``distinct(node, fps, wide)``, a table.
 
-    Every link between a value's fingerprints is given, or, where many share the value, a spanning forest of them:
-    enough for components, and never more rows than probes.
+    Two nodes are linked if in one of ``blocks`` their fingerprints differ in up to ``radius`` bits and, where
+    ``most_wide`` is given, their ``wide`` arrays in up to so many. Every link between the nodes of a value is given, or,
+    where many share the value, a spanning forest of them: enough for components, and never more rows than probes.
     """
     spark = distinct.sparkSession
-    n, both = bit_statistics(distinct)
-    groups = group_bits(both, n)
-    plan = spark.sparkContext.broadcast(Allocation(value_counts(distinct, groups), groups, n, radius))  # radius + 1 tables of GROUPS << WIDTH numbers
-
-    def probe_rows(frame: pd.DataFrame) -> pd.DataFrame:
-        p = plan.value
-        fp = frame["fp"].to_numpy(np.int64)
-        values = values_of(fp, groups)
-        parts, limits = p.part_values(values), p.thresholds(values)
-        flips = masks(WIDTH * p.merge, radius)
-        out = [(np.full(len(fp), k), parts[:, k], fp, np.zeros(len(fp), np.int64)) for k in range(p.parts)]
-        for k in range(p.parts):
-            for d in range(radius + 1):
-                mine = np.flatnonzero(limits[:, k] >= d)
-                for m in flips[d] if len(mine) else ():
-                    out.append((np.full(len(mine), k), parts[mine, k] ^ m, fp[mine], np.ones(len(mine), np.int64)))
-        part, value, fp, probe = (np.concatenate(x) for x in zip(*out))
-        many = np.zeros(len(part), np.int64)
-        for k in range(p.parts):
-            many[part == k] = p.shared(k, value[part == k]).astype(np.int64)
-        return pd.DataFrame({"part": part.astype(np.int32), "value": value, "fp": fp, "probe": probe.astype(bool), "sides": np.where(many > HOT, -(-many // CELL), 0).astype(np.int32)})
-
-    rows = stage_table(arrow_map(distinct.select("fp"), probe_rows, "part int, value bigint, fp bigint, probe boolean, sides int"), "probes")
+    n, both = bit_statistics(distinct, blocks)
+    groups = [group_bits(b, n) for b in both]
+    counts = value_counts(distinct, groups)
+    # radius + 1 tables of GROUPS << WIDTH numbers for each block
+    plans = spark.sparkContext.broadcast([Allocation(c, g, n, radius) for c, g in zip(counts, groups)])
+
+    def probe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, nodes = columns_of(batch), batch.column(1).to_numpy(zero_copy_only=False)
+            for block in range(blocks if len(nodes) else 0):
+                plan = plans.value[block]
+                fp = np.ascontiguousarray(fps[:, block])
+                values = values_of(fp, groups[block])
+                parts, limits = plan.part_values(values), plan.thresholds(values)
+                flips = masks(WIDTH * plan.merge, radius)
+                for k in range(plan.parts):
+                    out = [(parts[:, k], np.arange(len(fp)), False)]
+                    for d in range(radius + 1):
+                        mine = np.flatnonzero(limits[:, k] >= d)
+                        out += [(parts[mine, k] ^ m, mine, True) for m in (flips[d] if len(mine) else ())]
+                    value, at = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+                    probe = np.concatenate([np.full(len(x[0]), x[2]) for x in out])
+                    many = plan.shared(k, value).astype(np.int64)
+                    sides = np.where(many > HOT, -(-many // CELL), 0).astype(np.int32)
+                    part = np.full(len(value), block * GROUPS + k, np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part, value, nodes[at], fp[at], probe, sides)], names=["part", "value", "node", "fp", "probe", "sides"])
+
+    rows = stage_table(distinct.select("fps", "node").mapInArrow(probe_rows, "part int, value bigint, node bigint, fp bigint, probe boolean, sides int"), "probes")
     cold, hot = rows.where("sides = 0"), rows.where("sides > 0")
-    q = cold.where("probe").select("part", "value", F.col("fp").alias("a"))
-    d = cold.where("not probe").select("part", "value", F.col("fp").alias("b"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
+    q = cold.where("probe").select("part", "value", F.col("node").alias("a"), F.col("fp").alias("fa"))
+    d = cold.where("not probe").select("part", "value", F.col("node").alias("b"), F.col("fp").alias("fb"))
+    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius
     plain = q.join(d, (q["part"] == d["part"]) & (q["value"] == d["value"]) & near & (F.col("a") < F.col("b"))).select("a", "b")
+    if most_wide is not None:
+        plain = plain.distinct()
+        for end in ("a", "b"):
+            plain = plain.join(distinct.select(F.col("node").alias(end), F.col("wide").alias(f"w{end}")), end)
+        apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        plain = plain.where(apart <= most_wide).select("a", "b")
+        hot = hot.join(distinct.select("node", "wide"), "node")
+    else:
+        hot = hot.withColumn("wide", F.lit(None).cast("array<bigint>"))
     # hot values: each side is dealt to blocks by a hash; a cell holds one block of each side
-    side = F.pmod(F.xxhash64("fp"), F.col("sides"))
+    side = F.pmod(F.xxhash64("node"), F.col("sides")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
-    cells = hot.where("probe").select("part", "value", side.cast("int").alias("x"), every.alias("y"), "fp", "probe").union(hot.where("not probe").select("part", "value", every.alias("x"), side.cast("int").alias("y"), "fp", "probe"))
+    cells = hot.where("probe").select("part", "value", side.alias("x"), every.alias("y"), "node", "fp", "wide", "probe").union(hot.where("not probe").select("part", "value", every.alias("x"), side.alias("y"), "node", "fp", "wide", "probe"))
 
     def cell_links(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = (np.unique(frame.loc[frame["probe"] == x, "fp"].to_numpy(np.int64)) for x in (True, False))
-        return pd.DataFrame(spanning_links(a, b, radius), columns=["a", "b"])
+        a, b = (frame[frame["probe"] == x].drop_duplicates("node") for x in (True, False))
+        return pd.DataFrame(spanning_links(a, b, radius, most_wide), columns=["a", "b"])
 
     return plain.union(cells.groupBy("part", "value", "x", "y").applyInPandas(cell_links, "a bigint, b bigint"))
 
 
-def spanning_links(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between fingerprints of ``a`` and of ``b``."""
-    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+def spanning_links(a: pd.DataFrame, b: pd.DataFrame, radius: int, most_wide: int | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between rows (node, fp, wide) of ``a`` and of ``b``."""
+    nodes, place = np.unique(np.concatenate([a["node"], b["node"]]).astype(np.int64), return_inverse=True)
     left, right = place[: len(a)], place[len(a) :]
+    fa, fb = (x["fp"].to_numpy(np.int64).view(np.uint64) for x in (a, b))
+    if most_wide is not None and len(a) and len(b):
+        wa, wb = (np.stack(x["wide"].to_numpy()).astype(np.int64).view(np.uint64) for x in (a, b))
     label, found = np.arange(len(nodes)), []
-    step = max(1, (1 << 20) // max(1, len(b)))
-    for at in range(0, len(a), step):
-        near = np.bitwise_count(a[at : at + step, None].view(np.uint64) ^ b[None, :].view(np.uint64)) <= radius
-        i, j = np.nonzero(near)
-        u, v = left[at + i], right[j]
-        apart = label[u] != label[v]
-        for u, v in zip(u[apart], v[apart]):
-            if label[u] != label[v]:
-                found.append((int(nodes[u]), int(nodes[v])))
-                label[label == label[v]] = label[u]
+    step = max(1, (1 << 20) // max(1, len(fb)))
+    for at in range(0, len(fa), step):
+        i, j = np.nonzero(np.bitwise_count(fa[at : at + step, None] ^ fb[None, :]) <= radius)
+        i = i + at
+        apart = label[left[i]] != label[right[j]]
+        i, j = i[apart], j[apart]
+        for k in range(0, len(i), 1 << 16):  # the wide arrays of a bounded number of pairs at a time
+            x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            if most_wide is not None:
+                close = np.bitwise_count(wa[x] ^ wb[y]).sum(axis=1) <= most_wide
+                x, y = x[close], y[close]
+            for u, v in zip(left[x], right[y]):
+                if label[u] != label[v]:
+                    found.append((int(nodes[u]), int(nodes[v])))
+                    label[label == label[v]] = label[u]
     return found
 
 
+def grouped(found: DataFrame, same: list[str], radius: int, blocks: int = 1, most_wide: int | None = None) -> DataFrame:
+    """doc_id, the columns ``same`` and component_id of ``found(doc_id, node, fps, wide, *same)``, a table.
+
+    Rows with one node are one class; classes that links join are one component, named by its smallest doc_id.
+    """
+    distinct = stage_table(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps"), F.first("wide").alias("wide")), "distinct")
+    roots = connected_components(links(distinct, radius, blocks, most_wide)).withColumnRenamed("node", "linked")
+    rooted = distinct.select("node", "first").join(roots, F.col("node") == F.col("linked")).select("node", "root", "first")
+    least = stage_table(rooted.groupBy("root").agg(F.min("first").alias("least")), "least")
+    linked = stage_table(rooted.join(least, "root").select("node", "least"), "linked")
+    classes = stage_table(distinct.select("node", "first").join(linked, "node", "left").select("node", F.coalesce("least", "first").alias("component_id")), "classes")
+    return found.select("doc_id", "node", *same).join(classes, "node").select("doc_id", *same, "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """doc_id, fp (signed long) and component_id of each row of ``docs(doc_id, text)``.
 
@@ -268,14 +309,49 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     fingerprint zero like any other. A null doc_id counts only where no other is reached. Repeated rows are members of
     one component; an empty table gives an empty result; other columns are not read.
     """
-    found = stage_table(fingerprints(docs, shingle, seed), "fingerprints")
-    distinct = stage_table(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = connected_components(links(distinct, radius))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "first")
-    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    linked = stage_table(rooted.join(least, "root").select("fp", "least"), "linked")
-    classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return found.join(classes, "fp").select("doc_id", "fp", "component_id")
+    found = fingerprints(docs, shingle, seed).select("doc_id", "fp", F.col("fp").alias("node"), F.array("fp").alias("fps"), F.lit(None).cast("array<bigint>").alias("wide"))
+    return grouped(stage_table(found, "fingerprints"), ["fp"], radius)
+
+
+def most_bits(similarity: float, bits: int) -> int:
+    """Bits of which so many differ on average between sets of this Jaccard similarity."""
+    return round(bits * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
+
+
+def many_bits(hashes: np.ndarray, words: int) -> list[int]:
+    """``words`` fingerprints of a set of hashes, each from hashes mixed anew, as signed longs."""
+    n, ones = len(hashes), np.zeros((words, 64), np.int64)
+    for at in range(0, n, 1 << 14):
+        for k in range(words):
+            x = hashes[at : at + (1 << 14)] * np.uint64(MULTIPLIERS[k])
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(32)
+            ones[k] += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id of documents whose word shingles have about ``similarity`` or more in common.
+
+    At this similarity a 64-bit fingerprint differs in far more than a few bits. So BLOCKS fingerprints of the set of
+    words, which changes less than the set of shingles, find candidates within RADIUS bits each, and fingerprints of
+    WIDE * 64 bits of the set of shingles estimate the similarity of each candidate. Rows are handled as by
+    ``near_duplicates``; texts with equal sets of words and of shingles are one class.
+    """
+    digest = partial(xxhash.xxh64_intdigest, seed=SEED)
+
+    def work(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"doc_id": cols["doc_id"], "fps": [], "wide": []}
+        for text in cols["text"]:
+            words = bytes_of(text).lower().split()
+            grams = set(map(b" ".join, zip(*(words[k:] for k in range(shingle))))) if len(words) >= shingle else {b" ".join(words)}
+            for name, items, many in (("fps", set(words) or {b""}, BLOCKS), ("wide", grams, WIDE)):
+                out[name].append(many_bits(np.fromiter(map(digest, items), np.uint64, len(items)), many))
+        return out
+
+    found = map_batches(docs.select("doc_id", "text"), work, "doc_id bigint, fps array<bigint>, wide array<bigint>")
+    found = stage_table(found.withColumn("node", F.xxhash64("fps", "wide")), "sketches")
+    return grouped(found, [], RADIUS, BLOCKS, most_bits(similarity - SLACK, 64 * WIDE))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
