@@ -58,7 +58,7 @@ def allocate(pools: dict[str, int], limit: int) -> dict[str, int]:
 def even_places(count: Column, take: Column) -> Column:
     """``take`` places among ``count``, spread evenly, the first and the last among them; one is the first."""
     spaced = F.transform(F.sequence(F.lit(0), F.greatest(take, F.lit(1)) - 1), lambda i: half_even(i * (count - 1) / F.greatest(take - 1, F.lit(1))))
-    return F.when(take >= count, F.sequence(F.lit(0).cast("bigint"), count.cast("bigint") - 1)).when(take > 0, spaced).otherwise(F.array().cast("array<bigint>"))
+    return F.when(count < 1, F.array().cast("array<bigint>")).when(take >= count, F.sequence(F.lit(0).cast("bigint"), count.cast("bigint") - 1)).when(take > 0, spaced).otherwise(F.array().cast("array<bigint>"))
 
 
 def stratified_sample(population: DataFrame, limit: int = 200, order: str = "ord") -> DataFrame:

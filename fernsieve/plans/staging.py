@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,11 +19,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers find this package wherever the session was started from."""
+    home, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = [x for x in environment.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if home not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([home, *known])
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return what reads it back.
 
     The result survives the loss of any executor, because nothing upstream is computed again.
     """
+    let_workers_import(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
