@@ -249,8 +249,8 @@ def whole(text: str) -> list[tuple[int, int]]:
 
 def train(docs: DataFrame) -> Model:
     """Fit on a bounded sample of documents with a language; without any, every text is ``und``."""
-    got = sample_texts(docs).toPandas()
-    return fit(got["text"].tolist(), got["lang"].tolist())
+    got = sample_texts(docs).toArrow()
+    return fit(got["text"].to_pylist(), got["lang"].to_pylist())
 
 
 def identify_languages(docs: DataFrame, model: Model) -> DataFrame:

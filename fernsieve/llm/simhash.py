@@ -107,7 +107,10 @@ class Allocation:
         flips = masks(WIDTH, radius)
         index = np.arange(1 << WIDTH)
         # rings[d, g, v]: fingerprints whose value of group g lies d bits from v
-        self.rings = np.stack([np.stack([sum(counts[g][index ^ m] for m in flips[d]) for g in range(GROUPS)]) for d in range(radius + 1)]).astype(np.float32)
+        self.rings = np.zeros((radius + 1, GROUPS, 1 << WIDTH), np.float32)
+        for d in range(radius + 1):
+            for m in flips[d]:
+                self.rings[d] += counts[:, index ^ m]
 
     def estimates(self, values: np.ndarray) -> np.ndarray:
         """(fingerprint, part, threshold + 1) -> estimated candidates and the cost of probing; threshold -1: nothing."""
@@ -194,9 +197,9 @@ def value_counts(distinct: DataFrame, groups: list[list[list[int]]]) -> np.ndarr
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"cell": at, "n": counts[at]})
 
-    got = distinct.select("fps").mapInArrow(work, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(blocks * GROUPS << WIDTH, np.int64)
-    out[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    got = distinct.select("fps").mapInArrow(work, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(blocks * GROUPS << WIDTH, np.int32)
+    out[got["cell"].to_numpy()] = got["n"].to_numpy()
     return out.reshape(blocks, GROUPS, 1 << WIDTH)
 
 

@@ -105,8 +105,8 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Fit on a bounded sample of labelled documents; without any of both kinds nothing counts as toxic."""
-    got = sample_labelled(docs, labels, label).toPandas().sort_values(["y", "text"])
-    return fit(got["text"].tolist(), got["y"].to_numpy(np.int64))
+    got = sample_labelled(docs, labels, label).toArrow().sort_by([("y", "ascending"), ("text", "ascending")])
+    return fit(got["text"].to_pylist(), got["y"].to_numpy().astype(np.int64))
 
 
 def score_documents(docs: DataFrame, model: Model, offending: float = 0.5) -> DataFrame:
