@@ -29,7 +29,7 @@ from fernsieve.plans.staging import stage_table
 SHINGLE, SEED, RADIUS = 3, 42, 3
 GROUPS, WIDTH = 4, 16
 #: Beyond so many distinct fingerprints two groups make one part: wider values keep the lists of equal ones short.
-WIDE_FROM = 1 << 22
+WIDE_FROM = 1 << 21
 #: Fingerprints of one value of a part, from which on it is worked through in cells, and of one side of a cell.
 HOT, CELL = 256, 2048
 PROBE_COST = 1.0
@@ -146,13 +146,18 @@ class Allocation:
     def part_values(self, values: np.ndarray) -> np.ndarray:
         return values if self.merge == 1 else values[:, ::2] | values[:, 1::2] << WIDTH
 
-    def shared(self, part: int, value: np.ndarray) -> np.ndarray:
-        """About how many fingerprints have or probe a value: decides what is hot, alike for both sides."""
-        near = self.rings[0] + self.rings[1]
+    def sides(self, part: int, value: np.ndarray) -> np.ndarray:
+        """Into how many blocks each side of a value is dealt; 0 where about HOT fingerprints or fewer have it.
+
+        Both sides reckon it alike, from counts alone; the halves of a wide part are taken as independent.
+        """
         if self.merge == 1:
-            return near[part, value]
-        low, high = value & ((1 << WIDTH) - 1), value >> WIDTH
-        return np.minimum(near[2 * part, low], near[2 * part + 1, high])
+            have, near = self.rings[0][part, value], self.rings[0][part, value] + self.rings[1][part, value]
+        else:
+            low, high, near = value & ((1 << WIDTH) - 1), value >> WIDTH, self.rings[0] + self.rings[1]
+            have = self.rings[0][2 * part, low] * self.rings[0][2 * part + 1, high] / max(1, self.n)
+            near = near[2 * part, low] * near[2 * part + 1, high] / max(1, self.n)
+        return np.where(have > HOT, -(-near.astype(np.int64) // CELL), 0).astype(np.int32)
 
 
 def columns_of(batch: pa.RecordBatch) -> np.ndarray:
@@ -233,8 +238,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = 1, most_wide:
                         out += [(parts[mine, k] ^ m, mine, True) for m in (flips[d] if len(mine) else ())]
                     value, at = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
                     probe = np.concatenate([np.full(len(x[0]), x[2]) for x in out])
-                    many = plan.shared(k, value).astype(np.int64)
-                    sides = np.where(many > HOT, -(-many // CELL), 0).astype(np.int32)
+                    sides = plan.sides(k, value)
                     part = np.full(len(value), block * GROUPS + k, np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part, value, nodes[at], fp[at], probe, sides)], names=["part", "value", "node", "fp", "probe", "sides"])
 
