@@ -16,11 +16,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer, normalizers
 
-from fernsieve.llm.common import map_batches, table
+from fernsieve.llm.common import kept_in_worker, map_batches, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Characters of a part that is encoded whole, first reach of a window, longest pre-token that is remembered, and how many are.
-LEAF, REACH, LONGEST_KEPT, MOST_KEPT = 4096, 48, 40, 800_000
+LEAF, REACH, LONGEST_KEPT, MOST_KEPT = 4096, 48, 40, 500_000
 #: Characters whose splitting and lower case are the same in Python as in the tokenizer: ASCII, Latin-1 letters, common punctuation.
 PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e¡§«·»¿À-ÿ–—‘’“”…]*")
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
@@ -42,8 +42,6 @@ def number(i: int) -> bytes:
 class Encoder:
     """Gives the ids that the tokenizers library gives for a whole text without special tokens added."""
 
-    known: dict[str, Encoder] = {}
-
     def __init__(self, path: str) -> None:
         whole = Tokenizer.from_file(path)
         whole.no_truncation()
@@ -67,9 +65,7 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        if path not in cls.known:
-            cls.known[path] = cls(path)
-        return cls.known[path]
+        return kept_in_worker(f"encoder {path}", lambda: cls(path))
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; of null or an empty text none."""

@@ -56,3 +56,17 @@ def lower(text: str) -> str:
     """Lower case with every character in its place: the few capitals that become two characters stay."""
     small = text.lower()
     return small if len(small) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+_KEPT: dict[str, object] = {}
+
+
+def kept_in_worker(name: str, make: Callable[[], object]) -> object:
+    """A cache that a Python worker keeps from task to task; asking for another name drops the one before.
+
+    Workers serve all stages in turn, and only what the present stage needs should fill their memory.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]

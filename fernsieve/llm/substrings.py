@@ -18,11 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernsieve.llm.common import bytes_of, map_batches, table
+from fernsieve.llm.common import bytes_of, kept_in_worker, map_batches, table
 from fernsieve.plans.staging import stage_table
 
 WINDOW, KMER = 35, 15
-MOST_KEPT = 400_000
+MOST_KEPT = 250_000
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd: they have inverses modulo 2 ** 64
 
 
@@ -110,7 +110,7 @@ def compact_paths(keyed: DataFrame, window: int, kmer: int) -> DataFrame:
     """One row for each path of each text with at least ``window`` words."""
 
     def work(cols: dict[str, list]) -> dict[str, list]:
-        known = WORDS
+        known = kept_in_worker("words", WordHashes)
         out: dict[str, list] = {k: [] for k in ("key", "at", "minimizer", "digest")}
         for key, text in zip(cols["key"], cols["text"]):
             words = bytes_of(text).split()
@@ -125,16 +125,12 @@ def compact_paths(keyed: DataFrame, window: int, kmer: int) -> DataFrame:
     return map_batches(keyed.select("key", "text"), work, "key bigint, at bigint, minimizer bigint, digest bigint")
 
 
-#: Of this worker; a cache alone.
-WORDS = WordHashes()
-
-
 def edges_of(keyed: DataFrame, wanted: DataFrame, window: int, kmer: int) -> DataFrame:
     """The single edges of the paths ``wanted(key, at)``: minimizer, digest of the edge, key and start."""
     lists = wanted.groupBy("key").agg(F.collect_set("at").alias("ats"))  # as many as one text has paths
 
     def work(cols: dict[str, list]) -> dict[str, list]:
-        known = WORDS
+        known = kept_in_worker("words", WordHashes)
         out: dict[str, list] = {k: [] for k in ("key", "start", "minimizer", "edge")}
         for key, text, ats in zip(cols["key"], cols["text"], cols["ats"]):
             p = Paths(bytes_of(text).split(), known, window, kmer)
