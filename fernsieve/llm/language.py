@@ -197,13 +197,13 @@ def viterbi(scores: list[np.ndarray]) -> list[np.ndarray]:
 def stays(scores: np.ndarray) -> int | None:
     """The label of all words if no change of it can pay, else None.
 
-    Leaving the best single label pays only if some run of words favours another by more than a change costs: a path
-    has at least one change for each run that it spends away.
+    A path with ``k`` runs away from the best single label has ``k`` changes at least, or ``k - 1`` (and ``k`` above 1) if
+    it is never there. So none pays if no run of words favours another label by more than half of what a change costs.
     """
     best = int(scores.sum(0).argmax())
     gain = np.zeros((len(scores) + 1, scores.shape[1]))
     np.cumsum(scores - scores[:, best : best + 1], axis=0, out=gain[1:])
-    return best if (gain - np.minimum.accumulate(gain, axis=0)).max() <= SWITCH else None
+    return best if (gain - np.minimum.accumulate(gain, axis=0)).max() <= SWITCH / 2 else None
 
 
 def label_texts(texts: list[str | None], model: Model, kept: Scores | None = None) -> list[tuple[str, float, list[tuple[str, int, int]]]]:

@@ -16,7 +16,6 @@ from functools import partial
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +30,10 @@ GROUPS, WIDTH = 4, 16
 #: Beyond so many distinct fingerprints two groups make one part: wider values keep the lists of equal ones short.
 WIDE_FROM = 1 << 21
 #: Fingerprints of one value of a part, from which on it is worked through in cells, and of one side of a cell.
-HOT, CELL = 256, 2048
+HOT, CELL = 32, 2048
 PROBE_COST = 1.0
 #: Fingerprints of words that find candidates, and of shingles that confirm them, by ``similar_documents``.
-BLOCKS, WIDE = 8, 16
+BLOCKS, WIDE = 6, 16
 #: About a standard error of a similarity estimated from WIDE * 64 bits: candidates may fall so far short.
 SLACK = 0.02
 MULTIPLIERS = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(max(BLOCKS, WIDE))]  # odd
@@ -261,38 +260,54 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = 1, most_wide:
     side = F.pmod(F.xxhash64("node"), F.col("sides")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
     cells = hot.where("probe").select("part", "value", side.alias("x"), every.alias("y"), "node", "fp", "wide", "probe").union(hot.where("not probe").select("part", "value", every.alias("x"), side.alias("y"), "node", "fp", "wide", "probe"))
+    cell = ["part", "value", "x", "y"]
 
-    def cell_links(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = (frame[frame["probe"] == x].drop_duplicates("node") for x in (True, False))
-        return pd.DataFrame(spanning_links(a, b, radius, most_wide), columns=["a", "b"])
+    def cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] | None = None
 
-    return plain.union(cells.groupBy("part", "value", "x", "y").applyInPandas(cell_links, "a bigint, b bigint"))
+        def linked(c: list[np.ndarray], start: int, stop: int) -> list[tuple[int, int]]:
+            node, fp, probe, wide = (x[start:stop] for x in c[4:])
+            return spanning_links(node[probe], fp[probe], wide[probe], node[~probe], fp[~probe], wide[~probe], radius, most_wide)
 
-
-def spanning_links(a: pd.DataFrame, b: pd.DataFrame, radius: int, most_wide: int | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links between rows (node, fp, wide) of ``a`` and of ``b``."""
-    nodes, place = np.unique(np.concatenate([a["node"], b["node"]]).astype(np.int64), return_inverse=True)
-    left, right = place[: len(a)], place[len(a) :]
-    fa, fb = (x["fp"].to_numpy(np.int64).view(np.uint64) for x in (a, b))
-    if most_wide is not None and len(a) and len(b):
-        wa, wb = (np.stack(x["wide"].to_numpy()).astype(np.int64).view(np.uint64) for x in (a, b))
-    label, found = np.arange(len(nodes)), []
-    step = max(1, (1 << 20) // max(1, len(fb)))
-    for at in range(0, len(fa), step):
-        i, j = np.nonzero(np.bitwise_count(fa[at : at + step, None] ^ fb[None, :]) <= radius)
+        for batch in batches:
+            c = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 4, 5, 7)]
+            c.append(batch.column(6).flatten().to_numpy(zero_copy_only=False).reshape(len(c[0]), -1) if most_wide is not None and len(c[0]) else np.zeros((len(c[0]), 0), np.int64))
+            if kept is not None:
+                c = [np.concatenate(x) for x in zip(kept, c)]
+            cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in c[:4]], axis=0)) + 1
+            bounds = [0, *cut.tolist()]
+            found = [e for a, b in zip(bounds, bounds[1:]) for e in linked(c, a, b)]
+            kept = [x[bounds[-1] :] for x in c]  # the last cell may go on in the next batch
+            if found:
+                yield pa.RecordBatch.from_pydict({"a": [x for x, _ in found], "b": [x for _, x in found]})
+        found = linked(kept, 0, len(kept[0])) if kept is not None else []
+        yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+    return plain.union(cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(cell_links, "a bigint, b bigint"))
+
+
+def spanning_links(node_a: np.ndarray, fp_a: np.ndarray, wide_a: np.ndarray, node_b: np.ndarray, fp_b: np.ndarray, wide_b: np.ndarray, radius: int, most_wide: int | None = None) -> list[tuple[int, int]]:
+    """What the links between two sets of fingerprints join, as (least node, other node): a star for each component."""
+    nodes, place = np.unique(np.concatenate([node_a, node_b]), return_inverse=True)
+    left, right = place[: len(node_a)], place[len(node_a) :]
+    fp_a, fp_b, wide_a, wide_b = (np.ascontiguousarray(x).view(np.uint64) if x.size else x.astype(np.uint64) for x in (fp_a, fp_b, wide_a, wide_b))
+    label = np.arange(len(nodes))
+    step = max(1, (1 << 20) // max(1, len(fp_b)))
+    for at in range(0, len(fp_a), step):
+        i, j = np.nonzero(np.bitwise_count(fp_a[at : at + step, None] ^ fp_b[None, :]) <= radius)
         i = i + at
         apart = label[left[i]] != label[right[j]]
         i, j = i[apart], j[apart]
         for k in range(0, len(i), 1 << 16):  # the wide arrays of a bounded number of pairs at a time
             x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
             if most_wide is not None:
-                close = np.bitwise_count(wa[x] ^ wb[y]).sum(axis=1) <= most_wide
+                close = np.bitwise_count(wide_a[x] ^ wide_b[y]).sum(axis=1) <= most_wide
                 x, y = x[close], y[close]
             for u, v in zip(left[x], right[y]):
-                if label[u] != label[v]:
-                    found.append((int(nodes[u]), int(nodes[v])))
-                    label[label == label[v]] = label[u]
-    return found
+                p, q = label[u], label[v]
+                if p != q:
+                    label[label == max(p, q)] = min(p, q)
+    return [(int(nodes[label[k]]), int(nodes[k])) for k in np.flatnonzero(label != np.arange(len(nodes)))]
 
 
 def grouped(found: DataFrame, same: list[str], radius: int, blocks: int = 1, most_wide: int | None = None) -> DataFrame:
