@@ -2,24 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernsieve.plans.staging import stage_table
 
 
+def local_stars(edges: DataFrame) -> DataFrame:
+    """What the edges of each partition join, as (node, least node): no more rows than a partition has nodes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        kinds = None
+        for batch in batches:
+            kinds = batch.schema
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                p, q = root(_known(parent, u)), root(_known(parent, v))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+        others = [x for x in parent if parent[x] != x]
+        if kinds is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x, kinds.field(0).type) for x in (others, [root(x) for x in others])], names=["a", "b"])
+
+    kind = dict(edges.dtypes)["a"]
+    return edges.repartition("a").mapInArrow(work, f"a {kind}, b {kind}")
+
+
+def _known(parent: dict, x):
+    if x not in parent:
+        parent[x] = x
+    return x
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Label every node of ``edges(a, b)`` with the smallest node it can reach.
 
-    Returns ``(node, root)``, one row for each node that occurs in an edge; self-edges label themselves, rows with a
-    null end are ignored and an empty input gives an empty result. Every round writes a table to the shared folder. The
+    Returns ``(node, root)``, one row for each node that an edge joins to another; self-edges and rows with a null end
+    are ignored and an empty input gives an empty result. Every round writes a table to the shared folder. The
     stars only ever regroup existing edges, so their number never grows, and each neighbourhood minimum is a
     partial aggregate followed by a join that adaptive execution may split; no neighbourhood is gathered anywhere.
+    Before the first step, the edges that lie in one partition are joined there.
     """
     a, b = F.col("a"), F.col("b")
     edges = edges.where(a.isNotNull() & b.isNotNull())
-    nodes = edges.select(a.alias("node")).union(edges.select(b.alias("node"))).distinct()
-    current = stage_table(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
+    current = stage_table(local_stars(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))), "edges")
+    nodes = current.select(a.alias("node")).union(current.select(b.alias("node"))).distinct()
     before = None
     for _ in range(max_rounds):
         both = current.union(current.select(b.alias("a"), a.alias("b")))

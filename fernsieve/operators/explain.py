@@ -16,7 +16,7 @@ LOW_DETAIL, MIXED_RATIO, LARGE, BARELY = 640, 1.35, 10, 1.05
 def reasons(scores: DataFrame, weights: dict[str, float] = WEIGHTS, margin: float = 0.05) -> DataFrame:
     """(cluster_id, uuid, place, criterion, delta, text): up to MAX_REASONS differences from the partner.
 
-    The partner is the winner; the winner's own is the runner-up. Differences are ordered by weight times size, then name.
+    The partner is the winner; the winner's own is the runner-up. Differences are ordered by weight times size (to nine decimals), then name.
     """
     used = [n for n in weights if n in scores.columns]
     ranked = rank_members(common_criteria(scores, weights), margin)
@@ -25,7 +25,7 @@ def reasons(scores: DataFrame, weights: dict[str, float] = WEIGHTS, margin: floa
     joined = ranked.withColumn("_for_winner", F.col("rank") == 1).join(partner, ["cluster_id", "_for_winner"])
     entry = lambda n: F.struct(F.lit(n).alias("criterion"), F.lit(float(weights[n])).alias("weight"), F.when(~F.array_contains("dropped", n), F.col(n) - F.col(f"p_{n}")).alias("delta"))
     told = joined.select("cluster_id", "uuid", F.inline(F.array(*[entry(n) for n in used if weights[n] > 0]))).where(F.abs("delta") >= MIN_DELTA)
-    order = Window.partitionBy("cluster_id", "uuid").orderBy(F.desc(F.abs(F.col("weight") * F.col("delta"))), "criterion")
+    order = Window.partitionBy("cluster_id", "uuid").orderBy(F.desc(F.round(F.abs(F.col("weight") * F.col("delta")), 9)), "criterion")
     text = F.format_string("%s on %s by %.3f", F.when(F.col("delta") > 0, "ahead").otherwise("behind"), F.col("criterion"), F.abs("delta"))
     return told.withColumn("place", F.row_number().over(order)).where(F.col("place") <= MAX_REASONS).select("cluster_id", "uuid", "place", "criterion", "delta", text.alias("text"))
 
