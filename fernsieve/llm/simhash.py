@@ -30,7 +30,7 @@ GROUPS, WIDTH = 4, 16
 #: Beyond so many distinct fingerprints two groups make one part: wider values keep the lists of equal ones short.
 WIDE_FROM = 1 << 21
 #: Fingerprints of one value of a part, from which on it is worked through in cells, and of one side of a cell.
-HOT, CELL = 32, 2048
+HOT, CELL = 16, 2048
 PROBE_COST = 1.0
 #: Fingerprints of words that find candidates, and of shingles that confirm them, by ``similar_documents``.
 BLOCKS, WIDE = 6, 16
@@ -243,10 +243,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = 1, most_wide:
 
     rows = stage_table(distinct.select("fps", "node").mapInArrow(probe_rows, "part int, value bigint, node bigint, fp bigint, probe boolean, sides int"), "probes")
     cold, hot = rows.where("sides = 0"), rows.where("sides > 0")
-    q = cold.where("probe").select("part", "value", F.col("node").alias("a"), F.col("fp").alias("fa"))
-    d = cold.where("not probe").select("part", "value", F.col("node").alias("b"), F.col("fp").alias("fb"))
-    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius
-    plain = q.join(d, (q["part"] == d["part"]) & (q["value"] == d["value"]) & near & (F.col("a") < F.col("b"))).select("a", "b")
+    plain = cold_links(cold, radius)
     if most_wide is not None:
         plain = plain.distinct()
         for end in ("a", "b"):
@@ -259,7 +256,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = 1, most_wide:
     # hot values: each side is dealt to blocks by a hash; a cell holds one block of each side
     side = F.pmod(F.xxhash64("node"), F.col("sides")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
-    cells = hot.where("probe").select("part", "value", side.alias("x"), every.alias("y"), "node", "fp", "wide", "probe").union(hot.where("not probe").select("part", "value", every.alias("x"), side.alias("y"), "node", "fp", "wide", "probe"))
+    rest = ("node", "fp", "wide", "probe")
+    cells = hot.where("sides = 1").select("part", "value", F.lit(0).alias("x"), F.lit(0).alias("y"), *rest)
+    cells = cells.union(hot.where("sides > 1 and probe").select("part", "value", side.alias("x"), every.alias("y"), *rest)).union(hot.where("sides > 1 and not probe").select("part", "value", every.alias("x"), side.alias("y"), *rest))
     cell = ["part", "value", "x", "y"]
 
     def cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,6 +285,14 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = 1, most_wide:
     return plain.union(cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(cell_links, "a bigint, b bigint"))
 
 
+def cold_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Pairs that agree on a value which few have: HOT at most for each probe."""
+    q = rows.where("probe").select("part", "value", F.col("node").alias("a"), F.col("fp").alias("fa"))
+    d = rows.where("not probe").select("part", "value", F.col("node").alias("b"), F.col("fp").alias("fb"))
+    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius
+    return q.join(d, (q["part"] == d["part"]) & (q["value"] == d["value"]) & near & (F.col("a") < F.col("b"))).select("a", "b")
+
+
 def spanning_links(node_a: np.ndarray, fp_a: np.ndarray, wide_a: np.ndarray, node_b: np.ndarray, fp_b: np.ndarray, wide_b: np.ndarray, radius: int, most_wide: int | None = None) -> list[tuple[int, int]]:
     """What the links between two sets of fingerprints join, as (least node, other node): a star for each component."""
     nodes, place = np.unique(np.concatenate([node_a, node_b]), return_inverse=True)
