@@ -126,11 +126,11 @@ def align_recordings(prints: DataFrame, key: str, is_query) -> DataFrame:
     found = stage_table(prints.where(F.col(key).isNotNull() & (F.size("codes") > 0)).select(F.col(key).alias("member"), "codes", F.sha2(F.concat_ws(",", F.col("codes").cast("array<string>")), 256).alias("digest"), is_query.alias("asks")), "prints")
     classes = stage_table(found.groupBy("digest").agg(F.min("member").alias("id"), F.min("codes").alias("codes"), F.max("asks").alias("asks")), "classes")
     members = found.join(classes.select("digest", "id"), "digest").select(F.lit("member").alias("kind"), F.col("id").alias("query"), "member")
-    # of a run of equal integers only the first is looked up
-    starts = classes.select("id", "asks", F.posexplode("codes").alias("at", "code"), F.col("codes").alias("all")).where((F.col("at") == 0) | (F.col("code") != F.try_element_at("all", F.col("at")))).select("id", "asks", "at", "code")
-    q = starts.where("asks").select(F.col("id").alias("query"), F.col("at").alias("q_at"), "code")
-    d = starts.select(F.col("id").alias("match"), F.col("at").alias("m_at"), "code")
-    votes = q.join(d, "code").where("query <> match").groupBy("query", "match", (F.col("m_at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= MIN_VOTES)
+    # of a run of equal integers only the first is looked up, together with the integer after it: one alone is too common
+    starts = classes.select("id", "asks", F.posexplode("codes").alias("at", "code"), F.col("codes").alias("all")).withColumn("after", F.try_element_at("all", F.col("at") + 2)).where("after is not null").where((F.col("at") == 0) | (F.col("code") != F.try_element_at("all", F.col("at")))).select("id", "asks", "at", "code", "after")
+    q = starts.where("asks").select(F.col("id").alias("query"), F.col("at").alias("q_at"), "code", "after")
+    d = starts.select(F.col("id").alias("match"), F.col("at").alias("m_at"), "code", "after")
+    votes = q.join(d, ["code", "after"]).where("query <> match").groupBy("query", "match", (F.col("m_at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= MIN_VOTES)
     best = votes.withColumn("n", F.row_number().over(Window.partitionBy("query", "match").orderBy(F.desc("votes"), "offset"))).where("n = 1").drop("n")
     both = best.join(classes.select(F.col("id").alias("query"), F.col("codes").alias("a")), "query").join(classes.select(F.col("id").alias("match"), F.col("codes").alias("b")), "match")
     a_from, b_from = F.greatest(F.lit(0), -F.col("offset")), F.greatest(F.lit(0), F.col("offset"))
