@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,10 @@ from tokenizers import Tokenizer, normalizers
 from fernsieve.llm.common import kept_in_worker, map_batches, table
 
 VOCABULARY = "word_bpe_49k.json"
-#: Characters of a part that is encoded whole, first reach of a window, longest pre-token that is remembered, and how many are.
-LEAF, REACH, LONGEST_KEPT, MOST_KEPT = 4096, 48, 40, 500_000
+#: Characters of a part that is encoded whole, first reach of a window, longest word and pre-token that is remembered.
+LEAF, REACH, LONGEST_KEPT = 4096, 48, 40
+#: Pre-tokens and words that are remembered, before they are forgotten.
+MOST_PIECES, MOST_WORDS = 600_000, 800_000
 #: Characters whose splitting and lower case are the same in Python as in the tokenizer: ASCII, Latin-1 letters, common punctuation.
 PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e¡§«·»¿À-ÿ–—‘’“”…]*")
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
@@ -39,6 +42,18 @@ def number(i: int) -> bytes:
     return i.to_bytes(4, "little")
 
 
+class Words(dict):
+    """Ids by word; a word met for the first time gets an empty buffer, kept in ``new`` to be filled."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: dict[str, bytearray] = {}
+
+    def __missing__(self, word: str) -> bytearray:
+        self[word] = self.new[word] = buffer = bytearray()
+        return buffer
+
+
 class Encoder:
     """Gives the ids that the tokenizers library gives for a whole text without special tokens added."""
 
@@ -62,6 +77,7 @@ class Encoder:
         self.bytes = [len(t) - len(END) * t.endswith(END) for t in self.tokens]  # one character stands for a byte
         self.decimals = [str(i) for i in range(size)]
         self.pieces: dict[str, bytes] = {}
+        self.words = Words()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -89,31 +105,41 @@ class Encoder:
         return text.lower() if PLAIN.fullmatch(text) else self.normalizer.normalize_str(text)
 
     def leaves(self, texts: list[str]) -> list[bytes]:
-        """Ids of short normalized texts: of plain ones by their pre-tokens, each of which is encoded once for all."""
-        kept = self.pieces
-        if len(kept) > MOST_KEPT:
-            kept.clear()
-        split = [PIECE.findall(x) if PLAIN.fullmatch(x) else None for x in texts]
-        found = [x and list(map(kept.get, x)) for x in split]
-        lacking = [k for k, x in enumerate(found) if x and None in x]
-        new = list(set().union(*(set(split[k]).difference(kept) for k in lacking)))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            ids = np.array(self.part.encode(" ".join(some), add_special_tokens=False).ids, IDS)
-            data, a = ids.tobytes(), 0
-            for p, b in zip(some, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
-                kept[p] = data[a:b]
+        """Ids of short normalized texts: of plain ones by their words, each of which is encoded once for all."""
+        words = self.words
+        if len(words) > MOST_WORDS:
+            words.clear()
+        found = [list(map(words.__getitem__, x.split())) if PLAIN.fullmatch(x) else None for x in texts]
+        if words.new:
+            self.fill_words()
+        return [self.foreign(x) if ids is None else b"".join(ids) for x, ids in zip(texts, found)]
+
+    def fill_words(self) -> None:
+        """Put the ids of words met for the first time into the buffers that stand for them."""
+        pieces, new, words = self.pieces, self.words.new, self.words
+        if len(pieces) > MOST_PIECES:
+            pieces.clear()
+        split = list(map(PIECE.findall, new))  # no pre-token reaches over white space
+        lacking = list(set(chain.from_iterable(split)).difference(pieces))
+        for at in range(0, len(lacking), 20_000):
+            some = lacking[at : at + 20_000]
+            data = self.foreign(" ".join(some))
+            a = 0
+            for p, b in zip(some, (4 * np.flatnonzero(self.ends[np.frombuffer(data, IDS)]) + 4).tolist(), strict=True):
+                pieces[p] = data[a:b]
                 a = b
-        for k in lacking:
-            found[k] = map(kept.__getitem__, split[k])
-        out = [self.foreign(x) if ids is None else b"".join(ids) for x, ids in zip(texts, found)]
-        for p in new:
-            if len(p) > LONGEST_KEPT:
-                del kept[p]
-        return out
+        ids = [b"".join(map(pieces.__getitem__, x)) for x in split]
+        for buffer, x in zip(new.values(), ids):
+            buffer += x
+        words.update(zip(new, ids))
+        for kept, some in ((words, new), (pieces, lacking)):
+            for x in some:
+                if len(x) > LONGEST_KEPT:
+                    del kept[x]
+        new.clear()
 
     def foreign(self, text: str) -> bytes:
-        return np.array(self.part.encode(text, add_special_tokens=False).ids, IDS).tobytes()
+        return np.array(self.part.encode_batch_fast([text], add_special_tokens=False)[0].ids, IDS).tobytes()
 
     def tree(self, text: str, parts: list[bytes]) -> bytes:
         """Join the encodings of the consecutive leaves of normalized text, neighbours first, until one is left."""
