@@ -72,3 +72,9 @@ def stratified_sample(population: DataFrame, limit: int = 200, order: str = "ord
     first = placed.groupBy("stratum").agg(F.min("_row").alias("_first"))
     wanted = shares.select("stratum", F.explode(even_places(F.col("n"), F.col("take"))).alias("_place")).join(first, "stratum").select((F.col("_first") + F.col("_place")).alias("_row"))
     return placed.join(F.broadcast(wanted.distinct()), "_row").drop("_row")
+
+
+def population_totals(population: DataFrame, sample: DataFrame) -> DataFrame:
+    """One row: clusters, how many of them are sampled, their photos, and photos beyond one for each; zeros if empty."""
+    sizes = population.agg(F.count("*").alias("clusters"), F.coalesce(F.sum("size"), F.lit(0)).alias("photos"), F.coalesce(F.sum(F.col("size") - 1), F.lit(0)).alias("culled"))
+    return sizes.join(F.broadcast(sample.agg(F.count("*").alias("sampled"))))  # two single rows

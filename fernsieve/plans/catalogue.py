@@ -275,6 +275,20 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.stratified_sample(_population(spark, sf_dir)).select("ord", "size", "diameter", "stratum")
 
 
+@query("records", sql="&" + POPULATION + " SELECT count(*) AS clusters, least(count(*), 200) AS sampled, cast(coalesce(sum(size), 0) AS bigint) AS photos, cast(coalesce(sum(size - 1), 0) AS bigint) AS culled FROM population")
+def population_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    population = _population(spark, sf_dir)
+    return sampling.population_totals(population, sampling.stratified_sample(population))
+
+
+@query(sql="""SELECT vec_id, round(list_sum(p) / (len(p) * 255.0::double), 9) AS luma, len(list_filter(p, lambda x: x <= 3)) / len(p)::double AS shadow, len(list_filter(p, lambda x: x >= 252)) / len(p)::double AS highlight
+  FROM (SELECT vec_id, list_transform(range(64), lambda i: (vec_id * 7 + i * i * 13) % 256) AS p FROM embeddings)""")
+def pixel_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (F.col("vec_id") * 7 + i * i * 13) % 256)
+    got = library.read_table(spark, sf_dir, "embeddings").select("vec_id", scalar.exposure_stats(pixels).alias("e"))
+    return got.select("vec_id", F.round("e.luma", 9).alias("luma"), "e.shadow", "e.highlight")
+
+
 STATE = "state AS (SELECT cluster_key, max(batch_id) AS batch_id FROM batches WHERE batch_id NOT IN (SELECT batch_id FROM undos) GROUP BY cluster_key), standing AS (SELECT m.* FROM marks m JOIN state USING (cluster_key, batch_id))"
 
 
