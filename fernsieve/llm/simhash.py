@@ -239,9 +239,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = 1, most_wide:
                     probe = np.concatenate([np.full(len(x[0]), x[2]) for x in out])
                     sides = plan.sides(k, value)
                     part = np.full(len(value), block * GROUPS + k, np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part, value, nodes[at], fp[at], probe, sides)], names=["part", "value", "node", "fp", "probe", "sides"])
+                    for lo in range(0, len(at), 1 << 16):  # only hot values carry the wide arrays, a bounded number of rows at a time
+                        few = slice(lo, lo + (1 << 16))
+                        wide = batch.column(2).take(pa.array(at[few], mask=sides[few] == 0))
+                        yield pa.RecordBatch.from_arrays([*(pa.array(x[few]) for x in (part, value, nodes[at], fp[at], probe, sides)), wide], names=["part", "value", "node", "fp", "probe", "sides", "wide"])
 
-    rows = stage_table(distinct.select("fps", "node").mapInArrow(probe_rows, "part int, value bigint, node bigint, fp bigint, probe boolean, sides int"), "probes")
+    rows = stage_table(distinct.select("fps", "node", "wide").mapInArrow(probe_rows, "part int, value bigint, node bigint, fp bigint, probe boolean, sides int, wide array<bigint>"), "probes")
     cold, hot = rows.where("sides = 0"), rows.where("sides > 0")
     plain = cold_links(cold, radius)
     if most_wide is not None:
@@ -250,9 +253,6 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = 1, most_wide:
             plain = plain.join(distinct.select(F.col("node").alias(end), F.col("wide").alias(f"w{end}")), end)
         apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         plain = plain.where(apart <= most_wide).select("a", "b")
-        hot = hot.join(distinct.select("node", "wide"), "node")
-    else:
-        hot = hot.withColumn("wide", F.lit(None).cast("array<bigint>"))
     # hot values: each side is dealt to blocks by a hash; a cell holds one block of each side
     side = F.pmod(F.xxhash64("node"), F.col("sides")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
