@@ -12,12 +12,14 @@ bounded size that give the links of a spanning forest, not all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +34,10 @@ WIDE_FROM = 1 << 21
 #: Fingerprints of one value of a part, from which on it is worked through in cells, and of one side of a cell.
 HOT, CELL = 16, 2048
 PROBE_COST = 1.0
-#: Fingerprints of words that find candidates, and of shingles that confirm them, by ``similar_documents``.
-BLOCKS, WIDE = 6, 16
-#: About a standard error of a similarity estimated from WIDE * 64 bits: candidates may fall so far short.
-SLACK = 0.02
-MULTIPLIERS = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(max(BLOCKS, WIDE))]  # odd
+#: Texts (about) that show ``similar_documents`` which shingles are common, and occurrences among them from which on one is.
+SAMPLE_DOCS, COMMON = 10_000, 4
+#: Rows of an Arrow batch of numbers, slots of the filter on nodes, pairs compared at a time, shingle sets that a worker remembers.
+NUMBER_ROWS, SLOTS, STEP, REMEMBERED = 1 << 14, 1 << 26, 1 << 20, 64
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -317,13 +318,13 @@ def spanning_links(node_a: np.ndarray, fp_a: np.ndarray, wide_a: np.ndarray, nod
     return [(int(nodes[label[k]]), int(nodes[k])) for k in np.flatnonzero(label != np.arange(len(nodes)))]
 
 
-def grouped(found: DataFrame, same: list[str], radius: int, blocks: int = 1, most_wide: int | None = None) -> DataFrame:
-    """doc_id, the columns ``same`` and component_id of ``found(doc_id, node, fps, wide, *same)``, a table.
+def grouped(found: DataFrame, distinct: DataFrame, edges: DataFrame, same: list[str]) -> DataFrame:
+    """doc_id, the columns ``same`` and component_id of ``found(doc_id, node, *same)``, a table.
 
-    Rows with one node are one class; classes that links join are one component, named by its smallest doc_id.
+    Rows with one node are one class, of which ``distinct(node, first)`` has the smallest doc_id; classes that ``edges``
+    join are one component, named by its smallest doc_id.
     """
-    distinct = stage_table(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps"), F.first("wide").alias("wide")), "distinct")
-    roots = connected_components(links(distinct, radius, blocks, most_wide)).withColumnRenamed("node", "linked")
+    roots = connected_components(edges).withColumnRenamed("node", "linked")
     rooted = distinct.select("node", "first").join(roots, F.col("node") == F.col("linked")).select("node", "root", "first")
     least = stage_table(rooted.groupBy("root").agg(F.min("first").alias("least")), "least")
     linked = stage_table(rooted.join(least, "root").select("node", "least"), "linked")
@@ -339,48 +340,183 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     one component; an empty table gives an empty result; other columns are not read.
     """
     found = fingerprints(docs, shingle, seed).select("doc_id", "fp", F.col("fp").alias("node"), F.array("fp").alias("fps"), F.lit(None).cast("array<bigint>").alias("wide"))
-    return grouped(stage_table(found, "fingerprints"), ["fp"], radius)
+    found = stage_table(found, "fingerprints")
+    distinct = stage_table(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps"), F.first("wide").alias("wide")), "distinct")
+    return grouped(found, distinct, links(distinct, radius), ["fp"])
+
+
+def shingles_of(text: str | None, shingle: int) -> set[bytes]:
+    """Distinct word shingles; of a text with fewer words all of them as one."""
+    words = bytes_of(text).lower().split()
+    return set(map(b" ".join, zip(*(words[k:] for k in range(shingle))))) if len(words) >= shingle else {b" ".join(words)}
+
 
+def hashes_of(grams: set[bytes]) -> np.ndarray:
+    """Their distinct hashes, sorted, as signed longs."""
+    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), grams), np.uint64, len(grams)).view(np.int64))
 
-def most_bits(similarity: float, bits: int) -> int:
-    """Bits of which so many differ on average between sets of this Jaccard similarity."""
-    return round(bits * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
 
+def node_of(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), seed=SEED)).astype(np.int64))
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles that COMMON or more of about SAMPLE_DOCS texts have, and in how many."""
+
+    def work(cols: dict[str, list]) -> dict[str, list]:
+        return {"h": np.concatenate([hashes_of(shingles_of(t, shingle)) for t in cols["text"]])}
+
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    picked = docs.where(F.pmod(F.xxhash64("text", F.lit(29)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("text").distinct()
+    got = map_batches(picked, work, "h bigint").groupBy("h").count().where(F.col("count") >= COMMON).toArrow()
+    hashes, n = got["h"].to_numpy(), got["count"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def by_value(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of rows sorted by the first one, and where its values start: each value's rows come together."""
+    kept: list[np.ndarray] | None = None
+    for batch in batches:
+        c = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+        c = c if kept is None else [np.concatenate(x) for x in zip(kept, c)]
+        starts = np.flatnonzero(np.concatenate([[True] * (len(c[0]) > 0), c[0][1:] != c[0][:-1]]))
+        last = int(starts[-1]) if len(starts) else 0
+        if last:
+            yield [x[:last] for x in c], starts[:-1]
+        kept = [x[last:] for x in c]  # the last value may go on in the next batch
+    if kept is not None and len(kept[0]):
+        yield kept, np.array([0])
+
+
+def sharing_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (value, node, n, place) whose value another node has too, once each, with the value's least node."""
+    for (v, node, n, at), _ in by_value(batches):
+        order = np.lexsort((node, v))
+        v, node, n, at = v[order], node[order], n[order], at[order]
+        once = np.concatenate([[True], (v[1:] != v[:-1]) | (node[1:] != node[:-1])])
+        v, node, n, at = v[once], node[once], n[once], at[once]
+        starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        many = np.diff(np.append(starts, len(v)))
+        keep, low = np.repeat(many > 1, many), np.repeat(node[starts], many)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (v, node, n, at, low)], names=["value", "node", "n", "at", "low"])
+
+
+def pairs_across(node: np.ndarray, label: np.ndarray, n: np.ndarray, at: np.ndarray, p: int, q: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (less, greater) of one value's nodes that have different labels and may be p / q similar.
+
+    The overlap is at most what follows the value in either set; it must be p / (p + q) of both sizes together.
+    """
+    labels, which, sizes = np.unique(label, return_inverse=True, return_counts=True)
+    few = np.flatnonzero(which != np.argmax(sizes))  # nodes of the commonest label pair with these alone
+    step = max(1, STEP // len(node))
+    for lo in range(0, len(few), step):
+        i = few[lo : lo + step]
+        rest = np.minimum((n - at)[i][:, None], (n - at)[None, :])
+        able = (which[i][:, None] != which[None, :]) & ((p + q) * rest >= p * (n[i][:, None] + n[None, :]))
+        able &= (q * n[i][:, None] >= p * n[None, :]) & (q * n[None, :] >= p * n[i][:, None])
+        x, y = np.nonzero(able)
+        a, b = node[i[x]], node[y]
+        yield np.minimum(a, b), np.maximum(a, b)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
+    """Those of ``pairs(a, b)``, a table, whose sets of shingles have p / q or more of their union in common.
+
+    The texts of one document of each node are compared. A filter of SLOTS bits, whatever the corpus, keeps most
+    documents without a pair from being sent.
+    """
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    slot = F.pmod("node", F.lit(SLOTS))
+    got = ends.groupBy(F.floor(slot / 64).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(node, {SLOTS}) % 64 AS INT))")).alias("bits")).toArrow()
+    bits = np.zeros(SLOTS // 64, np.int64)
+    bits[got["at"].to_numpy()] = got["bits"].to_numpy()
+    wanted = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def pick(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"node": [], "packed": []}
+        packer = zstandard.ZstdCompressor(level=1)
+        for text in cols["text"]:
+            node = node_of(hashes_of(shingles_of(text, shingle)))
+            at = node % SLOTS
+            if int(wanted.value[at // 64]) >> at % 64 & 1:
+                out["node"].append(node)
+                out["packed"].append(packer.compress(bytes_of(text)))
+        return out
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, kept = zstandard.ZstdDecompressor(), {}
+
+        def grams(node: int, packed: bytes) -> set[bytes]:
+            if node not in kept:
+                if len(kept) >= REMEMBERED:
+                    kept.pop(next(iter(kept)))
+                kept[node] = shingles_of(unpack.decompress(packed).decode("utf-8", "surrogatepass"), shingle)
+            return kept[node]
+
+        for batch in batches:
+            a, b, ta, tb = (batch.column(k).to_pylist() for k in range(4))
+            keep = []
+            for k in range(len(a)):
+                x, y = grams(a[k], ta[k]), grams(b[k], tb[k])
+                keep.append((p + q) * len(x & y) >= p * (len(x) + len(y)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def many_bits(hashes: np.ndarray, words: int) -> list[int]:
-    """``words`` fingerprints of a set of hashes, each from hashes mixed anew, as signed longs."""
-    n, ones = len(hashes), np.zeros((words, 64), np.int64)
-    for at in range(0, n, 1 << 14):
-        for k in range(words):
-            x = hashes[at : at + (1 << 14)] * np.uint64(MULTIPLIERS[k])
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(32)
-            ones[k] += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+    texts = map_batches(docs.select("text"), pick, "node bigint, packed binary").dropDuplicates(["node"])
+    texts = stage_table(texts, "compared")
+    both = pairs
+    for end in ("a", "b"):
+        both = both.join(texts.select(F.col("node").alias(end), F.col("packed").alias(f"t{end}")), end)
+    return stage_table(both.select("a", "b", "ta", "tb").mapInArrow(compare, "a bigint, b bigint"), "confirmed")
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id of documents whose word shingles have about ``similarity`` or more in common.
+    """doc_id and component_id of documents whose sets of word shingles have a Jaccard ``similarity`` or more.
 
-    At this similarity a 64-bit fingerprint differs in far more than a few bits. So BLOCKS fingerprints of the set of
-    words, which changes less than the set of shingles, find candidates within RADIUS bits each, and fingerprints of
-    WIDE * 64 bits of the set of shingles estimate the similarity of each candidate. Rows are handled as by
-    ``near_duplicates``; texts with equal sets of words and of shingles are one class.
+    Two such sets share one of the first shingles of each, in any order of all shingles, if each gives as many as it
+    may lack and one more. The order goes from rare to common, so few others have these shingles. Every pair that shares one and
+    whose sizes and places allow the similarity is confirmed on the sets themselves; pairs that others have joined
+    already are left out. Rows are handled as by ``near_duplicates``; texts with equal sets are one class.
     """
-    digest = partial(xxhash.xxh64_intdigest, seed=SEED)
+    spark, (p, q) = docs.sparkSession, Fraction(str(similarity)).as_integer_ratio()
+    common = spark.sparkContext.broadcast(common_shingles(docs, shingle))
 
     def work(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"doc_id": cols["doc_id"], "fps": [], "wide": []}
+        out: dict[str, list] = {"doc_id": cols["doc_id"], "node": [], "n": [], "first": []}
+        known, seen = common.value
         for text in cols["text"]:
-            words = bytes_of(text).lower().split()
-            grams = set(map(b" ".join, zip(*(words[k:] for k in range(shingle))))) if len(words) >= shingle else {b" ".join(words)}
-            for name, items, many in (("fps", set(words) or {b""}, BLOCKS), ("wide", grams, WIDE)):
-                out[name].append(many_bits(np.fromiter(map(digest, items), np.uint64, len(items)), many))
+            h = hashes_of(shingles_of(text, shingle))
+            many = np.zeros(len(h), np.int64)
+            if len(known):
+                place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                many = np.where(known[place] == h, seen[place], 0)
+            out["node"].append(node_of(h))
+            out["n"].append(len(h))
+            out["first"].append(h[np.lexsort((h, many))][: len(h) - -(-p * len(h) // q) + 1])
         return out
 
-    found = map_batches(docs.select("doc_id", "text"), work, "doc_id bigint, fps array<bigint>, wide array<bigint>")
-    found = stage_table(found.withColumn("node", F.xxhash64("fps", "wide")), "sketches")
-    return grouped(found, [], RADIUS, BLOCKS, most_bits(similarity - SLACK, 64 * WIDE))
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, node, label, n, at), starts in by_value(batches):
+            ends = np.append(starts[1:], len(node))
+            mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+            for lo, hi in zip(starts[mixed], ends[mixed]):
+                for a, b in pairs_across(node[lo:hi], label[lo:hi], n[lo:hi].astype(np.int64), at[lo:hi].astype(np.int64), p, q):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    found = stage_table(map_batches(docs.select("doc_id", "text"), work, "doc_id bigint, node bigint, n int, first array<bigint>"), "sets")
+    distinct = stage_table(found.groupBy("node").agg(F.min("doc_id").alias("first")), "distinct")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", NUMBER_ROWS)
+    rows = found.select(F.posexplode("first").alias("at", "value"), "node", "n").select("value", "node", "n", "at")
+    rows = stage_table(rows.repartition("value").sortWithinPartitions("value").mapInArrow(sharing_rows, "value bigint, node bigint, n int, at int, low bigint"), "sharing")
+    # first each node is held against the least one that shares a shingle: pairs inside what this joins need no look
+    stars = stage_table(rows.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    near = confirmed(stars, docs, shingle, p, q)
+    labels = near.groupBy("b").agg(F.min("a").alias("label")).withColumnRenamed("b", "linked")
+    labelled = rows.join(labels, F.col("node") == F.col("linked"), "left").select("value", "node", F.coalesce("label", "node").alias("label"), "n", "at")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", NUMBER_ROWS)
+    rest = labelled.repartition("value").sortWithinPartitions("value").mapInArrow(across, "a bigint, b bigint").distinct()
+    rest = stage_table(rest.join(stars, ["a", "b"], "left_anti"), "pairs")
+    return grouped(found, distinct, near.union(confirmed(rest, docs, shingle, p, q)), [])
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

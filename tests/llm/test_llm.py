@@ -272,3 +272,37 @@ def test_pipeline(spark):
     kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
     texts = collections.Counter(r["text"] for r in docs.collect())
     assert {r["text"] for r in kept.collect()} <= set(texts) and kept.groupBy("text").count().where("count > 1").count() == 0
+
+
+def word_shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+
+
+def contiguous_copies():
+    rng = random.Random(21)
+    texts = []
+    for k in range(24):
+        base = [f"v{rng.randrange(9000)}" for _ in range(rng.randrange(60, 600))]
+        for share in (0.11, 0.16, 0.21):
+            new = [f"n{rng.randrange(9000)}" for _ in range(int(share * len(base)))]
+            at = rng.randrange(len(base))
+            texts += [" ".join(base + new), " ".join(base[: len(base) - len(new) * 8 // 10]), " ".join(base[:at] + new + base[at:])]
+        texts.append(" ".join(base))
+    return texts
+
+
+def slow_similar(texts):
+    sets, label = [word_shingles(t) for t in texts], list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    return dict(enumerate(label))
+
+
+def test_similar_documents_find_every_contiguous_copy(spark):
+    texts = contiguous_copies()
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(documents(spark, texts)).collect()}
+    assert got == slow_similar(texts)
