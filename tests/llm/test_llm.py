@@ -306,3 +306,16 @@ def test_similar_documents_find_every_contiguous_copy(spark):
     texts = contiguous_copies()
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(documents(spark, texts)).collect()}
     assert got == slow_similar(texts)
+
+
+def test_similar_documents_hold_the_threshold_exactly(spark):
+    rng, texts = random.Random(22), ["a b c d e f g h", "a b c d e f g h i", "a b c d e f g h i j k l"]
+    for edits in range(1, 9):
+        for k in range(6):
+            words = [f"s{rng.randrange(9000)}" for _ in range(200)]
+            texts.append(" ".join(words))
+            for at in rng.sample(range(200), edits):
+                words[at] = f"t{rng.randrange(9000)}"
+            texts.append(" ".join(words))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(documents(spark, texts)).collect()}
+    assert got == slow_similar(texts) and got[1] == 0 and got[2] == 2
