@@ -1,18 +1,19 @@
 """Chroma fingerprints of recordings, and their alignment.
 
 Frames of pitch-class energy form an image twelve classes high; sixteen filters compare sums of rectangles, read from
-the integral image, and give two bits each: one packed integer for each frame. Two recordings are aligned by the
-histogram of offsets at which their integers agree, and confirmed by the share of wrong bits at the best offset.
+the integral image, and give two bits each: one packed integer for each frame. Two recordings are compared at every
+offset: the correlation of their bits, by Fourier transforms, tells the wrong bits of each.
 """
 
 from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernsieve.llm.common import map_batches, table
@@ -24,8 +25,10 @@ LOWEST, HIGHEST = 110.0, 3520.0
 #: (kind, first pitch class, height, width in frames) of a filter, made by a rule.
 FILTERS = [(k % 6, (5 * k) % (CLASSES - 3 - k % 3), 4 + k % 3, (4, 8, 12, 16)[k % 4]) for k in range(16)]
 QUANTUM = 0.15
-#: Agreeing frames that make an offset a candidate, frames that must overlap, share of bits that may be wrong.
-MIN_VOTES, MIN_OVERLAP, MAX_ERRORS = 4, 24, 0.25
+#: Frames that must overlap, share of bits that may be wrong.
+MIN_OVERLAP, MAX_ERRORS = 24, 0.25
+#: Queries and recordings of a cell, and numbers of correlations worked on at a time.
+QUERIES, RECORDINGS, STEP = 64, 512, 1 << 22
 #: A recording made of a vector: one note for each number.
 NOTE, LOW_NOTE, NOTES, REACH = 512, 57, 36, 0.5
 
@@ -115,28 +118,83 @@ def fingerprint_recordings(df: DataFrame, column: str, key: str, samples: Callab
     return map_batches(df.selectExpr(f"`{key}` AS key", f"`{column}` AS value"), work, "key bigint, codes array<bigint>").withColumnRenamed("key", key)
 
 
+def spectra(codes: list[np.ndarray], size: int) -> np.ndarray:
+    """(recording, bit, frequency) of the bits as 1 and -1, silence after the end."""
+    signs = np.zeros((len(codes), 32, size), np.float32 if size <= 4096 else np.float64)
+    for k, c in enumerate(codes):
+        signs[k, :, : len(c)] = 1 - 2 * ((c[None, :] >> np.arange(32)[:, None]) & 1)
+    return np.fft.rfft(signs, axis=2)
+
+
+def aligned(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, float]]:
+    """(place in a, place in b, offset, votes, errors) of each pair that some offset passes; that with most right less wrong bits."""
+    octave_a, octave_b = (np.array([len(c).bit_length() for c in x]) for x in (a, b))
+    for u in np.unique(octave_a):
+        for w in np.unique(octave_b):
+            left, right = np.flatnonzero(octave_a == u), np.flatnonzero(octave_b == w)
+            size = 1 << int(max(u, w) + 1)
+            offsets = np.concatenate([np.arange(size // 2), np.arange(-size // 2, 0)])[:, None, None]
+            few = max(1, min(len(left), STEP // (32 * size)))
+            many = max(1, min(STEP // (32 * size), STEP // (few * size)))
+            for x in range(0, len(left), few):
+                i = left[x : x + few]
+                fa = np.ascontiguousarray(spectra([a[k] for k in i], size).conj().transpose(2, 0, 1))
+                for y in range(0, len(right), many):
+                    j = right[y : y + many]
+                    fb = np.ascontiguousarray(spectra([b[k] for k in j], size).transpose(2, 1, 0))
+                    balance = np.fft.irfft(fa @ fb, n=size, axis=0)  # (offset, query, recording): right less wrong bits
+                    la, in_a = np.unique([len(a[k]) for k in i], return_inverse=True)
+                    lb, in_b = np.unique([len(b[k]) for k in j], return_inverse=True)
+                    overlap = np.minimum(la[:, None] - np.maximum(0, -offsets), lb[None, :] - np.maximum(0, offsets))
+                    least = np.where(overlap >= MIN_OVERLAP, 32 * (1 - 2 * MAX_ERRORS) * overlap - 0.5, np.inf).astype(balance.dtype)
+                    if least[0].size > 1:
+                        least = least[:, in_a][:, :, in_b]
+                    passed = balance >= least
+                    for q, m in zip(*np.nonzero(passed.any(axis=0))):
+                        off = int(offsets[np.where(passed[:, q, m], np.rint(balance[:, q, m]), -np.inf).argmax(), 0, 0])
+                        n = min(len(a[i[q]]) - max(0, -off), len(b[j[m]]) - max(0, off))
+                        wrong = a[i[q]][max(0, -off) :][:n] ^ b[j[m]][max(0, off) :][:n]
+                        yield int(i[q]), int(j[m]), off, int((wrong == 0).sum()), int(np.bitwise_count(wrong).sum()) / (32 * n)
+
+
+def cells_of(classes: DataFrame, many: int, name: str) -> DataFrame:
+    """Blobs of at most ``many`` recordings: ids, codes end to end, lengths."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, many):
+                ids, codes = (batch.column(k).slice(at, many).to_pylist() for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array([ids]), pa.array([[x for c in codes for x in c]], pa.list_(pa.int64())), pa.array([list(map(len, codes))])], names=[f"{name}{x}" for x in ("ids", "codes", "sizes")])
+
+    return stage_table(classes.select("id", "codes").mapInArrow(pack, f"{name}ids array<bigint>, {name}codes array<bigint>, {name}sizes array<bigint>"), f"cells-{name}")
+
+
+def compare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            ids_a, flat_a, sizes_a, ids_b, flat_b, sizes_b = (batch.column(c)[k].values.to_numpy() for c in range(6))
+            a, b = (np.split(f, np.cumsum(n)[:-1]) for f, n in ((flat_a, sizes_a), (flat_b, sizes_b)))
+            got = [(ids_a[i], ids_b[j], *rest) for i, j, *rest in aligned(a, b) if ids_a[i] != ids_b[j]]
+            if got:
+                q, m, off, votes, errors = zip(*got)
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(m), pa.array(off, pa.int32()), pa.array(votes, pa.int64()), pa.array(errors, pa.float64())], names=["query", "match", "offset", "votes", "errors"])
+
+
 def align_recordings(prints: DataFrame, key: str, is_query) -> DataFrame:
     """Matches of the recordings that ``is_query`` picks, against all, of ``prints(key, codes)``.
 
     Equal fingerprints form a class, named by its smallest key. The result has rows of two kinds: ``member`` says that
     recording ``member`` is in class ``query``; ``match`` says that, shifted by ``offset`` frames, class ``match`` has
-    ``votes`` frames in common with the query's class and a share ``errors`` of wrong bits where both overlap. Every
+    ``votes`` equal frames and a share ``errors`` of wrong bits where both overlap. Every query is compared with every
+    class at every offset that leaves MIN_OVERLAP frames, so no match within MAX_ERRORS is missed; the work is queries
+    times classes. Of a pair that passes at more than one offset the one with the most right less wrong bits is given. Every
     recording is a member of one class, recordings without codes or key of none; repeated rows are repeated members.
     """
     found = stage_table(prints.where(F.col(key).isNotNull() & (F.size("codes") > 0)).select(F.col(key).alias("member"), "codes", F.sha2(F.concat_ws(",", F.col("codes").cast("array<string>")), 256).alias("digest"), is_query.alias("asks")), "prints")
     classes = stage_table(found.groupBy("digest").agg(F.min("member").alias("id"), F.min("codes").alias("codes"), F.max("asks").alias("asks")), "classes")
     members = found.join(classes.select("digest", "id"), "digest").select(F.lit("member").alias("kind"), F.col("id").alias("query"), "member")
-    # of a run of equal integers only the first is looked up, together with the integer after it: one alone is too common
-    starts = classes.select("id", "asks", F.posexplode("codes").alias("at", "code"), F.col("codes").alias("all")).withColumn("after", F.try_element_at("all", F.col("at") + 2)).where("after is not null").where((F.col("at") == 0) | (F.col("code") != F.try_element_at("all", F.col("at")))).select("id", "asks", "at", "code", "after")
-    q = starts.where("asks").select(F.col("id").alias("query"), F.col("at").alias("q_at"), "code", "after")
-    d = starts.select(F.col("id").alias("match"), F.col("at").alias("m_at"), "code", "after")
-    votes = q.join(d, ["code", "after"]).where("query <> match").groupBy("query", "match", (F.col("m_at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= MIN_VOTES)
-    best = votes.withColumn("n", F.row_number().over(Window.partitionBy("query", "match").orderBy(F.desc("votes"), "offset"))).where("n = 1").drop("n")
-    both = best.join(classes.select(F.col("id").alias("query"), F.col("codes").alias("a")), "query").join(classes.select(F.col("id").alias("match"), F.col("codes").alias("b")), "match")
-    a_from, b_from = F.greatest(F.lit(0), -F.col("offset")), F.greatest(F.lit(0), F.col("offset"))
-    long = F.least(F.size("a") - a_from, F.size("b") - b_from)
-    wrong = F.aggregate(F.zip_with(F.slice("a", a_from + 1, long), F.slice("b", b_from + 1, long), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    judged = both.where(long >= MIN_OVERLAP).withColumn("errors", wrong / (32 * long)).where(F.col("errors") <= MAX_ERRORS)
+    cells = cells_of(classes.where("asks"), QUERIES, "q").crossJoin(cells_of(classes, RECORDINGS, "m"))
+    judged = cells.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(compare_cells, "query bigint, match bigint, offset int, votes bigint, errors double")
     matches = judged.select(F.lit("match").alias("kind"), "query", "match", "offset", "votes", "errors")
     return members.unionByName(matches, allowMissingColumns=True).select("kind", "query", "member", "match", "offset", "votes", "errors")
 

@@ -319,3 +319,21 @@ def test_similar_documents_hold_the_threshold_exactly(spark):
             texts.append(" ".join(words))
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(documents(spark, texts)).collect()}
     assert got == slow_similar(texts) and got[1] == 0 and got[2] == 2
+
+
+def test_audio_finds_noisy_recordings_like_brute_force():
+    rng = np.random.default_rng(5)
+    a = [rng.integers(0, 1 << 32, n, dtype=np.int64) for n in (110, 60, 40)]
+    flips = lambda n, share: (rng.random((n, 32)) < share) @ (1 << np.arange(32, dtype=np.int64))
+    b = [(x[cut:] ^ flips(len(x) - cut, share)).astype(np.int64) for x in a for cut in (0, 9) for share in (0.05, 0.1, 0.2, 0.24, 0.27)]
+    b += [np.concatenate([rng.integers(0, 1 << 32, 7, dtype=np.int64), x]) for x in a] + [np.full(50, 7, np.int64)]
+    want = {}
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            for off in range(-len(x) + 1, len(y)):
+                n = min(len(x) - max(0, -off), len(y) - max(0, off))
+                wrong = int(np.bitwise_count(x[max(0, -off) :][:n] ^ y[max(0, off) :][:n]).sum())
+                if n >= 24 and wrong <= 8 * n:
+                    want[i, j] = max(want.get((i, j), (0, 0, 0)), (32 * n - 2 * wrong, off, wrong / (32 * n)))
+    got = {(i, j): (off, errors) for i, j, off, _, errors in audio.aligned(a, b)}
+    assert got == {k: v[1:] for k, v in want.items()} and len(want) >= 27
