@@ -2,8 +2,9 @@
 
 The standard library's parser feeds one pass that cuts a page into lines, one for each block, and counts the tags of
 each. Text-to-tag ratios along the lines are smoothed by a Gaussian, a two-cluster threshold tells content from
-furniture, and the element that holds the content lines is the region; its lines, without those in parts that are
-furniture by name (menus, forms, notices, comments, ...), are the text.
+furniture, and the element that holds the content lines is the region; its lines and the content lines outside it,
+each with the headings right before it, are the text, without parts that are furniture by name (menus, forms, notices,
+comments, ...).
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from fernsieve.llm.common import map_batches, table
 DROPPED = frozenset("script style noscript template nav header footer aside form button select option textarea label iframe object svg canvas dialog menu head title audio video map".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 REGIONS = frozenset("article main section div td body html".split())
 #: An open one of these ends where one of its like, or what holds it, begins or ends.
 IMPLIED = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option"])}
@@ -36,6 +38,7 @@ class Line:
     tags: int = 0
     path: tuple[int, ...] = ()
     furniture: bool = False
+    heading: bool = False
 
 
 class Lines(HTMLParser):
@@ -61,6 +64,7 @@ class Lines(HTMLParser):
         if not self.now.text:
             self.now.path = tuple(n for _, n, _ in self.stack if n >= 0)
             self.now.furniture = bool(self.stack) and self.stack[-1][2]
+            self.now.heading = any(t in HEADINGS for t, _, _ in self.stack)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -147,19 +151,21 @@ def main_text(html: str | None) -> str:
     size = np.array([len(x.text[0]) for x in lines], float)
     ratios = smoothed(size / np.array([max(1, x.tags) for x in lines]))
     content = ratios > threshold(ratios) if ratios.max() > ratios.min() else np.ones(len(lines), bool)
-    # an article or main element that holds content is the region, else the smallest element that holds most of it
+    # article and main elements that hold most of the content are the region, else the smallest element that does
     held: dict[int, float] = {}
     for x, n, c in zip(lines, size, content):
         for region in set(x.path) if c else ():
             held[region] = held.get(region, 0.0) + n
-    total = size[content].sum()
-    named = [r for r in held if parser.regions[r] in ("article", "main")]
-    if named:
-        kept = [x for x in lines if not set(named).isdisjoint(x.path)]
+    named = {r for r in held if parser.regions[r] in ("article", "main")}
+    enough = MOST_OF_CONTENT * size[content].sum()
+    if sum(n for x, n, c in zip(lines, size, content) if c and not named.isdisjoint(x.path)) >= enough:
+        regions = named
     else:
-        enough = [r for r in held if held[r] >= MOST_OF_CONTENT * total]
-        region = max(enough, default=None)
-        kept = [x for x in lines if region is None or region in x.path]
+        regions = {max((r for r in held if held[r] >= enough), default=-1)}
+    keep = [bool(c) or regions == {-1} or not regions.isdisjoint(x.path) for x, c in zip(lines, content)]
+    for k in range(len(lines) - 2, -1, -1):
+        keep[k] = keep[k] or lines[k].heading and keep[k + 1]
+    kept = [x for x, k in zip(lines, keep) if k]
     return "\n".join(x.text[0] for x in kept)
 
 

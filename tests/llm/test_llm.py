@@ -337,3 +337,12 @@ def test_audio_finds_noisy_recordings_like_brute_force():
                     want[i, j] = max(want.get((i, j), (0, 0, 0)), (32 * n - 2 * wrong, off, wrong / (32 * n)))
     got = {(i, j): (off, errors) for i, j, off, _, errors in audio.aligned(a, b)}
     assert got == {k: v[1:] for k, v in want.items()} and len(want) >= 27
+
+
+def test_html_keeps_content_outside_the_chosen_element():
+    story = "".join(f"<p>Sentence number {k} of the long story goes on and on for quite a while, as stories do.</p>" for k in range(8))
+    card = "<article class=card><p>A teaser that is long enough to be content of its own, were it the only one here.</p></article>"
+    assert html_text.main_text(f"<body><nav><a>x</a></nav><div>{story}</div>{card}<footer>f</footer>").count("Sentence") == 8
+    short = "<div><p>The second section is short, but content all the same, and must not go missing.</p></div>"
+    text = html_text.main_text(f"<body><ul><li><a>a</a><li><a>b</a><li><a>c</a></ul><h1>Head</h1><p>The lead paragraph stands beside the div and says what is to come.</p><div>{story * 2}</div>{short}<footer>f</footer>")
+    assert text.startswith("Head\nThe lead paragraph") and text.count("Sentence") == 16 and "second section" in text
