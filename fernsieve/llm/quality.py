@@ -20,8 +20,9 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW, CHUNK = 8, 4096
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: Fixed limits: up to so many bytes, the smallest and the largest ratio (bytes before by bytes after) of a whole text.
-BANDS = ((256, 0.9, 4.0), (1024, 1.15, 4.0), (4096, 1.45, 3.8), (16384, 1.55, 4.0), (65536, 1.6, 4.8), (1 << 62, 1.6, 6.0))
-#: The same for one chunk of CHUNK bytes, and the share of chunks outside them that rejects a text.
+#: The smallest lie between random base64 words and prose of the length; up to 80 bytes the two cannot be told apart.
+BANDS = ((80, 0.0, 4.0), (120, 0.98, 4.0), (160, 1.05, 4.0), (200, 1.08, 4.0), (256, 1.13, 4.0), (320, 1.16, 4.0), (400, 1.2, 4.0), (550, 1.25, 4.0), (700, 1.28, 4.0), (1024, 1.33, 4.0), (1500, 1.38, 3.8), (2048, 1.42, 3.8), (4096, 1.45, 3.8), (16384, 1.55, 4.0), (65536, 1.6, 4.8), (1 << 62, 1.6, 6.0))
+#: The same for one chunk of CHUNK bytes (the last, shorter one has those of its length), and the share of bytes in chunks outside them that rejects a text.
 CHUNK_LIMITS, MAX_BAD_CHUNKS = (1.45, 4.5), 0.5
 LEVEL = 3
 EMPTY_LINE = re.compile(rb"[\x20\x09-\x0D]*")
@@ -75,15 +76,22 @@ def count(data: bytes) -> Counts:
     return Counts(len(words), code_points(b"".join(words)), sum(map(data.count, (SYMBOLS[i : i + 1] for i in range(len(SYMBOLS))))), copies, repeated_words(words))
 
 
+def limits_of(size: int) -> tuple[float, float]:
+    return next((a, b) for most, a, b in BANDS if size <= most)
+
+
 def compression(data: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, float, bool]:
-    """Ratio of the whole, share of chunks outside their limits, and whether both lie within the bands."""
+    """Ratio of the whole, share of the bytes in chunks outside their limits, and whether both lie within the bands."""
     if not data:
         return 1.0, 0.0, True
     ratio = len(data) / len(packer.compress(data))
-    low, high = next((a, b) for most, a, b in BANDS if len(data) <= most)
-    chunks = [data[k : k + CHUNK] for k in range(0, len(data) - CHUNK + 1, CHUNK)]
-    bad = sum(not CHUNK_LIMITS[0] <= len(c) / len(packer.compress(c)) <= CHUNK_LIMITS[1] for c in chunks) / max(1, len(chunks))
-    return ratio, bad, low <= ratio <= high and bad <= MAX_BAD_CHUNKS
+    low, high = limits_of(len(data))
+    bad = 0
+    for k in range(0, len(data), CHUNK):
+        c = data[k : k + CHUNK]
+        least, most = CHUNK_LIMITS if len(c) == CHUNK else limits_of(len(c))
+        bad += 0 if least <= len(c) / len(packer.compress(c)) <= most else len(c)
+    return ratio, bad / len(data), low <= ratio <= high and bad <= MAX_BAD_CHUNKS * len(data)
 
 
 def judge_quality(docs: DataFrame) -> DataFrame:

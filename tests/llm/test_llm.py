@@ -1,3 +1,4 @@
+import base64
 import collections
 import hashlib
 import random
@@ -346,3 +347,18 @@ def test_html_keeps_content_outside_the_chosen_element():
     short = "<div><p>The second section is short, but content all the same, and must not go missing.</p></div>"
     text = html_text.main_text(f"<body><ul><li><a>a</a><li><a>b</a><li><a>c</a></ul><h1>Head</h1><p>The lead paragraph stands beside the div and says what is to come.</p><div>{story * 2}</div>{short}<footer>f</footer>")
     assert text.startswith("Head\nThe lead paragraph") and text.count("Sentence") == 16 and "second section" in text
+
+
+@pytest.mark.parametrize("size", [100, 150, 200, 250, 400, 700, 1000, 2000, 4000, 6000])
+def test_quality_rejects_noise_of_every_size(size):
+    rng, packer = random.Random(size), quality.zstandard.ZstdCompressor(level=quality.LEVEL)
+    for _ in range(40):
+        words = " ".join(base64.b64encode(rng.randbytes(rng.randrange(3, 12))).decode().rstrip("=") for _ in range(size // 4))
+        assert not quality.compression(words[:size].encode(), packer)[2]
+
+
+def test_quality_judges_the_last_partial_chunk():
+    rng, packer = random.Random(1), quality.zstandard.ZstdCompressor(level=quality.LEVEL)
+    prose = " ".join(rng.choice(["meadow", "winter", "lantern", "of", "the", "and", "carried", "river", "slowly", "house", "beyond", "quiet"]) + rng.choice("abcdefgh") for _ in range(900)).encode()[:4096]
+    noise = base64.b64encode(rng.randbytes(3060))[:4080]
+    assert quality.compression(prose, packer)[1] == 0 and quality.compression(prose + noise, packer)[1] == len(noise) / (4096 + len(noise))
