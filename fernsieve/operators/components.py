@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from fernsieve.plans.staging import stage_table
 
+#: Nodes that a task joins among themselves before it hands out what it has.
+MOST_NODES = 200_000
+
 
 def local_stars(edges: DataFrame) -> DataFrame:
-    """What the edges of each partition join, as (node, least node): no more rows than a partition has nodes."""
+    """What the edges of a stretch of each partition join, as (node, least node): never more rows than edges."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict = {}
@@ -22,41 +25,44 @@ def local_stars(edges: DataFrame) -> DataFrame:
                 parent[x] = x = parent[parent[x]]
             return x
 
+        def stars(kinds: pa.Schema) -> pa.RecordBatch:
+            others = [x for x in parent if parent[x] != x]
+            return pa.RecordBatch.from_arrays([pa.array(x, kinds.field(0).type) for x in (others, [root(x) for x in others])], names=["a", "b"])
+
         kinds = None
         for batch in batches:
             kinds = batch.schema
             for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                p, q = root(_known(parent, u)), root(_known(parent, v))
+                p, q = (root(parent.setdefault(x, x)) for x in (u, v))
                 if p != q:
                     parent[max(p, q)] = min(p, q)
-        others = [x for x in parent if parent[x] != x]
+            if len(parent) > MOST_NODES:
+                yield stars(kinds)
+                parent.clear()
         if kinds is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(x, kinds.field(0).type) for x in (others, [root(x) for x in others])], names=["a", "b"])
+            yield stars(kinds)
 
     kind = dict(edges.dtypes)["a"]
-    return edges.repartition("a").mapInArrow(work, f"a {kind}, b {kind}")
-
-
-def _known(parent: dict, x):
-    if x not in parent:
-        parent[x] = x
-    return x
+    return edges.mapInArrow(work, f"a {kind}, b {kind}")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Label every node of ``edges(a, b)`` with the smallest node it can reach.
 
     Returns ``(node, root)``, one row for each node that an edge joins to another; self-edges and rows with a null end
-    are ignored and an empty input gives an empty result. Every round writes a table to the shared folder. The
-    stars only ever regroup existing edges, so their number never grows, and each neighbourhood minimum is a
-    partial aggregate followed by a join that adaptive execution may split; no neighbourhood is gathered anywhere.
-    Before the first step, the edges that lie in one partition are joined there.
+    are ignored and an empty input gives an empty result. Nodes may be of any ordered kind. Every round writes a table
+    to the shared folder. The stars only ever regroup existing edges, so their number never grows, and each
+    neighbourhood minimum is a partial aggregate followed by a join that adaptive execution may split; no neighbourhood
+    is gathered anywhere. Before the first step, edges that lie in one partition are joined there, a bounded number of
+    nodes at a time.
     """
     a, b = F.col("a"), F.col("b")
     edges = edges.where(a.isNotNull() & b.isNotNull())
     current = stage_table(local_stars(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))), "edges")
+    before = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    if not before[0]:
+        return current.select(a.alias("node"), b.alias("root"))
     nodes = current.select(a.alias("node")).union(current.select(b.alias("node"))).distinct()
-    before = None
     for _ in range(max_rounds):
         both = current.union(current.select(b.alias("a"), a.alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))

@@ -11,9 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests, one machine) a folder of this process."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset on one machine, a folder of this process.
+
+    On a cluster the setting must be there: a folder of the driver's machine is not one that executors share.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="fernsieve-")
         shared_folder.own = folder
     return folder.rstrip("/")
