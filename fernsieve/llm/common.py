@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernsieve.plans.staging import let_workers_import
 
-#: Rows of one Arrow batch: long texts stay well inside a worker's memory.
-BATCH_ROWS = 500
+#: Rows, and about so many bytes, that are worked on at a time: long texts stay well inside a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
+#: Words whose hashes a worker remembers.
+MOST_HASHES = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +23,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def held_out(doc_id: Column) -> Column:
-    """True for the fifth of all ids that no model may learn from."""
+    """True for the fifth of all ids that no model may learn from; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def share_by_hash(key: Column, seed: int, wanted: int, have: int) -> Column:
+    """Picks about ``wanted`` of ``have`` rows by a 64-bit hash of ``key``, however many rows there are."""
+    if wanted >= have:
+        return F.lit(True)
+    return F.xxhash64(key, F.lit(seed)) < F.lit(-(1 << 63) + (1 << 64) * wanted // have)
+
+
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of BATCH_ROWS rows and about BATCH_BYTES at most; one row is never split."""
+    at = 0
+    while at < batch.num_rows:
+        rows = min(BATCH_ROWS, batch.num_rows - at)
+        part = batch.slice(at, rows)
+        while rows > 1 and part.nbytes > BATCH_BYTES:
+            rows //= 2
+            part = batch.slice(at, rows)
+        yield part
+        at += rows
+
+
 def map_batches(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Apply ``work`` to columns as Python lists, a bounded number of rows at a time, on the executors."""
     from pyspark.sql.types import StructType
@@ -33,8 +57,7 @@ def map_batches(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for part in parts_of(batch):
                 out = work({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kinds], schema=kinds)
 
@@ -52,12 +75,38 @@ def bytes_of(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
+def row_key() -> Column:
+    """16 bytes that name a row of ``doc_id`` and ``text``: rows that repeat both share it, all others differ."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(part("doc_id"), F.lit("\n"), part("text"))))
+
+
 def lower(text: str) -> str:
     """Lower case with every character in its place: the few capitals that become two characters stay."""
     small = text.lower()
     return small if len(small) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, remembered while there are not too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MOST_HASHES:
+            self.clear()
+        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        return got
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Spreads every bit over all 64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 _KEPT: dict[str, object] = {}
 
 

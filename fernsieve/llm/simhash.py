@@ -12,14 +12,12 @@ bounded size that give the links of a spanning forest, not all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from fractions import Fraction
 from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +32,6 @@ WIDE_FROM = 1 << 21
 #: Fingerprints of one value of a part, from which on it is worked through in cells, and of one side of a cell.
 HOT, CELL = 16, 2048
 PROBE_COST = 1.0
-#: Texts (about) that show ``similar_documents`` which shingles are common, and occurrences among them from which on one is.
-SAMPLE_DOCS, COMMON = 10_000, 4
-#: Rows of an Arrow batch of numbers, slots of the filter on nodes, pairs compared at a time, shingle sets that a worker remembers.
-NUMBER_ROWS, SLOTS, STEP, REMEMBERED = 1 << 14, 1 << 26, 1 << 20, 64
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -115,7 +109,7 @@ class Allocation:
     def estimates(self, values: np.ndarray) -> np.ndarray:
         """(fingerprint, part, threshold + 1) -> estimated candidates and the cost of probing; threshold -1: nothing."""
         r = np.stack([self.rings[:, g, values[:, g]] for g in range(GROUPS)])  # group, distance, fingerprint
-        if self.merge == 2:  # the two groups of a part are taken as independent
+        if self.merge == 2:  # for the estimate the two groups of a part are taken as independent
             r = np.stack([np.stack([sum(r[2 * p, a] * r[2 * p + 1, d - a] for a in range(d + 1)) for d in range(self.radius + 1)]) for p in range(self.parts)]) / max(1, self.n)
         probes = np.cumsum([len(m) for m in masks(WIDTH * self.merge, self.radius)])
         cost = np.cumsum(r, axis=1) + PROBE_COST * probes[None, :, None]
@@ -146,132 +140,110 @@ class Allocation:
     def part_values(self, values: np.ndarray) -> np.ndarray:
         return values if self.merge == 1 else values[:, ::2] | values[:, 1::2] << WIDTH
 
-    def sides(self, part: int, value: np.ndarray) -> np.ndarray:
-        """Into how many blocks each side of a value is dealt; 0 where about HOT fingerprints or fewer have it.
+    def sides(self, part: int, value: np.ndarray) -> np.ndarray | None:
+        """Into how many blocks each side of a value is dealt; 0 where HOT fingerprints or fewer have it.
 
-        Both sides reckon it alike, from counts alone; the halves of a wide part are taken as independent.
+        Of single groups the counts are known; of wide parts they have to be taken from the probes (None).
         """
-        if self.merge == 1:
-            have, near = self.rings[0][part, value], self.rings[0][part, value] + self.rings[1][part, value]
-        else:
-            low, high, near = value & ((1 << WIDTH) - 1), value >> WIDTH, self.rings[0] + self.rings[1]
-            have = self.rings[0][2 * part, low] * self.rings[0][2 * part + 1, high] / max(1, self.n)
-            near = near[2 * part, low] * near[2 * part + 1, high] / max(1, self.n)
+        if self.merge == 2:
+            return None
+        have, near = self.rings[0][part, value], self.rings[0][part, value] + self.rings[1][part, value]
         return np.where(have > HOT, -(-near.astype(np.int64) // CELL), 0).astype(np.int32)
 
 
-def columns_of(batch: pa.RecordBatch) -> np.ndarray:
-    """(row, block) -> fingerprint, from a batch whose first column is an array of equally many each."""
-    flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1), np.int64)
+def numbers(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def bit_statistics(distinct: DataFrame, blocks: int) -> tuple[int, list[np.ndarray]]:
-    """Number of rows, and for each block in how many each two bits are set: 4096 sums a block, whatever the corpus."""
+def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of rows, and in how many each two bits are set: 4096 sums, whatever the corpus."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((blocks, 64, 64))
-        n = 0
+        both, n = np.zeros((64, 64)), 0
         for batch in batches:
-            fps = columns_of(batch)
-            for k in range(blocks if len(fps) else 0):
-                b = bits_of(np.ascontiguousarray(fps[:, k])).astype(np.float32)
-                both[k] += b.T @ b
-            n += len(fps)
-        yield pa.RecordBatch.from_pydict({"cell": list(range(blocks * 4096 + 1)), "n": [*both.astype(np.int64).ravel().tolist(), n]})
-
-    rows = distinct.select("fps").mapInArrow(work, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(blocks * 4096 + 1, np.int64)
-    for r in rows:
+            b = bits_of(numbers(batch)).astype(np.float32)
+            both += b.T @ b
+            n += len(b)
+        yield pa.RecordBatch.from_pydict({"cell": list(range(4097)), "n": [*both.astype(np.int64).ravel().tolist(), n]})
+
+    out = np.zeros(4097, np.int64)
+    for r in distinct.select("fp").mapInArrow(work, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         out[r["cell"]] = r["n"]
-    return int(out[-1]), list(out[:-1].reshape(blocks, 64, 64).astype(float))
+    return int(out[-1]), out[:-1].reshape(64, 64).astype(float)
 
 
-def value_counts(distinct: DataFrame, groups: list[list[list[int]]]) -> np.ndarray:
-    """How many rows have each value of each group of each block: blocks * GROUPS << WIDTH numbers at most."""
-    blocks = len(groups)
+def value_counts(distinct: DataFrame, groups: list[list[int]]) -> np.ndarray:
+    """How many rows have each value of each group: GROUPS << WIDTH numbers at most."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(blocks * GROUPS << WIDTH, np.int64)
+        counts = np.zeros(GROUPS << WIDTH, np.int64)
         for batch in batches:
-            fps = columns_of(batch)
-            for k in range(blocks if len(fps) else 0):
-                v = values_of(np.ascontiguousarray(fps[:, k]), groups[k])
-                for g in range(GROUPS):
-                    np.add.at(counts, (k * GROUPS + g << WIDTH) + v[:, g], 1)
+            v = values_of(numbers(batch), groups)
+            for g in range(GROUPS):
+                np.add.at(counts, (g << WIDTH) + v[:, g], 1)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"cell": at, "n": counts[at]})
 
-    got = distinct.select("fps").mapInArrow(work, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(blocks * GROUPS << WIDTH, np.int32)
+    got = distinct.select("fp").mapInArrow(work, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(GROUPS << WIDTH, np.int64)
     out[got["cell"].to_numpy()] = got["n"].to_numpy()
-    return out.reshape(blocks, GROUPS, 1 << WIDTH)
+    return out.reshape(GROUPS, 1 << WIDTH)
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = 1, most_wide: int | None = None) -> DataFrame:
-    """Links (a, b) between nodes of ``distinct(node, fps, wide)``, a table.
+def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) between the fingerprints of ``distinct(fp)``, a table without repeated or null rows.
 
-    Two nodes are linked if in one of ``blocks`` their fingerprints differ in up to ``radius`` bits and, where
-    ``most_wide`` is given, their ``wide`` arrays in up to so many. Every link between the nodes of a value is given, or,
+    Two are linked if they differ in up to ``radius`` bits. Every link between the fingerprints of a value is given, or,
     where many share the value, a spanning forest of them: enough for components, and never more rows than probes.
     """
     spark = distinct.sparkSession
-    n, both = bit_statistics(distinct, blocks)
-    groups = [group_bits(b, n) for b in both]
-    counts = value_counts(distinct, groups)
-    # radius + 1 tables of GROUPS << WIDTH numbers for each block
-    plans = spark.sparkContext.broadcast([Allocation(c, g, n, radius) for c, g in zip(counts, groups)])
+    n, both = bit_statistics(distinct)
+    groups = group_bits(both, n)
+    plan = Allocation(value_counts(distinct, groups), groups, n, radius)
+    shared = spark.sparkContext.broadcast(plan)  # radius + 1 tables of GROUPS << WIDTH numbers: 4 MB, whatever the corpus
 
     def probe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = shared.value
+        flips = masks(WIDTH * plan.merge, radius)
         for batch in batches:
-            fps, nodes = columns_of(batch), batch.column(1).to_numpy(zero_copy_only=False)
-            for block in range(blocks if len(nodes) else 0):
-                plan = plans.value[block]
-                fp = np.ascontiguousarray(fps[:, block])
-                values = values_of(fp, groups[block])
-                parts, limits = plan.part_values(values), plan.thresholds(values)
-                flips = masks(WIDTH * plan.merge, radius)
-                for k in range(plan.parts):
-                    out = [(parts[:, k], np.arange(len(fp)), False)]
-                    for d in range(radius + 1):
-                        mine = np.flatnonzero(limits[:, k] >= d)
-                        out += [(parts[mine, k] ^ m, mine, True) for m in (flips[d] if len(mine) else ())]
-                    value, at = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-                    probe = np.concatenate([np.full(len(x[0]), x[2]) for x in out])
-                    sides = plan.sides(k, value)
-                    part = np.full(len(value), block * GROUPS + k, np.int32)
-                    for lo in range(0, len(at), 1 << 16):  # only hot values carry the wide arrays, a bounded number of rows at a time
-                        few = slice(lo, lo + (1 << 16))
-                        wide = batch.column(2).take(pa.array(at[few], mask=sides[few] == 0))
-                        yield pa.RecordBatch.from_arrays([*(pa.array(x[few]) for x in (part, value, nodes[at], fp[at], probe, sides)), wide], names=["part", "value", "node", "fp", "probe", "sides", "wide"])
-
-    rows = stage_table(distinct.select("fps", "node", "wide").mapInArrow(probe_rows, "part int, value bigint, node bigint, fp bigint, probe boolean, sides int, wide array<bigint>"), "probes")
+            fp = numbers(batch)
+            values = values_of(fp, groups)
+            parts, limits = plan.part_values(values), plan.thresholds(values)
+            for k in range(plan.parts if len(fp) else 0):
+                out = [(parts[:, k], np.arange(len(fp)), False)]
+                for d in range(radius + 1):
+                    mine = np.flatnonzero(limits[:, k] >= d)
+                    out += [(parts[mine, k] ^ m, mine, True) for m in (flips[d] if len(mine) else ())]
+                value, at = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+                probe = np.concatenate([np.full(len(x[0]), x[2]) for x in out])
+                sides = plan.sides(k, value)
+                columns = [np.full(len(value), k, np.int32), value, fp[at], probe, np.zeros(len(value), np.int32) if sides is None else sides]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["part", "value", "fp", "probe", "sides"])
+
+    rows = stage_table(distinct.select("fp").mapInArrow(probe_rows, "part int, value bigint, fp bigint, probe boolean, sides int"), "probes")
+    if plan.merge == 2:  # real counts of each value, of which only those that many have are kept
+        have, asked = F.sum(F.when(F.col("probe"), 0).otherwise(1)), F.sum(F.when(F.col("probe"), 1).otherwise(0))
+        many = rows.groupBy("part", "value").agg(have.alias("have"), asked.alias("asked")).where(F.col("have") > HOT)
+        many = stage_table(many.select("part", "value", F.ceil(F.greatest("have", "asked") / CELL).cast("int").alias("dealt")), "many")
+        rows = rows.join(many, ["part", "value"], "left").select("part", "value", "fp", "probe", F.coalesce("dealt", F.lit(0)).alias("sides"))
+        rows = stage_table(rows, "probes")
     cold, hot = rows.where("sides = 0"), rows.where("sides > 0")
-    plain = cold_links(cold, radius)
-    if most_wide is not None:
-        plain = plain.distinct()
-        for end in ("a", "b"):
-            plain = plain.join(distinct.select(F.col("node").alias(end), F.col("wide").alias(f"w{end}")), end)
-        apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        plain = plain.where(apart <= most_wide).select("a", "b")
     # hot values: each side is dealt to blocks by a hash; a cell holds one block of each side
-    side = F.pmod(F.xxhash64("node"), F.col("sides")).cast("int")
+    side = F.pmod(F.xxhash64("fp"), F.col("sides")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
-    rest = ("node", "fp", "wide", "probe")
-    cells = hot.where("sides = 1").select("part", "value", F.lit(0).alias("x"), F.lit(0).alias("y"), *rest)
-    cells = cells.union(hot.where("sides > 1 and probe").select("part", "value", side.alias("x"), every.alias("y"), *rest)).union(hot.where("sides > 1 and not probe").select("part", "value", every.alias("x"), side.alias("y"), *rest))
+    cells = hot.where("sides = 1").select("part", "value", F.lit(0).alias("x"), F.lit(0).alias("y"), "fp", "probe")
+    cells = cells.union(hot.where("sides > 1 and probe").select("part", "value", side.alias("x"), every.alias("y"), "fp", "probe")).union(hot.where("sides > 1 and not probe").select("part", "value", every.alias("x"), side.alias("y"), "fp", "probe"))
     cell = ["part", "value", "x", "y"]
 
     def cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
 
         def linked(c: list[np.ndarray], start: int, stop: int) -> list[tuple[int, int]]:
-            node, fp, probe, wide = (x[start:stop] for x in c[4:])
-            return spanning_links(node[probe], fp[probe], wide[probe], node[~probe], fp[~probe], wide[~probe], radius, most_wide)
+            fp, probe = (x[start:stop] for x in c[4:])
+            return spanning_links(fp[probe], fp[~probe], radius)
 
         for batch in batches:
-            c = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 4, 5, 7)]
-            c.append(batch.column(6).flatten().to_numpy(zero_copy_only=False).reshape(len(c[0]), -1) if most_wide is not None and len(c[0]) else np.zeros((len(c[0]), 0), np.int64))
+            c = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
             if kept is not None:
                 c = [np.concatenate(x) for x in zip(kept, c)]
             cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in c[:4]], axis=0)) + 1
@@ -283,55 +255,34 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = 1, most_wide:
         found = linked(kept, 0, len(kept[0])) if kept is not None else []
         yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
-    return plain.union(cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(cell_links, "a bigint, b bigint"))
+    return cold_links(cold, radius).union(cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(cell_links, "a bigint, b bigint"))
 
 
 def cold_links(rows: DataFrame, radius: int) -> DataFrame:
     """Pairs that agree on a value which few have: HOT at most for each probe."""
-    q = rows.where("probe").select("part", "value", F.col("node").alias("a"), F.col("fp").alias("fa"))
-    d = rows.where("not probe").select("part", "value", F.col("node").alias("b"), F.col("fp").alias("fb"))
-    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius
+    q = rows.where("probe").select("part", "value", F.col("fp").alias("a"))
+    d = rows.where("not probe").select("part", "value", F.col("fp").alias("b"))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     return q.join(d, (q["part"] == d["part"]) & (q["value"] == d["value"]) & near & (F.col("a") < F.col("b"))).select("a", "b")
 
 
-def spanning_links(node_a: np.ndarray, fp_a: np.ndarray, wide_a: np.ndarray, node_b: np.ndarray, fp_b: np.ndarray, wide_b: np.ndarray, radius: int, most_wide: int | None = None) -> list[tuple[int, int]]:
-    """What the links between two sets of fingerprints join, as (least node, other node): a star for each component."""
-    nodes, place = np.unique(np.concatenate([node_a, node_b]), return_inverse=True)
-    left, right = place[: len(node_a)], place[len(node_a) :]
-    fp_a, fp_b, wide_a, wide_b = (np.ascontiguousarray(x).view(np.uint64) if x.size else x.astype(np.uint64) for x in (fp_a, fp_b, wide_a, wide_b))
+def spanning_links(fp_a: np.ndarray, fp_b: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """What the links between two sets of fingerprints join, as (least, other): a star for each component."""
+    nodes, place = np.unique(np.concatenate([fp_a, fp_b]), return_inverse=True)
+    left, right = place[: len(fp_a)], place[len(fp_a) :]
     label = np.arange(len(nodes))
     step = max(1, (1 << 20) // max(1, len(fp_b)))
     for at in range(0, len(fp_a), step):
-        i, j = np.nonzero(np.bitwise_count(fp_a[at : at + step, None] ^ fp_b[None, :]) <= radius)
+        i, j = np.nonzero(np.bitwise_count((fp_a[at : at + step, None] ^ fp_b[None, :]).view(np.uint64)) <= radius)
         i = i + at
         apart = label[left[i]] != label[right[j]]
-        i, j = i[apart], j[apart]
-        for k in range(0, len(i), 1 << 16):  # the wide arrays of a bounded number of pairs at a time
-            x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-            if most_wide is not None:
-                close = np.bitwise_count(wide_a[x] ^ wide_b[y]).sum(axis=1) <= most_wide
-                x, y = x[close], y[close]
-            for u, v in zip(left[x], right[y]):
-                p, q = label[u], label[v]
-                if p != q:
-                    label[label == max(p, q)] = min(p, q)
+        for u, v in zip(left[i[apart]], right[j[apart]]):
+            p, q = label[u], label[v]
+            if p != q:
+                label[label == max(p, q)] = min(p, q)
     return [(int(nodes[label[k]]), int(nodes[k])) for k in np.flatnonzero(label != np.arange(len(nodes)))]
 
 
-def grouped(found: DataFrame, distinct: DataFrame, edges: DataFrame, same: list[str]) -> DataFrame:
-    """doc_id, the columns ``same`` and component_id of ``found(doc_id, node, *same)``, a table.
-
-    Rows with one node are one class, of which ``distinct(node, first)`` has the smallest doc_id; classes that ``edges``
-    join are one component, named by its smallest doc_id.
-    """
-    roots = connected_components(edges).withColumnRenamed("node", "linked")
-    rooted = distinct.select("node", "first").join(roots, F.col("node") == F.col("linked")).select("node", "root", "first")
-    least = stage_table(rooted.groupBy("root").agg(F.min("first").alias("least")), "least")
-    linked = stage_table(rooted.join(least, "root").select("node", "least"), "linked")
-    classes = stage_table(distinct.select("node", "first").join(linked, "node", "left").select("node", F.coalesce("least", "first").alias("component_id")), "classes")
-    return found.select("doc_id", "node", *same).join(classes, "node").select("doc_id", *same, "component_id")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """doc_id, fp (signed long) and component_id of each row of ``docs(doc_id, text)``.
 
@@ -339,184 +290,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     fingerprint zero like any other. A null doc_id counts only where no other is reached. Repeated rows are members of
     one component; an empty table gives an empty result; other columns are not read.
     """
-    found = fingerprints(docs, shingle, seed).select("doc_id", "fp", F.col("fp").alias("node"), F.array("fp").alias("fps"), F.lit(None).cast("array<bigint>").alias("wide"))
-    found = stage_table(found, "fingerprints")
-    distinct = stage_table(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps"), F.first("wide").alias("wide")), "distinct")
-    return grouped(found, distinct, links(distinct, radius), ["fp"])
-
-
-def shingles_of(text: str | None, shingle: int) -> set[bytes]:
-    """Distinct word shingles; of a text with fewer words all of them as one."""
-    words = bytes_of(text).lower().split()
-    return set(map(b" ".join, zip(*(words[k:] for k in range(shingle))))) if len(words) >= shingle else {b" ".join(words)}
-
-
-def hashes_of(grams: set[bytes]) -> np.ndarray:
-    """Their distinct hashes, sorted, as signed longs."""
-    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), grams), np.uint64, len(grams)).view(np.int64))
-
-
-def node_of(hashes: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), seed=SEED)).astype(np.int64))
-
-
-def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the shingles that COMMON or more of about SAMPLE_DOCS texts have, and in how many."""
-
-    def work(cols: dict[str, list]) -> dict[str, list]:
-        return {"h": np.concatenate([hashes_of(shingles_of(t, shingle)) for t in cols["text"]])}
-
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    picked = docs.where(F.pmod(F.xxhash64("text", F.lit(29)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("text").distinct()
-    got = map_batches(picked, work, "h bigint").groupBy("h").count().where(F.col("count") >= COMMON).toArrow()
-    hashes, n = got["h"].to_numpy(), got["count"].to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], n[order]
-
-
-def by_value(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """Columns of rows sorted by the first one, and where its values start: each value's rows come together."""
-    kept: list[np.ndarray] | None = None
-    for batch in batches:
-        c = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
-        c = c if kept is None else [np.concatenate(x) for x in zip(kept, c)]
-        starts = np.flatnonzero(np.concatenate([[True] * (len(c[0]) > 0), c[0][1:] != c[0][:-1]]))
-        last = int(starts[-1]) if len(starts) else 0
-        if last:
-            yield [x[:last] for x in c], starts[:-1]
-        kept = [x[last:] for x in c]  # the last value may go on in the next batch
-    if kept is not None and len(kept[0]):
-        yield kept, np.array([0])
-
-
-def sharing_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (value, node, n, place) whose value another node has too, once each, with the value's least node."""
-    for (v, node, n, at), _ in by_value(batches):
-        order = np.lexsort((node, v))
-        v, node, n, at = v[order], node[order], n[order], at[order]
-        once = np.concatenate([[True], (v[1:] != v[:-1]) | (node[1:] != node[:-1])])
-        v, node, n, at = v[once], node[once], n[once], at[once]
-        starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-        many = np.diff(np.append(starts, len(v)))
-        keep, low = np.repeat(many > 1, many), np.repeat(node[starts], many)
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (v, node, n, at, low)], names=["value", "node", "n", "at", "low"])
-
-
-def pairs_across(node: np.ndarray, label: np.ndarray, n: np.ndarray, at: np.ndarray, p: int, q: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (less, greater) of one value's nodes that have different labels and may be p / q similar.
-
-    The overlap is at most what follows the value in either set; it must be p / (p + q) of both sizes together.
-    """
-    labels, which, sizes = np.unique(label, return_inverse=True, return_counts=True)
-    few = np.flatnonzero(which != np.argmax(sizes))  # nodes of the commonest label pair with these alone
-    step = max(1, STEP // len(node))
-    for lo in range(0, len(few), step):
-        i = few[lo : lo + step]
-        rest = np.minimum((n - at)[i][:, None], (n - at)[None, :])
-        able = (which[i][:, None] != which[None, :]) & ((p + q) * rest >= p * (n[i][:, None] + n[None, :]))
-        able &= (q * n[i][:, None] >= p * n[None, :]) & (q * n[None, :] >= p * n[i][:, None])
-        x, y = np.nonzero(able)
-        a, b = node[i[x]], node[y]
-        yield np.minimum(a, b), np.maximum(a, b)
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
-    """Those of ``pairs(a, b)``, a table, whose sets of shingles have p / q or more of their union in common.
-
-    The texts of one document of each node are compared. A filter of SLOTS bits, whatever the corpus, keeps most
-    documents without a pair from being sent.
-    """
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    slot = F.pmod("node", F.lit(SLOTS))
-    got = ends.groupBy(F.floor(slot / 64).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(node, {SLOTS}) % 64 AS INT))")).alias("bits")).toArrow()
-    bits = np.zeros(SLOTS // 64, np.int64)
-    bits[got["at"].to_numpy()] = got["bits"].to_numpy()
-    wanted = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def pick(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"node": [], "packed": []}
-        packer = zstandard.ZstdCompressor(level=1)
-        for text in cols["text"]:
-            node = node_of(hashes_of(shingles_of(text, shingle)))
-            at = node % SLOTS
-            if int(wanted.value[at // 64]) >> at % 64 & 1:
-                out["node"].append(node)
-                out["packed"].append(packer.compress(bytes_of(text)))
-        return out
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, kept = zstandard.ZstdDecompressor(), {}
-
-        def grams(node: int, packed: bytes) -> set[bytes]:
-            if node not in kept:
-                if len(kept) >= REMEMBERED:
-                    kept.pop(next(iter(kept)))
-                kept[node] = shingles_of(unpack.decompress(packed).decode("utf-8", "surrogatepass"), shingle)
-            return kept[node]
-
-        for batch in batches:
-            a, b, ta, tb = (batch.column(k).to_pylist() for k in range(4))
-            keep = []
-            for k in range(len(a)):
-                x, y = grams(a[k], ta[k]), grams(b[k], tb[k])
-                keep.append((p + q) * len(x & y) >= p * (len(x) + len(y)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    texts = map_batches(docs.select("text"), pick, "node bigint, packed binary").dropDuplicates(["node"])
-    texts = stage_table(texts, "compared")
-    both = pairs
-    for end in ("a", "b"):
-        both = both.join(texts.select(F.col("node").alias(end), F.col("packed").alias(f"t{end}")), end)
-    return stage_table(both.select("a", "b", "ta", "tb").mapInArrow(compare, "a bigint, b bigint"), "confirmed")
-
-
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id of documents whose sets of word shingles have a Jaccard ``similarity`` or more.
-
-    Two such sets share one of the first shingles of each, in any order of all shingles, if each gives as many as it
-    may lack and one more. The order goes from rare to common, so few others have these shingles. Every pair that shares one and
-    whose sizes and places allow the similarity is confirmed on the sets themselves; pairs that others have joined
-    already are left out. Rows are handled as by ``near_duplicates``; texts with equal sets are one class.
-    """
-    spark, (p, q) = docs.sparkSession, Fraction(str(similarity)).as_integer_ratio()
-    common = spark.sparkContext.broadcast(common_shingles(docs, shingle))
-
-    def work(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"doc_id": cols["doc_id"], "node": [], "n": [], "first": []}
-        known, seen = common.value
-        for text in cols["text"]:
-            h = hashes_of(shingles_of(text, shingle))
-            many = np.zeros(len(h), np.int64)
-            if len(known):
-                place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                many = np.where(known[place] == h, seen[place], 0)
-            out["node"].append(node_of(h))
-            out["n"].append(len(h))
-            out["first"].append(h[np.lexsort((h, many))][: len(h) - -(-p * len(h) // q) + 1])
-        return out
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, node, label, n, at), starts in by_value(batches):
-            ends = np.append(starts[1:], len(node))
-            mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
-            for lo, hi in zip(starts[mixed], ends[mixed]):
-                for a, b in pairs_across(node[lo:hi], label[lo:hi], n[lo:hi].astype(np.int64), at[lo:hi].astype(np.int64), p, q):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    found = stage_table(map_batches(docs.select("doc_id", "text"), work, "doc_id bigint, node bigint, n int, first array<bigint>"), "sets")
-    distinct = stage_table(found.groupBy("node").agg(F.min("doc_id").alias("first")), "distinct")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", NUMBER_ROWS)
-    rows = found.select(F.posexplode("first").alias("at", "value"), "node", "n").select("value", "node", "n", "at")
-    rows = stage_table(rows.repartition("value").sortWithinPartitions("value").mapInArrow(sharing_rows, "value bigint, node bigint, n int, at int, low bigint"), "sharing")
-    # first each node is held against the least one that shares a shingle: pairs inside what this joins need no look
-    stars = stage_table(rows.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    near = confirmed(stars, docs, shingle, p, q)
-    labels = near.groupBy("b").agg(F.min("a").alias("label")).withColumnRenamed("b", "linked")
-    labelled = rows.join(labels, F.col("node") == F.col("linked"), "left").select("value", "node", F.coalesce("label", "node").alias("label"), "n", "at")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", NUMBER_ROWS)
-    rest = labelled.repartition("value").sortWithinPartitions("value").mapInArrow(across, "a bigint, b bigint").distinct()
-    rest = stage_table(rest.join(stars, ["a", "b"], "left_anti"), "pairs")
-    return grouped(found, distinct, near.union(confirmed(rest, docs, shingle, p, q)), [])
+    found = stage_table(fingerprints(docs, shingle, seed), "fingerprints")
+    distinct = stage_table(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    roots = connected_components(links(distinct, radius)).withColumnRenamed("node", "linked")
+    rooted = distinct.join(roots, F.col("fp") == F.col("linked")).select("fp", "root", "first")
+    least = stage_table(rooted.groupBy("root").agg(F.min("first").alias("least")), "least")
+    linked = stage_table(rooted.join(least, "root").select("fp", "least"), "linked")
+    classes = stage_table(distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "classes")
+    return found.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from fernsieve.llm import audio, bpe, html_text, language, packing, quality, registry, simhash, substrings, toxicity, url_filters
+from fernsieve.llm import audio, bpe, html_text, language, packing, quality, registry, shingles, simhash, substrings, toxicity, url_filters
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -162,15 +162,30 @@ def test_simhash_against_brute_force(spark, hot, monkeypatch):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
-def test_wide_parts_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [16, 1])
+def test_wide_parts_lose_no_link(spark, hot, monkeypatch):
     monkeypatch.setattr(simhash, "WIDE_FROM", 0)
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "CELL", 40)
     rng = random.Random(7)
     fps = [rng.getrandbits(64) for _ in range(60)]
     fps += [f ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5))) for f in fps for _ in range(3)]
+    fps += [fps[0] ^ 1 << a ^ 1 << b for a in range(20) for b in range(a)]  # many share either half
     fps = sorted({f - (1 << 64) if f >> 63 else f for f in fps})
-    table = spark.createDataFrame([(f, [f], None) for f in fps], "node bigint, fps array<bigint>, wide array<bigint>")
+    table = spark.createDataFrame([(f,) for f in fps], "fp bigint")
     got = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in simhash.links(table).collect()}
-    assert got == {(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+    want = {(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+    joined = lambda edges: slow_labels(fps, edges)
+    assert joined(got) == joined(want)
+
+
+def slow_labels(nodes, edges):
+    label = {x: x for x in nodes}
+    for a, b in edges:
+        old, new = max(label[a], label[b]), min(label[a], label[b])
+        if old != new:
+            label = {k: new if x == old else x for k, x in label.items()}
+    return label
 
 
 def test_similar_documents_catch_near_copies_and_leave_others(spark):
@@ -181,7 +196,7 @@ def test_similar_documents_catch_near_copies_and_leave_others(spark):
         changed = list(words)
         changed[rng.randrange(200)] = "new"
         texts += [" ".join(words), " ".join(changed), " ".join(f"u{rng.randrange(4000)}" for _ in range(200))]
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(documents(spark, [*texts, None, ""])).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in shingles.similar_documents(documents(spark, [*texts, None, ""])).collect()}
     assert all(got[3 * k + 1] == got[3 * k] == 3 * k and got[3 * k + 2] == 3 * k + 2 for k in range(30)) and got[91] == got[90] == 90
 
 
@@ -305,10 +320,35 @@ def slow_similar(texts):
 
 def test_similar_documents_find_every_contiguous_copy(spark):
     texts = contiguous_copies()
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(documents(spark, texts)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in shingles.similar_documents(documents(spark, texts)).collect()}
     assert got == slow_similar(texts)
 
 
+@pytest.mark.parametrize("few, cell", [(8, 2048), (1, 2048), (1, 7)])
+def test_similar_documents_join_large_groups_like_brute_force(spark, few, cell, monkeypatch):
+    monkeypatch.setattr(shingles, "FEW", few)
+    monkeypatch.setattr(shingles, "CELL", cell)
+    rng, texts = random.Random(23), []
+    for group in range(3):
+        base = [f"g{group}x{rng.randrange(9000)}" for _ in range(150)]
+        for k in range(40):
+            words = list(base)
+            for at in rng.sample(range(150), rng.randrange(1, 6)):
+                words[at] = f"t{rng.randrange(9000)}"
+            texts.append(" ".join(words))
+    got = {r["doc_id"]: r["component_id"] for r in shingles.similar_documents(documents(spark, texts)).collect()}
+    assert got == slow_similar(texts) and len(set(got.values())) > 3
+
+
+def test_one_row_of_each_group_stays(spark):
+    long = " ".join(f"w{k}" for k in range(50))
+    rows = [(None, "b"), (1, "a"), (1, "a"), (2, "a"), (3, long), (3, long + " tail"), (None, None), (4, ""), (None, "only null"), (None, "only null")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], DOCS)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()), key=str)
+    assert [x for x in got if x[0] != 3] == [(1, "a"), (4, ""), (None, "b"), (None, "only null")]
+    assert [x[0] for x in got].count(3) == 1
+
+
 def test_similar_documents_hold_the_threshold_exactly(spark):
     rng, texts = random.Random(22), ["a b c d e f g h", "a b c d e f g h i", "a b c d e f g h i j k l"]
     for edits in range(1, 9):
@@ -318,7 +358,7 @@ def test_similar_documents_hold_the_threshold_exactly(spark):
             for at in rng.sample(range(200), edits):
                 words[at] = f"t{rng.randrange(9000)}"
             texts.append(" ".join(words))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(documents(spark, texts)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in shingles.similar_documents(documents(spark, texts)).collect()}
     assert got == slow_similar(texts) and got[1] == 0 and got[2] == 2
 
 
