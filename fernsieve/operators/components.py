@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernsieve.plans.staging import stage_table
+from fernsieve.plans.staging import drop_staged, stage_table
 
 #: Nodes that a task joins among themselves before it hands out what it has.
 MOST_NODES = 200_000
@@ -62,6 +62,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     before = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     if not before[0]:
         return current.select(a.alias("node"), b.alias("root"))
+    first = current
     nodes = current.select(a.alias("node")).union(current.select(b.alias("node"))).distinct()
     for _ in range(max_rounds):
         both = current.union(current.select(b.alias("a"), a.alias("b")))
@@ -70,7 +71,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         joined = large.join(low, "a")
         small = joined.select(b.alias("a"), F.col("low").alias("b")).union(joined.select(a, F.col("low").alias("b")))
-        current = stage_table(small.where(a != b).distinct(), "edges")
+        last, current = current, stage_table(small.where(a != b).distinct(), "edges")
+        if last is not first:
+            drop_staged(last)
         state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

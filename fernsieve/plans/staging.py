@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,4 +41,26 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     let_workers_import(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
+
+
+def drop_staged(*tables: DataFrame | None) -> None:
+    """Delete staged tables that nothing will read again; what else is given is left alone."""
+    for table in tables:
+        path = getattr(table, "_staged_at", None)
+        if path:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            table._staged_at = None
+
+
+#: Rows of a table of a few short columns that is sent to every executor rather than joined by a shuffle.
+FEW_ROWS = 100_000
+
+
+def sent_if_few(table: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """A staged table of short rows, marked for broadcast if it has at most ``most`` of them: a few MB."""
+    return F.broadcast(table) if table.count() <= most else table
