@@ -16,4 +16,4 @@ QUERIES = {
     "op9_audio": audio.op9_audio,
     "op10_substrings": substrings.op10_substrings,
 }
-ORACLES = {"op1_url_filters": url_filters.ORACLE_SQL}
+ORACLES = {"op1_url_filters": url_filters.ORACLE_SQL, "op10_substrings": substrings.ORACLE_SQL}

@@ -1,168 +1,182 @@
 """Substring dedup by compacting the de Bruijn graph of token k-mers.
 
 An edge of the graph is a window of WINDOW words, between the windows of one word less that it begins and ends with.
-Consecutive edges that share a minimizer (the word k-mer with the least hash among a window's) form a path that is
-compacted into one row before anything is shuffled: its minimizer, a digest of its words, and its source coordinates.
-Equal paths meet in a join on both digests; all edges of a path that occurs twice repeat. Where different paths have
-one minimizer they may share a part, so just those are cut into edges again, which are joined on their own
-digests. Source coordinates then bring every repeated edge back to its document, where the spans are merged and cut out.
+Edges that repeat are found without shuffling every one: consecutive edges that share a minimizer (the word k-mer with
+the least hash among a window's) travel as one piece, with the digest of its words. All edges of a piece that
+occurs twice repeat; where different pieces have one minimizer they may share a part, so just those are cut into single
+edges again.
 
-Two 64-bit digests, over differently mixed words, must agree before words count as repeated.
+The repeated pieces are then compacted through joins: where a piece is always followed by one and the same piece, and that
+one always preceded by it, the node between them does not branch, and both become one path. Every occurrence of such
+a path is whole, so its source coordinates (row, first edge, number of edges) name a span of its words, and what
+all rows with a path cut out is the same.
+
+A digest is 128 bits over the very words at the source coordinates, in their order; pieces and edges are equal if theirs are.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fernsieve.llm.common import bytes_of, kept_in_worker, map_batches, table
-from fernsieve.plans.staging import stage_table
+from fernsieve.llm.common import WordHashes, bytes_of, kept_in_worker, map_batches, mix, row_key, table
+from fernsieve.plans.staging import drop_staged, stage_table
 
 WINDOW, KMER = 35, 15
-MOST_KEPT = 250_000
-BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd: they have inverses modulo 2 ** 64
-
-
-class WordHashes(dict):
-    """Hashes of words, remembered while there are not too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MOST_KEPT:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
-        return got
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """Spreads every bit over all 64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+BASE = 0x9E3779B97F4A7C15  # odd: it has an inverse modulo 2 ** 64
 
 
 class Powers:
-    """Powers of a base and of its inverse modulo 2 ** 64, as many as were asked for."""
+    """Powers of BASE and of its inverse modulo 2 ** 64, as many as were asked for."""
 
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse, self.up, self.down = base, pow(base, -1, 1 << 64), np.ones(1, np.uint64), np.ones(1, np.uint64)
+    def __init__(self) -> None:
+        self.inverse, self.up, self.down = pow(BASE, -1, 1 << 64), np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         while len(self.up) < n:
             k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, k, 1 << 64))])
+            self.up = np.concatenate([self.up, self.up * np.uint64(pow(BASE, k, 1 << 64))])
             self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inverse, k, 1 << 64))])
         return self.up, self.down
 
 
-POWERS = {b: Powers(b) for b in (BASE_A, BASE_B)}
-
-
-class Sums:
-    """Digests of any run of words, from sums of their hashes times powers of a base."""
-
-    def __init__(self, hashes: np.ndarray, base: int) -> None:
-        up, self.down = POWERS[base].upto(len(hashes) + 1)
-        self.sums = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(hashes * up[: len(hashes)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mix((self.sums[stop] - self.sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
+POWERS = Powers()
 
 
-class Paths:
-    """The compacted paths of one text: first edge, number of edges, minimizer's digest, and digests of the words."""
+class Pieces:
+    """The pieces of one text: first edge, number of edges, hash of the minimizer, digest of the words."""
 
     def __init__(self, words: list[bytes], known: WordHashes, window: int, kmer: int) -> None:
+        self.words, self.window = words, window
         hashes = known.of(words)
-        a, self.b = Sums(hashes, BASE_A), Sums(mix(hashes ^ np.uint64(BASE_B)), BASE_B)
-        n = len(words) - window + 1
+        up, down = POWERS.upto(len(hashes) + 1)
+        sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
         at = np.arange(len(words) - kmer + 1)
-        grams = a.of(at, at + kmer)
-        span = window - kmer + 1
+        grams = mix((sums[at + kmer] - sums[at]) * down[at])
+        n, span = len(words) - window + 1, window - kmer + 1
         least = np.empty(n, np.int64)
         for k in range(0, n, 1 << 15):
             part = np.lib.stride_tricks.sliding_window_view(grams[k : k + (1 << 15) + span - 1], span)
             least[k : k + len(part)] = np.arange(k, k + len(part)) + part.argmin(axis=1)
-        self.start = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
-        self.edges = np.diff(np.concatenate([self.start, [n]]))
-        place = least[self.start]
-        self.minimizer = grams[place]
-        self.window = window
-        self.digest = mix(self.b.of(self.start, self.start + self.edges + window - 1) + (place - self.start).astype(np.uint64) * np.uint64(BASE_A))
+        self.first = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
+        self.edges = np.diff(np.concatenate([self.first, [n]]))
+        self.minimizer = grams[least[self.first]].view(np.int64)
+        self.joined = b" ".join(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
 
+    def digests(self, first: np.ndarray, edges: np.ndarray) -> list[bytes]:
+        """Of the words that runs of edges stand on."""
+        a, b = self.starts[first].tolist(), (self.starts[first + edges + self.window - 1] - 1).tolist()
+        joined, digest = self.joined, xxhash.xxh3_128_digest
+        return [digest(joined[x:y]) for x, y in zip(a, b)]
 
-def signed(x: np.ndarray) -> list[int]:
-    return x.view(np.int64).tolist()
 
-
-def with_key(docs: DataFrame) -> DataFrame:
-    """key names a text of a doc_id; rows that repeat both have one key, but count each for themselves as occurrences."""
-    return docs.select("*", F.xxhash64("doc_id", "text").alias("key"))
-
-
-def compact_paths(keyed: DataFrame, window: int, kmer: int) -> DataFrame:
-    """One row for each path of each text with at least ``window`` words."""
+def pieces_of(keyed: DataFrame, window: int, kmer: int) -> DataFrame:
+    """One row for each piece of each text with at least ``window`` words."""
 
     def work(cols: dict[str, list]) -> dict[str, list]:
         known = kept_in_worker("words", WordHashes)
-        out: dict[str, list] = {k: [] for k in ("key", "at", "minimizer", "digest")}
-        for key, text in zip(cols["key"], cols["text"]):
+        out: dict[str, list] = {k: [] for k in ("row", "first", "edges", "minimizer", "digest")}
+        for row, text in zip(cols["row"], cols["text"]):
             words = bytes_of(text).split()
             if len(words) >= window:
-                p = Paths(words, known, window, kmer)
-                out["key"] += [key] * len(p.start)
-                out["at"] += ((p.start << 16) | p.edges).tolist()
-                out["minimizer"] += signed(p.minimizer)
-                out["digest"] += signed(p.digest)
+                p = Pieces(words, known, window, kmer)
+                out["row"] += [row] * len(p.first)
+                out["first"] += p.first.tolist()
+                out["edges"] += p.edges.tolist()
+                out["minimizer"] += p.minimizer.tolist()
+                out["digest"] += p.digests(p.first, p.edges)
         return out
 
-    return map_batches(keyed.select("key", "text"), work, "key bigint, at bigint, minimizer bigint, digest bigint")
+    return map_batches(keyed.select("row", "text"), work, "row binary, first int, edges int, minimizer bigint, digest binary")
 
 
 def edges_of(keyed: DataFrame, wanted: DataFrame, window: int, kmer: int) -> DataFrame:
-    """The single edges of the paths ``wanted(key, at)``: minimizer, digest of the edge, key and start."""
-    lists = wanted.groupBy("key").agg(F.collect_set("at").alias("ats"))  # as many as one text has paths
+    """The single edges of the pieces ``wanted(row, first, edges, minimizer)``, with their digests, once for each row of ``keyed``."""
+    lists = wanted.groupBy("row").agg(F.collect_set(F.struct("first", "edges", "minimizer")).alias("pieces"))  # as many as one text has pieces
 
     def work(cols: dict[str, list]) -> dict[str, list]:
         known = kept_in_worker("words", WordHashes)
-        out: dict[str, list] = {k: [] for k in ("key", "start", "minimizer", "edge")}
-        for key, text, ats in zip(cols["key"], cols["text"], cols["ats"]):
-            p = Paths(bytes_of(text).split(), known, window, kmer)
-            chosen = np.flatnonzero(np.isin((p.start << 16) | p.edges, ats))
-            start = np.concatenate([np.arange(s, s + e) for s, e in zip(p.start[chosen], p.edges[chosen])])
-            out["key"] += [key] * len(start)
-            out["start"] += start.tolist()
-            out["minimizer"] += signed(np.repeat(p.minimizer[chosen], p.edges[chosen]))
-            out["edge"] += signed(p.b.of(start, start + window))
+        out: dict[str, list] = {k: [] for k in ("row", "first", "minimizer", "digest")}
+        for row, text, pieces in zip(cols["row"], cols["text"], cols["pieces"]):
+            p = Pieces(bytes_of(text).split(), known, window, kmer)
+            for x in pieces:
+                first = np.arange(x["first"], x["first"] + x["edges"])
+                out["row"] += [row] * len(first)
+                out["first"] += first.tolist()
+                out["minimizer"] += [x["minimizer"]] * len(first)
+                out["digest"] += p.digests(first, np.ones_like(first))
         return out
 
-    one = keyed.select("key", "text").join(lists, "key")
-    return map_batches(one, work, "key bigint, start bigint, minimizer bigint, edge bigint")
-
-
-def repeated_spans(keyed: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
-    """(key, at): runs of repeated edges by first edge and number, as ``first << 16 | number``."""
-    paths = stage_table(compact_paths(keyed, window, kmer), "paths")
-    # equal paths: partial counts before the shuffle, so a hot path is one row for each task
-    distinct = paths.groupBy("minimizer", "digest").agg(F.count("*").alias("n"))
-    shared = distinct.groupBy("minimizer").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most > 1")
-    marked = stage_table(paths.join(shared, "minimizer").select("key", "at", "minimizer", "digest", "kinds"), "shared")
-    counted = marked.groupBy("minimizer", "digest").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("first"), F.max("kinds").alias("kinds"))
-    counted = stage_table(counted.where("n > 1 or kinds > 1"), "counted")
-    whole = marked.join(counted.where("n > 1").select("minimizer", "digest"), ["minimizer", "digest"]).select("key", "at")
-    # one path of each kind is cut into edges where a minimizer has several kinds
-    wanted = counted.where("kinds > 1").select("first.key", "first.at", (F.col("n") > 1).alias("done"))
-    edges = edges_of(keyed, wanted, window, kmer)
-    edges = stage_table(edges, "edges")
-    twice = edges.groupBy("minimizer", "edge").agg(F.count("*").alias("n"))
-    single = edges.join(twice.where("n > 1").select("minimizer", "edge"), ["minimizer", "edge"]).select("key", (F.shiftleft("start", 16) + 1).alias("at"))
-    return whole.union(single)
+    one = keyed.select("row", "text").join(lists, "row")
+    return map_batches(one, work, "row binary, first int, minimizer bigint, digest binary")
+
+
+def repeated_pieces(keyed: DataFrame, window: int, kmer: int) -> DataFrame:
+    """(row, first, edges, digest, copies) of the pieces, and of the single edges, whose words stand somewhere else too. A table.
+
+    An edge of a piece that is repeated as a whole is not given once more. ``copies`` counts occurrences of the digest.
+    """
+    pieces = stage_table(pieces_of(keyed, window, kmer), "pieces")
+    # equal pieces: partial counts before the shuffle, so a hot one is a row for each task
+    distinct = pieces.groupBy("minimizer", "digest").agg(F.count("*").alias("copies"))
+    shared = stage_table(distinct.groupBy("minimizer").agg(F.count("*").alias("kinds"), F.max("copies").alias("most")).where("kinds > 1 or most > 1").select("minimizer", "kinds"), "shared")
+    marked = stage_table(pieces.join(shared, "minimizer"), "marked")
+    drop_staged(pieces, shared)
+    counted = marked.groupBy("minimizer", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("row", "first", "edges")).alias("source"), F.max("kinds").alias("kinds"))
+    counted = stage_table(counted.where("copies > 1 or kinds > 1"), "counted")
+    whole = marked.join(counted.where("copies > 1").select("minimizer", "digest", "copies"), ["minimizer", "digest"]).select("row", "first", "edges", "digest", "copies")
+    # where a minimizer has several kinds of pieces, one of each kind is cut into edges
+    edges = stage_table(edges_of(keyed, counted.where("kinds > 1").select("source.*", "minimizer"), window, kmer), "edges")
+    kinds = edges.groupBy("minimizer", "digest").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    # of the edges that two kinds have, those are still to be named that stand in a piece without a copy
+    lone = counted.where("copies = 1").select("source.*").select("row", F.explode(F.sequence("first", F.col("first") + F.col("edges") - 1)).alias("first"))
+    single = edges.join(kinds.select("minimizer", "digest"), ["minimizer", "digest"]).join(lone, ["row", "first"], "left_semi").select("row", "first", F.lit(1).alias("edges"), "digest", F.lit(0).cast("bigint").alias("copies"))
+    out = stage_table(whole.union(single), "repeated")
+    drop_staged(marked, counted, edges)
+    return out
+
+
+def compacted_paths(repeated: DataFrame) -> DataFrame:
+    """(row, first, edges, path, copies): pieces of ``repeated`` joined where the node between two of them does not branch. A table.
+
+    The node between two pieces does not branch if every occurrence of one is followed by the other and every occurrence of
+    the other follows the one. Such pieces make one path, named by the digest of its first piece; ``copies`` counts
+    its occurrences, all of which are whole. Single edges (``copies`` 0) stand in texts of which their piece has no other
+    copy; they make paths of their own. Of rows that repeat the places are given once.
+    """
+    along = Window.partitionBy("row").orderBy("first")  # the pieces of one text
+    places = repeated.repartition("row").groupBy("row", "first", "edges", "digest", "copies").agg(F.count("*").alias("rows"))
+    goes_on = F.lead("first").over(along) == F.col("first") + F.col("edges")
+    following = places.withColumn("next", F.when(goes_on, F.lead("digest").over(along))).withColumn("next_copies", F.when(goes_on, F.lead("copies").over(along)))
+    followed = stage_table(following, "followed")
+    # how often each two pieces follow each other: partial counts, a row for each two and task
+    pairs = followed.where("copies > 1 and next_copies = copies").groupBy("digest", "next").agg(F.sum("rows").alias("times"), F.max("copies").alias("copies"))
+    links = stage_table(pairs.where("times = copies").select("digest", "next"), "links")
+    joined = followed.join(links.withColumn("open", F.lit(True)), ["digest", "next"], "left").select("row", "first", "edges", "digest", "copies", F.coalesce("open", F.lit(False)).alias("open"))
+    starts = F.when(F.coalesce(F.lag("open").over(along), F.lit(False)), 0).otherwise(1)
+    numbered = joined.withColumn("starts", starts).withColumn("number", F.sum("starts").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    paths = numbered.groupBy("row", "number").agg(F.min("first").alias("first"), F.sum("edges").cast("int").alias("edges"), F.min_by("digest", "first").alias("path"), F.max("copies").alias("copies"))
+    out = stage_table(paths.select("row", "first", "edges", "path", "copies"), "paths")
+    drop_staged(repeated, followed, links)
+    return out
+
+
+def repeated_paths(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
+    """(doc_id, first_word, n_words, path, copies) of every long repeated span of ``docs(doc_id, text)``.
+
+    Words are counted from 0. ``path`` (16 bytes) is the same wherever the same span is found; ``copies`` counts its
+    occurrences, 0 for single windows inside a text that are repeated in spans of other extent. Rows that repeat doc_id
+    and text give their spans once; null and short texts give none.
+    """
+    keyed = docs.select("doc_id", "text").withColumn("row", row_key())
+    paths = compacted_paths(repeated_pieces(keyed, window, kmer))
+    ids = keyed.select("row", "doc_id").dropDuplicates(["row"])
+    return paths.join(ids, "row").select("doc_id", F.col("first").alias("first_word"), (F.col("edges") + window - 1).alias("n_words"), "path", "copies")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
@@ -171,33 +185,49 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
     A window is ``window`` consecutive words of one text; it repeats if its words also start anywhere else, in the
     same text as well. Windows are judged on the input. A null text has no words, one shorter than a window keeps
     all. Rows that repeat doc_id and text are each other's copies; an empty table gives an empty result; columns
-    named key, n_words, n_removed or kept are replaced.
+    named n_words, n_removed or kept are replaced, ``_row`` and ``_spans`` left out.
     """
-    keep = [c for c in docs.columns if c not in ("key", "n_words", "n_removed", "kept", "ats")]
-    keyed = with_key(docs.select(*keep))
-    spans = repeated_spans(keyed, window, kmer).groupBy("key").agg(F.collect_set("at").alias("ats"))  # at most one for each word of a text
+    keep = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", "_row", "_spans")]
+    keyed = docs.select(*keep).withColumn("_row", row_key())
+    paths = compacted_paths(repeated_pieces(keyed.select("text", F.col("_row").alias("row")), window, kmer))
+    spans = paths.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("first", "edges")).alias("_spans"))  # at most one for each word of a text
 
     def work(cols: dict[str, list]) -> dict[str, list]:
-        spans = cols.pop("ats")
-        cols.pop("key")
+        spans = cols.pop("_spans")
+        cols.pop("_row")
         out = cols | {"n_words": [], "n_removed": [], "kept": []}
-        for text, ats in zip(cols["text"], spans):
+        for text, found in zip(cols["text"], spans):
             words = bytes_of(text).split()
             out["n_words"].append(len(words))
-            if ats:
-                at = np.array(ats, np.int64)
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, at >> 16, 1)
-                np.add.at(edge, (at >> 16) + (at & 0xFFFF) + window - 1, -1)
-                words = [words[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
+            if found:
+                first = np.array([x["first"] for x in found], np.int64)
+                edges = np.array([x["edges"] for x in found], np.int64)
+                depth = np.zeros(len(words) + 1, np.int64)
+                np.add.at(depth, first, 1)
+                np.add.at(depth, first + edges + window - 1, -1)
+                words = [words[k] for k in np.flatnonzero(np.cumsum(depth[:-1]) == 0)]
             out["n_removed"].append(out["n_words"][-1] - len(words))
             out["kept"].append(b" ".join(words).decode("utf-8", "surrogatepass"))
         return out
 
     kinds = dict(docs.dtypes)
-    return map_batches(keyed.join(spans, "key", "left"), work, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "n_words bigint, n_removed bigint, kept string"]))
+    return map_batches(keyed.join(spans, "_row", "left"), work, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "n_words bigint, n_removed bigint, kept string"]))
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+w AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+e AS (SELECT r, i, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS words,
+             count(*) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS n FROM w),
+h AS (SELECT r, i, sha256(words) AS h FROM e WHERE n = 35),
+c AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+g AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM h JOIN c USING (h)),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM w ANTI JOIN g USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""

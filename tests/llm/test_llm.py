@@ -202,7 +202,7 @@ def test_similar_documents_catch_near_copies_and_leave_others(spark):
 
 def test_substrings_against_brute_force(spark):
     texts = odd_texts()
-    docs = documents(spark, texts, [(100, texts[6], None, None, None), (100, texts[6], None, None, None), (None, "x y", None, None, None)]).selectExpr("*", "1 AS key", "2 AS kept")
+    docs = documents(spark, texts, [(100, texts[6], None, None, None), (100, texts[6], None, None, None), (None, "x y", None, None, None)]).selectExpr("*", "1 AS row", "2 AS kept")
     words = [WORD.findall(t or "") for t in [*texts, texts[6], texts[6], "x y"]]
     count = collections.Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
     want = collections.Counter()
@@ -213,6 +213,28 @@ def test_substrings_against_brute_force(spark):
     assert got == want and substrings.remove_repeats(documents(spark, [])).count() == 0
 
 
+def test_paths_compact_and_name_equal_spans(spark):
+    word = lambda a, b, x="p": " ".join(f"{x}{k}" for k in range(a, b))
+    texts = [word(0, 400), "x y z " + word(0, 400), word(100, 200) + " tail", word(0, 90, "q"), word(0, 90, "q"), word(0, 90, "q"), "short", None]
+    got = substrings.repeated_paths(documents(spark, texts)).collect()
+    spans, want = collections.defaultdict(set), collections.defaultdict(set)
+    for r in got:
+        words = (texts[r["doc_id"]] or "").split()[r["first_word"] : r["first_word"] + r["n_words"]]
+        spans[r["path"]].add(" ".join(words))
+        want[r["doc_id"]].update(range(r["first_word"], r["first_word"] + r["n_words"]))
+    assert all(len(x) == 1 for x in spans.values())
+    assert {k: (min(v), max(v), len(v)) for k, v in want.items()} == {0: (0, 399, 400), 1: (3, 402, 400), 2: (0, 99, 100), 3: (0, 89, 90), 4: (0, 89, 90), 5: (0, 89, 90)}
+    assert [(r["n_words"], r["copies"]) for r in got if r["doc_id"] == 4] == [(90, 3)]  # one path, whole
+    assert len([r for r in got if r["doc_id"] == 0]) <= 60
+
+
+def test_substrings_query_matches_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    got = registry.QUERIES["op10_substrings"](spark, SF)
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(substrings.ORACLE_SQL).fetchall())
+
+
 def test_toxicity_learns_from_document_labels(spark):
     rng = random.Random(10)
     rows = []
