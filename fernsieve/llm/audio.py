@@ -1,8 +1,9 @@
 """Chroma fingerprints of recordings, and their alignment.
 
 Frames of pitch-class energy form an image twelve classes high; sixteen filters compare sums of rectangles, read from
-the integral image, and give two bits each: one packed integer for each frame. Two recordings are compared at every
-offset: the correlation of their bits, by Fourier transforms, tells the wrong bits of each.
+the integral image, and give two bits each: one packed integer for each frame. Every integer is indexed. A query's
+integers are looked up in all forms that noise makes of them first, by turning the bits whose filters lie nearest to a
+threshold; the hits vote for offsets, and the wrong bits at an offset with votes decide.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernsieve.llm.common import map_batches, table
@@ -25,33 +26,50 @@ LOWEST, HIGHEST = 110.0, 3520.0
 #: (kind, first pitch class, height, width in frames) of a filter, made by a rule.
 FILTERS = [(k % 6, (5 * k) % (CLASSES - 3 - k % 3), 4 + k % 3, (4, 8, 12, 16)[k % 4]) for k in range(16)]
 QUANTUM = 0.15
-#: Frames that must overlap, share of bits that may be wrong.
-MIN_OVERLAP, MAX_ERRORS = 24, 0.25
-#: Queries and recordings of a cell, and numbers of correlations worked on at a time.
-QUERIES, RECORDINGS, STEP = 64, 512, 1 << 22
+#: Frames that must overlap, share of bits that may be wrong, frames that must agree but for loose bits.
+MIN_OVERLAP, MAX_ERRORS, MIN_VOTES = 48, 0.2, 2
+#: Bits of a query's code that may be turned when it is looked up, and all ways to turn them.
+LOOSE = 8
+TURNS = np.array([[k >> b & 1 for k in range(1 << LOOSE)] for b in range(LOOSE)], np.int64)
+#: Queries, recordings and codes of a block; frames and hits worked on at a time; size of a block's filter.
+QUERIES, RECORDINGS, CODES, FRAMES, HITS, FILTER_BITS = 512, 2048, 1 << 20, 1024, 1 << 20, 22
 #: A recording made of a vector: one note for each number.
 NOTE, LOW_NOTE, NOTES, REACH = 512, 57, 36, 0.5
 
 
 def samples_of_wav(data: bytes | None) -> np.ndarray:
-    """Mono samples from -1 to 1 of 16-bit PCM, brought to RATE by linear interpolation; none of null or other bytes."""
+    """Mono samples from -1 to 1 of 8-, 16-, 24- or 32-bit PCM, brought to RATE by linear interpolation.
+
+    None of null, of other bytes and of a rate of zero; a sample that is cut off is left out.
+    """
     try:
         with wave.open(io.BytesIO(data or b"")) as w:
-            if w.getsampwidth() != 2:
-                return np.zeros(0)
-            x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels()).mean(axis=1) / 32768
-            return x if w.getframerate() == RATE or not len(x) else np.interp(np.arange(0, len(x), w.getframerate() / RATE), np.arange(len(x)), x)
+            width, channels, rate, raw = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
     except (wave.Error, EOFError):
         return np.zeros(0)
+    if rate <= 0 or width not in (1, 2, 3, 4):
+        return np.zeros(0)
+    raw = np.frombuffer(raw[: len(raw) // (width * channels) * width * channels], np.uint8).reshape(-1, channels, width)
+    if width == 1:
+        x = raw[:, :, 0].astype(np.float64) - 128  # the only width without a sign
+    else:
+        x = sum(raw[:, :, k].astype(np.int64) << 8 * k for k in range(width)).astype(np.float64)
+        x -= (x >= 1 << 8 * width - 1) * float(1 << 8 * width)
+    x = x.mean(axis=1) / (1 << 8 * width - 1)
+    return x if rate == RATE or not len(x) else np.interp(np.arange(0, len(x), rate / RATE), np.arange(len(x)), x)
 
 
 def samples_of_vector(vector: list[float] | None) -> np.ndarray:
-    """A melody: each number is a note, its height the number's place between -REACH and REACH; none is a rest."""
+    """A melody: each number is a note, NOTES of them between -REACH and REACH; beyond, the pitch classes go on in turn.
+
+    A missing or infinite number is a rest.
+    """
     v = np.array([np.nan if x is None else x for x in vector or ()], float)
-    note = np.floor((np.clip(np.nan_to_num(v), -REACH, REACH * 0.999) + REACH) / (2 * REACH) * NOTES) + LOW_NOTE
-    pitch = 440.0 * 2.0 ** ((note - 69) / 12)
+    sounds = np.isfinite(v)
+    step = np.floor((np.where(sounds, v, 0) + REACH) / (2 * REACH) * NOTES) % NOTES  # whole octaves
+    pitch = 440.0 * 2.0 ** ((step + LOW_NOTE - 69) / 12)
     tone = np.sin(2 * np.pi * pitch[:, None] * np.arange(NOTE) / RATE) * np.hanning(NOTE)
-    return (tone * ~np.isnan(v)[:, None]).ravel()
+    return (tone * sounds[:, None]).ravel()
 
 
 def pitch_classes() -> np.ndarray:
@@ -66,11 +84,14 @@ def pitch_classes() -> np.ndarray:
 BINS, TAPER = pitch_classes(), np.hanning(FRAME)
 
 
-def fingerprint(samples: np.ndarray) -> list[int]:
-    """Packed 32-bit integers, one for each SPAN frames in a row; none if the recording is shorter."""
+def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed 32-bit integers, one for each SPAN frames in a row, and the LOOSE bits of each that noise turns first.
+
+    None if the recording is shorter.
+    """
     n = (len(samples) - FRAME) // HOP + 1
     if n < SPAN:
-        return []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     chroma = np.concatenate([np.abs(np.fft.rfft(frames[k : k + 4096] * TAPER)) @ BINS for k in range(0, n, 4096)])
     size = np.linalg.norm(chroma, axis=1, keepdims=True)
@@ -78,13 +99,13 @@ def fingerprint(samples: np.ndarray) -> list[int]:
     total = np.zeros((n + 1, CLASSES + 1))
     total[1:, 1:] = image.cumsum(0).cumsum(1)
     m = n - SPAN + 1
-    t = np.arange(m)
 
     def box(a: int, y: int, w: int, h: int) -> np.ndarray:
-        return total[t + a + w, y + h] - total[t + a, y + h] - total[t + a + w, y] + total[t + a, y]
+        top, low = total[a + w : a + w + m], total[a : a + m]
+        return top[:, y + h] - low[:, y + h] - top[:, y] + low[:, y]
 
-    out = np.zeros(m, np.int64)
-    for kind, y, h, w in FILTERS:
+    ratios = np.empty((m, len(FILTERS)))
+    for k, (kind, y, h, w) in enumerate(FILTERS):
         whole = box(0, y, w, h)
         if kind == 0:  # the whole against the other classes
             part, rest = whole, box(0, 0, w, CLASSES) - whole
@@ -103,98 +124,188 @@ def fingerprint(samples: np.ndarray) -> list[int]:
         else:  # middle of the time
             part = box(w // 4, y, w // 2, h)
             rest = whole - part
-        x = np.log((1 + part) / (1 + rest))
-        level = np.digitize(x, (-QUANTUM, 0.0, QUANTUM))
-        out = out << 2 | (level ^ level >> 1)
-    return out.tolist()
+        ratios[:, k] = np.log((1 + part) / (1 + rest))
+    level = np.digitize(ratios, (-QUANTUM, 0.0, QUANTUM))
+    place = 30 - 2 * np.arange(len(FILTERS))
+    codes = ((level ^ level >> 1) << place).sum(axis=1)
+    # how far each bit lies from turning: the upper one of a filter at zero, the lower one at either quantum
+    margins = np.stack([np.abs(ratios), np.abs(np.abs(ratios) - QUANTUM)], axis=2).reshape(m, -1)
+    loose = np.argpartition(margins, LOOSE, axis=1)[:, :LOOSE]
+    return codes, (1 << (31 - loose)).sum(axis=1)
 
 
 def fingerprint_recordings(df: DataFrame, column: str, key: str, samples: Callable[[object], np.ndarray]) -> DataFrame:
-    """``key`` and ``codes`` of each row; null, unreadable or short recordings have none."""
+    """``key``, ``codes`` and ``loose`` (the bits of each code that noise turns first, as a mask) of each row.
+
+    Null, unreadable or short recordings have none. One row for each row of ``df``; other columns are not read.
+    """
 
     def work(cols: dict[str, list]) -> dict[str, list]:
-        return {"key": cols["key"], "codes": [fingerprint(samples(x)) for x in cols["value"]]}
-
-    return map_batches(df.selectExpr(f"`{key}` AS key", f"`{column}` AS value"), work, "key bigint, codes array<bigint>").withColumnRenamed("key", key)
-
-
-def spectra(codes: list[np.ndarray], size: int) -> np.ndarray:
-    """(recording, bit, frequency) of the bits as 1 and -1, silence after the end."""
-    signs = np.zeros((len(codes), 32, size), np.float32 if size <= 4096 else np.float64)
-    for k, c in enumerate(codes):
-        signs[k, :, : len(c)] = 1 - 2 * ((c[None, :] >> np.arange(32)[:, None]) & 1)
-    return np.fft.rfft(signs, axis=2)
-
-
-def aligned(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, float]]:
-    """(place in a, place in b, offset, votes, errors) of each pair that some offset passes; that with most right less wrong bits."""
-    octave_a, octave_b = (np.array([len(c).bit_length() for c in x]) for x in (a, b))
-    for u in np.unique(octave_a):
-        for w in np.unique(octave_b):
-            left, right = np.flatnonzero(octave_a == u), np.flatnonzero(octave_b == w)
-            size = 1 << int(max(u, w) + 1)
-            offsets = np.concatenate([np.arange(size // 2), np.arange(-size // 2, 0)])[:, None, None]
-            few = max(1, min(len(left), STEP // (32 * size)))
-            many = max(1, min(STEP // (32 * size), STEP // (few * size)))
-            for x in range(0, len(left), few):
-                i = left[x : x + few]
-                fa = np.ascontiguousarray(spectra([a[k] for k in i], size).conj().transpose(2, 0, 1))
-                for y in range(0, len(right), many):
-                    j = right[y : y + many]
-                    fb = np.ascontiguousarray(spectra([b[k] for k in j], size).transpose(2, 1, 0))
-                    balance = np.fft.irfft(fa @ fb, n=size, axis=0)  # (offset, query, recording): right less wrong bits
-                    la, in_a = np.unique([len(a[k]) for k in i], return_inverse=True)
-                    lb, in_b = np.unique([len(b[k]) for k in j], return_inverse=True)
-                    overlap = np.minimum(la[:, None] - np.maximum(0, -offsets), lb[None, :] - np.maximum(0, offsets))
-                    least = np.where(overlap >= MIN_OVERLAP, 32 * (1 - 2 * MAX_ERRORS) * overlap - 0.5, np.inf).astype(balance.dtype)
-                    if least[0].size > 1:
-                        least = least[:, in_a][:, :, in_b]
-                    passed = balance >= least
-                    for q, m in zip(*np.nonzero(passed.any(axis=0))):
-                        off = int(offsets[np.where(passed[:, q, m], np.rint(balance[:, q, m]), -np.inf).argmax(), 0, 0])
-                        n = min(len(a[i[q]]) - max(0, -off), len(b[j[m]]) - max(0, off))
-                        wrong = a[i[q]][max(0, -off) :][:n] ^ b[j[m]][max(0, off) :][:n]
-                        yield int(i[q]), int(j[m]), off, int((wrong == 0).sum()), int(np.bitwise_count(wrong).sum()) / (32 * n)
-
-
-def cells_of(classes: DataFrame, many: int, name: str) -> DataFrame:
-    """Blobs of at most ``many`` recordings: ids, codes end to end, lengths."""
+        got = [fingerprint(samples(x)) for x in cols["value"]]
+        return {"key": cols["key"], "codes": [c for c, _ in got], "loose": [x for _, x in got]}
+
+    return map_batches(df.selectExpr(f"`{key}` AS key", f"`{column}` AS value"), work, "key bigint, codes array<bigint>, loose array<bigint>").withColumnRenamed("key", key)
+
+
+class Index:
+    """The codes of a block of recordings in sorted order, behind a filter on their hashes."""
+
+    def __init__(self, codes: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(c) for c in codes], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate(codes)
+        self.order = np.argsort(self.flat, kind="stable")
+        self.sorted = self.flat[self.order]
+        self.owner = np.repeat(np.arange(len(codes)), self.sizes)
+        self.seen = np.zeros(1 << FILTER_BITS, bool)
+        self.seen[self.slot(self.flat)] = True
+
+    @staticmethod
+    def slot(codes: np.ndarray) -> np.ndarray:
+        return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)
+
+    def histogram(self, codes: np.ndarray, loose: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(recording, offset, votes): at how many frames a code, but for turned loose bits, stands in a recording."""
+        wide = len(codes) + int(self.sizes.max()) + 1
+        keys, votes, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for first in range(0, len(codes), FRAMES):
+            c, mask = codes[first : first + FRAMES], loose[first : first + FRAMES]
+            bits = np.nonzero(np.unpackbits(mask.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little"))[1].reshape(len(c), LOOSE)
+            probes = (c[:, None] ^ ((1 << bits) @ TURNS)).ravel()
+            there = np.flatnonzero(self.seen[self.slot(probes)])
+            lo = np.searchsorted(self.sorted, probes[there], "left")
+            hit = lo < len(self.sorted)
+            hit[hit] = self.sorted[lo[hit]] == probes[there[hit]]
+            there, lo = there[hit], lo[hit]
+            many = np.searchsorted(self.sorted, probes[there], "right") - lo
+            ends = np.cumsum(many)
+            at = 0
+            while at < len(there):  # a code that very many frames have is worked through a bounded number at a time
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HITS, "right")))
+                n = many[at:stop]
+                where = self.order[np.repeat(lo[at:stop] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                owner = self.owner[where]
+                offset = where - self.starts[owner] - np.repeat(there[at:stop] // TURNS.shape[1] + first, n)
+                key, count = np.unique(owner * (2 * wide) + offset + wide, return_counts=True)
+                keys.append(key)
+                votes.append(count)
+                held += len(key)
+                at = stop
+                if held > 4 * HITS:
+                    keys, votes = map(list, zip(summed(keys, votes)))
+                    held = len(keys[0])
+        key, count = summed(keys, votes)
+        return key // (2 * wide), key % (2 * wide) - wide, count
+
+    def errors(self, codes: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(wrong bits, frames that overlap) of ``codes`` shifted by each offset against each recording."""
+        wrong, frames = np.zeros(len(owner), np.int64), np.minimum(len(codes), self.sizes[owner] - offset) - np.maximum(0, -offset)
+        step = max(1, HITS // max(1, len(codes)))
+        for k in range(0, len(owner), step):
+            o, off = owner[k : k + step], offset[k : k + step]
+            for first in range(0, len(codes), HITS):
+                t = np.arange(first, min(len(codes), first + HITS))
+                at = off[:, None] + t[None, :]
+                inside = (at >= 0) & (at < self.sizes[o][:, None])
+                other = self.flat[np.where(inside, self.starts[o][:, None] + at, 0)]
+                wrong[k : k + step] += (np.bitwise_count(other ^ codes[None, t]) * inside).sum(axis=1, dtype=np.int64)
+        return wrong, frames
+
+
+def summed(keys: list[np.ndarray], votes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, place = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(place, np.concatenate(votes), len(key)).astype(np.int64)
+
+
+def aligned(index: Index, codes: np.ndarray, loose: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+    """(recording, offset, votes, errors) of each recording that passes; of several offsets that with most right less wrong bits."""
+    owner, offset, votes = index.histogram(codes, loose)
+    likely = votes >= MIN_VOTES
+    owner, offset, votes = owner[likely], offset[likely], votes[likely]
+    long = np.minimum(len(codes), index.sizes[owner] - offset) - np.maximum(0, -offset) >= MIN_OVERLAP
+    owner, offset, votes = owner[long], offset[long], votes[long]
+    wrong, frames = index.errors(codes, owner, offset)
+    good = np.flatnonzero(wrong <= MAX_ERRORS * 32 * frames)
+    balance = 32 * frames[good] - 2 * wrong[good]
+    good = good[np.lexsort((offset[good], -balance, owner[good]))]
+    good = good[np.unique(owner[good], return_index=True)[1]]
+    for k in good:
+        yield int(owner[k]), int(offset[k]), int(votes[k]), int(wrong[k]) / (32 * int(frames[k]))
+
+
+def blocks_of(classes: DataFrame, most: int, columns: list[str], name: str) -> DataFrame:
+    """Blocks of at most ``most`` recordings and about CODES codes: ids, sizes, and each of ``columns`` end to end. A table."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, many):
-                ids, codes = (batch.column(k).slice(at, many).to_pylist() for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array([ids]), pa.array([[x for c in codes for x in c]], pa.list_(pa.int64())), pa.array([list(map(len, codes))])], names=[f"{name}{x}" for x in ("ids", "codes", "sizes")])
-
-    return stage_table(classes.select("id", "codes").mapInArrow(pack, f"{name}ids array<bigint>, {name}codes array<bigint>, {name}sizes array<bigint>"), f"cells-{name}")
+        held: list[pa.RecordBatch] = []
 
+        def block() -> pa.RecordBatch:
+            ids = np.concatenate([x.column(0).to_numpy() for x in held])
+            sizes = np.concatenate([np.diff(x.column(1).offsets.to_numpy()) for x in held]).astype(np.int64)
+            flat = [np.concatenate([x.column(k + 1).flatten().to_numpy() for x in held]) for k in range(len(columns))]
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.list_(pa.int64())) for v in (ids, sizes, *flat)], names=kinds)
 
-def compare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                room = most - sum(x.num_rows for x in held)
+                codes = CODES - sum(len(x.column(1).flatten()) for x in held)
+                part = batch.slice(at, room)
+                fits = max(int(np.searchsorted(part.column(1).offsets.to_numpy() - part.column(1).offsets.to_numpy()[0], codes, "right")) - 1, 0)
+                if fits == 0 and not held:
+                    fits = 1  # a recording stays whole
+                if fits:
+                    held.append(part.slice(0, fits))
+                    at += fits
+                if fits < part.num_rows or fits == room:
+                    yield block()
+                    held.clear()
+        if held:
+            yield block()
+
+    kinds = [f"{name}_{x}" for x in ("ids", "sizes", *columns)]
+    dealt = classes.repartition(max(1, -(-classes.count() // most)))
+    return stage_table(dealt.select("id", *columns).mapInArrow(pack, ", ".join(f"{k} array<bigint>" for k in kinds)), f"blocks-{name}")
+
+
+def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
-            ids_a, flat_a, sizes_a, ids_b, flat_b, sizes_b = (batch.column(c)[k].values.to_numpy() for c in range(6))
-            a, b = (np.split(f, np.cumsum(n)[:-1]) for f, n in ((flat_a, sizes_a), (flat_b, sizes_b)))
-            got = [(ids_a[i], ids_b[j], *rest) for i, j, *rest in aligned(a, b) if ids_a[i] != ids_b[j]]
-            if got:
-                q, m, off, votes, errors = zip(*got)
+            ids_q, sizes_q, codes_q, loose_q, ids_m, sizes_m, codes_m = (batch.column(c)[k].values.to_numpy() for c in range(7))
+            index = Index(np.split(codes_m, np.cumsum(sizes_m)[:-1]))
+            cuts, found = np.cumsum(sizes_q)[:-1], []
+            for query, codes, loose in zip(ids_q.tolist(), np.split(codes_q, cuts), np.split(loose_q, cuts)):
+                found += [(query, int(ids_m[m]), *rest) for m, *rest in aligned(index, codes, loose) if ids_m[m] != query]
+            if found:
+                q, m, off, votes, errors = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(m), pa.array(off, pa.int32()), pa.array(votes, pa.int64()), pa.array(errors, pa.float64())], names=["query", "match", "offset", "votes", "errors"])
 
 
-def align_recordings(prints: DataFrame, key: str, is_query) -> DataFrame:
-    """Matches of the recordings that ``is_query`` picks, against all, of ``prints(key, codes)``.
+def align_recordings(prints: DataFrame, key: str, is_query: Column) -> DataFrame:
+    """Matches of the recordings that ``is_query`` picks, against all, of ``prints(key, codes, loose)``.
 
     Equal fingerprints form a class, named by its smallest key. The result has rows of two kinds: ``member`` says that
     recording ``member`` is in class ``query``; ``match`` says that, shifted by ``offset`` frames, class ``match`` has
-    ``votes`` equal frames and a share ``errors`` of wrong bits where both overlap. Every query is compared with every
-    class at every offset that leaves MIN_OVERLAP frames, so no match within MAX_ERRORS is missed; the work is queries
-    times classes. Of a pair that passes at more than one offset the one with the most right less wrong bits is given. Every
-    recording is a member of one class, recordings without codes or key of none; repeated rows are repeated members.
+    ``votes`` frames with the same code but for loose bits, and a share ``errors`` of wrong bits where both overlap.
+    Every class is indexed, and every query is looked up among all of them, block by block; no code is too common.
+    An offset with MIN_VOTES votes and MIN_OVERLAP frames is held against MAX_ERRORS on all bits; of several the one with
+    the most right less wrong bits is given, of equal ones the smallest. Every recording is a member of one class,
+    recordings without codes or key of none; repeated rows are repeated members; no rows give an empty result.
     """
-    found = stage_table(prints.where(F.col(key).isNotNull() & (F.size("codes") > 0)).select(F.col(key).alias("member"), "codes", F.sha2(F.concat_ws(",", F.col("codes").cast("array<string>")), 256).alias("digest"), is_query.alias("asks")), "prints")
-    classes = stage_table(found.groupBy("digest").agg(F.min("member").alias("id"), F.min("codes").alias("codes"), F.max("asks").alias("asks")), "classes")
+    spark = prints.sparkSession
+    named = prints.where(F.col(key).isNotNull() & (F.size("codes") > 0))
+    digest = F.sha2(F.concat_ws(",", F.col("codes").cast("array<string>")), 256).alias("digest")
+    found = stage_table(named.select(F.col(key).alias("member"), "codes", "loose", digest, is_query.alias("asks")), "prints")
+    least = F.min(F.struct(F.col("member").alias("id"), "codes", "loose"))
+    classes = stage_table(found.groupBy("digest").agg(least.alias("least"), F.max("asks").alias("asks")).select("digest", "least.*", "asks"), "classes")
     members = found.join(classes.select("digest", "id"), "digest").select(F.lit("member").alias("kind"), F.col("id").alias("query"), "member")
-    cells = cells_of(classes.where("asks"), QUERIES, "q").crossJoin(cells_of(classes, RECORDINGS, "m"))
-    judged = cells.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(compare_cells, "query bigint, match bigint, offset int, votes bigint, errors double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 256)
+    queries = blocks_of(classes.where("asks"), QUERIES, ["codes", "loose"], "q")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 256)
+    cells = queries.crossJoin(blocks_of(classes, RECORDINGS, ["codes"], "m"))  # of blocks: the stated queries against all
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)  # a cell at a time
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    judged = cells.repartition(tasks).mapInArrow(compare_blocks, "query bigint, match bigint, offset int, votes bigint, errors double")
     matches = judged.select(F.lit("match").alias("kind"), "query", "match", "offset", "votes", "errors")
     return members.unionByName(matches, allowMissingColumns=True).select("kind", "query", "member", "match", "offset", "votes", "errors")
 

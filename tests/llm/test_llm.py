@@ -384,22 +384,69 @@ def test_similar_documents_hold_the_threshold_exactly(spark):
     assert got == slow_similar(texts) and got[1] == 0 and got[2] == 2
 
 
-def test_audio_finds_noisy_recordings_like_brute_force():
-    rng = np.random.default_rng(5)
-    a = [rng.integers(0, 1 << 32, n, dtype=np.int64) for n in (110, 60, 40)]
-    flips = lambda n, share: (rng.random((n, 32)) < share) @ (1 << np.arange(32, dtype=np.int64))
-    b = [(x[cut:] ^ flips(len(x) - cut, share)).astype(np.int64) for x in a for cut in (0, 9) for share in (0.05, 0.1, 0.2, 0.24, 0.27)]
-    b += [np.concatenate([rng.integers(0, 1 << 32, 7, dtype=np.int64), x]) for x in a] + [np.full(50, 7, np.int64)]
+def brute_force_alignments(queries, recordings):
+    """Every pair at every offset: the best offset within the limits."""
     want = {}
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            for off in range(-len(x) + 1, len(y)):
-                n = min(len(x) - max(0, -off), len(y) - max(0, off))
-                wrong = int(np.bitwise_count(x[max(0, -off) :][:n] ^ y[max(0, off) :][:n]).sum())
-                if n >= 24 and wrong <= 8 * n:
-                    want[i, j] = max(want.get((i, j), (0, 0, 0)), (32 * n - 2 * wrong, off, wrong / (32 * n)))
-    got = {(i, j): (off, errors) for i, j, off, _, errors in audio.aligned(a, b)}
-    assert got == {k: v[1:] for k, v in want.items()} and len(want) >= 27
+    for i, x in enumerate(queries):
+        for j, y in enumerate(recordings):
+            for off in range(-len(x) + audio.MIN_OVERLAP, len(y) - audio.MIN_OVERLAP + 1):
+                n = min(len(x), len(y) - off) - max(0, -off)
+                wrong = int(np.bitwise_count(x[max(0, -off) :][:n] ^ y[max(0, off) :][:n]).sum()) if n >= audio.MIN_OVERLAP else 1 << 30
+                if wrong <= audio.MAX_ERRORS * 32 * n:
+                    want[i, j] = max(want.get((i, j), (0, 0, 0)), (32 * n - 2 * wrong, -off, wrong / (32 * n)))
+    return {k: (-v[1], v[2]) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("noise, least", [(0.0, 1.0), (0.02, 1.0), (0.05, 1.0), (0.1, 0.9)])
+def test_audio_finds_noisy_and_cut_recordings_like_brute_force(noise, least):
+    rng = np.random.default_rng(5)
+    tunes = [rng.uniform(-0.5, 0.5, 64) for _ in range(12)]
+    clean = [audio.fingerprint(audio.samples_of_vector(t.tolist())) for t in tunes]
+    noisy = lambda x: audio.fingerprint(x + rng.normal(0, noise, len(x)))[0]
+    recordings = [noisy(audio.samples_of_vector(t.tolist())[cut : cut + keep]) for t in tunes for cut, keep in ((0, 1 << 20), (0, 24000), (7 * audio.HOP, 1 << 20), (20 * audio.HOP, 24000))]
+    want = brute_force_alignments([c for c, _ in clean], recordings)
+    index = audio.Index(recordings)
+    got = {(i, j): (off, errors) for i, (c, x) in enumerate(clean) for j, off, _, errors in audio.aligned(index, c, x)}
+    assert len(want) >= 48 * 0.9 and set(got) <= set(want)
+    assert sum(got.get(k) == v for k, v in want.items()) >= least * len(want)
+
+
+def test_audio_loses_no_common_code_and_keeps_bounded_steps(monkeypatch):
+    rng = np.random.default_rng(6)
+    held = np.full(200, 12345, np.int64)  # a held tone: all pairs of frames agree
+    tune, loose = audio.fingerprint(audio.samples_of_vector(rng.uniform(-0.5, 0.5, 64).tolist()))
+    recordings = [np.concatenate([held, tune]), held, np.concatenate([tune, held[:100]])]
+    whole = audio.Index(recordings)
+    query, mask = np.concatenate([tune, held[:60]]), np.concatenate([loose, np.full(60, 255)])
+    want = list(audio.aligned(whole, query, mask))
+    monkeypatch.setattr(audio, "HITS", 50)
+    monkeypatch.setattr(audio, "FRAMES", 16)
+    assert list(audio.aligned(whole, query, mask)) == want and {m: (off, e) for m, off, _, e in want}[2] == (0, 0.0)
+    assert {m for m, *_ in want} == {0, 1, 2}
+
+
+def test_audio_reads_odd_files():
+    def wav(width, rate=8000, channels=1, data=b"\x01\x80\x7f\x00\xff\x10" * 400):
+        out = audio.io.BytesIO()
+        with audio.wave.open(out, "wb") as w:
+            w.setnchannels(channels)
+            w.setsampwidth(width)
+            w.setframerate(rate)
+            w.writeframes(data)
+        return out.getvalue()
+
+    for width in (1, 2, 3, 4):
+        x = audio.samples_of_wav(wav(width))
+        assert len(x) == 2400 // width and np.abs(x).max() <= 1
+    assert audio.samples_of_wav(wav(3, data=b"\x00\x00\x40"))[0] == 0.5 and audio.samples_of_wav(wav(1, data=b"\x00"))[0] == -1
+    cut = wav(2)[:-1]
+    assert len(audio.samples_of_wav(cut)) in (1199, 1200)
+    zero = bytearray(wav(2))
+    zero[24:28] = bytes(4)
+    assert len(audio.samples_of_wav(bytes(zero))) == len(audio.samples_of_wav(b"RIFF")) == len(audio.samples_of_wav(None)) == 0
+    assert len(audio.samples_of_wav(wav(2, rate=16000))) == 600
+    assert audio.samples_of_vector([float("inf"), None, float("nan")]).any() == False  # noqa: E712
+    assert len(audio.fingerprint(np.zeros(10))[0]) == 0
 
 
 def test_html_keeps_content_outside_the_chosen_element():
