@@ -9,7 +9,9 @@ stands in the left part, in the window or in the right part, with the same end-o
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
 import re
 from itertools import chain
 
@@ -22,8 +24,8 @@ from fernsieve.llm.common import kept_in_worker, map_batches, table
 VOCABULARY = "word_bpe_49k.json"
 #: Characters of a part that is encoded whole, first reach of a window, longest word and pre-token that is remembered.
 LEAF, REACH, LONGEST_KEPT = 4096, 48, 40
-#: Pre-tokens and words that are remembered, before they are forgotten.
-MOST_PIECES, MOST_WORDS = 600_000, 800_000
+#: Bytes (about) of the pre-tokens and of the words that a worker remembers, and of one entry besides its text and ids.
+MOST_BYTES, ENTRY_BYTES = 28 << 20, 200
 #: Characters whose splitting and lower case are the same in Python as in the tokenizer: ASCII, Latin-1 letters, common punctuation.
 PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e¡§«·»¿À-ÿ–—‘’“”…]*")
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
@@ -42,12 +44,26 @@ def number(i: int) -> bytes:
     return i.to_bytes(4, "little")
 
 
+def check_kind(tokenizer: Tokenizer) -> None:
+    """Refuses what this encoder would get wrong: it is made for lower-case words, END at their ends and no decoder."""
+    made_of = json.loads(tokenizer.to_str())
+    model = made_of["model"]
+    if model["type"] != "BPE" or model.get("end_of_word_suffix") != END or made_of["decoder"] is not None:
+        raise ValueError(f"not a vocabulary of word BPE with {END} at the end of words")
+    if tokenizer.normalizer is None or tokenizer.normalizer.normalize_str("  Aß Ö-1\t").split() != ["aß", "ö-1"]:
+        raise ValueError("the vocabulary is not one of lower-case text")
+    sample = "it's a1b ...don't 12"
+    if [x for x, _ in tokenizer.pre_tokenizer.pre_tokenize_str(sample)] != PIECE.findall(sample):
+        raise ValueError("the vocabulary splits words by another rule")
+
+
 class Words(dict):
     """Ids by word; a word met for the first time gets an empty buffer, kept in ``new`` to be filled."""
 
     def __init__(self) -> None:
         super().__init__()
         self.new: dict[str, bytearray] = {}
+        self.bytes = 0
 
     def __missing__(self, word: str) -> bytearray:
         self[word] = self.new[word] = buffer = bytearray()
@@ -58,27 +74,35 @@ class Encoder:
     """Gives the ids that the tokenizers library gives for a whole text without special tokens added."""
 
     def __init__(self, path: str) -> None:
-        whole = Tokenizer.from_file(path)
-        whole.no_truncation()
-        whole.no_padding()
-        self.whole = whole
-        self.normalizer = whole.normalizer
-        added = whole.get_added_tokens_decoder()
+        self.path = path
+        self.part = Tokenizer.from_file(path)
+        check_kind(self.part)
+        self.normalizer = self.part.normalizer
+        added = self.part.get_added_tokens_decoder()
         self.special = {t.content: i for i, t in added.items()}
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.part = Tokenizer.from_file(path)  # for text that is normalized already and holds no special token
+        size = self.part.get_vocab_size(with_added_tokens=True)
+        self.tokens = [self.part.id_to_token(i) or "" for i in range(size)]
+        # from here on for text that is normalized already and holds no special token
         self.part.no_truncation()
         self.part.no_padding()
         self.part.normalizer = normalizers.Sequence([])
         self.part.encode_special_tokens = True
-        size = whole.get_vocab_size(with_added_tokens=True)
-        self.tokens = [whole.id_to_token(i) or "" for i in range(size)]
         self.ends = np.array([t.endswith(END) for t in self.tokens])
         self.bytes = [len(t) - len(END) * t.endswith(END) for t in self.tokens]  # one character stands for a byte
         self.decimals = [str(i) for i in range(size)]
         self.pieces: dict[str, bytes] = {}
+        self.piece_bytes = 0
         self.words = Words()
 
+    @functools.cached_property
+    def whole(self) -> Tokenizer:
+        """The library's own encoder."""
+        got = Tokenizer.from_file(self.path)
+        got.no_truncation()
+        got.no_padding()
+        return got
+
     @classmethod
     def of(cls, path: str) -> Encoder:
         return kept_in_worker(f"encoder {path}", lambda: cls(path))
@@ -107,18 +131,21 @@ class Encoder:
     def leaves(self, texts: list[str]) -> list[bytes]:
         """Ids of short normalized texts: of plain ones by their words, each of which is encoded once for all."""
         words = self.words
-        if len(words) > MOST_WORDS:
-            words.clear()
         found = [list(map(words.__getitem__, x.split())) if PLAIN.fullmatch(x) else None for x in texts]
         if words.new:
             self.fill_words()
-        return [self.foreign(x) if ids is None else b"".join(ids) for x, ids in zip(texts, found)]
+        out = [self.foreign(x) if ids is None else b"".join(ids) for x, ids in zip(texts, found)]
+        if words.bytes > MOST_BYTES:
+            words.clear()
+            words.bytes = 0
+        if self.piece_bytes > MOST_BYTES:
+            self.pieces.clear()
+            self.piece_bytes = 0
+        return out
 
     def fill_words(self) -> None:
         """Put the ids of words met for the first time into the buffers that stand for them."""
         pieces, new, words = self.pieces, self.words.new, self.words
-        if len(pieces) > MOST_PIECES:
-            pieces.clear()
         split = list(map(PIECE.findall, new))  # no pre-token reaches over white space
         lacking = list(set(chain.from_iterable(split)).difference(pieces))
         for at in range(0, len(lacking), 20_000):
@@ -136,6 +163,8 @@ class Encoder:
             for x in some:
                 if len(x) > LONGEST_KEPT:
                     del kept[x]
+        words.bytes += sum(ENTRY_BYTES + len(x) + 2 * len(i) for x, i in zip(new, ids))
+        self.piece_bytes += sum(ENTRY_BYTES + len(x) + 4 * len(x) for x in lacking)
         new.clear()
 
     def foreign(self, text: str) -> bytes:
@@ -214,7 +243,8 @@ class Encoder:
 def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key``, the ids of each whole text as an array and the text decoded from them; null text counts as empty.
 
-    One row for each row of ``docs``, repeated rows included; other columns are not read.
+    One row for each row of ``docs``, repeated rows included, null keys kept; other columns are not read, an empty table
+    gives an empty result.
     """
 
     def work(cols: dict[str, list]) -> dict[str, list]:
@@ -227,7 +257,10 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
-    """The digests of ``encode_documents`` made where the ids are, so that they need not leave the worker."""
+    """The digests of ``encode_documents`` made where the ids are, so that they need not leave the worker.
+
+    Rows are handled as there: null and empty texts have no ids and decode to an empty text.
+    """
 
     def work(cols: dict[str, list]) -> dict[str, list]:
         e = Encoder.of(path)

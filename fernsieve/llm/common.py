@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernsieve.plans.staging import let_workers_import
+from fernsieve.plans.staging import let_workers_import, stage_table
 
 #: Rows, and about so many bytes, that are worked on at a time: long texts stay well inside a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
@@ -34,6 +34,16 @@ def share_by_hash(key: Column, seed: int, wanted: int, have: int) -> Column:
     return F.xxhash64(key, F.lit(seed)) < F.lit(-(1 << 63) + (1 << 64) * wanted // have)
 
 
+def bounded_sample(texts: DataFrame, characters: int) -> DataFrame:
+    """A table of ``texts(text, ...)``, or, if they have more than ``characters``, of a share of them by a hash of the text.
+
+    ``texts`` is a sample already: this bounds what is sent to the driver where texts are long.
+    """
+    sample = stage_table(texts, "sample")
+    have = sample.agg(F.sum(F.length("text"))).first()[0] or 0
+    return sample.where(share_by_hash(F.col("text"), 31, characters, have))
+
+
 def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of BATCH_ROWS rows and about BATCH_BYTES at most; one row is never split."""
     at = 0

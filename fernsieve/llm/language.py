@@ -16,13 +16,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernsieve.llm.common import held_out, lower, map_batches, table
+from fernsieve.llm.common import bounded_sample, held_out, lower, map_batches, share_by_hash, table
 
-#: Bounds of the sample that a model is fitted on: documents (about) and characters of one of them.
-SAMPLE_DOCS, SAMPLE_CHARS = 8_000, 200_000
+#: Bounds of the sample that a model is fitted on: documents (about), characters of one of them, characters of all (about).
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 8_000, 200_000, 64_000_000
 #: What a change of language costs, how far a word's scores may lie apart, words a model and a worker remember.
 SWITCH, FLOOR, MOST_WORDS, MOST_KEPT = 6.0, -8.0, 50_000, 300_000
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters in a row; a longer run, as of scripts without spaces, is as many words as it takes, each with a label of its own.
+WORD = re.compile(r"[^\W\d_]{1,64}")
 #: First code point of a range, its script ("" ends a range).
 SCRIPTS = (
     (0x0041, "latin"), (0x0250, ""), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0780, ""),
@@ -40,6 +41,19 @@ def script_of(word: str) -> str:
     return ""
 
 
+def by_script(word: str) -> list[str]:
+    """The stretches of a word that are written in one script; letters without one go with those before them."""
+    if word.isascii():
+        return [word]
+    cuts, now = [0], ""
+    for k, c in enumerate(word):
+        script = script_of(c)
+        if script and now and script != now:
+            cuts.append(k)
+        now = script or now
+    return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)])]
+
+
 @dataclass
 class Model:
     """langs; log scores of common words, of trigrams, bigrams and characters; which scripts each language is written in."""
@@ -61,6 +75,7 @@ class Scores(dict):
     def __init__(self, model: Model) -> None:
         super().__init__()
         self.model, self.many = model, 0
+        self.mixed: dict[str, list[str]] = {}  # words of several scripts, and their stretches
         self.rows = np.zeros((1024, len(model.langs)))
         self.gram = {g: k for k, g in enumerate(g for by in model.grams for g in by)}
         self.table = np.array([*(v for by in model.grams for v in by.values()), np.zeros(len(model.langs))])
@@ -70,7 +85,7 @@ class Scores(dict):
         gram, none, ids, starts = self.gram, len(self.gram), [], []
         for w in words:
             starts.append(len(ids))
-            p = f"^{w[:64]}$"
+            p = f"^{w}$"
             for k in range(1, len(p)):
                 g = gram.get(p[max(0, k - 2) : k + 1])
                 if g is None:
@@ -99,8 +114,10 @@ class Scores(dict):
             pass
         if self.many > MOST_KEPT:
             self.clear()
+            self.mixed.clear()
             self.many = 0
         new = [w for w in dict.fromkeys(words) if w not in self]
+        self.mixed.update((w, parts) for w in new if len(parts := by_script(w)) > 1)
         self.update((w, -1) for w in new)
         new = [w for w in new if w.isalpha() or any(map(str.isalpha, w))]
         while self.many + len(new) > len(self.rows):
@@ -112,11 +129,13 @@ class Scores(dict):
 
 
 def sample_texts(docs: DataFrame) -> DataFrame:
-    """(text, lang) of about SAMPLE_DOCS documents with a language, spread by a hash of doc_id, none of them held out."""
+    """(text, lang) of about SAMPLE_DOCS documents with a language, spread by a hash of doc_id, none of them held out.
+
+    Documents without an id, a language or a text are not learned from.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    share = min(1.0, SAMPLE_DOCS / max(1, known.count()))
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    return picked.where(F.length("text").between(1, SAMPLE_CHARS)).select("text", "lang")
+    picked = known.where(share_by_hash(F.col("doc_id"), 23, SAMPLE_DOCS, known.count()))
+    return bounded_sample(picked.where(F.length("text").between(1, SAMPLE_CHARS)).select("text", "lang"), SAMPLE_TOTAL)
 
 
 def fit(texts: list[str], langs: list[str]) -> Model:
@@ -126,12 +145,12 @@ def fit(texts: list[str], langs: list[str]) -> Model:
         return Model([])
     words = [Counter() for _ in names]
     for text, lang in zip(texts, langs):
-        words[names.index(lang)].update(WORD.findall(text.lower()))
+        words[names.index(lang)].update(x for w in WORD.findall(lower(text)) for x in by_script(w))
     counts = [[Counter() for _ in names] for _ in range(3)]
     letters = [Counter() for _ in names]
     for n, mine in enumerate(words):
         for w, many in mine.items():
-            padded = f"^{w[:64]}$"
+            padded = f"^{w}$"
             letters[n][script_of(w)] += many * len(w)
             for k in range(1, len(padded)):
                 for size in (3, 2, 1):
@@ -217,6 +236,9 @@ def label_texts(texts: list[str | None], model: Model, kept: Scores | None = Non
     for d, text in enumerate(texts):
         found = WORD.findall(lower(text or ""))
         rows = kept.of(found)
+        if not kept.mixed.keys().isdisjoint(found):
+            found = [x for w in found for x in kept.mixed.get(w, (w,))]
+            rows = kept.of(found)
         size = np.fromiter(map(len, found), np.int64, len(found))
         scores = kept.rows[rows[rows >= 0]]
         words.append(size[rows >= 0])
@@ -233,13 +255,25 @@ def label_texts(texts: list[str | None], model: Model, kept: Scores | None = Non
         if isinstance(path, int):
             path = np.full(len(size), path)
         share = np.bincount(path, size, len(model.langs)) / size.sum()
-        where = [m.span() for m in WORD.finditer(text) if any(map(str.isalpha, m[0]))] if path.min() != path.max() else whole(text)
+        where = places(text) if path.min() != path.max() else whole(text)
         cut = np.flatnonzero(np.diff(path)) + 1
         first, last = ([0, *cut], [*(cut - 1), len(where) - 1])
         out.append((model.langs[int(share.argmax())], float(share.max()), [(model.langs[path[min(a, len(path) - 1)]], where[a][0], where[b][1]) for a, b in zip(first, last)]))
     return out
 
 
+def places(text: str) -> list[tuple[int, int]]:
+    """Where the words of a text, and the stretches of words of several scripts, start and end."""
+    out = []
+    for m in WORD.finditer(lower(text)):
+        at = m.start()
+        for part in by_script(m[0]):
+            if any(map(str.isalpha, part)):
+                out.append((at, at + len(part)))
+            at += len(part)
+    return out
+
+
 def whole(text: str) -> list[tuple[int, int]]:
     """From the first letter to the last, as one span."""
     a = next(k for k, c in enumerate(text) if c.isalpha())
@@ -257,7 +291,8 @@ def identify_languages(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` and lang_pred, score (that language's share of the letters) and spans.
 
     Columns of these names are replaced. A null text, or one without letters, is ``und`` with score 0 and no spans.
-    Each row is labelled on its own: repeated rows get equal results, an empty table an empty one.
+    Each row is labelled on its own: repeated rows get equal results, an empty table an empty one; ids are not read. Of
+    languages with equally many letters the first in the alphabet counts.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "spans")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_WORDS words, and trigrams of the sample

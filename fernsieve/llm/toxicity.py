@@ -15,10 +15,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernsieve.llm.common import held_out, lower, map_batches, table
+from fernsieve.llm.common import bounded_sample, held_out, lower, map_batches, share_by_hash, table
+from fernsieve.plans.staging import stage_table
 
-#: Bounds of the sample that a model is fitted on: documents (about) and characters of one of them.
-SAMPLE_DOCS, SAMPLE_CHARS = 8_000, 200_000
+#: Bounds of the sample that a model is fitted on: documents (about), characters of one of them, characters of all (about).
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 8_000, 200_000, 64_000_000
 #: Words that a model weighs at most, documents of the sample that a word must stand in, steps and pull to zero.
 VOCABULARY, MIN_DOCS, STEPS, DECAY = 6000, 3, 300, 2e-5
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -55,12 +56,15 @@ class Model:
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """(text, y) of about SAMPLE_DOCS labelled documents, spread by a hash of doc_id, none of them held out."""
+    """(text, y) of about SAMPLE_DOCS labelled documents, spread by a hash of doc_id, none of them held out.
+
+    Labels other than 0 and 1, null ids and null or empty texts are not learned from; of labels that differ the larger counts.
+    """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    share = min(1.0, SAMPLE_DOCS / max(1, known.count()))
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    known = stage_table(known, "labelled")
+    picked = known.where(share_by_hash(F.col("doc_id"), 17, SAMPLE_DOCS, known.count()))
     texts = docs.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS))
-    return texts.join(F.broadcast(picked), "doc_id").select("text", "y")  # about SAMPLE_DOCS rows are sent
+    return bounded_sample(texts.join(F.broadcast(picked), "doc_id").select("text", "y"), SAMPLE_TOTAL)  # about SAMPLE_DOCS rows are sent
 
 
 def fit(texts: list[str], y: np.ndarray) -> Model:
@@ -69,7 +73,7 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
         return Model({}, -8.0)
     seen = {0: {}, 1: {}}
     for text, label in zip(texts, y):
-        for w in features(WORD.findall(text.lower())):
+        for w in features(WORD.findall(lower(text))):
             seen[label][w] = seen[label].get(w, 0) + 1
     n = {k: int((y == k).sum()) for k in (0, 1)}
     gain = {}
@@ -81,7 +85,7 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
     vocabulary = {w: i for i, w in enumerate(sorted(gain, key=lambda w: (-gain[w], w))[:VOCABULARY])}
     word, sentence, of = [], [], []
     for d, text in enumerate(texts):  # read again: all features at once would not fit in memory
-        for s in SENTENCE.findall(text.lower()):
+        for s in SENTENCE.findall(lower(text)):
             if hits := [vocabulary[w] for w in features(WORD.findall(s)) & vocabulary.keys()]:
                 word += hits
                 sentence += [len(of)] * len(hits)

@@ -268,6 +268,36 @@ def test_language_held_out_and_mixed(spark):
     assert language.label_texts(["abc"], language.fit([], []))[0][0] == "und"
 
 
+def test_language_reads_long_words_and_changes_of_script():
+    model = language.fit(["abab abba baab " * 50, "xyxy yxxy xyyx " * 50, "привет мир слово " * 50], ["aa", "zz", "ru"])
+    ((lang, share, spans),) = language.label_texts(["ab" * 32 + "xy" * 2000], model)
+    assert lang == "zz" and share > 0.95 and [s[0] for s in spans] == ["aa", "zz"]
+    ((lang, _, spans),) = language.label_texts(["абабприветпривет" * 3 + "ab" * 40], model)
+    assert {s[0] for s in spans} == {"ru", "aa"} and spans[0][1] == 0 and spans[-1][2] == 48 + 80
+
+
+def test_samples_of_very_large_tables_are_not_empty(spark):
+    ids = spark.range(200_000).withColumnRenamed("id", "doc_id")
+    many = 20_000_000_000
+    picked = ids.where(language.share_by_hash(audio.F.col("doc_id"), 17, many // 20, many)).count()
+    assert 9_000 < picked < 11_000 and ids.where(language.share_by_hash(audio.F.col("doc_id"), 17, 8_000, many)).count() < 10
+    texts = spark.createDataFrame([(f"{k} " * 100, k) for k in range(400)], "text string, y int")
+    assert language.bounded_sample(texts, 1 << 40).count() == 400 and 20 < language.bounded_sample(texts, 20_000).count() < 120
+
+
+def test_bpe_forgets_within_its_bound_and_refuses_other_vocabularies(tmp_path, monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_BYTES", 2000)
+    e, rng = bpe.Encoder(bpe.vocabulary_path()), random.Random(8)
+    for _ in range(30):
+        text = " ".join(f"word{rng.randrange(900)}" for _ in range(40))
+        assert e.encode(text) == e.whole.encode(text, add_special_tokens=False).ids
+        assert e.words.bytes <= 2000 and e.piece_bytes <= 2000
+    other = tmp_path / "other.json"
+    other.write_text('{"version":"1.0","truncation":null,"padding":null,"added_tokens":[],"normalizer":null,"pre_tokenizer":null,"post_processor":null,"decoder":null,"model":{"type":"BPE","dropout":null,"unk_token":null,"continuing_subword_prefix":null,"end_of_word_suffix":null,"fuse_unk":false,"byte_fallback":false,"ignore_merges":false,"vocab":{"a":0},"merges":[]}}')
+    with pytest.raises(ValueError):
+        bpe.Encoder(str(other))
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(3)
     for _ in range(60):
