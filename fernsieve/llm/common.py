@@ -16,6 +16,8 @@ from fernsieve.plans.staging import let_workers_import, stage_table
 BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 #: Words whose hashes a worker remembers.
 MOST_HASHES = 250_000
+#: Rows of an Arrow batch of short rows, and bits of a filter.
+NUMBER_ROWS, SLOTS = 1 << 13, 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,6 +119,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def slots_of(values: DataFrame) -> np.ndarray:
+    """A bitmap of SLOTS bits, whatever the corpus: those that the longs of ``values(slot)``, from 0 to SLOTS, name."""
+    got = values.groupBy(F.floor(F.col("slot") / 64).alias("at")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot % 64 AS INT)))").alias("bits")).toArrow()
+    bits = np.zeros(SLOTS // 64, np.int64)
+    bits[got["at"].to_numpy()] = got["bits"].to_numpy()
+    return bits
+
+
+def is_set(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return bits[slot >> 6] >> (slot & 63) & 1 == 1
+
+
 _KEPT: dict[str, object] = {}
 
 

@@ -8,7 +8,7 @@ edges again.
 
 The repeated pieces are then compacted through joins: where a piece is always followed by one and the same piece, and that
 one always preceded by it, the node between them does not branch, and both become one path. Every occurrence of such
-a path is whole, so its source coordinates (row, first edge, number of edges) name a span of its words, and what
+a path is whole, so its source coordinates (text, first edge, number of edges) name a span of its words, and what
 all rows with a path cut out is the same.
 
 A digest is 128 bits over the very words at the source coordinates, in their order; pieces and edges are equal if theirs are.
@@ -16,12 +16,15 @@ A digest is 128 bits over the very words at the source coordinates, in their ord
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fernsieve.llm.common import WordHashes, bytes_of, kept_in_worker, map_batches, mix, row_key, table
+from fernsieve.llm.common import NUMBER_ROWS, SLOTS, WordHashes, bytes_of, is_set, kept_in_worker, map_batches, mix, slots_of, table
 from fernsieve.plans.staging import drop_staged, stage_table
 
 WINDOW, KMER = 35, 15
@@ -68,115 +71,140 @@ class Pieces:
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
 
-    def digests(self, first: np.ndarray, edges: np.ndarray) -> list[bytes]:
-        """Of the words that runs of edges stand on."""
+    def digests(self, first: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """(run, 2) longs: 128 bits of the words that runs of edges stand on."""
         a, b = self.starts[first].tolist(), (self.starts[first + edges + self.window - 1] - 1).tolist()
         joined, digest = self.joined, xxhash.xxh3_128_digest
-        return [digest(joined[x:y]) for x, y in zip(a, b)]
+        return np.frombuffer(b"".join([digest(joined[x:y]) for x, y in zip(a, b)]), "<i8").reshape(-1, 2)
+
+
+def gathered(names: list[str], rows: list[tuple]) -> dict[str, np.ndarray]:
+    """Columns of numbers from one tuple of equally long arrays for each text."""
+    return {n: np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, np.int64) for k, n in enumerate(names)}
 
 
 def pieces_of(keyed: DataFrame, window: int, kmer: int) -> DataFrame:
     """One row for each piece of each text with at least ``window`` words."""
 
-    def work(cols: dict[str, list]) -> dict[str, list]:
-        known = kept_in_worker("words", WordHashes)
-        out: dict[str, list] = {k: [] for k in ("row", "first", "edges", "minimizer", "digest")}
-        for row, text in zip(cols["row"], cols["text"]):
+    def work(cols: dict[str, list]) -> dict[str, np.ndarray]:
+        known, rows = kept_in_worker("words", WordHashes), []
+        for r1, r2, text in zip(cols["r1"], cols["r2"], cols["text"]):
             words = bytes_of(text).split()
             if len(words) >= window:
                 p = Pieces(words, known, window, kmer)
-                out["row"] += [row] * len(p.first)
-                out["first"] += p.first.tolist()
-                out["edges"] += p.edges.tolist()
-                out["minimizer"] += p.minimizer.tolist()
-                out["digest"] += p.digests(p.first, p.edges)
-        return out
+                d, n = p.digests(p.first, p.edges), len(p.first)
+                rows.append((np.full(n, r1), np.full(n, r2), p.first, p.edges, p.minimizer, d[:, 0], d[:, 1]))
+        return gathered(["r1", "r2", "first", "edges", "minimizer", "d1", "d2"], rows)
 
-    return map_batches(keyed.select("row", "text"), work, "row binary, first int, edges int, minimizer bigint, digest binary")
+    return map_batches(keyed.select("r1", "r2", "text"), work, "r1 bigint, r2 bigint, first bigint, edges bigint, minimizer bigint, d1 bigint, d2 bigint")
 
 
 def edges_of(keyed: DataFrame, wanted: DataFrame, window: int, kmer: int) -> DataFrame:
-    """The single edges of the pieces ``wanted(row, first, edges, minimizer)``, with their digests, once for each row of ``keyed``."""
-    lists = wanted.groupBy("row").agg(F.collect_set(F.struct("first", "edges", "minimizer")).alias("pieces"))  # as many as one text has pieces
+    """The single edges of the pieces ``wanted(r1, r2, first, edges, minimizer)``, with their digests, once for each row of ``keyed``."""
+    lists = wanted.groupBy("r1", "r2").agg(F.collect_set(F.struct("first", "edges", "minimizer")).alias("pieces"))  # as many as one text has pieces
 
-    def work(cols: dict[str, list]) -> dict[str, list]:
-        known = kept_in_worker("words", WordHashes)
-        out: dict[str, list] = {k: [] for k in ("row", "first", "minimizer", "digest")}
-        for row, text, pieces in zip(cols["row"], cols["text"], cols["pieces"]):
+    def work(cols: dict[str, list]) -> dict[str, np.ndarray]:
+        known, rows = kept_in_worker("words", WordHashes), []
+        for r1, r2, text, pieces in zip(cols["r1"], cols["r2"], cols["text"], cols["pieces"]):
             p = Pieces(bytes_of(text).split(), known, window, kmer)
-            for x in pieces:
-                first = np.arange(x["first"], x["first"] + x["edges"])
-                out["row"] += [row] * len(first)
-                out["first"] += first.tolist()
-                out["minimizer"] += [x["minimizer"]] * len(first)
-                out["digest"] += p.digests(first, np.ones_like(first))
-        return out
+            edges = np.array([x["edges"] for x in pieces], np.int64)
+            first = np.repeat([x["first"] for x in pieces], edges) + np.arange(edges.sum()) - np.repeat(np.cumsum(edges) - edges, edges)
+            d, n = p.digests(first, np.ones_like(first)), len(first)
+            rows.append((np.full(n, r1), np.full(n, r2), first, np.repeat(np.array([x["minimizer"] for x in pieces], np.int64), edges), d[:, 0], d[:, 1]))
+        return gathered(["r1", "r2", "first", "minimizer", "d1", "d2"], rows)
+
+    one = keyed.select("r1", "r2", "text").join(lists, ["r1", "r2"])
+    return map_batches(one, work, "r1 bigint, r2 bigint, first bigint, minimizer bigint, d1 bigint, d2 bigint")
 
-    one = keyed.select("row", "text").join(lists, "row")
-    return map_batches(one, work, "row binary, first int, minimizer bigint, digest binary")
+
+def with_partner(pieces: DataFrame) -> DataFrame:
+    """The rows of ``pieces``, a table, whose minimizer others have too, and the few that share a bit of the filter with one. A table.
+
+    Only minimizers are shuffled for this, counted before; a filter of SLOTS bits, whatever the corpus, does the rest.
+    """
+    shared = pieces.groupBy("minimizer").agg(F.count("*").alias("many")).where("many > 1")
+    bits = pieces.sparkSession.sparkContext.broadcast(slots_of(shared.select(F.col("minimizer").bitwiseAND(SLOTS - 1).alias("slot"))))  # 8 MB
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            minimizer = batch.column(4).to_numpy()
+            yield batch.filter(pa.array(is_set(bits.value, minimizer & (SLOTS - 1))))
+
+    pieces.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", NUMBER_ROWS)
+    return stage_table(pieces.mapInArrow(work, pieces.schema), "shared")
 
 
 def repeated_pieces(keyed: DataFrame, window: int, kmer: int) -> DataFrame:
-    """(row, first, edges, digest, copies) of the pieces, and of the single edges, whose words stand somewhere else too. A table.
+    """(r1, r2, first, edges, d1, d2, copies) of the pieces, and single edges, whose words stand somewhere else too. A table.
 
     An edge of a piece that is repeated as a whole is not given once more. ``copies`` counts occurrences of the digest.
     """
     pieces = stage_table(pieces_of(keyed, window, kmer), "pieces")
+    shared = with_partner(pieces)
+    drop_staged(pieces)
+    digest = ["minimizer", "d1", "d2"]
     # equal pieces: partial counts before the shuffle, so a hot one is a row for each task
-    distinct = pieces.groupBy("minimizer", "digest").agg(F.count("*").alias("copies"))
-    shared = stage_table(distinct.groupBy("minimizer").agg(F.count("*").alias("kinds"), F.max("copies").alias("most")).where("kinds > 1 or most > 1").select("minimizer", "kinds"), "shared")
-    marked = stage_table(pieces.join(shared, "minimizer"), "marked")
-    drop_staged(pieces, shared)
-    counted = marked.groupBy("minimizer", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("row", "first", "edges")).alias("source"), F.max("kinds").alias("kinds"))
-    counted = stage_table(counted.where("copies > 1 or kinds > 1"), "counted")
-    whole = marked.join(counted.where("copies > 1").select("minimizer", "digest", "copies"), ["minimizer", "digest"]).select("row", "first", "edges", "digest", "copies")
+    counted = stage_table(shared.groupBy(*digest).agg(F.count("*").alias("copies"), F.min(F.struct("r1", "r2", "first", "edges")).alias("source")), "counted")
+    several = stage_table(counted.groupBy("minimizer").agg(F.count("*").alias("kinds")).where("kinds > 1").select("minimizer"), "several")
+    twice = stage_table(counted.where("copies > 1").select(*digest, "copies"), "twice")
+    whole = shared.join(twice, digest).select("r1", "r2", "first", "edges", "d1", "d2", "copies")
     # where a minimizer has several kinds of pieces, one of each kind is cut into edges
-    edges = stage_table(edges_of(keyed, counted.where("kinds > 1").select("source.*", "minimizer"), window, kmer), "edges")
-    kinds = edges.groupBy("minimizer", "digest").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    cut = stage_table(counted.join(several, "minimizer").select("source.*", "minimizer", "copies"), "cut")
+    edges = stage_table(edges_of(keyed, cut.drop("copies"), window, kmer), "edges")
+    kinds = edges.groupBy(*digest).agg(F.count("*").alias("kinds")).where("kinds > 1").select(*digest)
     # of the edges that two kinds have, those are still to be named that stand in a piece without a copy
-    lone = counted.where("copies = 1").select("source.*").select("row", F.explode(F.sequence("first", F.col("first") + F.col("edges") - 1)).alias("first"))
-    single = edges.join(kinds.select("minimizer", "digest"), ["minimizer", "digest"]).join(lone, ["row", "first"], "left_semi").select("row", "first", F.lit(1).alias("edges"), "digest", F.lit(0).cast("bigint").alias("copies"))
+    lone = cut.where("copies = 1").select("r1", "r2", F.explode(F.sequence("first", F.col("first") + F.col("edges") - 1)).alias("first"))
+    single = edges.join(lone, ["r1", "r2", "first"], "left_semi").join(kinds, digest).select("r1", "r2", "first", F.lit(1).cast("bigint").alias("edges"), "d1", "d2", F.lit(0).cast("bigint").alias("copies"))
     out = stage_table(whole.union(single), "repeated")
-    drop_staged(marked, counted, edges)
+    drop_staged(shared, counted, several, twice, cut, edges)
     return out
 
 
 def compacted_paths(repeated: DataFrame) -> DataFrame:
-    """(row, first, edges, path, copies): pieces of ``repeated`` joined where the node between two of them does not branch. A table.
+    """(r1, r2, first, edges, p1, p2, copies): pieces of ``repeated`` joined where the node between two of them does not branch. A table.
 
     The node between two pieces does not branch if every occurrence of one is followed by the other and every occurrence of
     the other follows the one. Such pieces make one path, named by the digest of its first piece; ``copies`` counts
     its occurrences, all of which are whole. Single edges (``copies`` 0) stand in texts of which their piece has no other
     copy; they make paths of their own. Of rows that repeat the places are given once.
     """
-    along = Window.partitionBy("row").orderBy("first")  # the pieces of one text
-    places = repeated.repartition("row").groupBy("row", "first", "edges", "digest", "copies").agg(F.count("*").alias("rows"))
-    goes_on = F.lead("first").over(along) == F.col("first") + F.col("edges")
-    following = places.withColumn("next", F.when(goes_on, F.lead("digest").over(along))).withColumn("next_copies", F.when(goes_on, F.lead("copies").over(along)))
+    along = Window.partitionBy("r1", "r2").orderBy("first")  # the pieces of one text
+    places = repeated.repartition("r1", "r2").groupBy("r1", "r2", "first").agg(F.first("edges").alias("edges"), F.first("d1").alias("d1"), F.first("d2").alias("d2"), F.first("copies").alias("copies"), F.count("*").alias("rows"))
+    goes_on = (F.lead("first").over(along) == F.col("first") + F.col("edges")) & (F.col("copies") > 1) & (F.lead("copies").over(along) == F.col("copies"))
+    following = places.withColumn("n1", F.when(goes_on, F.lead("d1").over(along))).withColumn("n2", F.when(goes_on, F.lead("d2").over(along)))
     followed = stage_table(following, "followed")
     # how often each two pieces follow each other: partial counts, a row for each two and task
-    pairs = followed.where("copies > 1 and next_copies = copies").groupBy("digest", "next").agg(F.sum("rows").alias("times"), F.max("copies").alias("copies"))
-    links = stage_table(pairs.where("times = copies").select("digest", "next"), "links")
-    joined = followed.join(links.withColumn("open", F.lit(True)), ["digest", "next"], "left").select("row", "first", "edges", "digest", "copies", F.coalesce("open", F.lit(False)).alias("open"))
-    starts = F.when(F.coalesce(F.lag("open").over(along), F.lit(False)), 0).otherwise(1)
+    both = ["d1", "d2", "n1", "n2"]
+    pairs = followed.where("n1 IS NOT NULL").groupBy(*both).agg(F.sum("rows").alias("times"), F.max("copies").alias("copies"))
+    links = stage_table(pairs.where("times = copies").select(*both), "links")
+    chained = followed.where("n1 IS NOT NULL").join(links, both, "left_semi").select("r1", "r2", "first", F.lit(True).alias("open"))
+    joined = followed.drop("n1", "n2", "rows").join(chained, ["r1", "r2", "first"], "left")
+    starts = F.when(F.lag("open").over(along), 0).otherwise(1)
     numbered = joined.withColumn("starts", starts).withColumn("number", F.sum("starts").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    paths = numbered.groupBy("row", "number").agg(F.min("first").alias("first"), F.sum("edges").cast("int").alias("edges"), F.min_by("digest", "first").alias("path"), F.max("copies").alias("copies"))
-    out = stage_table(paths.select("row", "first", "edges", "path", "copies"), "paths")
+    paths = numbered.groupBy("r1", "r2", "number").agg(F.min("first").alias("first"), F.sum("edges").alias("edges"), F.min_by("d1", "first").alias("p1"), F.min_by("d2", "first").alias("p2"), F.max("copies").alias("copies"))
+    out = stage_table(paths.drop("number"), "paths")
     drop_staged(repeated, followed, links)
     return out
 
 
+def named_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` and two longs that name a row's doc_id and text; rows that repeat both share them."""
+    name = lambda seed: F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), "doc_id", "text")
+    return docs.withColumn("r1", name(1)).withColumn("r2", name(2))
+
+
 def repeated_paths(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """(doc_id, first_word, n_words, path, copies) of every long repeated span of ``docs(doc_id, text)``.
 
-    Words are counted from 0. ``path`` (16 bytes) is the same wherever the same span is found; ``copies`` counts its
+    Words are counted from 0. ``path`` (32 hex digits) is the same wherever the same span is found; ``copies`` counts its
     occurrences, 0 for single windows inside a text that are repeated in spans of other extent. Rows that repeat doc_id
     and text give their spans once; null and short texts give none.
     """
-    keyed = docs.select("doc_id", "text").withColumn("row", row_key())
+    keyed = named_rows(docs.select("doc_id", "text"))
     paths = compacted_paths(repeated_pieces(keyed, window, kmer))
-    ids = keyed.select("row", "doc_id").dropDuplicates(["row"])
-    return paths.join(ids, "row").select("doc_id", F.col("first").alias("first_word"), (F.col("edges") + window - 1).alias("n_words"), "path", "copies")
+    ids = keyed.select("r1", "r2", "doc_id").dropDuplicates(["r1", "r2"])
+    path = F.concat(F.lpad(F.hex("p1"), 16, "0"), F.lpad(F.hex("p2"), 16, "0")).alias("path")
+    return paths.join(ids, ["r1", "r2"]).select("doc_id", F.col("first").alias("first_word"), (F.col("edges") + window - 1).alias("n_words"), path, "copies")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
@@ -185,16 +213,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
     A window is ``window`` consecutive words of one text; it repeats if its words also start anywhere else, in the
     same text as well. Windows are judged on the input. A null text has no words, one shorter than a window keeps
     all. Rows that repeat doc_id and text are each other's copies; an empty table gives an empty result; columns
-    named n_words, n_removed or kept are replaced, ``_row`` and ``_spans`` left out.
+    named n_words, n_removed or kept are replaced, ``r1``, ``r2`` and ``_spans`` left out.
     """
-    keep = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", "_row", "_spans")]
-    keyed = docs.select(*keep).withColumn("_row", row_key())
-    paths = compacted_paths(repeated_pieces(keyed.select("text", F.col("_row").alias("row")), window, kmer))
-    spans = paths.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("first", "edges")).alias("_spans"))  # at most one for each word of a text
+    keep = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", "r1", "r2", "_spans")]
+    keyed = named_rows(docs.select(*keep))
+    paths = compacted_paths(repeated_pieces(keyed.select("r1", "r2", "text"), window, kmer))
+    spans = paths.groupBy("r1", "r2").agg(F.collect_list(F.struct("first", "edges")).alias("_spans"))  # at most one for each word of a text
 
     def work(cols: dict[str, list]) -> dict[str, list]:
         spans = cols.pop("_spans")
-        cols.pop("_row")
+        cols.pop("r1"), cols.pop("r2")
         out = cols | {"n_words": [], "n_removed": [], "kept": []}
         for text, found in zip(cols["text"], spans):
             words = bytes_of(text).split()
@@ -211,7 +239,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
         return out
 
     kinds = dict(docs.dtypes)
-    return map_batches(keyed.join(spans, "_row", "left"), work, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "n_words bigint, n_removed bigint, kept string"]))
+    return map_batches(keyed.join(spans, ["r1", "r2"], "left"), work, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "n_words bigint, n_removed bigint, kept string"]))
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
