@@ -24,8 +24,8 @@ from fernsieve.llm.common import kept_in_worker, map_batches, table
 VOCABULARY = "word_bpe_49k.json"
 #: Characters of a part that is encoded whole, first reach of a window, longest word and pre-token that is remembered.
 LEAF, REACH, LONGEST_KEPT = 4096, 48, 40
-#: Bytes (about) of the pre-tokens and of the words that a worker remembers, and of one entry besides its text and ids.
-MOST_BYTES, ENTRY_BYTES = 28 << 20, 200
+#: Bytes (about) of the words and of the pre-tokens that a worker remembers, and of one entry besides its text and ids.
+WORD_BYTES, PIECE_BYTES, ENTRY_BYTES = 112 << 20, 56 << 20, 200
 #: Characters whose splitting and lower case are the same in Python as in the tokenizer: ASCII, Latin-1 letters, common punctuation.
 PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e¡§«·»¿À-ÿ–—‘’“”…]*")
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
@@ -58,14 +58,25 @@ def check_kind(tokenizer: Tokenizer) -> None:
 
 
 class Words(dict):
-    """Ids by word; a word met for the first time gets an empty buffer, kept in ``new`` to be filled."""
+    """Ids by word; a word met for the first time gets an empty buffer, kept in ``new`` to be filled.
 
-    def __init__(self) -> None:
+    What the generation before knows is taken from it: what is not asked for in a whole generation is forgotten.
+    """
+
+    def __init__(self, before: Words | None = None) -> None:
         super().__init__()
+        self.before: dict[str, bytes] = before if before is not None else {}
+        if before is not None:
+            before.before = {}
         self.new: dict[str, bytearray] = {}
         self.bytes = 0
 
-    def __missing__(self, word: str) -> bytearray:
+    def __missing__(self, word: str) -> bytes | bytearray:
+        got = self.before.get(word)
+        if got is not None:
+            self[word] = got
+            self.bytes += ENTRY_BYTES + 3 * len(word)
+            return got
         self[word] = self.new[word] = buffer = bytearray()
         return buffer
 
@@ -92,6 +103,7 @@ class Encoder:
         self.bytes = [len(t) - len(END) * t.endswith(END) for t in self.tokens]  # one character stands for a byte
         self.decimals = [str(i) for i in range(size)]
         self.pieces: dict[str, bytes] = {}
+        self.pieces_before: dict[str, bytes] = {}
         self.piece_bytes = 0
         self.words = Words()
 
@@ -135,12 +147,10 @@ class Encoder:
         if words.new:
             self.fill_words()
         out = [self.foreign(x) if ids is None else b"".join(ids) for x, ids in zip(texts, found)]
-        if words.bytes > MOST_BYTES:
-            words.clear()
-            words.bytes = 0
-        if self.piece_bytes > MOST_BYTES:
-            self.pieces.clear()
-            self.piece_bytes = 0
+        if words.bytes > WORD_BYTES // 2:
+            self.words = Words(words)
+        if self.piece_bytes > PIECE_BYTES // 2:
+            self.pieces_before, self.pieces, self.piece_bytes = self.pieces, {}, 0
         return out
 
     def fill_words(self) -> None:
@@ -148,6 +158,11 @@ class Encoder:
         pieces, new, words = self.pieces, self.words.new, self.words
         split = list(map(PIECE.findall, new))  # no pre-token reaches over white space
         lacking = list(set(chain.from_iterable(split)).difference(pieces))
+        known = [p for p in lacking if p in self.pieces_before]
+        if known:
+            pieces.update((p, self.pieces_before[p]) for p in known)
+            self.piece_bytes += sum(ENTRY_BYTES + 3 * len(p) for p in known)
+            lacking = [p for p in lacking if p not in pieces]
         for at in range(0, len(lacking), 20_000):
             some = lacking[at : at + 20_000]
             data = self.foreign(" ".join(some))
@@ -163,8 +178,8 @@ class Encoder:
             for x in some:
                 if len(x) > LONGEST_KEPT:
                     del kept[x]
-        words.bytes += sum(ENTRY_BYTES + len(x) + 2 * len(i) for x, i in zip(new, ids))
-        self.piece_bytes += sum(ENTRY_BYTES + len(x) + 4 * len(x) for x in lacking)
+        words.bytes += sum(ENTRY_BYTES + 3 * len(x) for x in new)
+        self.piece_bytes += sum(ENTRY_BYTES + 3 * len(x) for x in lacking)
         new.clear()
 
     def foreign(self, text: str) -> bytes:

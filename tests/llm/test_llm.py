@@ -286,12 +286,13 @@ def test_samples_of_very_large_tables_are_not_empty(spark):
 
 
 def test_bpe_forgets_within_its_bound_and_refuses_other_vocabularies(tmp_path, monkeypatch):
-    monkeypatch.setattr(bpe, "MOST_BYTES", 2000)
+    monkeypatch.setattr(bpe, "WORD_BYTES", 8000)
+    monkeypatch.setattr(bpe, "PIECE_BYTES", 6000)
     e, rng = bpe.Encoder(bpe.vocabulary_path()), random.Random(8)
     for _ in range(30):
         text = " ".join(f"word{rng.randrange(900)}" for _ in range(40))
         assert e.encode(text) == e.whole.encode(text, add_special_tokens=False).ids
-        assert e.words.bytes <= 2000 and e.piece_bytes <= 2000
+        assert e.words.bytes <= 4000 and e.piece_bytes <= 3000 and len(e.words) + len(e.words.before) < 200 and not getattr(e.words.before, "before", {})
     other = tmp_path / "other.json"
     other.write_text('{"version":"1.0","truncation":null,"padding":null,"added_tokens":[],"normalizer":null,"pre_tokenizer":null,"post_processor":null,"decoder":null,"model":{"type":"BPE","dropout":null,"unk_token":null,"continuing_subword_prefix":null,"end_of_word_suffix":null,"fuse_unk":false,"byte_fallback":false,"ignore_merges":false,"vocab":{"a":0},"merges":[]}}')
     with pytest.raises(ValueError):
