@@ -2,9 +2,9 @@
 
 The standard library's parser feeds one pass that cuts a page into lines, one for each block, and counts the tags of
 each. Text-to-tag ratios along the lines are smoothed by a Gaussian, a two-cluster threshold tells content from
-furniture, and the element that holds the content lines is the region; its lines and the content lines outside it,
-each with the headings right before it, are the text, without parts that are furniture by name (menus, forms, notices,
-comments, ...).
+furniture, and the smallest element that holds most of the content lines is the region; its lines and the content lines
+outside it, each with the headings right before it, are the text, without parts that are furniture by name (menus, forms,
+notices, comments, ...).
 """
 
 from __future__ import annotations
@@ -110,6 +110,11 @@ class Lines(HTMLParser):
             self.cut()
         del self.stack[k:]
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """What starts with ``<![`` ends at the next ``>``, whatever it holds."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
     def handle_data(self, data: str) -> None:
         if self.stack and self.stack[-1][0] in ("script", "style", "template", "title"):
             return
@@ -149,20 +154,19 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     size = np.array([len(x.text[0]) for x in lines], float)
-    ratios = smoothed(size / np.array([max(1, x.tags) for x in lines]))
-    content = ratios > threshold(ratios) if ratios.max() > ratios.min() else np.ones(len(lines), bool)
-    # article and main elements that hold most of the content are the region, else the smallest element that does
+    plain = size / np.array([max(1, x.tags) for x in lines])
+    ratios = smoothed(plain)
+    cut = threshold(ratios) if ratios.max() > ratios.min() else -1.0
+    content = ratios > cut
+    # the smallest element that holds most of the content lines is the region, whatever its name
     held: dict[int, float] = {}
     for x, n, c in zip(lines, size, content):
         for region in set(x.path) if c else ():
             held[region] = held.get(region, 0.0) + n
-    named = {r for r in held if parser.regions[r] in ("article", "main")}
     enough = MOST_OF_CONTENT * size[content].sum()
-    if sum(n for x, n, c in zip(lines, size, content) if c and not named.isdisjoint(x.path)) >= enough:
-        regions = named
-    else:
-        regions = {max((r for r in held if held[r] >= enough), default=-1)}
-    keep = [bool(c) or regions == {-1} or not regions.isdisjoint(x.path) for x, c in zip(lines, content)]
+    region = max((r for r in held if held[r] >= enough), default=-1)
+    # outside of it a line must be dense by itself, not just stand beside dense ones
+    keep = [region == -1 or region in x.path or bool(c and r > cut) for x, c, r in zip(lines, content, plain)]
     for k in range(len(lines) - 2, -1, -1):
         keep[k] = keep[k] or lines[k].heading and keep[k + 1]
     kept = [x for x, k in zip(lines, keep) if k]
@@ -172,7 +176,7 @@ def main_text(html: str | None) -> str:
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of ``pages(page_id, url, html)``.
 
-    A page without text gives an empty text. Each row is read alone: repeated rows get equal results, an empty table
+    A page without text gives an empty text, and malformed markup is read as browsers do or passed over. Each row is read alone: repeated rows get equal results, an empty table
     an empty one; other columns are not read.
     """
 

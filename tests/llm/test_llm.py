@@ -330,17 +330,42 @@ def test_audio_alignment(spark):
     assert len(audio.samples_of_wav(None)) == len(audio.samples_of_wav(b"no")) == 0
 
 
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = corpus_pipeline.run(spark, SF)
-    assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    ids = {r["doc_id"] for r in rows.collect()}
-    assert 0.7 * docs.count() < len(ids) <= docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs.limit(0), SF).count() == 0, name
-    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
-    texts = collections.Counter(r["text"] for r in docs.collect())
-    assert {r["text"] for r in kept.collect()} <= set(texts) and kept.groupBy("text").count().where("count > 1").count() == 0
+def test_pipeline_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.DOCUMENT)
+    rows = [r.asDict() for r in docs.collect()]
+    # what each stage decides, row by row or by comparing all rows with each other
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = [r for r in rows if model.score(r["text"])[0] < 0.5]
+    kept = spark.createDataFrame([tuple(r.values()) for r in rows], DOCS)
+    named = language.label_texts([r["text"] for r in rows], language.train(kept))
+    rows = [r for r, (lang, *_) in zip(rows, named) if lang != "und"]
+    rows.sort(key=lambda r: r["doc_id"])
+    root = slow_similar([r["text"] for r in rows])
+    rows = [r for k, r in enumerate(rows) if root[k] == k]
+    words = [WORD.findall(r["text"]) for r in rows]
+    count = collections.Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    e, want, lengths = bpe.Encoder(bpe.vocabulary_path()), set(), collections.Counter()
+    for r, w in zip(rows, words):
+        gone = {j for i in range(len(w) - 34) if count[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        text = " ".join(x for j, x in enumerate(w) if j not in gone) if gone else r["text"]
+        ids = np.array([*e.whole.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        for piece, start in enumerate(range(0, len(ids), 2048)):
+            part = ids[start : start + 2048]
+            lengths[len(part)] += 1
+            want.add((r["doc_id"], piece, start, len(part), zlib.crc32(part.tobytes())))
+    got = corpus_pipeline.run(spark, SF)
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    found = got.collect()
+    assert len(found) == len(want) and {tuple(r)[:5] for r in found} == want
+    plan = packing.best_fit(lengths, 2048)
+    assert len({r["sequence_id"] for r in found}) == max(first + many for _, _, many, first, _ in plan)
+
+
+def test_pipeline_stages_take_empty_tables_and_odd_rows(spark):
+    odd = documents(spark, ["", "some words here", "some words here", None], [(None, "a text without an id", None, None, None)] * 2)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), SF).count() == 0, name
+        assert stage(spark, odd, SF).count() >= 2, name
 
 
 def word_shingles(text):
@@ -480,6 +505,37 @@ def test_audio_reads_odd_files():
     assert len(audio.fingerprint(np.zeros(10))[0]) == 0
 
 
+def unnamed_page(rng):
+    """A page whose furniture has no telling name: lists of links around a story; and the story's paragraphs."""
+    words = lambda n: " ".join(rng.choice(["river", "lantern", "meadow", "winter", "of", "the", "carried", "slowly"]) for _ in range(n))
+    links = lambda: "<div><ul>" + "".join(f"<li><a href='/{k}'>{words(1)}</a> <a href='#'>{words(1)}</a></li>" for k in range(rng.randrange(6, 14))) + "</ul></div>"
+    story = [words(rng.randrange(25, 60)) for _ in range(rng.randrange(6, 12))]
+    return f"<html><body>{links()}<div><div>{''.join(f'<p>{x}</p>' for x in story)}</div></div>{links()}</body></html>", story
+
+
+def test_html_regions_come_from_the_clustered_ratios(spark, monkeypatch):
+    rng = random.Random(12)
+    pages = [unnamed_page(rng) for _ in range(60)]
+    want = ["\n".join(story) for _, story in pages]
+    assert [html_text.main_text(page) for page, _ in pages] == want
+    named = [page.replace("<div><div>", "<article><div>").replace("</div></div><div><ul>", "</div></article><div><ul>") for page, _ in pages]
+    assert [html_text.main_text(page) for page in named] == want
+    rows = [(k, "u", page) for k, (page, _) in enumerate(pages[:5])] + [(0, "u", pages[0][0])]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
+    got = html_text.extract_main_text(table).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == sorted((k, want[k]) for k in (0, 0, 1, 2, 3, 4))
+    assert html_text.extract_main_text(table.limit(0)).count() == 0
+    noise = np.random.default_rng(1)
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios: noise.random(len(ratios)))
+    assert sum(html_text.main_text(page) != text for (page, _), text in zip(pages, want)) > 50
+
+
+@pytest.mark.parametrize("bad, text", [("<![foo[x]]>a", "a"), ("<![ >a<p>b", "a\nb"), ("<![CDATA[x]]><p>y", "y"), ("<p>a<!--", None), ("<a <b", None), ("</", None), ("&#xfffffffff;&bogus;", None), ("<" * 3000, None), ("<div>" * 5000 + "x", "x"), ("<![", None)])
+def test_html_reads_malformed_pages(bad, text):
+    got = html_text.main_text(bad)
+    assert isinstance(got, str) and (text is None or got == text)
+
+
 def test_html_keeps_content_outside_the_chosen_element():
     story = "".join(f"<p>Sentence number {k} of the long story goes on and on for quite a while, as stories do.</p>" for k in range(8))
     card = "<article class=card><p>A teaser that is long enough to be content of its own, were it the only one here.</p></article>"
