@@ -17,6 +17,7 @@ A digest is 128 bits over the very words at the source coordinates, in their ord
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fernsieve.llm.common import NUMBER_ROWS, SLOTS, WordHashes, bytes_of, is_set, kept_in_worker, map_batches, mix, slots_of, table
+from fernsieve.llm.common import NUMBER_ROWS, SLOTS, bytes_of, is_set, map_batches, mix, slots_of, table
 from fernsieve.plans.staging import drop_staged, stage_table
 
 WINDOW, KMER = 35, 15
 BASE = 0x9E3779B97F4A7C15  # odd: it has an inverse modulo 2 ** 64
+LONGEST = 64  # a multiple of 8
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 class Powers:
@@ -48,17 +51,45 @@ class Powers:
 POWERS = Powers()
 
 
-class Pieces:
+class Words:
+    """The words of one text, joined by a space, and where each begins; one more start is where the next would."""
+
+    def __init__(self, words: list[bytes], window: int) -> None:
+        self.joined, self.window = b" ".join(words), window
+        spaces = np.flatnonzero(np.frombuffer(self.joined, np.uint8) == 32)  # no word holds one
+        self.starts = np.concatenate([[0], spaces + 1, [len(self.joined) + 1]])
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word, eight bytes of all words at a time; words over LONGEST bytes go one by one."""
+        starts, sizes = self.starts[:-1], np.diff(self.starts)
+        eights = np.ndarray(len(self.joined) + 2, "<u8", self.joined + b" " + bytes(8), 0, (1,))  # the eight bytes from each place on
+        out = np.zeros(len(sizes), np.uint64)
+        for k in range(0, min(int(sizes.max()), LONGEST), 8):
+            which = np.flatnonzero(sizes > k)
+            got = (out[which] ^ (eights[starts[which] + k] & LOW_BYTES[np.minimum(sizes[which] - k, 8)])) * np.uint64(BASE)
+            out[which] = got ^ (got >> np.uint64(29))
+        for k in np.flatnonzero(sizes > LONGEST).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(self.joined[self.starts[k] : self.starts[k + 1] - 1])
+        return out
+
+    def digests(self, first: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """(run, 2) longs: 128 bits of the words that runs of edges stand on."""
+        a, b = self.starts[first].tolist(), (self.starts[first + edges + self.window - 1] - 1).tolist()
+        joined, digest = self.joined, xxhash.xxh3_128_digest
+        return np.frombuffer(b"".join([digest(joined[x:y]) for x, y in zip(a, b)]), "<i8").reshape(-1, 2)
+
+
+class Pieces(Words):
     """The pieces of one text: first edge, number of edges, hash of the minimizer, digest of the words."""
 
-    def __init__(self, words: list[bytes], known: WordHashes, window: int, kmer: int) -> None:
-        self.words, self.window = words, window
-        hashes = known.of(words)
+    def __init__(self, words: list[bytes], window: int, kmer: int) -> None:
+        super().__init__(words, window)
+        hashes = self.hashes()
         up, down = POWERS.upto(len(hashes) + 1)
         sums = np.zeros(len(hashes) + 1, np.uint64)
         np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
-        at = np.arange(len(words) - kmer + 1)
-        grams = mix((sums[at + kmer] - sums[at]) * down[at])
+        at = len(hashes) - kmer + 1
+        grams = mix((sums[kmer:] - sums[:at]) * down[:at])
         n, span = len(words) - window + 1, window - kmer + 1
         least = np.empty(n, np.int64)
         for k in range(0, n, 1 << 15):
@@ -67,15 +98,6 @@ class Pieces:
         self.first = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
         self.edges = np.diff(np.concatenate([self.first, [n]]))
         self.minimizer = grams[least[self.first]].view(np.int64)
-        self.joined = b" ".join(words)
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        self.starts = np.concatenate([[0], np.cumsum(sizes)])
-
-    def digests(self, first: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """(run, 2) longs: 128 bits of the words that runs of edges stand on."""
-        a, b = self.starts[first].tolist(), (self.starts[first + edges + self.window - 1] - 1).tolist()
-        joined, digest = self.joined, xxhash.xxh3_128_digest
-        return np.frombuffer(b"".join([digest(joined[x:y]) for x, y in zip(a, b)]), "<i8").reshape(-1, 2)
 
 
 def gathered(names: list[str], rows: list[tuple]) -> dict[str, np.ndarray]:
@@ -87,11 +109,11 @@ def pieces_of(keyed: DataFrame, window: int, kmer: int) -> DataFrame:
     """One row for each piece of each text with at least ``window`` words."""
 
     def work(cols: dict[str, list]) -> dict[str, np.ndarray]:
-        known, rows = kept_in_worker("words", WordHashes), []
+        rows = []
         for r1, r2, text in zip(cols["r1"], cols["r2"], cols["text"]):
             words = bytes_of(text).split()
             if len(words) >= window:
-                p = Pieces(words, known, window, kmer)
+                p = Pieces(words, window, kmer)
                 d, n = p.digests(p.first, p.edges), len(p.first)
                 rows.append((np.full(n, r1), np.full(n, r2), p.first, p.edges, p.minimizer, d[:, 0], d[:, 1]))
         return gathered(["r1", "r2", "first", "edges", "minimizer", "d1", "d2"], rows)
@@ -99,18 +121,18 @@ def pieces_of(keyed: DataFrame, window: int, kmer: int) -> DataFrame:
     return map_batches(keyed.select("r1", "r2", "text"), work, "r1 bigint, r2 bigint, first bigint, edges bigint, minimizer bigint, d1 bigint, d2 bigint")
 
 
-def edges_of(keyed: DataFrame, wanted: DataFrame, window: int, kmer: int) -> DataFrame:
+def edges_of(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The single edges of the pieces ``wanted(r1, r2, first, edges, minimizer)``, with their digests, once for each row of ``keyed``."""
     lists = wanted.groupBy("r1", "r2").agg(F.collect_set(F.struct("first", "edges", "minimizer")).alias("pieces"))  # as many as one text has pieces
+    lists = lists.select("r1", "r2", "pieces.first", "pieces.edges", "pieces.minimizer")
 
     def work(cols: dict[str, list]) -> dict[str, np.ndarray]:
-        known, rows = kept_in_worker("words", WordHashes), []
-        for r1, r2, text, pieces in zip(cols["r1"], cols["r2"], cols["text"], cols["pieces"]):
-            p = Pieces(bytes_of(text).split(), known, window, kmer)
-            edges = np.array([x["edges"] for x in pieces], np.int64)
-            first = np.repeat([x["first"] for x in pieces], edges) + np.arange(edges.sum()) - np.repeat(np.cumsum(edges) - edges, edges)
-            d, n = p.digests(first, np.ones_like(first)), len(first)
-            rows.append((np.full(n, r1), np.full(n, r2), first, np.repeat(np.array([x["minimizer"] for x in pieces], np.int64), edges), d[:, 0], d[:, 1]))
+        rows = []
+        for r1, r2, text, *pieces in zip(*(cols[c] for c in ("r1", "r2", "text", "first", "edges", "minimizer"))):
+            first, edges, minimizer = (np.array(x, np.int64) for x in pieces)
+            first = np.repeat(first, edges) + np.arange(edges.sum()) - np.repeat(np.cumsum(edges) - edges, edges)
+            d, n = Words(bytes_of(text).split(), window).digests(first, np.ones_like(first)), len(first)
+            rows.append((np.full(n, r1), np.full(n, r2), first, np.repeat(minimizer, edges), d[:, 0], d[:, 1]))
         return gathered(["r1", "r2", "first", "minimizer", "d1", "d2"], rows)
 
     one = keyed.select("r1", "r2", "text").join(lists, ["r1", "r2"])
@@ -150,7 +172,7 @@ def repeated_pieces(keyed: DataFrame, window: int, kmer: int) -> DataFrame:
     whole = shared.join(twice, digest).select("r1", "r2", "first", "edges", "d1", "d2", "copies")
     # where a minimizer has several kinds of pieces, one of each kind is cut into edges
     cut = stage_table(counted.join(several, "minimizer").select("source.*", "minimizer", "copies"), "cut")
-    edges = stage_table(edges_of(keyed, cut.drop("copies"), window, kmer), "edges")
+    edges = stage_table(edges_of(keyed, cut.drop("copies"), window), "edges")
     kinds = edges.groupBy(*digest).agg(F.count("*").alias("kinds")).where("kinds > 1").select(*digest)
     # of the edges that two kinds have, those are still to be named that stand in a piece without a copy
     lone = cut.where("copies = 1").select("r1", "r2", F.explode(F.sequence("first", F.col("first") + F.col("edges") - 1)).alias("first"))
@@ -219,6 +241,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
     keyed = named_rows(docs.select(*keep))
     paths = compacted_paths(repeated_pieces(keyed.select("r1", "r2", "text"), window, kmer))
     spans = paths.groupBy("r1", "r2").agg(F.collect_list(F.struct("first", "edges")).alias("_spans"))  # at most one for each word of a text
+    spans = spans.select("r1", "r2", F.array("_spans.first", "_spans.edges").alias("_spans"))
 
     def work(cols: dict[str, list]) -> dict[str, list]:
         spans = cols.pop("_spans")
@@ -228,12 +251,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
             words = bytes_of(text).split()
             out["n_words"].append(len(words))
             if found:
-                first = np.array([x["first"] for x in found], np.int64)
-                edges = np.array([x["edges"] for x in found], np.int64)
+                first, edges = np.array(found, np.int64)
                 depth = np.zeros(len(words) + 1, np.int64)
                 np.add.at(depth, first, 1)
                 np.add.at(depth, first + edges + window - 1, -1)
-                words = [words[k] for k in np.flatnonzero(np.cumsum(depth[:-1]) == 0)]
+                words = list(compress(words, (np.cumsum(depth[:-1]) == 0).tolist()))
             out["n_removed"].append(out["n_words"][-1] - len(words))
             out["kept"].append(b" ".join(words).decode("utf-8", "surrogatepass"))
         return out

@@ -228,6 +228,16 @@ def test_paths_compact_and_name_equal_spans(spark):
     assert len([r for r in got if r["doc_id"] == 0]) <= 60
 
 
+def test_word_hashes_follow_the_words_alone():
+    words = [b"a", b"a\0", b"12345678", b"123456789", b"x" * 63, b"x" * 64, b"x" * 65, b"x" * 5000, "ж中".encode()]
+    rng = random.Random(4)
+    several = [rng.choice(words) for _ in range(300)]
+    alone = {w: substrings.Words([w], 1).hashes()[0] for w in words}
+    got = substrings.Words(several, 1)
+    assert len(set(alone.values())) == len(words) and [alone[w] for w in several] == got.hashes().tolist()
+    assert [got.joined[a : b - 1] for a, b in zip(got.starts, got.starts[1:])] == several
+
+
 def test_substrings_query_matches_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
