@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,6 +32,9 @@ SCRIPTS = (
     (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, ""), (0x3040, "kana"), (0x3100, ""), (0x3400, "han"), (0xA000, ""), (0xAC00, "hangul"), (0xD7B0, ""), (0xF900, "han"), (0xFB00, "latin"), (0xFB50, "arabic"), (0xFE00, ""), (0x20000, "han"), (0x30000, ""),
 )
 STARTS = [a for a, _ in SCRIPTS]
+LATIN_ENDS = chr(SCRIPTS[1][0])
+#: Characters of texts, and words, that are scored at a time.
+MOST_LETTERS, MOST_NEW = 1 << 20, 1 << 12
 
 
 def script_of(word: str) -> str:
@@ -43,7 +47,7 @@ def script_of(word: str) -> str:
 
 def by_script(word: str) -> list[str]:
     """The stretches of a word that are written in one script; letters without one go with those before them."""
-    if word.isascii():
+    if max(word) < LATIN_ENDS:
         return [word]
     cuts, now = [0], ""
     for k, c in enumerate(word):
@@ -69,6 +73,15 @@ class Model:
         return None if fits is None or fits.all() or not fits.any() else fits
 
 
+def numbered(gram: str) -> int:
+    """One to three characters as a number."""
+    return sum(ord(c) << 21 * k for k, c in enumerate(reversed(gram)))
+
+
+def has_letter(word: str) -> bool:
+    return word.isalpha() or any(map(str.isalpha, word))
+
+
 class Scores(dict):
     """Rows of a table of scores by word, filled as words come; -1 for what has no letter."""
 
@@ -77,23 +90,35 @@ class Scores(dict):
         self.model, self.many = model, 0
         self.mixed: dict[str, list[str]] = {}  # words of several scripts, and their stretches
         self.rows = np.zeros((1024, len(model.langs)))
-        self.gram = {g: k for k, g in enumerate(g for by in model.grams for g in by)}
-        self.table = np.array([*(v for by in model.grams for v in by.values()), np.zeros(len(model.langs))])
+        grams = {numbered(g): v for by in model.grams for g, v in by.items()}
+        self.grams = np.array(sorted(grams), np.int64)
+        self.table = np.array([*(grams[g] for g in self.grams.tolist()), np.zeros(len(model.langs))])
+
+    def places_of(self, grams: np.ndarray) -> np.ndarray:
+        """Where numbered grams stand in the table; its last row, of zeros, for those that the model has not."""
+        none = len(self.grams)
+        at = np.searchsorted(self.grams, grams)
+        return np.where(self.grams[np.minimum(at, none - 1)] == grams, at, none) if none else at
 
     def spelled(self, words: list[str]) -> np.ndarray:
         """Log scores of words by their trigrams, each backing off to what the model has of its end."""
-        gram, none, ids, starts = self.gram, len(self.gram), [], []
-        for w in words:
-            starts.append(len(ids))
-            p = f"^{w}$"
-            for k in range(1, len(p)):
-                g = gram.get(p[max(0, k - 2) : k + 1])
-                if g is None:
-                    g = gram.get(p[k - 1 : k + 1])
-                    if g is None:
-                        g = gram.get(p[k], none)
-                ids.append(g)
-        return np.add.reduceat(self.table[ids], starts, axis=0) if words else np.zeros((0, len(self.model.langs)))
+        if not words:
+            return np.zeros((0, len(self.model.langs)))
+        letters = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le"), "<u4").astype(np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        first = np.cumsum(sizes) - sizes
+        one = letters[1:]
+        two = letters[:-1] << 21 | one
+        three = two.copy()
+        three[1:] |= letters[:-2] << 42
+        three[first] = two[first]  # a word's first letter has only the mark before it
+        ends = np.ones(len(letters) - 1, bool)
+        ends[first[1:] - 1] = False  # where the last one is the mark of a word's start
+        ids = self.places_of(three[ends])
+        for shorter in (two[ends], one[ends]):
+            missing = np.flatnonzero(ids == len(self.grams))
+            ids[missing] = self.places_of(shorter[missing])
+        return np.add.reduceat(self.table[ids], first - np.arange(len(words)), axis=0)
 
     def fresh(self, words: list[str]) -> np.ndarray:
         """Scores of lower-case words by language: 0 for the best, at least FLOOR for those that the script allows."""
@@ -106,25 +131,28 @@ class Scores(dict):
         raw -= raw.max(axis=1, keepdims=True)
         return np.where(np.isinf(raw), 4 * FLOOR, np.maximum(raw, FLOOR))
 
-    def of(self, words: list[str]) -> np.ndarray:
-        """Row of each word."""
-        try:
-            return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            pass
+    def learn(self, words: set[str]) -> None:
+        """Gives each word, and each stretch of a word of several scripts, its row."""
         if self.many > MOST_KEPT:
             self.clear()
             self.mixed.clear()
             self.many = 0
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        self.mixed.update((w, parts) for w in new if len(parts := by_script(w)) > 1)
-        self.update((w, -1) for w in new)
-        new = [w for w in new if w.isalpha() or any(map(str.isalpha, w))]
-        while self.many + len(new) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.many : self.many + len(new)] = self.fresh(new)
-        self.update(zip(new, range(self.many, self.many + len(new))))
-        self.many += len(new)
+        new = words.difference(self)
+        mixed = {w: parts for w in new if len(parts := by_script(w)) > 1}
+        self.mixed |= mixed
+        new = list(new.union(*mixed.values()).difference(self))
+        self.update(dict.fromkeys(new, -1))
+        new = [w for w in new if has_letter(w)]
+        for k in range(0, len(new), MOST_NEW):
+            part = new[k : k + MOST_NEW]
+            while self.many + len(part) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[self.many : self.many + len(part)] = self.fresh(part)
+            self.update(zip(part, range(self.many, self.many + len(part))))
+            self.many += len(part)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Row of each word; all have been learned."""
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
@@ -225,6 +253,19 @@ def stays(scores: np.ndarray) -> int | None:
     return best if (gain - np.minimum.accumulate(gain, axis=0)).max() <= SWITCH / 2 else None
 
 
+def groups_of(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Consecutive texts of MOST_LETTERS characters at most, or one longer text."""
+    group, size = [], 0
+    for text in texts:
+        if group and size + len(text or "") > MOST_LETTERS:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text or "")
+    if group:
+        yield group
+
+
 def label_texts(texts: list[str | None], model: Model, kept: Scores | None = None) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
     """(language, score, spans of (language, start, end)) of each text."""
     if not model.langs:
@@ -233,18 +274,19 @@ def label_texts(texts: list[str | None], model: Model, kept: Scores | None = Non
     words: list[np.ndarray] = []
     labels: list[np.ndarray | int | None] = []
     hard: dict[int, np.ndarray] = {}
-    for d, text in enumerate(texts):
-        found = WORD.findall(lower(text or ""))
-        rows = kept.of(found)
-        if not kept.mixed.keys().isdisjoint(found):
-            found = [x for w in found for x in kept.mixed.get(w, (w,))]
+    for group in groups_of(texts):
+        split = [WORD.findall(lower(text or "")) for text in group]
+        kept.learn(set().union(*split))
+        for found in split:
+            if not kept.mixed.keys().isdisjoint(found):
+                found = [x for w in found for x in kept.mixed.get(w, (w,))]
             rows = kept.of(found)
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        scores = kept.rows[rows[rows >= 0]]
-        words.append(size[rows >= 0])
-        labels.append(stays(scores) if len(scores) else None)
-        if labels[-1] is None and len(scores):
-            hard[d] = scores
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            scores = kept.rows[rows[rows >= 0]]
+            words.append(size[rows >= 0])
+            labels.append(stays(scores) if len(scores) else None)
+            if labels[-1] is None and len(scores):
+                hard[len(labels) - 1] = scores
     for d, path in zip(hard, viterbi(list(hard.values()))):
         labels[d] = path
     out = []
@@ -268,7 +310,7 @@ def places(text: str) -> list[tuple[int, int]]:
     for m in WORD.finditer(lower(text)):
         at = m.start()
         for part in by_script(m[0]):
-            if any(map(str.isalpha, part)):
+            if has_letter(part):
                 out.append((at, at + len(part)))
             at += len(part)
     return out
