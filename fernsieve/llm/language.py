@@ -23,6 +23,8 @@ from fernsieve.llm.common import bounded_sample, held_out, lower, map_batches, s
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 8_000, 200_000, 64_000_000
 #: What a change of language costs, how far a word's scores may lie apart, words a model and a worker remember.
 SWITCH, FLOOR, MOST_WORDS, MOST_KEPT = 6.0, -8.0, 50_000, 300_000
+#: Words of a block that is looked at to cut long texts.
+BLOCK = 16
 #: Letters in a row; a longer run, as of scripts without spaces, is as many words as it takes, each with a label of its own.
 WORD = re.compile(r"[^\W\d_]{1,64}")
 #: First code point of a range, its script ("" ends a range).
@@ -67,11 +69,6 @@ class Model:
     grams: tuple[dict[str, np.ndarray], ...] = ({}, {}, {})
     scripts: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def fits(self, word: str) -> np.ndarray | None:
-        """Which languages are written in the script of a word; None if that rules out all or none."""
-        fits = self.scripts.get(script_of(word))
-        return None if fits is None or fits.all() or not fits.any() else fits
-
 
 def numbered(gram: str) -> int:
     """One to three characters as a number."""
@@ -90,6 +87,8 @@ class Scores(dict):
         self.model, self.many = model, 0
         self.mixed: dict[str, list[str]] = {}  # words of several scripts, and their stretches
         self.rows = np.zeros((1024, len(model.langs)))
+        #: which languages are written in a script, where that rules out some but not all
+        self.masks = {s: fits for s, fits in model.scripts.items() if fits.any() and not fits.all()}
         grams = {numbered(g): v for by in model.grams for g, v in by.items()}
         self.grams = np.array(sorted(grams), np.int64)
         self.table = np.array([*(grams[g] for g in self.grams.tolist()), np.zeros(len(model.langs))])
@@ -126,7 +125,7 @@ class Scores(dict):
         for k, w in enumerate(words):
             if (known := self.model.words.get(w)) is not None:
                 raw[k] = known
-            if (fits := self.model.fits(w)) is not None:
+            if (fits := self.masks.get(script_of(w))) is not None:
                 raw[k, ~fits] = -np.inf
         raw -= raw.max(axis=1, keepdims=True)
         return np.where(np.isinf(raw), 4 * FLOOR, np.maximum(raw, FLOOR))
@@ -137,10 +136,10 @@ class Scores(dict):
             self.clear()
             self.mixed.clear()
             self.many = 0
-        new = words.difference(self)
+        new = [w for w in words if w not in self]
         mixed = {w: parts for w in new if len(parts := by_script(w)) > 1}
         self.mixed |= mixed
-        new = list(new.union(*mixed.values()).difference(self))
+        new = [w for w in set(new).union(*mixed.values()) if w not in self]
         self.update(dict.fromkeys(new, -1))
         new = [w for w in new if has_letter(w)]
         for k in range(0, len(new), MOST_NEW):
@@ -215,7 +214,7 @@ def viterbi(scores: list[np.ndarray]) -> list[np.ndarray]:
     kinds, longest = scores[order[0]].shape[1], int(sizes[0])
     starts = np.concatenate([[0], np.cumsum(sizes[:n])[:-1]])
     flat = np.concatenate([scores[d] for d in order[:n]])
-    came = np.zeros((len(flat), kinds), np.int8)  # 0: the same label before, else 1 + the label before
+    came = np.zeros((len(flat), kinds), np.int16)  # 0: the same label before, else 1 + the label before
     alive = np.searchsorted(-sizes[:n], -np.arange(longest), "left")
     value, rows = flat[starts].copy(), np.arange(n)
     for t in range(1, longest):
@@ -241,6 +240,32 @@ def viterbi(scores: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def sure_places(scores: np.ndarray) -> np.ndarray:
+    """Where a text can be cut in two whose best labels, found apart, are those of the whole.
+
+    In the middle of three blocks that favour the same label: the outer two by more than two changes cost, so the best
+    path is at that label in both; in all three all that words favour others by does not make up for half a change, so it
+    never leaves in between, nor at a cut there. Only every second block is cut, so each piece holds whole outer blocks.
+    """
+    n = len(scores) // BLOCK
+    blocks = scores[: n * BLOCK].reshape(n, BLOCK, -1)
+    best = blocks.sum(1).argmax(1)
+    others = blocks.copy()
+    others[np.arange(n), :, best] = -np.inf
+    ahead = blocks[np.arange(n), :, best] - others.max(2)
+    sure, behind = ahead.sum(1) > 2 * SWITCH, np.maximum(-ahead, 0).sum(1)
+    cut = (best[:-2] == best[1:-1]) & (best[1:-1] == best[2:]) & sure[:-2] & sure[2:] & (behind[:-2] + behind[1:-1] + behind[2:] <= SWITCH / 2)
+    middle = np.flatnonzero(cut) + 1
+    return middle[middle % 2 == 0] * BLOCK + BLOCK // 2
+
+
+def best_labels(scores: list[np.ndarray]) -> list[np.ndarray]:
+    """What ``viterbi`` gives, with texts cut at sure places: its steps are as many as the longest piece has words."""
+    pieces = [np.split(s, sure_places(s)) if len(s) >= 3 * BLOCK else [s] for s in scores]
+    found = iter(viterbi([x for parts in pieces for x in parts]))
+    return [np.concatenate([next(found) for _ in parts]) for parts in pieces]
+
+
 def stays(scores: np.ndarray) -> int | None:
     """The label of all words if no change of it can pay, else None.
 
@@ -287,7 +312,7 @@ def label_texts(texts: list[str | None], model: Model, kept: Scores | None = Non
             labels.append(stays(scores) if len(scores) else None)
             if labels[-1] is None and len(scores):
                 hard[len(labels) - 1] = scores
-    for d, path in zip(hard, viterbi(list(hard.values()))):
+    for d, path in zip(hard, best_labels(list(hard.values()))):
         labels[d] = path
     out = []
     for text, size, path in zip(texts, words, labels):

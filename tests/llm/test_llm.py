@@ -320,6 +320,37 @@ def test_viterbi_against_all_paths():
         assert one is None or np.isclose(cost([one] * len(s)), best)
 
 
+def test_sure_places_leave_the_best_labels_as_they_are():
+    rng, cuts = np.random.default_rng(5), 0
+    for _ in range(300):
+        true = np.repeat(rng.integers(0, 3, 12), rng.integers(1, 90, 12))
+        s = -np.abs(rng.normal(0, 3, (len(true), 3)))
+        s[np.arange(len(true)), true] *= rng.choice([0, 0.1, 0.3])
+        s = np.maximum(s - s.max(1, keepdims=True), language.FLOOR)
+        cost = lambda p, s=s: s[np.arange(len(p)), p].sum() - language.SWITCH * (np.diff(p) != 0).sum()
+        ((whole,), (cut,)) = language.viterbi([s]), language.best_labels([s])
+        assert np.isclose(cost(cut), cost(whole))
+        cuts += len(language.sure_places(s))
+    assert cuts > 300
+
+
+def test_language_words_are_scored_alike_however_texts_are_grouped(monkeypatch):
+    texts = ["abab xyxy baab", "", None, "привет abab мирabab", "xyxy " * 40, "x", "ªº ١٢ ..."]
+    model = language.fit(["abab abba baab " * 50, "xyxy yxxy xyyx " * 50, "привет мир слово " * 50], ["aa", "zz", "ru"])
+    want = [language.label_texts([t], model)[0] for t in texts]
+    monkeypatch.setattr(language, "MOST_LETTERS", 20)
+    monkeypatch.setattr(language, "MOST_NEW", 2)
+    monkeypatch.setattr(language, "MOST_KEPT", 3)
+    assert language.label_texts(texts, model) == want
+    p3, p2, p1 = model.grams
+    for word in ("abab", "x", "приab", "abq", "日"):
+        padded, total = f"^{word}$", 0
+        for k in range(1, len(padded)):
+            by = next((g[x] for g, x in ((p3, padded[max(0, k - 2) : k + 1]), (p2, padded[max(0, k - 2) : k + 1]), (p2, padded[k - 1 : k + 1]), (p1, padded[k])) if x in g), 0)
+            total = total + by
+        assert np.allclose(language.Scores(model).spelled([word])[0], total)
+
+
 def test_html(spark):
     page = "<html><head><title>t</title><script>x</script></head><body><nav><a>menu</a></nav><article><h1>A &amp;  B</h1><p>First <b>para</b>\n graph of the article, long enough.<p>Second one is long enough as well.<div class='ad'>buy</div><div id='comments'><p>nice</div></article><aside>side</aside><footer>foot</footer>"
     rows = [(1, "u", page), (2, "u", None), (3, "u", ""), (4, "u", "plain words"), (5, "u", "<div><p>unclosed <b>text")]
