@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernsieve.plans.staging import let_workers_import, stage_table
@@ -24,6 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A word, as every operator that counts them takes it.
+WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+
+
+def n_words(text: Column) -> Column:
+    """How many words a text has; null has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("bigint")
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of all ids that no model may learn from; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
@@ -143,3 +152,24 @@ def kept_in_worker(name: str, make: Callable[[], object]) -> object:
         _KEPT.clear()
         _KEPT[name] = make()
     return _KEPT[name]
+
+
+def running_sums(df: DataFrame, group: str, order: Sequence[str], sums: dict[str, Column], name: str = "running") -> DataFrame:
+    """Add to each row the sums, its own value included, over the rows of its ``group`` up to it along ``order``.
+
+    Built-in functions only. Rows are dealt to ranges of (group, order), so a group of any size lies in many tasks; what
+    joins the ranges is at most two rows for each, the sums of their first and last group. Rows that are equal in
+    ``order`` are summed in any order among themselves. ``group`` must not be null.
+    """
+    columns, names = df.columns, list(sums)
+    dealt = df.select("*", *[c.alias(f"_v_{n}") for n, c in sums.items()]).repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id())
+    dealt = stage_table(dealt, name)
+    ends = dealt.groupBy("_part").agg(F.min(group).alias("_low"), F.max(group).alias("_high"))
+    across = dealt.join(F.broadcast(ends), "_part").where((F.col(group) == F.col("_low")) | (F.col(group) == F.col("_high")))
+    totals = across.groupBy("_part", F.col(group).alias("_group")).agg(*[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in names])  # two rows a range
+    earlier = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(F.col("_part").alias("_in"), "_group", *[F.sum(f"_v_{n}").over(earlier).alias(f"_c_{n}") for n in names])
+    upto = Window.partitionBy("_part", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = dealt.select("*", *[F.sum(f"_v_{n}").over(upto).alias(f"_u_{n}") for n in names])
+    joined = local.join(F.broadcast(carried), (F.col("_part") == F.col("_in")) & (F.col(group) == F.col("_group")), "left")
+    return joined.select(*columns, *[(F.col(f"_u_{n}") + F.coalesce(f"_c_{n}", F.lit(0))).alias(n) for n in names])
