@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fernsieve.llm import audio, bpe, conversations, html_text, language, mixing, packing, quality, simhash, substrings, toxicity, url_filters
+from fernsieve.llm import audio, bpe, conversations, html_text, language, mixing, packing, quality, simhash, spelling, substrings, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_substrings": substrings.op10_substrings,
     "op11_mixing": mixing.op11_mixing,
     "op12_conversations": conversations.op12_conversations,
+    "op13_spelling": spelling.op13_spelling,
 }
-ORACLES = {"op1_url_filters": url_filters.ORACLE_SQL, "op10_substrings": substrings.ORACLE_SQL, "op11_mixing": mixing.ORACLE_SQL, "op12_conversations": conversations.ORACLE_SQL}
+ORACLES = {"op1_url_filters": url_filters.ORACLE_SQL, "op10_substrings": substrings.ORACLE_SQL, "op11_mixing": mixing.ORACLE_SQL, "op12_conversations": conversations.ORACLE_SQL, "op13_spelling": spelling.ORACLE_SQL}
