@@ -1,4 +1,4 @@
-"""Measures of rasters, and how rasters are shown side by side; all of them stay on the JVM."""
+"""How rasters are shown side by side; all of it stays on the JVM."""
 
 from __future__ import annotations
 
@@ -9,27 +9,6 @@ from pyspark.sql import functions as F
 USEFUL_SCALE, UNLIKE_WIDTHS = 1.05, 1.35
 
 
-def laplacian_variance(pixels: Column, width: Column, height: Column, stride: Column) -> Column:
-    """Variance of the four-neighbour Laplacian over the interior of a raster of rows ``stride`` apart.
-
-    0 for a side of fewer than three pixels; null where pixels or a size are null. Sums are whole numbers, so the
-    result does not depend on any order.
-    """
-    across, down = width - 2, height - 2
-    inner = F.when((across > 0) & (down > 0), F.sequence(F.lit(0), (across * down - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    at = lambda i: F.get(pixels, i).cast("bigint")
-
-    def value(k: Column) -> Column:
-        i = ((F.floor(k / across) + 1) * stride + k % across + 1).cast("int")
-        return 4 * at(i) - at(i - 1) - at(i + 1) - at((i - stride).cast("int")) - at((i + stride).cast("int"))
-
-    zero = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("q"))
-    sums = F.aggregate(F.transform(inner, value), zero, lambda a, v: F.struct((a["s"] + v).alias("s"), (a["q"] + v * v).alias("q")))
-    n = F.size(inner)
-    variance = F.when(n > 0, sums["q"] / n - (sums["s"] / n) * (sums["s"] / n)).otherwise(0.0)
-    return F.when(pixels.isNotNull() & width.isNotNull() & height.isNotNull() & stride.isNotNull(), variance)
-
-
 def _known(*sizes: Column) -> Column:
     out = F.lit(True)
     for s in sizes:

@@ -186,11 +186,3 @@ def crop_marks(boxes: dict[str, tuple[int, int, int, int]], dpi: int = 300) -> l
     rows = ((ty, iy - gap, iy - gap - long), (ty + th, iy + ih + gap, iy + ih + gap + long))
     columns = ((tx, ix - gap, ix - gap - long), (tx + tw, ix + iw + gap, ix + iw + gap + long))
     return [m for x, x1, x2 in columns for y, y1, y2 in rows for m in ((x, y1, x, y2), (x1, y, x2, y))]
-
-
-def exposure_stats(pixels: Column) -> Column:
-    """Struct of mean luma (0 to 1) and the shares of pixels (0 to 255) that are black or white; null without pixels."""
-    n = F.nullif(F.size(pixels), F.lit(0))
-    mean = F.aggregate(pixels, F.lit(0).cast("bigint"), lambda s, x: s + x) / (n * 255.0)
-    dark, light = F.size(F.filter(pixels, lambda x: x <= BLACK)) / n, F.size(F.filter(pixels, lambda x: x >= WHITE)) / n
-    return F.when(n > 0, F.struct(mean.alias("luma"), dark.alias("shadow"), light.alias("highlight")))

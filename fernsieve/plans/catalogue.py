@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernsieve.functions import scalar
+from fernsieve.functions import rasters, scalar
 from fernsieve.operators import actions, albums, audit, decisions, explain, pool, sampling, scoring, sessions, sweep, vectors
 from fernsieve.plans.staging import stage_table
 from fernsieve.plans.views import view, with_views
@@ -285,7 +285,7 @@ def population_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM (SELECT vec_id, list_transform(range(64), lambda i: (vec_id * 7 + i * i * 13) % 256) AS p FROM embeddings)""")
 def pixel_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (F.col("vec_id") * 7 + i * i * 13) % 256)
-    got = library.read_table(spark, sf_dir, "embeddings").select("vec_id", scalar.exposure_stats(pixels).alias("e"))
+    got = library.read_table(spark, sf_dir, "embeddings").select("vec_id", rasters.exposure_stats(rasters.packed(pixels), F.lit(64), F.lit(1), F.lit(64)).alias("e"))
     return got.select("vec_id", F.round("e.luma", 9).alias("luma"), "e.shadow", "e.highlight")
 
 

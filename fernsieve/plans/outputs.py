@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernsieve.functions import imaging
+from fernsieve.functions import imaging, rasters
 from fernsieve.operators import exports, pipeline, scoring, sentences
 from fernsieve.plans.catalogue import WEIGHED, query
 from fernsieve.plans.staging import stage_table
@@ -20,8 +20,23 @@ v AS (SELECT id, 4 * p[y * 8 + x + 1] - p[y * 8 + x] - p[y * 8 + x + 2] - p[y *
 SELECT r.id, round(coalesce(var_pop(v), 0), 4) AS variance FROM r LEFT JOIN v USING (id) GROUP BY r.id""")
 def laplacian_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = F.expr("transform(sequence(0, 71), i -> (vec_id * 31 + i * i * 7 + i * 13) % 256)")
-    rasters = view(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), pixels.alias("p"), (2 + F.col("vec_id") % 7).alias("w"), (1 + F.col("vec_id") % 9).alias("h"))
-    return rasters.select("id", F.round(imaging.laplacian_variance(F.col("p"), F.col("w"), F.col("h"), F.lit(8)), 4).alias("variance"))
+    made = view(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), pixels.alias("p"), (2 + F.col("vec_id") % 7).alias("w"), (1 + F.col("vec_id") % 9).alias("h"))
+    return made.select("id", F.round(rasters.laplacian_variance(rasters.packed(F.col("p")), F.col("w"), F.col("h"), F.lit(8)), 4).alias("variance"))
+
+
+@query(sql="""WITH b AS (SELECT doc_id AS id, hex(encode(text)) AS x, cast(length(hex(encode(text))) // 96 AS bigint) AS h FROM documents),
+r AS (SELECT id, h, [('0x' || substr(x, 2 * i + 1, 2))::int FOR i IN range(48 * h)] AS p FROM b WHERE x IS NOT NULL),
+v AS (SELECT id, 4 * p[y * 48 + x + 1] - p[y * 48 + x] - p[y * 48 + x + 2] - p[y * 48 + x - 47] - p[y * 48 + x + 49] AS v FROM (SELECT id, p, unnest(range(1, h - 1)) AS y FROM r WHERE h > 2), range(1, 47) a(x)),
+d AS (SELECT id, var_pop(v) AS laplacian FROM v GROUP BY id)
+SELECT b.id, b.h AS height, CASE WHEN r.id IS NOT NULL THEN round(coalesce(d.laplacian, 0), 4) END AS laplacian, CASE WHEN r.h > 0 THEN round(list_sum(p) / (len(p) * 255.0::double), 9) WHEN r.h = 0 THEN 0 END AS luma,
+  CASE WHEN r.h > 0 THEN len(list_filter(p, lambda x: x <= 3)) / len(p)::double WHEN r.h = 0 THEN 0 END AS shadow, CASE WHEN r.h > 0 THEN len(list_filter(p, lambda x: x >= 252)) / len(p)::double WHEN r.h = 0 THEN 0 END AS highlight
+FROM b LEFT JOIN r ON r.id = b.id LEFT JOIN d ON d.id = b.id""")
+def text_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detail and exposure of every text's bytes, taken as a raster 48 wide; both from one pass."""
+    made = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "utf-8").alias("pixels"))
+    made = made.withColumn("height", F.floor(F.octet_length("pixels") / 48))
+    got = made.select("id", "height", rasters.raster_measures(F.col("pixels"), F.lit(48), F.col("height"), F.lit(48)).alias("m"))
+    return got.select("id", "height", F.round("m.laplacian", 4).alias("laplacian"), F.round("m.luma", 9).alias("luma"), "m.shadow", "m.highlight")
 
 
 ENTRY = "json_object('count', count(*), 'size_bytes', cast(coalesce(sum(filesize), 0) AS bigint))"

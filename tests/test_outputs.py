@@ -20,14 +20,6 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-def test_laplacian_of_small_rasters(spark):
-    flat = F.array(*map(F.lit, [0, 0, 0, 9, 0, 9, 0, 9, 0, 0, 0, 9]))  # three rows, four apart
-    assert one(spark, imaging.laplacian_variance(flat, F.lit(3), F.lit(3), F.lit(4))) == 0.0  # one pixel has no variance
-    assert one(spark, imaging.laplacian_variance(flat, F.lit(4), F.lit(3), F.lit(4))) == statistics.pvariance([4 * 9, -9 - 9])
-    assert one(spark, imaging.laplacian_variance(flat, F.lit(2), F.lit(3), F.lit(4))) == 0.0
-    assert one(spark, imaging.laplacian_variance(F.lit(None).cast("array<int>"), F.lit(3), F.lit(3), F.lit(4))) is None
-
-
 def test_scales_and_placement(spark):
     scale = lambda *x: one(spark, imaging.largest_scale(*map(F.lit, x)))
     assert scale(1600, 1000, 800, 500) == 2.0 and scale(400, 100, 800, 500) == 0.5 and scale(0, 100, 800, 500) is None
