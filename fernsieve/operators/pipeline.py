@@ -85,7 +85,6 @@ def assessed(members: DataFrame) -> DataFrame:
 
     ``members`` has cluster_id, member_ord, uuid, embedding, sharpness, winner, ambiguous and dropped.
     """
-    pairs = vectors.pair_distances(members.select("cluster_id", "uuid", "member_ord", "embedding"), "cluster_id")
-    apart = vectors.pair_statistics(pairs, "cluster_id").select("cluster_id", "diameter", F.col("median").alias("median_distance"))
+    apart = vectors.pair_statistics(members.select("cluster_id", "uuid", "member_ord", "embedding"), "cluster_id").select("cluster_id", "diameter", F.col("median").alias("median_distance"))
     of = members.groupBy("cluster_id").agg(F.count("*").alias("size"), F.first("winner").alias("winner"), F.first("ambiguous").alias("ambiguous"), (F.count("sharpness") > 0).alias("sharpness_available"), F.first("dropped").alias("dropped"))
     return stage_table(of.join(apart, "cluster_id", "left").select("cluster_id", "size", "winner", "ambiguous", "diameter", "median_distance", "sharpness_available", "dropped"), "assessed")

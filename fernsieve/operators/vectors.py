@@ -1,25 +1,162 @@
-"""Distances inside groups, and complete-linkage clustering of each group."""
+"""Distances inside groups, their exact order statistics, and complete-linkage clustering, for groups of any size.
+
+Members of a group are dealt to blocks, and pairs of blocks are cells: a task holds one cell, whatever the group. Groups
+that fit a block share cells, so that many small ones cost no more than their pairs.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernsieve.functions.scalar import l2_distance
+from fernsieve.operators.components import connected_components
+from fernsieve.operators.sessions import number_runs
+from fernsieve.plans.staging import drop_staged, let_workers_import, sent_if_few, stage_table
+
+#: Members of a block; a cell holds two blocks of them, and distances of one member at a time.
+BLOCK = 1024
+#: Members of a component that one task links with a matrix of all of them, and pairs that a task takes.
+MATRIX, TASK_PAIRS = 1_000, 250_000
+#: Bits of a distance that each pass over the pairs settles, from the highest.
+SETTLED = (24, 20, 20)
+
+
+def in_cells(vectors: DataFrame, group: str, work: Callable[[pa.Table, Iterator[tuple[int, np.ndarray, np.ndarray]]], pa.Table], schema: str, extra: DataFrame | None = None) -> DataFrame:
+    """Apply ``work`` to every cell of ``vectors(group, uuid, member_ord, embedding)``.
+
+    It gets the cell's rows and an iterator of (row, others, distances): each unordered pair of a group is in one cell,
+    once. Rows with a null group or vector are in no pair; vectors of one group have one length,
+    or the job fails. ``extra(group, ...)`` is joined to the rows.
+    """
+    let_workers_import(vectors.sparkSession)
+    usable = vectors.where(F.col(group).isNotNull() & F.col("embedding").isNotNull()).select(group, "uuid", F.col("member_ord").cast("bigint").alias("member_ord"), F.col("embedding").cast("array<double>").alias("embedding"))
+    if extra is not None:
+        usable = usable.join(sent_if_few(extra), group)
+    sizes = stage_table(usable.groupBy(group).agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    rows, n_large = sizes.agg(F.coalesce(F.sum(F.when(F.col("n") <= BLOCK, F.col("n"))), F.lit(0)), F.count_if(F.col("n") > BLOCK)).first()
+    shared = max(1, -(-rows // BLOCK))
+    sized = usable.join(sent_if_few(sizes), group)
+    small = sized.where(F.col("n") <= BLOCK).withColumns({"_x": F.lit(-1), "_y": F.pmod(F.xxhash64(group), F.lit(shared)).cast("int"), "_b": F.lit(False), "_of": F.lit(None).cast(dict(vectors.dtypes)[group])})
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    large = sized.where(F.col("n") > BLOCK).withColumn("_s", F.pmod(F.xxhash64("uuid"), blocks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    large = large.withColumns({"_x": F.least("_s", "_o"), "_y": F.greatest("_s", "_o"), "_b": F.col("_s") > F.col("_o"), "_of": F.col(group)}).drop("_s", "_o")
+    dealt = small.unionByName(large) if n_large else small
+
+    def cell(rows: pa.Table) -> pa.Table:
+        return work(rows, pairs_of(rows, group))
+
+    return dealt.drop("n").groupBy("_of", "_x", "_y").applyInArrow(cell, schema)
 
 
-def pair_distances(vectors: DataFrame, group: str = "bucket_id") -> DataFrame:
-    """Every unordered pair of a group with its distance; members come in member_ord. The group key keeps it a hash join."""
-    a = vectors.select(group, F.col("uuid").alias("uuid_a"), F.col("member_ord").alias("ord_a"), F.col("embedding").alias("va"))
-    b = vectors.select(group, F.col("uuid").alias("uuid_b"), F.col("member_ord").alias("ord_b"), F.col("embedding").alias("vb"))
-    return a.join(b, group).where("ord_a < ord_b").select(group, "uuid_a", "uuid_b", l2_distance(F.col("va"), F.col("vb")).alias("distance"))
+def pairs_of(rows: pa.Table, group: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, others, distances) for the rows of a cell: within a block or small groups all pairs, else those across."""
+    order, across = np.asarray(rows["member_ord"]), np.asarray(rows["_b"])
+    vectors = rows["embedding"].combine_chunks()
+    lengths = np.asarray(vectors.value_lengths())
+    values, starts = np.asarray(vectors.flatten()), np.concatenate([[0], np.cumsum(lengths)])
+    codes = np.unique(np.asarray(rows[group].to_pandas().astype(str)), return_inverse=True)[1]
+    whole = bool((np.asarray(rows["_x"]) != np.asarray(rows["_y"])).all() and np.asarray(rows["_x"])[0] >= 0)
+    by = np.lexsort((order, codes))
+    for own in np.split(by, np.flatnonzero(np.diff(codes[by])) + 1):
+        if len(set(lengths[own].tolist())) > 1:
+            raise ValueError("vectors of one group differ in length")
+        x = np.stack([values[starts[k] : starts[k + 1]] for k in own])
+        if whole:  # a row of the first block against all of the second
+            first, second = own[~across[own]], own[across[own]]
+            others = x[across[own]]
+            for k, row in zip(first, x[~across[own]]):
+                if len(second):
+                    yield k, second, np.sqrt(((others - row) ** 2).sum(axis=1))
+        else:
+            for at in range(len(own) - 1):
+                yield own[at], own[at + 1 :], np.sqrt(((x[at + 1 :] - x[at]) ** 2).sum(axis=1))
 
 
-def pair_statistics(pairs: DataFrame, group: str = "bucket_id") -> DataFrame:
-    """Largest and median distance of each group's pairs."""
-    return pairs.groupBy(group).agg(F.count("*").alias("pairs"), F.max("distance").alias("diameter"), F.median("distance").alias("median"))
+def pair_distances(vectors: DataFrame, group: str = "bucket_id", below: float = np.inf, places: bool = False) -> DataFrame:
+    """Every unordered pair of a group nearer than ``below``: group, uuid_a, uuid_b (in member_ord) and distance.
+
+    ``places`` adds ord_a and ord_b. The pairs of a group come from many tasks.
+    """
+
+    def work(rows: pa.Table, pairs: Iterator) -> pa.Table:
+        order, a, b, d = np.asarray(rows["member_ord"]), [], [], []
+        for k, others, distances in pairs:
+            near = distances < below
+            b.append(others[near])
+            a.append(np.full(near.sum(), k))
+            d.append(distances[near])
+        a, b, d = (np.concatenate(c) if c else np.array([], kind) for c, kind in ((a, np.int64), (b, np.int64), (d, np.float64)))
+        a, b = np.where(order[a] <= order[b], a, b), np.where(order[a] <= order[b], b, a)
+        at = lambda c, k: rows[c].combine_chunks().take(pa.array(k))
+        return pa.table({group: at(group, a), "uuid_a": at("uuid", a), "uuid_b": at("uuid", b), "distance": d} | ({"ord_a": order[a], "ord_b": order[b]} if places else {}))
+
+    kinds = dict(vectors.dtypes)
+    return in_cells(vectors, group, work, f"{group} {kinds[group]}, uuid_a {kinds['uuid']}, uuid_b {kinds['uuid']}, distance double" + (", ord_a bigint, ord_b bigint" if places else ""))
+
+
+def pair_statistics(vectors: DataFrame, group: str = "bucket_id") -> DataFrame:
+    """pairs, diameter (largest distance) and median of each group of two or more vectors, exactly.
+
+    No distances are kept: their bits order as they do, so a pass over the pairs counts them by their highest 24 bits, and
+    two more settle 20 bits each of the one or two values in the middle. A group costs three passes over its pairs.
+    """
+    kinds = dict(vectors.dtypes)
+    if vectors.isEmpty():
+        return vectors.sparkSession.createDataFrame([], f"{group} {kinds[group]}, pairs bigint, diameter double, median double")
+    wanted, totals, shift = None, None, 64
+    for bits in SETTLED:
+        shift -= bits
+        counts = stage_table(in_cells(vectors, group, bit_counts(group, shift, bits), f"{group} {kinds[group]}, parent bigint, bin bigint, n bigint, most double", wanted and wanted.groupBy(group).agg(F.collect_set("parent").alias("parents"))), "bits")
+        counts = counts.groupBy(group, "parent", "bin").agg(F.sum("n").alias("n"), F.max("most").alias("most"))
+        if totals is None:
+            counts = stage_table(counts, "bins")
+            totals = stage_table(counts.groupBy(group).agg(F.sum("n").alias("pairs"), F.max("most").alias("diameter")), "totals")
+            ranks = F.explode(F.array_distinct(F.array(F.floor((F.col("pairs") - 1) / 2), F.floor(F.col("pairs") / 2))))
+            wanted = totals.select(group, ranks.alias("rank"), F.lit(0).cast("bigint").alias("parent"), F.lit(0).cast("bigint").alias("below"))
+        upto = Window.partitionBy(group, "rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        placed = wanted.join(counts.drop("most"), [group, "parent"]).withColumn("upto", F.col("below") + F.sum("n").over(upto)).where("upto > rank")
+        first = placed.groupBy(group, "rank").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("n")).alias("below")), "bin").alias("at"))
+        wanted = stage_table(first.select(group, "rank", F.col("at.bin").alias("parent"), F.col("at.below").alias("below")), "ranks")
+
+    def as_distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.asarray(b.column(1)).view(np.float64))], names=[group, "value"])
+
+    values = wanted.select(group, "parent").mapInArrow(as_distance, f"{group} {kinds[group]}, value double")
+    middle = values.groupBy(group).agg(F.avg("value").alias("median"))  # of one value or two
+    return totals.join(middle, group).select(group, "pairs", "diameter", "median")
+
+
+def bit_counts(group: str, shift: int, bits: int) -> Callable[[pa.Table, Iterator], pa.Table]:
+    """Counts of a cell's distances by their bits from ``shift`` up, of those whose bits further up are a parent of the group."""
+
+    def work(rows: pa.Table, pairs: Iterator) -> pa.Table:
+        names, parents = rows[group].combine_chunks(), rows["parents"].to_pylist() if "parents" in rows.column_names else None
+        codes = np.unique(np.asarray(names.to_pandas().astype(str)), return_inverse=True)[1]
+        seen: dict[int, list] = {}  # a block's square of distances at most
+        for k, _, distances in pairs:
+            seen.setdefault(int(codes[k]), []).append((int(k), distances))
+        out = []
+        for lists in seen.values():
+            k, distances = lists[0][0], np.concatenate([d for _, d in lists])
+            at = distances.view(np.int64) >> shift
+            above = at >> bits if parents else None
+            for parent in parents[k] if parents else (0,):
+                bins, n = np.unique(at[above == parent] if parents else at, return_counts=True)
+                out += [(k, parent, b, c, 0.0) for b, c in zip(bins.tolist(), n.tolist())]
+            if not parents:
+                out[-1] = (*out[-1][:4], float(distances.max()))
+        columns = list(zip(*out)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        of, parent, bins, n, most = (pa.array(c, t) for c, t in zip(columns, kinds))
+        return pa.table({group: names.take(of), "parent": parent, "bin": bins, "n": n, "most": most})
+
+    return work
 
 
 def complete_linkage(uuids: list[str], distances: np.ndarray, cut: float) -> list[list[int]]:
@@ -67,20 +204,81 @@ def complete_linkage(uuids: list[str], distances: np.ndarray, cut: float) -> lis
     return sorted((sorted(m) for m in members.values() if len(m) > 1), key=lambda m: m[0])
 
 
-def linkage_clusters(vectors: DataFrame, cut: float, group: str = "bucket_id") -> DataFrame:
-    """Cluster each group's vectors; rows are (group, cluster_ord, member_ord, uuid) of clusters of two or more.
+def linked_in_tasks(pairs: DataFrame, cut: float) -> DataFrame:
+    """(gone, keep) for each cluster of ``pairs(root, a, b, ...)`` that is merged into an earlier one; components are small."""
+    chunks = max(1, -(-pairs.count() // TASK_PAIRS))
 
-    Complete linkage of a group needs the group's whole matrix. Groups are time buckets here, which are small; a
-    group is one task.
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in frame.groupby("root"):
+            names = pd.concat([part[["ord_a", "a", "uuid_a"]].set_axis(["o", "i", "u"], axis=1), part[["ord_b", "b", "uuid_b"]].set_axis(["o", "i", "u"], axis=1)]).drop_duplicates("i").sort_values("o").reset_index(drop=True)
+            place = {i: k for k, i in enumerate(names["i"])}
+            d = np.full((len(names), len(names)), np.inf)
+            x, y = part["a"].map(place).to_numpy(), part["b"].map(place).to_numpy()
+            d[x, y] = d[y, x] = part["distance"].to_numpy()
+            out += [(names["i"][k], names["i"][m[0]]) for m in complete_linkage(names["u"].tolist(), d, cut) for k in m[1:]]
+        return pd.DataFrame(out, columns=["gone", "keep"])
+
+    return pairs.withColumn("_chunk", F.pmod(F.xxhash64("root"), F.lit(chunks))).groupBy("_chunk").applyInPandas(work, "gone string, keep string")
+
+
+def merged_once(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Merge all pairs of clusters that are each other's nearest: (gone, keep), and the pairs of what there is then.
+
+    Complete linkage is reducible, with ties too: a cluster that is nearest to neither of two cannot, merged with another,
+    come nearer than they are to each other. So these merges are among those that going from the closest pair upwards
+    makes. A merged cluster is near another only if all their parts were, at the farthest of the distances.
     """
+    key = F.struct("distance", F.least("uuid_a", "uuid_b").alias("lo"), F.greatest("uuid_a", "uuid_b").alias("hi"))
+    ends = pairs.select(F.col("a").alias("x"), key.alias("key"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("x"), key.alias("key"), F.col("a").alias("other")))
+    best = stage_table(ends.groupBy("x").agg(F.min_by("other", "key").alias("other")), "nearest")
+    mutual = best.alias("p").join(best.alias("q"), (F.col("p.x") == F.col("q.other")) & (F.col("p.other") == F.col("q.x"))).select(F.col("p.x").alias("a"), F.col("q.x").alias("b"))
+    merges = stage_table(pairs.join(mutual, ["a", "b"]).select(F.col("b").alias("gone"), F.col("a").alias("keep"), "ord_a", "uuid_a"), "merges")
+    moved = stage_table(merges.select(F.col("gone").alias("old"), F.col("keep").alias("new"), F.col("ord_a").alias("o"), F.col("uuid_a").alias("u")).unionByName(merges.select(F.col("keep").alias("old"), F.col("keep").alias("new"), F.col("ord_a").alias("o"), F.col("uuid_a").alias("u"))), "moved")
+    sent, named = sent_if_few(moved), pairs
+    for side in ("a", "b"):
+        one = sent.select(F.col("old").alias(side), F.col("new").alias("_n"), F.col("o").alias("_o"), F.col("u").alias("_u"))
+        named = named.join(one, side, "left").withColumns({f"w_{side}": F.when(F.col("_n").isNull(), 1).otherwise(2), f"ord_{side}": F.coalesce("_o", f"ord_{side}"), f"uuid_{side}": F.coalesce("_u", f"uuid_{side}"), side: F.coalesce("_n", side)}).drop("_n", "_o", "_u")
+    turned = F.col("ord_a") > F.col("ord_b")
+    part = lambda c, first: F.when(turned if first else ~turned, F.col(f"{c}b")).otherwise(F.col(f"{c}a")).alias(f"{c}{'a' if first else 'b'}")
+    named = named.where("a <> b").select(*[part(c, first) for c in ("", "ord_", "uuid_") for first in (True, False)], "distance", (F.col("w_a") * F.col("w_b")).alias("need"))
+    kept = named.groupBy("a", "b", "ord_a", "ord_b", "uuid_a", "uuid_b").agg(F.max("distance").alias("distance"), F.count("*").alias("have"), F.max("need").alias("need")).where("have = need")
+    return merges.select("gone", "keep"), stage_table(kept.drop("have", "need"), "pairs")
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("member_ord").reset_index(drop=True)
-        x = np.stack(frame["embedding"].to_numpy()).astype(float)
-        d = np.sqrt(np.stack([((x - row) ** 2).sum(axis=1) for row in x]))
-        rows = [(frame[group][0], c, k, frame["uuid"][i]) for c, m in enumerate(complete_linkage(frame["uuid"].tolist(), d, cut)) for k, i in enumerate(m)]
-        return pd.DataFrame(rows, columns=[group, "cluster_ord", "member_ord", "uuid"])
 
+def linkage_clusters(vectors: DataFrame, cut: float, group: str = "bucket_id") -> DataFrame:
+    """Complete linkage of each group's vectors; rows are (group, cluster_ord, member_ord, uuid) of clusters of two or more.
+
+    The closest pair of clusters merges while nearer than ``cut``, as in ``complete_linkage``. Clusters lie within the
+    components of the graph of near pairs, so only pairs under the cut go on. Components of MATRIX members at most are
+    linked in one task each; of larger ones all mutually nearest clusters merge at once, by joins, until what is left
+    falls into small components. No task holds a group, and what it holds is bounded. Uuids are distinct in a group, null
+    vectors are in no cluster, and an empty table gives an empty result.
+    """
+    name = lambda u: F.concat(F.col(group).cast("string"), F.lit("\x01"), F.col(u).cast("string"))
+    pairs = stage_table(pair_distances(vectors, group, cut, places=True).select(name("uuid_a").alias("a"), name("uuid_b").alias("b"), F.col("uuid_a").cast("string").alias("uuid_a"), F.col("uuid_b").cast("string").alias("uuid_b"), "ord_a", "ord_b", "distance"), "near")
+    every = stage_table(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("node"), F.col("a").alias("label")), "labels")
+    left, split_from = pairs.count(), None
+    while left:
+        if split_from is None or left * 2 <= split_from:  # looked for again once half of the pairs are gone
+            split_from = left
+            roots = stage_table(connected_components(pairs.select("a", "b")), "roots")
+            sizes = roots.groupBy("root").agg((F.count("*") > MATRIX).alias("large"))
+            told = stage_table(pairs.join(roots.join(sizes, "root").withColumnRenamed("node", "a"), "a"), "parted")
+            merges, pairs = linked_in_tasks(told.where("not large"), cut), told.where("large").drop("root", "large")
+            drop_staged(roots)
+        else:
+            merges, pairs = merged_once(pairs)
+        before, every = every, stage_table(every.join(sent_if_few(stage_table(merges, "merged")).withColumnRenamed("gone", "label"), "label", "left").select("node", F.coalesce("keep", "label").alias("label")), "labels")
+        drop_staged(before)
+        left = pairs.count()
     kinds = dict(vectors.dtypes)
-    usable = vectors.where("embedding is not null").select(group, "uuid", "member_ord", "embedding")
-    return usable.groupBy(group).applyInPandas(work, f"{group} {kinds[group]}, cluster_ord int, member_ord int, uuid string")
+    members = vectors.where(F.col(group).isNotNull()).select(group, "uuid", "member_ord", name("uuid").alias("node")).join(every, "node")
+    firsts = members.groupBy("label").agg(F.min("member_ord").alias("_first"), F.count("*").alias("_size")).where("_size > 1")
+    placed = stage_table(members.join(firsts, "label").select(group, "uuid", "member_ord", "_first"), "members")
+    rows = number_runs(placed, [group, "_first", "member_ord"], F.lit(True), ["member_ord"], "_row")
+    clusters = number_runs(placed.where("member_ord = _first").select(group, "_first"), [group, "_first"], F.lit(True), ["_first"], "_cluster")
+    starts = clusters.groupBy(group).agg(F.min("_cluster").alias("_low"))
+    first_row = rows.where("member_ord = _first").select(group, "_first", F.col("_row").alias("_at"))
+    numbered = rows.join(first_row, [group, "_first"]).join(clusters, [group, "_first"]).join(starts, group)
+    return numbered.select(group, (F.col("_cluster") - F.col("_low")).cast("int").alias("cluster_ord"), (F.col("_row") - F.col("_at")).cast("int").alias("member_ord"), F.col("uuid").cast(kinds["uuid"]).alias("uuid"))

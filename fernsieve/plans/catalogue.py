@@ -172,12 +172,12 @@ PAIRS = """pairs AS (SELECT a.bucket_id, a.uuid AS uuid_a, b.uuid AS uuid_b, lis
 
 @query("vectors", sql="&" + PAIRS + " SELECT bucket_id, uuid_a, uuid_b, round(distance, 6) AS distance FROM pairs WHERE distance < 1.25")
 def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.pair_distances(view(spark, sf_dir, "vectors")).where(F.col("distance") < LINK_CUT).withColumn("distance", F.round("distance", 6))
+    return vectors.pair_distances(view(spark, sf_dir, "vectors"), below=LINK_CUT).withColumn("distance", F.round("distance", 6))
 
 
 @query("vectors", sql="&" + PAIRS + " SELECT bucket_id, count(*) AS pairs, round(max(distance), 6) AS diameter, round(median(distance), 6) AS median FROM pairs GROUP BY bucket_id")
 def pair_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = vectors.pair_statistics(vectors.pair_distances(view(spark, sf_dir, "vectors")))
+    stats = vectors.pair_statistics(view(spark, sf_dir, "vectors"))
     return stats.select("bucket_id", "pairs", F.round("diameter", 6).alias("diameter"), F.round("median", 6).alias("median"))
 
 
