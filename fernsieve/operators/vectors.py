@@ -99,6 +99,25 @@ def pair_distances(vectors: DataFrame, group: str = "bucket_id", below: float =
     return in_cells(vectors, group, work, f"{group} {kinds[group]}, uuid_a {kinds['uuid']}, uuid_b {kinds['uuid']}, distance double" + (", ord_a bigint, ord_b bigint" if places else ""))
 
 
+def farthest_pairs(vectors: DataFrame, group: str = "bucket_id") -> DataFrame:
+    """group, uuid_a, uuid_b and distance of a farthest pair of each group of two vectors or more; a cell hands on one row for each of its groups."""
+
+    def work(rows: pa.Table, pairs: Iterator) -> pa.Table:
+        codes = np.unique(np.asarray(rows[group].to_pandas().astype(str)), return_inverse=True)[1]
+        best: dict[int, tuple] = {}
+        for k, others, distances in pairs:
+            at = int(distances.argmax())
+            if distances[at] > best.get(int(codes[k]), (-1.0,))[0]:
+                best[int(codes[k])] = (float(distances[at]), int(k), int(others[at]))
+        d, a, b = zip(*best.values()) if best else ((), (), ())
+        at = lambda c, k: rows[c].combine_chunks().take(pa.array(k, pa.int64()))
+        return pa.table({group: at(group, a), "uuid_a": at("uuid", a), "uuid_b": at("uuid", b), "distance": pa.array(d, pa.float64())})
+
+    kinds = dict(vectors.dtypes)
+    found = in_cells(vectors, group, work, f"{group} {kinds[group]}, uuid_a {kinds['uuid']}, uuid_b {kinds['uuid']}, distance double")
+    return found.groupBy(group).agg(F.max_by(F.struct("uuid_a", "uuid_b"), "distance").alias("pair"), F.max("distance").alias("distance")).select(group, "pair.*", "distance")
+
+
 def pair_statistics(vectors: DataFrame, group: str = "bucket_id") -> DataFrame:
     """pairs, diameter (largest distance) and median of each group of two or more vectors, exactly.
 

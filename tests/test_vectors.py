@@ -3,8 +3,9 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from fernsieve.operators import vectors
+from fernsieve.operators import pool, vectors
 from fernsieve.operators.vectors import complete_linkage
 
 SCHEMA = "bucket_id int, uuid string, member_ord int, embedding array<float>, n int"
@@ -72,3 +73,35 @@ def test_vectors_of_several_lengths_are_refused(spark):
     df = spark.createDataFrame([(1, "a", 0, [1.0], 1), (1, "b", 1, [1.0, 2.0], 1)], SCHEMA)
     with pytest.raises(Exception, match="differ in length"):
         vectors.pair_distances(df).collect()
+
+
+def way(p, q):
+    a, b = np.radians(p), np.radians(q)
+    h = np.sin((b[0] - a[0]) / 2) ** 2 + np.cos(a[0]) * np.cos(b[0]) * np.sin((b[1] - a[1]) / 2) ** 2
+    return 2 * 6371.0088 * np.arcsin(min(1.0, np.sqrt(h)))
+
+
+def test_spread_over_poles_the_date_line_and_many_places(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 24)
+    rng = random.Random(12)
+    trips = {
+        0: [(10.0, 179.9), (10.0, -179.9), (10.1, 179.5)],  # over the date line
+        1: [(90.0, 0.0), (-90.0, 77.0), (0.0, 0.0)], 2: [(0.0, 10.0), (0.0, -170.0), (1.0, 10.0)],  # antipodes
+        3: [(5.0, 5.0)] * 4, 4: [(1.0, 1.0)], 5: [(None, 3.0), (2.0, None)],
+        6: [(47 + rng.random(), 8 + rng.random()) for _ in range(300)],  # a town
+        7: [(89.5 + rng.random() / 2, rng.uniform(-180, 180)) for _ in range(200)],  # around a pole
+        8: [(float(np.degrees(np.arcsin(rng.uniform(-1, 1)))), rng.uniform(-180, 180)) for _ in range(150)],  # everywhere
+        9: [(0.0, -180 + k * 2.0) for k in range(180)],  # a ring, where everybody has an antipode
+        10: [(40.0 + rng.choice([0, 0.0001]) * k, 20.0) for k in range(60)] + [(40.0, 20.3)],
+    }
+    rows = [(t, f"u{t}-{k}", "2025-06-01 10:00:00", lat, lon, 3) for t, places in trips.items() for k, (lat, lon) in enumerate(places)]
+    df = spark.createDataFrame(rows, "trip_ord int, uuid string, date string, latitude double, longitude double, place int").withColumn("date", F.to_timestamp("date"))
+    got = {r["trip_ord"]: r for r in pool.trip_spread(df).collect()}
+    for t, places in trips.items():
+        known = [p for p in places if None not in p]
+        want = max((way(p, q) for p in known for q in known), default=None) if len(known) > 1 else None
+        assert got[t]["size"] == len(places) and (got[t]["spread_km"] is None) == (want is None)
+        assert want is None or abs(got[t]["spread_km"] - want) < 1e-4 and got[t]["wide"] == (want > 150)
+    assert pool.trip_spread(df.limit(0)).count() == 0
+    inside = pool.outer_places(df.where("trip_ord = 6").select("trip_ord", F.col("uuid").alias("place"), *[c.alias(n) for n, c in zip("xyz", (F.cos(F.radians("latitude")) * F.cos(F.radians("longitude")), F.cos(F.radians("latitude")) * F.sin(F.radians("longitude")), F.sin(F.radians("latitude"))))]))
+    assert inside.count() < 60  # of 300: the rest lie inside
