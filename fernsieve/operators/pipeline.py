@@ -41,7 +41,7 @@ def measured(wanted: DataFrame, kind: str, schema: str, measure: Measure, folder
     if folder is None:
         return stage_table(measure(wanted).select(*names), kind)
     at = cache.cache_folder(folder, kind, VERSION)
-    hits, misses = cache.hits_and_misses(wanted, cache.get(spark, at, schema))
+    hits, misses = cache.hits_and_misses(wanted, cache.get(spark, at, schema, wanted))
     fresh = stage_table(measure(misses).select(*names), kind)
     known = stage_table(hits.select(*names), kind)
     if not fresh.isEmpty():
