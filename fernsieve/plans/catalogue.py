@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernsieve.functions import rasters, scalar
-from fernsieve.operators import actions, albums, audit, decisions, explain, pool, sampling, scoring, sessions, sweep, vectors
-from fernsieve.plans.staging import stage_table
+from fernsieve.operators import actions, albums, audit, decision_log, decisions, explain, pool, sampling, scoring, sessions, sweep, vectors
+from fernsieve.plans.staging import shared_folder, stage_table
 from fernsieve.plans.views import view, with_views
 from fernsieve.schema import TYPE_FLAGS, SweepSettings
 from fernsieve.sources import cache, library
@@ -309,6 +310,18 @@ def decision_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _state(spark, sf_dir)
 
 
+@query("batches", "undos", "marks", sql="&" + STATE + " SELECT cluster_key, batch_id FROM state")
+def logged_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of a log that is written in two parts, with a snapshot between them."""
+    batches, undos = view(spark, sf_dir, "batches"), stage_table(view(spark, sf_dir, "undos"), "undos")
+    half = (batches.agg(F.max("batch_id")).first()[0] or 0) // 2
+    log = decision_log.DecisionLog(spark, f"{shared_folder(spark)}/log-{uuid.uuid4().hex}")
+    log.append(batches.where(F.col("batch_id") <= half), undos.where(F.col("batch_id") <= half // 2))
+    log.take_snapshot()
+    log.append(batches.where(F.col("batch_id") > half), undos.where(F.col("batch_id") > half // 2))
+    return log.state()
+
+
 @query("batches", "undos", sql="SELECT batch_id, cluster_key, batch_id IN (SELECT batch_id FROM undos) AS undone FROM batches ORDER BY batch_id DESC")
 def decision_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.history(view(spark, sf_dir, "batches"), view(spark, sf_dir, "undos"))
