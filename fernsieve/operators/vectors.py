@@ -268,11 +268,51 @@ def merged_once(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def linkage_clusters(vectors: DataFrame, cut: float, group: str = "bucket_id") -> DataFrame:
     """Complete linkage of each group's vectors; rows are (group, cluster_ord, member_ord, uuid) of clusters of two or more.
 
-    The closest pair of clusters merges while nearer than ``cut``, as in ``complete_linkage``. Clusters lie within the
-    components of the graph of near pairs, so only pairs under the cut go on. Components of MATRIX members at most are
-    linked in one task each; of larger ones all mutually nearest clusters merge at once, by joins, until what is left
-    falls into small components. No task holds a group, and what it holds is bounded. Uuids are distinct in a group, null
-    vectors are in no cluster, and an empty table gives an empty result.
+    The closest pair of clusters merges while nearer than ``cut``, as in ``complete_linkage``. Groups of MATRIX members at
+    most are linked by the matrix, many of them in a task. Larger ones are taken apart first (``linked_apart``), so that
+    what a task holds is bounded. Uuids are distinct in a group, null vectors and rows of a null group are in no cluster,
+    and an empty table gives an empty result.
+    """
+    usable = vectors.where(F.col(group).isNotNull() & F.col("embedding").isNotNull()).select(group, "uuid", "member_ord", "embedding")
+    large = stage_table(usable.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > MATRIX).select(group), "large")
+    if large.isEmpty():
+        return linked_whole(usable, cut, group)
+    sent = sent_if_few(large)
+    apart = linked_apart(usable.join(sent, group, "left_semi"), cut, group)
+    return linked_whole(usable.join(sent, group, "left_anti"), cut, group).unionByName(apart)
+
+
+def linked_whole(vectors: DataFrame, cut: float, group: str) -> DataFrame:
+    """Complete linkage by the matrices of small groups; a cell holds many of them."""
+
+    def work(rows: pa.Table, pairs: Iterator) -> pa.Table:
+        names, order, uuids = rows[group].combine_chunks(), np.asarray(rows["member_ord"]), rows["uuid"].to_pylist()
+        codes = np.unique(np.asarray(names.to_pandas().astype(str)), return_inverse=True)[1]
+        by = np.lexsort((order, codes))
+        of = np.split(by, np.flatnonzero(np.diff(codes[by])) + 1)
+        place = np.empty(len(by), np.int64)
+        matrix = {}
+        for own in of:
+            place[own] = np.arange(len(own))
+            matrix[int(codes[own[0]])] = np.zeros((len(own), len(own)))
+        for k, others, distances in pairs:
+            d = matrix[int(codes[k])]
+            d[place[k], place[others]] = d[place[others], place[k]] = distances
+        out = [(int(own[i]), c, k) for own in of for c, m in enumerate(complete_linkage([uuids[i] for i in own], matrix[int(codes[own[0]])], cut)) for k, i in enumerate(m)]
+        at, cluster, member = zip(*out) if out else ((), (), ())
+        take = pa.array(at, pa.int64())
+        return pa.table({group: names.take(take), "cluster_ord": pa.array(cluster, pa.int32()), "member_ord": pa.array(member, pa.int32()), "uuid": rows["uuid"].combine_chunks().take(take)})
+
+    kinds = dict(vectors.dtypes)
+    return in_cells(vectors, group, work, f"{group} {kinds[group]}, cluster_ord int, member_ord int, uuid {kinds['uuid']}")
+
+
+def linked_apart(vectors: DataFrame, cut: float, group: str) -> DataFrame:
+    """Complete linkage of groups of any size, of which no task holds one.
+
+    Clusters lie within the components of the graph of near pairs, so only pairs under the cut go on. Components of MATRIX
+    members at most are linked in one task each; of larger ones all mutually nearest clusters merge at once, by joins,
+    until what is left falls into small components.
     """
     name = lambda u: F.concat(F.col(group).cast("string"), F.lit("\x01"), F.col(u).cast("string"))
     pairs = stage_table(pair_distances(vectors, group, cut, places=True).select(name("uuid_a").alias("a"), name("uuid_b").alias("b"), F.col("uuid_a").cast("string").alias("uuid_a"), F.col("uuid_b").cast("string").alias("uuid_b"), "ord_a", "ord_b", "distance"), "near")
@@ -291,8 +331,7 @@ def linkage_clusters(vectors: DataFrame, cut: float, group: str = "bucket_id") -
         before, every = every, stage_table(every.join(sent_if_few(stage_table(merges, "merged")).withColumnRenamed("gone", "label"), "label", "left").select("node", F.coalesce("keep", "label").alias("label")), "labels")
         drop_staged(before)
         left = pairs.count()
-    kinds = dict(vectors.dtypes)
-    members = vectors.where(F.col(group).isNotNull()).select(group, "uuid", "member_ord", name("uuid").alias("node")).join(every, "node")
+    members = vectors.select(group, "uuid", "member_ord", name("uuid").alias("node")).join(every, "node")
     firsts = members.groupBy("label").agg(F.min("member_ord").alias("_first"), F.count("*").alias("_size")).where("_size > 1")
     placed = stage_table(members.join(firsts, "label").select(group, "uuid", "member_ord", "_first"), "members")
     rows = number_runs(placed, [group, "_first", "member_ord"], F.lit(True), ["member_ord"], "_row")
@@ -300,4 +339,4 @@ def linkage_clusters(vectors: DataFrame, cut: float, group: str = "bucket_id") -
     starts = clusters.groupBy(group).agg(F.min("_cluster").alias("_low"))
     first_row = rows.where("member_ord = _first").select(group, "_first", F.col("_row").alias("_at"))
     numbered = rows.join(first_row, [group, "_first"]).join(clusters, [group, "_first"]).join(starts, group)
-    return numbered.select(group, (F.col("_cluster") - F.col("_low")).cast("int").alias("cluster_ord"), (F.col("_row") - F.col("_at")).cast("int").alias("member_ord"), F.col("uuid").cast(kinds["uuid"]).alias("uuid"))
+    return numbered.select(group, (F.col("_cluster") - F.col("_low")).cast("int").alias("cluster_ord"), (F.col("_row") - F.col("_at")).cast("int").alias("member_ord"), "uuid")
