@@ -8,8 +8,10 @@ threshold; the hits vote for offsets, and the wrong bits at an offset with votes
 
 from __future__ import annotations
 
+import functools
 import io
 import wave
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,6 +37,8 @@ TURNS = np.array([[k >> b & 1 for k in range(1 << LOOSE)] for b in range(LOOSE)]
 QUERIES, RECORDINGS, CODES, FRAMES, HITS, FILTER_BITS = 512, 2048, 1 << 20, 1024, 1 << 20, 22
 #: A recording made of a vector: one note for each number.
 NOTE, LOW_NOTE, NOTES, REACH = 512, 57, 36, 0.5
+#: Notes that an excerpt of the query lacks at its beginning, and the noises of excerpts.
+EXCERPT, NOISES = 12, (0.05, 0.10)
 
 
 def samples_of_wav(data: bytes | None) -> np.ndarray:
@@ -299,18 +303,29 @@ def align_recordings(prints: DataFrame, key: str, is_query: Column) -> DataFrame
     least = F.min(F.struct(F.col("member").alias("id"), "codes", "loose"))
     classes = stage_table(found.groupBy("digest").agg(least.alias("least"), F.max("asks").alias("asks")).select("digest", "least.*", "asks"), "classes")
     members = found.join(classes.select("digest", "id"), "digest").select(F.lit("member").alias("kind"), F.col("id").alias("query"), "member")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 256)
     queries = blocks_of(classes.where("asks"), QUERIES, ["codes", "loose"], "q")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 256)
     cells = queries.crossJoin(blocks_of(classes, RECORDINGS, ["codes"], "m"))  # of blocks: the stated queries against all
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)  # a cell at a time
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     judged = cells.repartition(tasks).mapInArrow(compare_blocks, "query bigint, match bigint, offset int, votes bigint, errors double")
     matches = judged.select(F.lit("match").alias("kind"), "query", "match", "offset", "votes", "errors")
     return members.unionByName(matches, allowMissingColumns=True).select("kind", "query", "member", "match", "offset", "votes", "errors")
 
 
+def noisy_excerpt(vector: list[float] | None, noise: float) -> np.ndarray:
+    """A recording of the melody that begins EXCERPT notes late, with noise of that size; the same each time."""
+    samples = samples_of_vector(vector)[EXCERPT * NOTE :]
+    return samples + np.random.default_rng(zlib.crc32(repr(vector).encode())).normal(0, noise, len(samples))
+
+
 def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector of ``embeddings`` as a melody; those whose id is divisible by 50 are looked for among all."""
-    prints = fingerprint_recordings(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", samples_of_vector)
-    return align_recordings(prints, "vec_id", F.col("vec_id") % 50 == 0)
+    """Every vector of ``embeddings`` as a melody; those whose id is divisible by 50 are looked for among all.
+
+    So are two noisy excerpts of each of these, made from the same rows since no two melodies of the table are alike: of
+    vector k with noise NOISES[j], under the id -1 - (2 k + j). They are recordings like all others.
+    """
+    vectors, asked = table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0
+    prints = fingerprint_recordings(vectors, "embedding", "vec_id", samples_of_vector)
+    for j, noise in enumerate(NOISES):
+        some = vectors.where(asked).select((-1 - (2 * F.col("vec_id") + j)).alias("vec_id"), "embedding")
+        prints = prints.unionByName(fingerprint_recordings(some, "embedding", "vec_id", functools.partial(noisy_excerpt, noise=noise)))
+    return align_recordings(prints, "vec_id", asked | (F.col("vec_id") < 0))

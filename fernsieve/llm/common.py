@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from fernsieve.plans.staging import let_workers_import, stage_table
 
-#: Rows, and about so many bytes, that are worked on at a time: long texts stay well inside a worker's memory.
+#: Rows, and about so many bytes, that are worked on at a time: long texts stay well inside a worker's memory. Spark ends a
+#: batch at 64 MB by itself, so no operator sets the session's number of rows, which other plans would see.
 BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 #: Words whose hashes a worker remembers.
 MOST_HASHES = 250_000
-#: Rows of an Arrow batch of short rows, and bits of a filter.
+#: Rows of a batch of short rows that is given out, and bits of a filter.
 NUMBER_ROWS, SLOTS = 1 << 13, 1 << 26
 
 
@@ -73,7 +74,6 @@ def map_batches(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]
     from pyspark.sql.types import StructType
 
     let_workers_import(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     kinds = pa.schema([(f.name, arrow_type(f.dataType)) for f in StructType.fromDDL(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

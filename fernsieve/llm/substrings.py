@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fernsieve.llm.common import NUMBER_ROWS, SLOTS, bytes_of, is_set, map_batches, mix, slots_of, table
+from fernsieve.llm.common import SLOTS, bytes_of, is_set, map_batches, mix, slots_of, table
 from fernsieve.plans.staging import drop_staged, stage_table
 
 WINDOW, KMER = 35, 15
@@ -152,7 +152,6 @@ def with_partner(pieces: DataFrame) -> DataFrame:
             minimizer = batch.column(4).to_numpy()
             yield batch.filter(pa.array(is_set(bits.value, minimizer & (SLOTS - 1))))
 
-    pieces.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", NUMBER_ROWS)
     return stage_table(pieces.mapInArrow(work, pieces.schema), "shared")
 
 
