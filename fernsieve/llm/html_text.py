@@ -3,8 +3,9 @@
 The standard library's parser feeds one pass that cuts a page into lines, one for each block, and counts the tags of
 each. Text-to-tag ratios along the lines are smoothed by a Gaussian, a two-cluster threshold tells content from
 furniture, and the smallest element that holds most of the content lines is the region; its lines and the content lines
-outside it, each with the headings right before it, are the text, without parts that are furniture by name (menus, forms,
-notices, comments, ...).
+outside it, each with the headings right before it, are the text. Names that speak of furniture (menus, notices,
+comments, ...) weigh on a line's ratio: such a line, inside the region or not, is text only if it is dense even so. A first
+clustering without these weights says which class and id names to believe: not those that all of a page's content has.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fernsieve.llm.common import map_batches, table
 
-#: Elements that are never content, that break lines, that end by themselves, that a region can be.
-DROPPED = frozenset("script style noscript template nav header footer aside form button select option textarea label iframe object svg canvas dialog menu head title audio video map".split())
+#: Elements whose text is not shown as a part of the page or is no prose, elements that are furniture, that break lines, that end by themselves, that a region can be.
+UNSEEN = frozenset("script style noscript template button select option textarea label iframe object svg canvas head title audio video map".split())
+FURNISHING = frozenset("nav header footer aside form dialog menu".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -30,6 +32,8 @@ IMPLIED = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]),
 FURNITURE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adv|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|widget|complementary|contentinfo)(?:$|[\s_-])", re.I)
 SIGMA, RADIUS = 1.0, 2
 MOST_OF_CONTENT = 0.9
+#: What the ratio of a line of furniture is multiplied by, and content lines that a name must hold not to be believed.
+LIGHT, STORY = 0.03, 2
 
 
 @dataclass
@@ -37,7 +41,8 @@ class Line:
     text: list[str] = field(default_factory=list)
     tags: int = 0
     path: tuple[int, ...] = ()
-    furniture: bool = False
+    furniture: bool = False  # by its element
+    named: bool = False  # by a class, an id or a role
     heading: bool = False
 
 
@@ -46,7 +51,7 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # tag, number of the region or -1, furniture from here on
+        self.stack: list[tuple[str, int, str]] = []  # tag, number of the region or -1, what holds from here on: "u"nseen, "f"urniture, "n"amed
         self.lines: list[Line] = []
         self.now = Line()
         self.regions: list[str] = []
@@ -63,8 +68,15 @@ class Lines(HTMLParser):
     def place(self) -> None:
         if not self.now.text:
             self.now.path = tuple(n for _, n, _ in self.stack if n >= 0)
-            self.now.furniture = bool(self.stack) and self.stack[-1][2]
+            holds = self.stack[-1][2] if self.stack else ""
             self.now.heading = any(t in HEADINGS for t, _, _ in self.stack)
+            self.now.furniture = "f" in holds and not (self.now.heading and self.in_headline())
+            self.now.named = "n" in holds
+
+    def in_headline(self) -> bool:
+        """In a header of an article, and in no other furniture: its headline."""
+        tags = [t for t, _, _ in self.stack if t in FURNISHING or t in ("article", "main")]
+        return tags[-1:] == ["header"] and len(tags) > 1 and all(t in ("article", "main") for t in tags[:-1])
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -81,14 +93,15 @@ class Lines(HTMLParser):
             self.handle_data(" ")
         if tag in VOID:
             return
-        inside = bool(self.stack) and self.stack[-1][2]
+        holds = self.stack[-1][2] if self.stack else ""
         named = any(v and k in ("class", "id", "role") and FURNITURE.search(v) for k, v in attrs) and tag not in ("body", "html", "article", "main")
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
         region = -1
         if tag in REGIONS:
             region = len(self.regions)
             self.regions.append(tag)
-        self.stack.append((tag, region, inside or named or hidden or tag in DROPPED))
+        more = "u" * (hidden or tag in UNSEEN) + "f" * (tag in FURNISHING) + "n" * named
+        self.stack.append((tag, region, holds + "".join(c for c in more if c not in holds)))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -116,7 +129,7 @@ class Lines(HTMLParser):
         return end + 1 if end >= 0 else -1
 
     def handle_data(self, data: str) -> None:
-        if self.stack and self.stack[-1][0] in ("script", "style", "template", "title"):
+        if self.stack and "u" in self.stack[-1][2]:
             return
         self.place()
         self.now.text.append(data)
@@ -142,6 +155,15 @@ def threshold(ratios: np.ndarray) -> float:
     return float(np.expm1((low + high) / 2))
 
 
+def clustered(ratios: np.ndarray) -> tuple[np.ndarray, float]:
+    """Which lines are content by their smoothed ratios, and the threshold; all of them where no two ratios differ."""
+    smooth = smoothed(ratios)
+    if smooth.max() > smooth.min():
+        cut = threshold(smooth)
+        return smooth > cut, cut
+    return np.ones(len(ratios), bool), float(smooth.min())
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the content region, each with single spaces, joined by newlines; of null or empty html ""."""
     if not html:
@@ -150,14 +172,23 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.cut()
-    lines = [x for x in parser.lines if not x.furniture]
-    if not lines:
-        return ""
+    lines = parser.lines
     size = np.array([len(x.text[0]) for x in lines], float)
     plain = size / np.array([max(1, x.tags) for x in lines])
-    ratios = smoothed(plain)
-    cut = threshold(ratios) if ratios.max() > ratios.min() else -1.0
-    content = ratios > cut
+    shown = np.array([not x.furniture for x in lines], bool)
+    named = np.array([x.named for x in lines], bool)
+    if (named & shown).any():  # and so some line is shown
+        dense = shown.copy()
+        dense[shown] = clustered(plain[shown])[0]
+        if named[dense].all() and dense.sum() >= STORY:
+            named[:] = False  # the page's own element bears such a name
+    light = named | ~shown
+    if light.all():
+        return ""
+    weighted = np.where(light, LIGHT * plain, plain)
+    content = ~light
+    content[~light], cut = clustered(plain[~light])
+    content |= light & (weighted > cut)
     # the smallest element that holds most of the content lines is the region, whatever its name
     held: dict[int, float] = {}
     for x, n, c in zip(lines, size, content):
@@ -165,10 +196,10 @@ def main_text(html: str | None) -> str:
             held[region] = held.get(region, 0.0) + n
     enough = MOST_OF_CONTENT * size[content].sum()
     region = max((r for r in held if held[r] >= enough), default=-1)
-    # outside of it a line must be dense by itself, not just stand beside dense ones
-    keep = [region == -1 or region in x.path or bool(c and r > cut) for x, c, r in zip(lines, content, plain)]
+    # outside of it, and in furniture, a line must be dense by itself, not just stand beside dense ones
+    keep = [not f and (region == -1 or region in x.path) or bool(c and r > cut) for x, f, c, r in zip(lines, light, content, weighted)]
     for k in range(len(lines) - 2, -1, -1):
-        keep[k] = keep[k] or lines[k].heading and keep[k + 1]
+        keep[k] = keep[k] or lines[k].heading and not light[k] and keep[k + 1]
     kept = [x for x, k in zip(lines, keep) if k]
     return "\n".join(x.text[0] for x in kept)
 
