@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fernsieve.functions.scalar import mod_key
 from fernsieve.operators import exports, scoring, sessions, vectors
+from fernsieve.plans.progress import Progress, watched
 from fernsieve.plans.staging import drop_staged, stage_table
 from fernsieve.schema import ClusterSettings
 from fernsieve.sources import cache
@@ -51,31 +52,38 @@ def measured(wanted: DataFrame, kind: str, schema: str, measure: Measure, folder
     return out
 
 
-def run_pipeline(records: DataFrame, vectors_of: Measure, analyse: Measure, settings: ClusterSettings | None = None, cache_folder: str | None = None) -> Clusters:
+def run_pipeline(records: DataFrame, vectors_of: Measure, analyse: Measure, settings: ClusterSettings | None = None, cache_folder: str | None = None, progress: Progress | None = None) -> Clusters:
     """Group records into ranked near-duplicate clusters.
 
     ``records`` are those of ``schema.RECORDS`` that bucketing reads. Vectors are measured of the members of buckets of
     two or more, all else of the members of clusters alone. Both measures get (uuid, mod_key, analysis_key, bucket or
     cluster columns) and return the columns of VECTOR and ANALYSIS. Clusters are numbered along capture order: by bucket,
-    then by their first member. Empty records give empty tables.
+    then by their first member. Empty records give empty tables. ``progress`` hears of the stages buckets, vectors, groups,
+    scores and ranks, in this order.
     """
     cfg = settings or ClusterSettings()
-    buckets = stage_table(sessions.candidate_buckets(records, cfg.gap_seconds, cfg.include_shared), "buckets")
+    stage = lambda name: watched(records.sparkSession, name, progress)
+    with stage("buckets"):
+        buckets = stage_table(sessions.candidate_buckets(records, cfg.gap_seconds, cfg.include_shared), "buckets")
     key = mod_key(F.col("mod_date")) if "mod_date" in records.columns else F.lit("")
     photos = buckets.select("uuid", key.alias("mod_key"), F.col("derivative_path").alias("analysis_key"), F.col("bucket_ord").alias("bucket_id"), "member_ord")
-    photos = stage_table(photos, "photos")
-    prints = measured(photos, "vectors", VECTOR, vectors_of, cache_folder)
+    with stage("vectors"):
+        photos = stage_table(photos, "photos")
+        prints = measured(photos, "vectors", VECTOR, vectors_of, cache_folder)
     usable = photos.join(prints.select("uuid", "embedding"), "uuid")
-    groups = stage_table(vectors.linkage_clusters(usable, cfg.similarity_threshold), "groups")
-    named = groups.withColumn("cluster_id", F.concat_ws("-", F.lpad(F.col("bucket_id").cast("string"), 12, "0"), F.lpad(F.col("cluster_ord").cast("string"), 6, "0"))).select("cluster_id", "member_ord", "uuid")
-    members = stage_table(named.join(photos.select("uuid", "mod_key", "analysis_key"), "uuid").join(prints.select("uuid", "embedding"), "uuid"), "members")
-    analysis = measured(members.select("uuid", "mod_key", "analysis_key", "cluster_id"), "scores", ANALYSIS, analyse, cache_folder)
+    with stage("groups"):
+        groups = stage_table(vectors.linkage_clusters(usable, cfg.similarity_threshold), "groups")
+        named = groups.withColumn("cluster_id", F.concat_ws("-", F.lpad(F.col("bucket_id").cast("string"), 12, "0"), F.lpad(F.col("cluster_ord").cast("string"), 6, "0"))).select("cluster_id", "member_ord", "uuid")
+        members = stage_table(named.join(photos.select("uuid", "mod_key", "analysis_key"), "uuid").join(prints.select("uuid", "embedding"), "uuid"), "members")
+    with stage("scores"):
+        analysis = measured(members.select("uuid", "mod_key", "analysis_key", "cluster_id"), "scores", ANALYSIS, analyse, cache_folder)
     one = members.select("cluster_id", "member_ord", "uuid", "embedding").join(analysis.drop("mod_key", "analysis_key"), "uuid", "left")
     sharp = scoring.relative_sharpness(one, cfg.sharpness_size_tolerance)
     full = sharp.withColumn("facing", F.lit(None).cast("double")).drop("laplacian", "width", "height")
     ranked = scoring.rank_members(scoring.common_criteria(full, cfg.weights), cfg.ambiguity_margin)
-    placed = stage_table(exports.winner_distances(ranked), "ranked")
-    out = Clusters(placed.drop("embedding"), assessed(placed))
+    with stage("ranks"):
+        placed = stage_table(exports.winner_distances(ranked), "ranked")
+        out = Clusters(placed.drop("embedding"), assessed(placed))
     drop_staged(buckets, photos, prints, groups, members, analysis)
     return out
 

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernsieve.functions import imaging, rasters
+from fernsieve.operators import album_export as albums_out
 from fernsieve.operators import exports, pipeline, scoring, sentences
 from fernsieve.plans.catalogue import WEIGHED, query
 from fernsieve.plans.staging import stage_table
 from fernsieve.plans.views import view
 from fernsieve.schema import TYPE_FLAGS, ClusterSettings
+from fernsieve.sources import demo
 
 BOX = (819, 526)
 
@@ -116,6 +118,55 @@ def ranking_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.ranking_sentences(scored, WEIGHED)
 
 
+def refusing_sink(album: object, photo: object, path: str, crop: dict) -> None:
+    """Writes nothing, and refuses some photos."""
+    if photo % 31 == 0:
+        raise ValueError(f"refused {path}")
+
+
+@query("entries", "album_photos", "renditions", sql="""&
+k AS (SELECT p.uuid, coalesce(p.adjusted, false) AS adjusted, e.path AS ep, e.width AS ew, e.height AS eh, o.path AS op, o.width AS ow, o.height AS oh FROM album_photos p
+  LEFT JOIN renditions e ON e.uuid = p.uuid AND e.edited AND e.path IS NOT NULL LEFT JOIN renditions o ON o.uuid = p.uuid AND NOT o.edited AND o.path IS NOT NULL),
+c AS (SELECT uuid, adjusted AND ep IS NULL AND op IS NOT NULL AS flag, CASE WHEN adjusted AND ep IS NOT NULL THEN ep ELSE op END AS path, CASE WHEN adjusted AND ep IS NOT NULL THEN ew ELSE ow END AS width, CASE WHEN adjusted AND ep IS NOT NULL THEN eh ELSE oh END AS height FROM k),
+j AS (SELECT n.*, c.uuid IS NOT NULL AS found, c.path, c.width, c.height, coalesce(flag, false) AS flag, cast(width AS double) / height > 1.5 AS wide FROM entries n LEFT JOIN c ON c.uuid = n.uuid),
+s AS (SELECT *, least(width, CASE WHEN wide THEN cast(round_even(height * 1.5, 0) AS bigint) ELSE width END) AS w, least(height, CASE WHEN wide THEN height ELSE cast(round_even(width / cast(1.5 AS double), 0) AS bigint) END) AS h,
+  CASE WHEN NOT found THEN 'no-photo' WHEN path IS NULL THEN 'no-rendition' WHEN width IS NULL THEN 'unreadable' END AS why FROM j)
+SELECT album_id, place, cast(uuid AS varchar) AS uuid, CASE WHEN why IS NOT NULL OR uuid % 31 = 0 THEN 'failed' ELSE 'exported' END AS status, coalesce(why, CASE WHEN uuid % 31 = 0 THEN 'ValueError: refused ' || path END) AS reason, flag AS crop_not_applied,
+  CASE WHEN why IS NULL THEN path END AS path,
+  CASE WHEN why IS NULL THEN concat_ws(',', cast(round_even((width - w) * coalesce(offset_x, 0.5::double), 0) AS bigint), cast(round_even((height - h) * offset_y, 0) AS bigint), cast(w AS bigint), cast(h AS bigint)) END AS crop FROM s""")
+def album_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as albums of parts: each line exported from the rendition that fits, through a sink that refuses some."""
+    plan = albums_out.plan_export(*[view(spark, sf_dir, v) for v in ("entries", "album_photos", "renditions")], 1800, 1200)
+    rows = albums_out.carry_out(plan, refusing_sink)
+    crop = F.when(F.col("crop").isNotNull(), F.concat_ws(",", *[F.col(f"crop.{c}").cast("string") for c in ("x", "y", "width", "height")]))
+    return rows.select("album_id", "place", F.col("uuid").cast("string").alias("uuid"), "status", "reason", "crop_not_applied", "path", crop.alias("crop"))
+
+
+def _drawn(k: int, share: float) -> str:
+    return f"('0x' || substr(d, {8 * k + 1}, 8))::bigint < {round(share * demo.DRAW)}"
+
+
+SHARES = demo.DemoShares()
+DEMO = f"""k AS (SELECT c_custkey AS n, sha256('7:' || c_custkey) AS d FROM customer),
+z AS (SELECT *, CASE WHEN {_drawn(0, 17 / 24)} THEN 2 WHEN {_drawn(0, 19 / 24)} THEN 3 WHEN {_drawn(0, 21 / 24)} THEN 4 WHEN {_drawn(0, 22 / 24)} THEN 5 WHEN {_drawn(0, 23 / 24)} THEN 9 ELSE 20 END AS size FROM k),
+c AS (SELECT *, 1 + n * 7 % (size - 1) AS best, {_drawn(1, SHARES.ambiguous)} AS ambiguous, {_drawn(2, SHARES.unmeasured)} AS blunt, {_drawn(5, SHARES.evicted)} AS evicted, {_drawn(6, SHARES.no_faces)} AS faceless, {_drawn(7, SHARES.no_horizon)} AS level,
+  CASE WHEN {_drawn(3, SHARES.low)} THEN size WHEN {_drawn(3, SHARES.low + SHARES.mixed)} THEN 1 + ('0x' || substr(d, 33, 8))::bigint % (size - 1) ELSE 0 END AS n_small FROM z)"""
+
+
+@query(sql=f"""WITH {DEMO}, m AS (SELECT *, abs(m - best) AS away, greatest(best, size - 1 - best) AS span, printf('demo-%02d-%03d', n, m) AS uuid FROM (SELECT *, unnest(range(size)) AS m FROM c))
+SELECT n AS cluster_ord, cast(m AS int) AS member_ord, uuid, n * 86400 + m * 3 AS seconds, CASE WHEN NOT (evicted AND m = size - 1) THEN CASE WHEN m < n_small THEN '480x360' ELSE '1024x768' END END AS raster, uuid || CASE WHEN m < n_small THEN '' ELSE '-analysis' END || '.png' AS derivative_path,
+  CASE WHEN NOT blunt THEN (10000 - (2 * CASE WHEN ambiguous THEN 200 ELSE 2600 END * away + span) // (2 * span)) / 10000.0::double END AS sharpness, CASE WHEN NOT faceless THEN 0.44::double END AS faces, CASE WHEN NOT faceless THEN 0.58::double END AS framing, CASE WHEN NOT level THEN 0.81::double END AS horizon,
+  round(0.61::double + m * 0.01::double, 4) AS exposure, round(0.7::double - away * CASE WHEN ambiguous THEN 0.004::double ELSE 0.09::double END, 6) AS total, CASE WHEN away > 0 THEN round(0.11::double + 0.02::double * m, 4) END AS distance_to_winner,
+  m = best AS winner, ambiguous, concat_ws(',', CASE WHEN faceless THEN 'faces,framing' END, CASE WHEN level THEN 'horizon' END, CASE WHEN blunt THEN 'sharpness' END) AS dropped FROM m""")
+def demo_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A made-up cluster for every customer's number."""
+    keys = view(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cluster_ord"))
+    got = demo.demo_members(demo.demo_clusters(keys, seed=7))
+    seconds = F.unix_timestamp("date") - F.unix_timestamp(F.lit(demo.FIRST_DAY).cast("timestamp"))
+    return got.select("cluster_ord", "member_ord", "uuid", seconds.alias("seconds"), F.concat("display_width", F.lit("x"), "display_height").alias("raster"), "derivative_path", "sharpness", "faces", "framing", "horizon", "exposure", "total", "distance_to_winner",
+        (F.col("uuid") == F.col("winner")).alias("winner"), "ambiguous", F.array_join("dropped", ",").alias("dropped"))
+
+
 @query()
 def whole_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records to ranked clusters: vectors and measures of a photo follow from its number."""

@@ -49,8 +49,17 @@ SIZES = """
 SELECT p_partkey AS id, cast(1000 + (p_partkey * 37) % 3000 AS int) AS width, cast(800 + (p_partkey * 53) % 2500 AS int) AS height,
   cast((p_partkey % 11) AS double) / cast(10 AS double) AS offset_x, cast((p_partkey % 13) AS double) / cast(10 AS double) AS offset_y FROM part
 """
-VIEWS = {"records": RECORDS, "vectors": VECTORS, "fingerprints": FINGERPRINTS, "batches": BATCHES, "undos": UNDOS, "marks": MARKS, "live": LIVE, "sub_scores": SUB_SCORES, "sizes": SIZES}
-NEEDS = {"records": ("events",), "vectors": ("embeddings",), "fingerprints": ("documents", "labels"), "batches": ("events",), "undos": ("events",), "marks": ("batches",), "live": ("marks",), "sub_scores": ("embeddings",), "sizes": ("part",)}
+ENTRIES = """
+SELECT l_orderkey AS album_id, l_linenumber AS place, CASE WHEN l_partkey % 37 <> 0 THEN l_partkey END AS uuid, CASE WHEN l_linenumber % 3 <> 0 THEN cast(l_linenumber AS double) / cast(8 AS double) END AS offset_x, cast(l_quantity AS double) / cast(50 AS double) AS offset_y FROM lineitem
+"""
+ALBUM_PHOTOS = "SELECT p_partkey AS uuid, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey % 5 < 2 END AS adjusted FROM part WHERE p_partkey % 19 <> 0"
+RENDITIONS = """
+SELECT p_partkey AS uuid, k.k = 1 AS edited, CASE WHEN p_partkey % 23 <> k.k THEN concat('/r/', cast(p_partkey AS varchar(20)), CASE WHEN k.k = 1 THEN '-edited' ELSE '' END) END AS path,
+  cast(CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE 1000 + (p_partkey * 37 + k.k * 500) % 3000 END AS int) AS width, cast(800 + (p_partkey * 53) % 2500 AS int) AS height
+FROM part CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) k WHERE k.k = 0 OR p_partkey % 10 <> 1
+"""
+VIEWS = {"records": RECORDS, "vectors": VECTORS, "fingerprints": FINGERPRINTS, "batches": BATCHES, "undos": UNDOS, "marks": MARKS, "live": LIVE, "sub_scores": SUB_SCORES, "sizes": SIZES, "entries": ENTRIES, "album_photos": ALBUM_PHOTOS, "renditions": RENDITIONS}
+NEEDS = {"records": ("events",), "vectors": ("embeddings",), "fingerprints": ("documents", "labels"), "batches": ("events",), "undos": ("events",), "marks": ("batches",), "live": ("marks",), "sub_scores": ("embeddings",), "sizes": ("part",), "entries": ("lineitem",), "album_photos": ("part",), "renditions": ("part",)}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
