@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -154,6 +155,14 @@ def kept_in_worker(name: str, make: Callable[[], object]) -> object:
     return _KEPT[name]
 
 
+def nothing_kept() -> None:
+    """Drops what the worker keeps of another stage, in stages whose work has no such cache, and hands free memory back."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def running_sums(df: DataFrame, group: str, order: Sequence[str], sums: dict[str, Column], name: str = "running") -> DataFrame:
     """Add to each row the sums, its own value included, over the rows of its ``group`` up to it along ``order``.
 

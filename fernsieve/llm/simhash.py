@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernsieve.llm.common import bytes_of, map_batches, table
+from fernsieve.llm.common import bytes_of, map_batches, nothing_kept, table
 from fernsieve.operators.components import connected_components
 from fernsieve.plans.staging import stage_table
 
@@ -49,14 +49,15 @@ def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of each row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, key: str = "doc_id") -> DataFrame:
+    """``key`` and fp, the fingerprint as a signed long, of each row."""
 
     def work(cols: dict[str, list]) -> dict[str, list]:
+        nothing_kept()
         got = np.array([fingerprint(bytes_of(t), shingle, seed) for t in cols["text"]], np.uint64)
-        return {"doc_id": cols["doc_id"], "fp": got.view(np.int64).tolist()}
+        return {key: cols[key], "fp": got.view(np.int64).tolist()}
 
-    return map_batches(docs.select("doc_id", "text"), work, "doc_id bigint, fp bigint")
+    return map_batches(docs.select(key, "text"), work, f"{key} {dict(docs.dtypes)[key]}, fp bigint")
 
 
 def bits_of(fp: np.ndarray) -> np.ndarray:
@@ -283,21 +284,22 @@ def spanning_links(fp_a: np.ndarray, fp_b: np.ndarray, radius: int) -> list[tupl
     return [(int(nodes[label[k]]), int(nodes[k])) for k in np.flatnonzero(label != np.arange(len(nodes)))]
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, key: str = "doc_id") -> DataFrame:
     """doc_id, fp (signed long) and component_id of each row of ``docs(doc_id, text)``.
 
     component_id is the smallest doc_id that links reach; equal fingerprints are linked, and texts without words have
     fingerprint zero like any other. A null doc_id counts only where no other is reached. Repeated rows are members of
-    one component; an empty table gives an empty result; other columns are not read.
+    one component; an empty table gives an empty result; other columns are not read. ``key`` names another column, of
+    any ordered kind, that stands in for doc_id.
     """
-    found = stage_table(fingerprints(docs, shingle, seed), "fingerprints")
-    distinct = stage_table(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    found = stage_table(fingerprints(docs, shingle, seed, key), "fingerprints")
+    distinct = stage_table(found.groupBy("fp").agg(F.min(key).alias("first")), "distinct")
     roots = connected_components(links(distinct, radius)).withColumnRenamed("node", "linked")
     rooted = distinct.join(roots, F.col("fp") == F.col("linked")).select("fp", "root", "first")
     least = stage_table(rooted.groupBy("root").agg(F.min("first").alias("least")), "least")
     linked = stage_table(rooted.join(least, "root").select("fp", "least"), "linked")
     classes = stage_table(distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "classes")
-    return found.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return found.join(classes, "fp").select(key, "fp", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
