@@ -270,7 +270,7 @@ def linkage_clusters(vectors: DataFrame, cut: float, group: str = "bucket_id") -
 
     The closest pair of clusters merges while nearer than ``cut``, as in ``complete_linkage``. Groups of MATRIX members at
     most are linked by the matrix, many of them in a task. Larger ones are taken apart first (``linked_apart``), so that
-    what a task holds is bounded. Uuids are distinct in a group, null vectors and rows of a null group are in no cluster,
+    what a task holds is bounded; of equal vectors there only one is compared. Uuids are distinct in a group, null vectors and rows of a null group are in no cluster,
     and an empty table gives an empty result.
     """
     usable = vectors.where(F.col(group).isNotNull() & F.col("embedding").isNotNull()).select(group, "uuid", "member_ord", "embedding")
@@ -307,15 +307,33 @@ def linked_whole(vectors: DataFrame, cut: float, group: str) -> DataFrame:
     return in_cells(vectors, group, work, f"{group} {kinds[group]}, cluster_ord int, member_ord int, uuid {kinds['uuid']}")
 
 
+def with_first_copy(vectors: DataFrame, cut: float, group: str) -> DataFrame:
+    """Each of ``vectors(group, uuid, member_ord, embedding)`` and first, the (member_ord, uuid) of its earliest equal one. A table.
+
+    Equal vectors are 0 apart, so complete linkage merges them before all else if 0 is under the cut, and their cluster
+    is as far from others as each of them, by the name of the earliest. Those that are not finite are near nothing,
+    not even their equals.
+    """
+    values = F.col("embedding").cast("array<double>")
+    odd = F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    keyed = vectors.withColumns({"_e": values, "_own": F.when(odd if cut > 0 else F.lit(True), F.col("uuid"))})
+    firsts = keyed.groupBy(group, "_e", "_own").agg(F.min(F.struct("member_ord", "uuid")).alias("first"))
+    same = keyed.alias("v").join(firsts.alias("f"), (F.col(f"v.{group}") == F.col(f"f.{group}")) & (F.col("v._e") == F.col("f._e")) & F.col("v._own").eqNullSafe(F.col("f._own")))
+    return stage_table(same.select(*[F.col(f"v.{c}") for c in (group, "uuid", "member_ord", "embedding")], "first"), "copies")
+
+
 def linked_apart(vectors: DataFrame, cut: float, group: str) -> DataFrame:
     """Complete linkage of groups of any size, of which no task holds one.
 
-    Clusters lie within the components of the graph of near pairs, so only pairs under the cut go on. Components of MATRIX
+    Of equal vectors the earliest stands for all. Clusters lie within the components of the graph of near pairs, so only
+    pairs under the cut go on. Components of MATRIX
     members at most are linked in one task each; of larger ones all mutually nearest clusters merge at once, by joins,
     until what is left falls into small components.
     """
     name = lambda u: F.concat(F.col(group).cast("string"), F.lit("\x01"), F.col(u).cast("string"))
-    pairs = stage_table(pair_distances(vectors, group, cut, places=True).select(name("uuid_a").alias("a"), name("uuid_b").alias("b"), F.col("uuid_a").cast("string").alias("uuid_a"), F.col("uuid_b").cast("string").alias("uuid_b"), "ord_a", "ord_b", "distance"), "near")
+    copies = with_first_copy(vectors, cut, group)
+    distinct = copies.where(F.col("uuid") == F.col("first.uuid")).drop("first")
+    pairs = stage_table(pair_distances(distinct, group, cut, places=True).select(name("uuid_a").alias("a"), name("uuid_b").alias("b"), F.col("uuid_a").cast("string").alias("uuid_a"), F.col("uuid_b").cast("string").alias("uuid_b"), "ord_a", "ord_b", "distance"), "near")
     every = stage_table(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("node"), F.col("a").alias("label")), "labels")
     left, split_from = pairs.count(), None
     while left:
@@ -331,7 +349,7 @@ def linked_apart(vectors: DataFrame, cut: float, group: str) -> DataFrame:
         before, every = every, stage_table(every.join(sent_if_few(stage_table(merges, "merged")).withColumnRenamed("gone", "label"), "label", "left").select("node", F.coalesce("keep", "label").alias("label")), "labels")
         drop_staged(before)
         left = pairs.count()
-    members = vectors.select(group, "uuid", "member_ord", name("uuid").alias("node")).join(every, "node")
+    members = copies.select(group, "uuid", "member_ord", name("first.uuid").alias("node")).join(every, "node", "left").withColumn("label", F.coalesce("label", "node"))
     firsts = members.groupBy("label").agg(F.min("member_ord").alias("_first"), F.count("*").alias("_size")).where("_size > 1")
     placed = stage_table(members.join(firsts, "label").select(group, "uuid", "member_ord", "_first"), "members")
     rows = number_runs(placed, [group, "_first", "member_ord"], F.lit(True), ["member_ord"], "_row")

@@ -52,6 +52,22 @@ def test_linkage_of_whole_components_and_of_nothing(spark):
     assert vectors.linkage_clusters(df.limit(0), 0.8).count() == 0 and vectors.linkage_clusters(df, 0.0).count() == 0
 
 
+def test_linkage_compares_one_of_equal_vectors(spark, small_parts, monkeypatch):
+    """Many copies of few vectors: the clusters of the matrix, with no pair of equal vectors among those that are compared."""
+    rows = some_vectors(6, (60, 3), 3) + [(1, "none", 90, None, 7)]
+    rows += [(2, f"c{k}", k, [-0.0 if k % 2 else 0.0, 1.0], 7) for k in range(30)] + [(2, f"n{k}", 40 + k, [float("nan"), 1.0], 7) for k in range(3)]
+    compared = []
+
+    def counted(distinct, *a, found=vectors.pair_distances, **b):
+        compared.append(distinct.groupBy("bucket_id").count().collect())
+        return found(distinct, *a, **b)
+
+    monkeypatch.setattr(vectors, "pair_distances", counted)
+    got = sorted(map(tuple, vectors.linkage_clusters(spark.createDataFrame(rows, SCHEMA), 0.3).collect()))
+    assert got == by_hand([r for r in rows if r[1][0] != "n"], 0.3) and len(got) > 80
+    assert [dict(map(tuple, x)) for x in compared] == [{0: 9, 2: 4}]  # of 60 and 33
+
+
 def distances(rows, bucket):
     own = sorted((r for r in rows if r[0] == bucket and r[3] is not None), key=lambda r: r[2])
     return [(own[i][1], own[j][1], float(np.sqrt(((np.array(own[j][3]) - np.array(own[i][3])) ** 2).sum()))) for i in range(len(own)) for j in range(i + 1, len(own))]
