@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator, Sequence
 
@@ -142,25 +143,30 @@ def is_set(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
 
 
 _KEPT: dict[str, object] = {}
+_AT: list[str] = []
 
 
-def kept_in_worker(name: str, make: Callable[[], object]) -> object:
-    """A cache that a Python worker keeps from task to task; asking for another name drops the one before.
+def work_begins(name: str) -> None:
+    """Drops what the worker keeps of other work than ``name``, models of earlier tasks included, and hands free memory back.
 
     Workers serve all stages in turn, and only what the present stage needs should fill their memory.
     """
-    if name not in _KEPT:
-        _KEPT.clear()
-        _KEPT[name] = make()
-    return _KEPT[name]
-
-
-def nothing_kept() -> None:
-    """Drops what the worker keeps of another stage, in stages whose work has no such cache, and hands free memory back."""
-    if _KEPT:
+    if _AT != [name]:
+        _AT[:] = [name]
         _KEPT.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library, which keeps what is freed
+        if trim:
+            trim(0)
+
+
+def kept_in_worker(name: str, make: Callable[[], object]) -> object:
+    """A cache that a Python worker keeps from task to task; asking for another name drops the one before."""
+    work_begins(name)
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
 
 
 def running_sums(df: DataFrame, group: str, order: Sequence[str], sums: dict[str, Column], name: str = "running") -> DataFrame:

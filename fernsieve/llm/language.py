@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernsieve.llm.common import bounded_sample, held_out, lower, map_batches, nothing_kept, share_by_hash, table
+from fernsieve.llm.common import bounded_sample, held_out, lower, map_batches, share_by_hash, table, work_begins
 
 #: Bounds of the sample that a model is fitted on: documents (about), characters of one of them, characters of all (about).
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 8_000, 200_000, 64_000_000
@@ -366,7 +366,7 @@ def identify_languages(docs: DataFrame, model: Model) -> DataFrame:
 
     def work(cols: dict[str, list], kept: list[Scores] = []) -> dict[str, list]:  # noqa: B006  kept from batch to batch of a task
         if not kept:
-            nothing_kept()
+            work_begins("language")
             kept.append(Scores(shared.value))
         got = label_texts(cols["text"], shared.value, kept[0])
         return cols | {"lang_pred": [x[0] for x in got], "score": [x[1] for x in got], "spans": [[{"lang": a, "start": b, "end": c} for a, b, c in x[2]] for x in got]}

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernsieve.llm.common import bytes_of, map_batches, nothing_kept, table
+from fernsieve.llm.common import bytes_of, map_batches, table, work_begins
 from fernsieve.operators.components import connected_components
 from fernsieve.plans.staging import stage_table
 
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, key:
     """``key`` and fp, the fingerprint as a signed long, of each row."""
 
     def work(cols: dict[str, list]) -> dict[str, list]:
-        nothing_kept()
+        work_begins("simhash")
         got = np.array([fingerprint(bytes_of(t), shingle, seed) for t in cols["text"]], np.uint64)
         return {key: cols[key], "fp": got.view(np.int64).tolist()}
 
@@ -206,6 +206,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     def probe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
         flips = masks(WIDTH * plan.merge, radius)
+        work_begins("simhash")
         for batch in batches:
             fp = numbers(batch)
             values = values_of(fp, groups)

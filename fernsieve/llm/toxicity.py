@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernsieve.llm.common import bounded_sample, held_out, lower, map_batches, nothing_kept, share_by_hash, table
+from fernsieve.llm.common import bounded_sample, held_out, lower, map_batches, share_by_hash, table, work_begins
 from fernsieve.plans.staging import stage_table
 
 #: Bounds of the sample that a model is fitted on: documents (about), characters of one of them, characters of all (about).
@@ -123,7 +123,7 @@ def score_documents(docs: DataFrame, model: Model, offending: float = 0.5) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY words
 
     def work(cols: dict[str, list]) -> dict[str, list]:
-        nothing_kept()
+        work_begins("toxicity")
         scored = [shared.value.score(t) for t in cols["text"]]
         return cols | {
             "score": [s for s, _ in scored],

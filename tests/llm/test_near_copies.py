@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 
 import corpus_pipeline
 from fernsieve.llm import common, shingles, simhash
@@ -68,3 +71,39 @@ def test_links_known_beforehand_leave_no_pair_out(spark, monkeypatch):
     for k, v in label.items():
         want.setdefault(v, []).append(k)
     assert sorted(map(sorted, got.values())) == sorted(want.values()) and len(want) < 24
+
+
+def test_only_texts_that_are_asked_for_reach_python(spark, monkeypatch):
+    docs = spark.range(50).selectExpr("CAST(CAST(id % 40 AS STRING) AS BINARY) AS row", "concat_ws(' ', 'a', 'b', CAST(id % 40 AS STRING), 'c', 'd', 'e') AS text")
+    rows = docs.where("row IN (CAST('3' AS BINARY), CAST('17' AS BINARY))").distinct().selectExpr("row", "row AS node")
+    plans, stage_table = [], shingles.stage_table
+    monkeypatch.setattr(shingles, "stage_table", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), stage_table(df, name))[1])
+    want = [(k, shingles.shingle_hashes(f"a b {k} c d e", 5, common.WordHashes()).tobytes()) for k in ("17", "3")]
+    got = {}
+    for few in (100, 1):
+        monkeypatch.setattr(shingles, "FEW_ROWS", few)
+        got[few] = sorted((bytes(r["node"]).decode(), bytes(r["hashes"])) for r in shingles.sets_of(docs, rows, 5).collect())
+    assert got[100] == got[1] == want
+    assert "Join" in plans[0][plans[0].index("MapInArrow") :]  # below it, so before it
+
+
+def test_workers_hand_back_what_other_work_kept():
+    script = """
+import os, re
+from fernsieve.llm import common
+def held():
+    return int(re.search(r'VmRSS:\\s+(\\d+)', open('/proc/self/status').read()).group(1)) / 1024
+common.kept_in_worker('one', lambda: [bytes(2000) for _ in range(100_000)])
+pinned, many = [], held()
+for k in range(0, 100_000, 50):
+    pinned.append(common._KEPT['one'][k])
+common.kept_in_worker('two', dict)
+assert list(common._KEPT) == ['two'] and held() < many - 100, (many, held())
+kept = [bytes(2000) for _ in range(100_000)]
+pinned += kept[::50]
+del kept
+many = held()
+common.work_begins('three')
+assert not common._KEPT and held() < many - 100, (many, held())
+"""
+    subprocess.run([sys.executable, "-c", script], check=True, env=os.environ)
