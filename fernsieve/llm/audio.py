@@ -34,7 +34,9 @@ MIN_OVERLAP, MAX_ERRORS, MIN_VOTES = 48, 0.2, 2
 LOOSE = 8
 TURNS = np.array([[k >> b & 1 for k in range(1 << LOOSE)] for b in range(LOOSE)], np.int64)
 #: Queries, recordings and codes of a block; frames and hits worked on at a time; size of a block's filter.
-QUERIES, RECORDINGS, CODES, FRAMES, HITS, FILTER_BITS = 512, 2048, 1 << 20, 1024, 1 << 20, 22
+QUERIES, RECORDINGS, CODES, FRAMES, HITS, FILTER_BITS = 512, 8192, 1 << 20, 1024, 1 << 20, 22
+#: Frames that are compared before alignments with too many wrong bits are dropped.
+STRETCH = 32
 #: A recording made of a vector: one note for each number.
 NOTE, LOW_NOTE, NOTES, REACH = 512, 57, 36, 0.5
 #: Notes that an excerpt of the query lacks at its beginning, and the noises of excerpts.
@@ -159,17 +161,24 @@ class Index:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.concatenate(codes)
         self.order = np.argsort(self.flat, kind="stable")
-        self.sorted = self.flat[self.order]
+        self.codes, self.first, self.many = np.unique(self.flat[self.order], return_index=True, return_counts=True)
         self.owner = np.repeat(np.arange(len(codes)), self.sizes)
         self.seen = np.zeros(1 << FILTER_BITS, bool)
-        self.seen[self.slot(self.flat)] = True
+        self.seen[self.slot(self.codes)] = True
 
     @staticmethod
     def slot(codes: np.ndarray) -> np.ndarray:
         return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)
 
-    def histogram(self, codes: np.ndarray, loose: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(recording, offset, votes): at how many frames a code, but for turned loose bits, stands in a recording."""
+    def overlap(self, n: int, owner: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """Frames that ``n`` codes, shifted by each offset, share with each recording."""
+        return np.minimum(n, self.sizes[owner] - offset) - np.maximum(0, -offset)
+
+    def histogram(self, codes: np.ndarray, loose: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(recording, offset, votes): at how many frames a code, but for turned loose bits, stands in a recording.
+
+        Offsets at which fewer than ``least`` frames overlap are left out.
+        """
         wide = len(codes) + int(self.sizes.max()) + 1
         keys, votes, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for first in range(0, len(codes), FRAMES):
@@ -177,11 +186,9 @@ class Index:
             bits = np.nonzero(np.unpackbits(mask.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little"))[1].reshape(len(c), LOOSE)
             probes = (c[:, None] ^ ((1 << bits) @ TURNS)).ravel()
             there = np.flatnonzero(self.seen[self.slot(probes)])
-            lo = np.searchsorted(self.sorted, probes[there], "left")
-            hit = lo < len(self.sorted)
-            hit[hit] = self.sorted[lo[hit]] == probes[there[hit]]
-            there, lo = there[hit], lo[hit]
-            many = np.searchsorted(self.sorted, probes[there], "right") - lo
+            place = np.minimum(np.searchsorted(self.codes, probes[there]), len(self.codes) - 1)
+            hit = self.codes[place] == probes[there]
+            there, lo, many = there[hit], self.first[place[hit]], self.many[place[hit]]
             ends = np.cumsum(many)
             at = 0
             while at < len(there):  # a code that very many frames have is worked through a bounded number at a time
@@ -190,7 +197,8 @@ class Index:
                 where = self.order[np.repeat(lo[at:stop] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 owner = self.owner[where]
                 offset = where - self.starts[owner] - np.repeat(there[at:stop] // TURNS.shape[1] + first, n)
-                key, count = np.unique(owner * (2 * wide) + offset + wide, return_counts=True)
+                long = self.overlap(len(codes), owner, offset) >= least
+                key, count = np.unique(owner[long] * (2 * wide) + offset[long] + wide, return_counts=True)
                 keys.append(key)
                 votes.append(count)
                 held += len(key)
@@ -198,21 +206,28 @@ class Index:
                 if held > 4 * HITS:
                     keys, votes = map(list, zip(summed(keys, votes)))
                     held = len(keys[0])
-        key, count = summed(keys, votes)
+        key, count = summed(keys, votes) if len(keys) > 2 else (keys[-1], votes[-1])
         return key // (2 * wide), key % (2 * wide) - wide, count
 
     def errors(self, codes: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(wrong bits, frames that overlap) of ``codes`` shifted by each offset against each recording."""
-        wrong, frames = np.zeros(len(owner), np.int64), np.minimum(len(codes), self.sizes[owner] - offset) - np.maximum(0, -offset)
-        step = max(1, HITS // max(1, len(codes)))
-        for k in range(0, len(owner), step):
-            o, off = owner[k : k + step], offset[k : k + step]
-            for first in range(0, len(codes), HITS):
-                t = np.arange(first, min(len(codes), first + HITS))
-                at = off[:, None] + t[None, :]
-                inside = (at >= 0) & (at < self.sizes[o][:, None])
-                other = self.flat[np.where(inside, self.starts[o][:, None] + at, 0)]
-                wrong[k : k + step] += (np.bitwise_count(other ^ codes[None, t]) * inside).sum(axis=1, dtype=np.int64)
+        """(wrong bits, frames that overlap) of ``codes`` shifted by each offset against each recording.
+
+        Frames are compared from the first; wrong bits are counted no further once they are more than MAX_ERRORS allows.
+        """
+        frames = self.overlap(len(codes), owner, offset)
+        wrong, limit, first = np.zeros(len(owner), np.int64), MAX_ERRORS * 32 * frames, np.maximum(0, -offset)
+        there = self.starts[owner] + offset + first
+        for low in range(0, len(owner), HITS // STRETCH):
+            left, at, stretch = np.arange(low, min(len(owner), low + HITS // STRETCH)), 0, STRETCH
+            while len(left):
+                t = at + np.arange(stretch)
+                inside = t < frames[left, None]
+                mine, other = codes[np.where(inside, first[left, None] + t, 0)], self.flat[np.where(inside, there[left, None] + t, 0)]
+                wrong[left] += (np.bitwise_count(mine ^ other) * inside).sum(axis=1, dtype=np.int64)
+                at += stretch
+                left = left[(wrong[left] <= limit[left]) & (frames[left] > at)]
+                if len(left):  # few long recordings in long stretches
+                    stretch = min(max(STRETCH, HITS // 8 // len(left)), int((frames[left] - at).max()))
         return wrong, frames
 
 
@@ -223,11 +238,9 @@ def summed(keys: list[np.ndarray], votes: list[np.ndarray]) -> tuple[np.ndarray,
 
 def aligned(index: Index, codes: np.ndarray, loose: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
     """(recording, offset, votes, errors) of each recording that passes; of several offsets that with most right less wrong bits."""
-    owner, offset, votes = index.histogram(codes, loose)
+    owner, offset, votes = index.histogram(codes, loose, MIN_OVERLAP)
     likely = votes >= MIN_VOTES
     owner, offset, votes = owner[likely], offset[likely], votes[likely]
-    long = np.minimum(len(codes), index.sizes[owner] - offset) - np.maximum(0, -offset) >= MIN_OVERLAP
-    owner, offset, votes = owner[long], offset[long], votes[long]
     wrong, frames = index.errors(codes, owner, offset)
     good = np.flatnonzero(wrong <= MAX_ERRORS * 32 * frames)
     balance = 32 * frames[good] - 2 * wrong[good]

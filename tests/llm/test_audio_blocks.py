@@ -37,3 +37,24 @@ def test_the_query_finds_its_noisy_excerpts(spark):
         hits = [found.get((of[-1 - (2 * k + j)], of[k])) for k in asked]
         assert len(asked) == 10 and sum(h == audio.EXCERPT * audio.NOTE // audio.HOP for h in hits) >= 0.9 * len(asked)
     assert len(of) == 500 + 2 * len(asked)
+
+
+def test_only_long_overlaps_are_counted_and_wrong_bits_up_to_the_limit():
+    rng = np.random.default_rng(4)
+    recordings = [rng.integers(0, 1 << 32, n) for n in (40, 90, 5000, 20_000)]
+    query = recordings[3][3000:9000].copy()
+    query[::3] ^= 1 << 7
+    recordings[2][100:4000] = query[50:3950] ^ (1 << 3)
+    index, loose = audio.Index(recordings), np.full(len(query), (1 << audio.LOOSE) - 1)
+    owner, offset, votes = index.histogram(query, loose, audio.MIN_OVERLAP)
+    assert len(owner) and index.overlap(len(query), owner, offset).min() >= audio.MIN_OVERLAP
+    every = dict(zip(zip(*(x.tolist() for x in index.histogram(query, loose)[:2])), index.histogram(query, loose)[2].tolist()))
+    assert dict(zip(zip(owner.tolist(), offset.tolist()), votes.tolist())) == {k: v for k, v in every.items() if index.overlap(len(query), *map(np.array, ([k[0]], [k[1]])))[0] >= audio.MIN_OVERLAP}
+    owner, offset = (np.array(x) for x in zip((3, 3000), (3, 2999), (2, 50), (1, 0), (2, -5900), (3, 19_950)))
+    wrong, frames = index.errors(query, owner, offset)
+    for o, off, w, n in zip(owner, offset, wrong, frames):
+        lo, hi = max(0, -off), min(len(query), len(recordings[o]) - off)
+        right = int(np.bitwise_count(query[lo:hi] ^ recordings[o][lo + off : hi + off]).sum())
+        most = audio.MAX_ERRORS * 32 * n
+        assert n == hi - lo and (w == right if right <= most else most < w <= right)
+    assert {(o, off) for o, off, _, _ in audio.aligned(index, query, loose)} == {(3, 3000), (2, 50)}
