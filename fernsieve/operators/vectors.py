@@ -34,7 +34,8 @@ def in_cells(vectors: DataFrame, group: str, work: Callable[[pa.Table, Iterator[
     or the job fails. ``extra(group, ...)`` is joined to the rows.
     """
     let_workers_import(vectors.sparkSession)
-    usable = vectors.where(F.col(group).isNotNull() & F.col("embedding").isNotNull()).select(group, "uuid", F.col("member_ord").cast("bigint").alias("member_ord"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"  # half the shuffle; cells compute in doubles
+    usable = vectors.where(F.col(group).isNotNull() & F.col("embedding").isNotNull()).select(group, "uuid", F.col("member_ord").cast("bigint").alias("member_ord"), F.col("embedding").cast(kind).alias("embedding"))
     if extra is not None:
         usable = usable.join(sent_if_few(extra), group)
     sizes = stage_table(usable.groupBy(group).agg(F.count("*").alias("n")).where("n > 1"), "sizes")
@@ -58,7 +59,7 @@ def pairs_of(rows: pa.Table, group: str) -> Iterator[tuple[int, np.ndarray, np.n
     order, across = np.asarray(rows["member_ord"]), np.asarray(rows["_b"])
     vectors = rows["embedding"].combine_chunks()
     lengths = np.asarray(vectors.value_lengths())
-    values, starts = np.asarray(vectors.flatten()), np.concatenate([[0], np.cumsum(lengths)])
+    values, starts = np.asarray(vectors.flatten()).astype(np.float64), np.concatenate([[0], np.cumsum(lengths)])
     codes = np.unique(np.asarray(rows[group].to_pandas().astype(str)), return_inverse=True)[1]
     whole = bool((np.asarray(rows["_x"]) != np.asarray(rows["_y"])).all() and np.asarray(rows["_x"])[0] >= 0)
     by = np.lexsort((order, codes))
@@ -230,39 +231,41 @@ def linked_in_tasks(pairs: DataFrame, cut: float) -> DataFrame:
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, part in frame.groupby("root"):
-            names = pd.concat([part[["ord_a", "a", "uuid_a"]].set_axis(["o", "i", "u"], axis=1), part[["ord_b", "b", "uuid_b"]].set_axis(["o", "i", "u"], axis=1)]).drop_duplicates("i").sort_values("o").reset_index(drop=True)
+            names = pd.concat([part[["ord_a", "a"]].set_axis(["o", "i"], axis=1), part[["ord_b", "b"]].set_axis(["o", "i"], axis=1)]).drop_duplicates("i").sort_values("o").reset_index(drop=True)
             place = {i: k for k, i in enumerate(names["i"])}
             d = np.full((len(names), len(names)), np.inf)
             x, y = part["a"].map(place).to_numpy(), part["b"].map(place).to_numpy()
             d[x, y] = d[y, x] = part["distance"].to_numpy()
-            out += [(names["i"][k], names["i"][m[0]]) for m in complete_linkage(names["u"].tolist(), d, cut) for k in m[1:]]
+            out += [(names["i"][k], names["i"][m[0]]) for m in complete_linkage(names["i"].tolist(), d, cut) for k in m[1:]]
         return pd.DataFrame(out, columns=["gone", "keep"])
 
     return pairs.withColumn("_chunk", F.pmod(F.xxhash64("root"), F.lit(chunks))).groupBy("_chunk").applyInPandas(work, "gone string, keep string")
 
 
 def merged_once(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Merge all pairs of clusters that are each other's nearest: (gone, keep), and the pairs of what there is then.
+    """Merge all pairs of clusters that are each other's nearest: (gone, keep), and the pairs of what there is then. Tables.
 
     Complete linkage is reducible, with ties too: a cluster that is nearest to neither of two cannot, merged with another,
     come nearer than they are to each other. So these merges are among those that going from the closest pair upwards
     makes. A merged cluster is near another only if all their parts were, at the farthest of the distances.
     """
-    key = F.struct("distance", F.least("uuid_a", "uuid_b").alias("lo"), F.greatest("uuid_a", "uuid_b").alias("hi"))
+    key = F.struct("distance", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
     ends = pairs.select(F.col("a").alias("x"), key.alias("key"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("x"), key.alias("key"), F.col("a").alias("other")))
     best = stage_table(ends.groupBy("x").agg(F.min_by("other", "key").alias("other")), "nearest")
     mutual = best.alias("p").join(best.alias("q"), (F.col("p.x") == F.col("q.other")) & (F.col("p.other") == F.col("q.x"))).select(F.col("p.x").alias("a"), F.col("q.x").alias("b"))
-    merges = stage_table(pairs.join(mutual, ["a", "b"]).select(F.col("b").alias("gone"), F.col("a").alias("keep"), "ord_a", "uuid_a"), "merges")
-    moved = stage_table(merges.select(F.col("gone").alias("old"), F.col("keep").alias("new"), F.col("ord_a").alias("o"), F.col("uuid_a").alias("u")).unionByName(merges.select(F.col("keep").alias("old"), F.col("keep").alias("new"), F.col("ord_a").alias("o"), F.col("uuid_a").alias("u"))), "moved")
+    merges = stage_table(pairs.join(mutual, ["a", "b"]).select(F.col("b").alias("gone"), F.col("a").alias("keep"), "ord_a"), "merges")
+    moved = stage_table(merges.select(F.col("gone").alias("old"), F.col("keep").alias("new"), F.col("ord_a").alias("o")).unionByName(merges.select(F.col("keep").alias("old"), F.col("keep").alias("new"), F.col("ord_a").alias("o"))), "moved")
     sent, named = sent_if_few(moved), pairs
     for side in ("a", "b"):
-        one = sent.select(F.col("old").alias(side), F.col("new").alias("_n"), F.col("o").alias("_o"), F.col("u").alias("_u"))
-        named = named.join(one, side, "left").withColumns({f"w_{side}": F.when(F.col("_n").isNull(), 1).otherwise(2), f"ord_{side}": F.coalesce("_o", f"ord_{side}"), f"uuid_{side}": F.coalesce("_u", f"uuid_{side}"), side: F.coalesce("_n", side)}).drop("_n", "_o", "_u")
+        one = sent.select(F.col("old").alias(side), F.col("new").alias("_n"), F.col("o").alias("_o"))
+        named = named.join(one, side, "left").withColumns({f"w_{side}": F.when(F.col("_n").isNull(), 1).otherwise(2), f"ord_{side}": F.coalesce("_o", f"ord_{side}"), side: F.coalesce("_n", side)}).drop("_n", "_o")
     turned = F.col("ord_a") > F.col("ord_b")
     part = lambda c, first: F.when(turned if first else ~turned, F.col(f"{c}b")).otherwise(F.col(f"{c}a")).alias(f"{c}{'a' if first else 'b'}")
-    named = named.where("a <> b").select(*[part(c, first) for c in ("", "ord_", "uuid_") for first in (True, False)], "distance", (F.col("w_a") * F.col("w_b")).alias("need"))
-    kept = named.groupBy("a", "b", "ord_a", "ord_b", "uuid_a", "uuid_b").agg(F.max("distance").alias("distance"), F.count("*").alias("have"), F.max("need").alias("need")).where("have = need")
-    return merges.select("gone", "keep"), stage_table(kept.drop("have", "need"), "pairs")
+    named = named.where("a <> b").select(*[part(c, first) for c in ("", "ord_") for first in (True, False)], "distance", (F.col("w_a") * F.col("w_b")).alias("need"))
+    kept = named.groupBy("a", "b", "ord_a", "ord_b").agg(F.max("distance").alias("distance"), F.count("*").alias("have"), F.max("need").alias("need")).where("have = need")
+    kept = stage_table(kept.drop("have", "need"), "pairs")
+    drop_staged(best, moved)
+    return merges, kept
 
 
 def linkage_clusters(vectors: DataFrame, cut: float, group: str = "bucket_id") -> DataFrame:
@@ -328,27 +331,32 @@ def linked_apart(vectors: DataFrame, cut: float, group: str) -> DataFrame:
     Of equal vectors the earliest stands for all. Clusters lie within the components of the graph of near pairs, so only
     pairs under the cut go on. Components of MATRIX
     members at most are linked in one task each; of larger ones all mutually nearest clusters merge at once, by joins,
-    until what is left falls into small components.
+    until what is left falls into small components. Names of one group's members order as their uuids do. Of the tables
+    of pairs only the last stays, and the next while it is written.
     """
     name = lambda u: F.concat(F.col(group).cast("string"), F.lit("\x01"), F.col(u).cast("string"))
     copies = with_first_copy(vectors, cut, group)
     distinct = copies.where(F.col("uuid") == F.col("first.uuid")).drop("first")
-    pairs = stage_table(pair_distances(distinct, group, cut, places=True).select(name("uuid_a").alias("a"), name("uuid_b").alias("b"), F.col("uuid_a").cast("string").alias("uuid_a"), F.col("uuid_b").cast("string").alias("uuid_b"), "ord_a", "ord_b", "distance"), "near")
+    pairs = stage_table(pair_distances(distinct, group, cut, places=True).select(name("uuid_a").alias("a"), name("uuid_b").alias("b"), "ord_a", "ord_b", "distance"), "near")
     every = stage_table(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("node"), F.col("a").alias("label")), "labels")
-    left, split_from = pairs.count(), None
+    left, split_from, held = pairs.count(), None, pairs
     while left:
+        before = held
         if split_from is None or left * 2 <= split_from:  # looked for again once half of the pairs are gone
             split_from = left
             roots = stage_table(connected_components(pairs.select("a", "b")), "roots")
             sizes = roots.groupBy("root").agg((F.count("*") > MATRIX).alias("large"))
-            told = stage_table(pairs.join(roots.join(sizes, "root").withColumnRenamed("node", "a"), "a"), "parted")
-            merges, pairs = linked_in_tasks(told.where("not large"), cut), told.where("large").drop("root", "large")
-            drop_staged(roots)
+            held = stage_table(pairs.join(roots.join(sizes, "root").withColumnRenamed("node", "a"), "a"), "parted")
+            drop_staged(roots, before)
+            merges, pairs = stage_table(linked_in_tasks(held.where("not large"), cut), "merged"), held.where("large").drop("root", "large")
         else:
-            merges, pairs = merged_once(pairs)
-        before, every = every, stage_table(every.join(sent_if_few(stage_table(merges, "merged")).withColumnRenamed("gone", "label"), "label", "left").select("node", F.coalesce("keep", "label").alias("label")), "labels")
-        drop_staged(before)
+            merges, held = merged_once(pairs)
+            drop_staged(before)
+            pairs = held
+        last, every = every, stage_table(every.join(sent_if_few(merges).select(F.col("gone").alias("label"), "keep"), "label", "left").select("node", F.coalesce("keep", "label").alias("label")), "labels")
+        drop_staged(last, merges)
         left = pairs.count()
+    drop_staged(held)
     members = copies.select(group, "uuid", "member_ord", name("first.uuid").alias("node")).join(every, "node", "left").withColumn("label", F.coalesce("label", "node"))
     firsts = members.groupBy("label").agg(F.min("member_ord").alias("_first"), F.count("*").alias("_size")).where("_size > 1")
     placed = stage_table(members.join(firsts, "label").select(group, "uuid", "member_ord", "_first"), "members")

@@ -121,3 +121,25 @@ def test_spread_over_poles_the_date_line_and_many_places(spark, monkeypatch):
     assert pool.trip_spread(df.limit(0)).count() == 0
     inside = pool.outer_places(df.where("trip_ord = 6").select("trip_ord", F.col("uuid").alias("place"), *[c.alias(n) for n, c in zip("xyz", (F.cos(F.radians("latitude")) * F.cos(F.radians("longitude")), F.cos(F.radians("latitude")) * F.sin(F.radians("longitude")), F.sin(F.radians("latitude"))))]))
     assert inside.count() < 60  # of 300: the rest lie inside
+
+
+def test_of_the_tables_of_pairs_one_stays_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MATRIX", 4)
+    written, left = [], []
+    stage_table, drop_staged = vectors.stage_table, vectors.drop_staged
+    held = lambda: [t for t in written if getattr(t, "_staged_at", None)]
+
+    def stage(df, name):
+        got = stage_table(df, name)
+        if name in ("near", "parted", "pairs"):
+            written.append(got)
+            left.append(len(held()))
+        return got
+
+    monkeypatch.setattr(vectors, "stage_table", stage)
+    rng = np.random.default_rng(8)
+    rows = [(1, f"u{(k * 7) % 60:02d}", k, (rng.integers(0, 12, 2) * 0.25).tolist(), 7) for k in range(60)]
+    got = sorted(map(tuple, vectors.linkage_clusters(spark.createDataFrame(rows, SCHEMA), 0.9).collect()))
+    assert got == by_hand(rows, 0.9)
+    assert len(written) > 3 and max(left) <= 2 and not held()
+    assert "uuid_a" not in written[0].columns
