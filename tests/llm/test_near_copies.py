@@ -3,6 +3,8 @@ import random
 import subprocess
 import sys
 
+import numpy as np
+
 import corpus_pipeline
 from fernsieve.llm import common, shingles, simhash
 
@@ -107,3 +109,46 @@ common.work_begins('three')
 assert not common._KEPT and held() < many - 100, (many, held())
 """
     subprocess.run([sys.executable, "-c", script], check=True, env=os.environ)
+
+
+def test_shingles_shared_by_chance_are_not_carried_along(spark, monkeypatch):
+    """Rows of a shingle whose other sets are too large or too small go to no round; likely ones and those of frequent shingles stay."""
+    kept, write = [], shingles.stage_table
+
+    def spy(df, name):
+        out = write(df, name)
+        if name == "places":
+            kept.append(out.count())
+        return out
+
+    words = lambda k, n: [f"w{k}x{i}" for i in range(n)]
+    passage = [" ".join(words(k, n) + words("p", 40)) for k, n in ((0, 10), (1, 60), (2, 200), (3, 700))]
+    near = words("n", 100)
+    pair = [" ".join(near), " ".join(near[:-3])]
+    monkeypatch.setattr(shingles, "stage_table", spy)
+    monkeypatch.setattr(shingles, "COMMON", 100)
+    for texts, want, least in ((passage, 4, 0), (passage + pair, 5, 18)):
+        kept.clear()
+        docs = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string").selectExpr("cast(cast(row as string) as binary) row", "row doc_id", "text")
+        got = shingles.similar_classes(docs)
+        assert len({r["component"] for r in got.collect()}) == want and least <= kept[0] <= 2 * least
+    monkeypatch.setattr(shingles, "CELL", 3)
+    many = [" ".join(words(k, 50) + words("p", 40)) for k in range(6)] + pair
+    docs = spark.createDataFrame(list(enumerate(many)), "row bigint, text string").selectExpr("cast(cast(row as string) as binary) row", "row doc_id", "text")
+    assert len({r["component"] for r in shingles.similar_classes(docs).collect()}) == 7
+
+
+def test_rows_with_partners_are_those_of_all_pairs():
+    rng = np.random.default_rng(5)
+    for most in (3, 40):
+        sizes = rng.integers(1, most + 1, 60)
+        starts = np.cumsum(sizes) - sizes
+        n = rng.integers(20, 200, sizes.sum())
+        at = (rng.random(len(n)) * (n // 5 + 1)).astype(np.int64)
+        want = np.zeros(len(n), bool)
+        for start, size in zip(starts, sizes):
+            for i in range(start, start + size):
+                want[i] = any(
+                    9 * min(n[i] - at[i], n[j] - at[j]) >= 4 * (n[i] + n[j]) and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) for j in range(start, start + size) if j != i
+                )
+        assert want.any() and not want.all() and (shingles.with_partners(starts, sizes, n, at, 4, 5) == want).all()
