@@ -152,3 +152,36 @@ def test_rows_with_partners_are_those_of_all_pairs():
                     9 * min(n[i] - at[i], n[j] - at[j]) >= 4 * (n[i] + n[j]) and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) for j in range(start, start + size) if j != i
                 )
         assert want.any() and not want.all() and (shingles.with_partners(starts, sizes, n, at, 4, 5) == want).all()
+
+
+def test_wide_parities_tell_large_sets_apart_and_never_too_much():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(-(1 << 63), 1 << 63, n)) for n in (1000, 1025, 3000, 3500, 4095, 4097, 5000)]
+    sets += [np.unique(np.concatenate([sets[4], sets[0][:30]])), np.unique(sets[5][40:])]
+    wide = [shingles.wide_parities(h) for h in sets]
+    assert wide[0] == b"" and len(wide[2]) == len(wide[4]) == 512 and len(wide[5]) == 1024
+    for i, j in [(i, j) for i in range(len(sets)) for j in range(i)]:
+        apart = len(np.setxor1d(sets[i], sets[j]))
+        assert shingles.least_apart(wide[i], wide[j]) <= apart
+        if i in (2, 3, 4) and j in (2, 3) and i != j:
+            assert 9 * shingles.least_apart(wide[i], wide[j]) > len(sets[i]) + len(sets[j])
+
+
+def test_large_unlike_texts_are_told_apart_without_their_sets(spark, monkeypatch):
+    """Texts of 3,000 words that share a passage only: no set is asked for; a near copy of one is found."""
+    asked, write = [], shingles.stage_table
+
+    def spy(df, name):
+        out = write(df, name)
+        if name == "asked":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(shingles, "stage_table", spy)
+    monkeypatch.setattr(shingles, "COMMON", 100)
+    words = lambda k, n: [f"w{k}x{i}" for i in range(n)]
+    texts = [" ".join(words(k, 2700) + words("p", 300)) for k in range(4)]
+    for more, want, sets in (([], 4, 0), ([texts[0] + " and some more"], 4, 2)):
+        asked.clear()
+        docs = spark.createDataFrame(list(enumerate(texts + more)), "row bigint, text string").selectExpr("cast(cast(row as string) as binary) row", "row doc_id", "text")
+        assert len({r["component"] for r in shingles.similar_classes(docs).collect()}) == want and sum(asked) == sets
