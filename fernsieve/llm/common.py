@@ -146,6 +146,15 @@ _KEPT: dict[str, object] = {}
 _AT: list[str] = []
 
 
+def hand_back_memory() -> None:
+    """Gives the memory that this process has freed back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library, which keeps what is freed
+    if trim:
+        trim(0)
+
+
 def work_begins(name: str) -> None:
     """Drops what the worker keeps of other work than ``name``, models of earlier tasks included, and hands free memory back.
 
@@ -154,11 +163,7 @@ def work_begins(name: str) -> None:
     if _AT != [name]:
         _AT[:] = [name]
         _KEPT.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library, which keeps what is freed
-        if trim:
-            trim(0)
+        hand_back_memory()
 
 
 def kept_in_worker(name: str, make: Callable[[], object]) -> object:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernsieve.llm.common import bounded_sample, held_out, lower, map_batches, share_by_hash, table, work_begins
+from fernsieve.llm.common import bounded_sample, hand_back_memory, held_out, lower, map_batches, share_by_hash, table, work_begins
 
 #: Bounds of the sample that a model is fitted on: documents (about), characters of one of them, characters of all (about).
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 8_000, 200_000, 64_000_000
@@ -165,14 +165,36 @@ def sample_texts(docs: DataFrame) -> DataFrame:
     return bounded_sample(picked.where(F.length("text").between(1, SAMPLE_CHARS)).select("text", "lang"), SAMPLE_TOTAL)
 
 
+def counted(texts: list[str], langs: list[str]) -> dict[str, Counter]:
+    """How often words, and stretches of words of several scripts, stand in the texts of each language."""
+    words: dict[str, Counter] = {lang: Counter() for lang in langs}
+    for text, lang in zip(texts, langs):
+        words[lang].update(x for w in WORD.findall(lower(text)) for x in by_script(w))
+    return words
+
+
+def word_counts(sample: DataFrame) -> DataFrame:
+    """(lang, word, many) of ``sample(text, lang)``; a language whose texts have no words has a null word."""
+
+    def work(cols: dict[str, list]) -> dict[str, list]:
+        work_begins("words of languages")
+        rows = [(lang, w, n) for lang, mine in counted(cols["text"], cols["lang"]).items() for w, n in [*mine.items(), (None, 0)]]
+        return dict(zip(("lang", "word", "many"), map(list, zip(*rows))))
+
+    return map_batches(sample.select("text", "lang"), work, "lang string, word string, many bigint").groupBy("lang", "word").agg(F.sum("many").alias("many"))
+
+
 def fit(texts: list[str], langs: list[str]) -> Model:
-    """Scores from counts in the sample; rare counts lean on shorter contexts."""
-    names = sorted(set(langs))
+    """A model of texts at hand."""
+    return fit_counts(counted(texts, langs))
+
+
+def fit_counts(of: dict[str, Counter]) -> Model:
+    """Scores from each language's counts of words in the sample; rare counts lean on shorter contexts."""
+    names = sorted(of)
     if not names:
         return Model([])
-    words = [Counter() for _ in names]
-    for text, lang in zip(texts, langs):
-        words[names.index(lang)].update(x for w in WORD.findall(lower(text)) for x in by_script(w))
+    words = [of[name] for name in names]
     counts = [[Counter() for _ in names] for _ in range(3)]
     letters = [Counter() for _ in names]
     for n, mine in enumerate(words):
@@ -349,9 +371,20 @@ def whole(text: str) -> list[tuple[int, int]]:
 
 
 def train(docs: DataFrame) -> Model:
-    """Fit on a bounded sample of documents with a language; without any, every text is ``und``."""
-    got = sample_texts(docs).toArrow()
-    return fit(got["text"].to_pylist(), got["lang"].to_pylist())
+    """Fit on a bounded sample of documents with a language; without any, every text is ``und``.
+
+    Tasks read the texts; the driver gets counts of distinct words.
+    """
+    of: dict[str, Counter] = {}
+    for batch in word_counts(sample_texts(docs)).toArrow().to_batches():
+        for lang, word, many in zip(*(c.to_pylist() for c in batch.columns)):
+            mine = of.setdefault(lang, Counter())
+            if word is not None:
+                mine[word] = many
+    model = fit_counts(of)
+    of.clear()
+    hand_back_memory()
+    return model
 
 
 def identify_languages(docs: DataFrame, model: Model) -> DataFrame:

@@ -9,19 +9,22 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernsieve.llm.common import bounded_sample, held_out, lower, map_batches, share_by_hash, table, work_begins
+from fernsieve.llm.common import bounded_sample, hand_back_memory, held_out, lower, map_batches, share_by_hash, table, work_begins
 from fernsieve.plans.staging import stage_table
 
 #: Bounds of the sample that a model is fitted on: documents (about), characters of one of them, characters of all (about).
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 8_000, 200_000, 64_000_000
 #: Words that a model weighs at most, documents of the sample that a word must stand in, steps and pull to zero.
 VOCABULARY, MIN_DOCS, STEPS, DECAY = 6000, 3, 300, 2e-5
+#: Features of sentences that a step weighs at a time.
+HITS = 1 << 17
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that count as features beside whole words: insults inflect.
@@ -67,50 +70,98 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str = "toxic") ->
     return bounded_sample(texts.join(F.broadcast(picked), "doc_id").select("text", "y"), SAMPLE_TOTAL)  # about SAMPLE_DOCS rows are sent
 
 
-def fit(texts: list[str], y: np.ndarray) -> Model:
-    """Weights that make noisy-or over sentences explain the labels: Adam on the whole sample, from zero."""
-    if not len(y) or y.min() == y.max():
-        return Model({}, -8.0)
-    seen = {0: {}, 1: {}}
-    for text, label in zip(texts, y):
-        for w in features(WORD.findall(lower(text))):
-            seen[label][w] = seen[label].get(w, 0) + 1
-    n = {k: int((y == k).sum()) for k in (0, 1)}
+def feature_counts(sample: DataFrame) -> DataFrame:
+    """(feature, toxic, clean): in how many documents of ``sample(text, y)`` with either label it stands, of those in MIN_DOCS or more."""
+
+    def work(cols: dict[str, list]) -> dict[str, list]:
+        work_begins("features")
+        clean, toxic = seen = Counter(), Counter()
+        for text, label in zip(cols["text"], cols["y"]):
+            seen[label].update(features(WORD.findall(lower(text))))
+        found = list(clean.keys() | toxic.keys())
+        return {"feature": found, "toxic": [toxic[w] for w in found], "clean": [clean[w] for w in found]}
+
+    counted = map_batches(sample.select("text", "y"), work, "feature string, toxic bigint, clean bigint").groupBy("feature")
+    return counted.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") + F.col("clean") >= MIN_DOCS)
+
+
+def telling_features(counts: DataFrame, n: dict[int, int]) -> dict[str, int]:
+    """Numbers from 0 of the VOCABULARY features whose shares differ most between ``n`` documents of each label."""
     gain = {}
-    for w in {*seen[0], *seen[1]}:
-        a, b = seen[1].get(w, 0), seen[0].get(w, 0)
-        if a + b >= MIN_DOCS:
-            p, q, r = (a + 0.5) / (n[1] + 1), (b + 0.5) / (n[0] + 1), (a + b) / len(y)
+    for batch in counts.toArrow().to_batches():  # what MIN_DOCS documents of the sample have at least
+        for w, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            p, q, r = (a + 0.5) / (n[1] + 1), (b + 0.5) / (n[0] + 1), (a + b) / (n[0] + n[1])
             gain[w] = abs(p - q) / math.sqrt(r * (1 - r) + 1e-3)
-    vocabulary = {w: i for i, w in enumerate(sorted(gain, key=lambda w: (-gain[w], w))[:VOCABULARY])}
-    word, sentence, of = [], [], []
-    for d, text in enumerate(texts):  # read again: all features at once would not fit in memory
-        for s in SENTENCE.findall(lower(text)):
-            if hits := [vocabulary[w] for w in features(WORD.findall(s)) & vocabulary.keys()]:
-                word += hits
-                sentence += [len(of)] * len(hits)
-                of.append(d)
-    word, sentence, of = (np.array(x, np.int64) for x in (word, sentence, of))
-    theta, bias = np.zeros(len(vocabulary)), -4.0
+    return {w: i for i, w in enumerate(sorted(gain, key=lambda w: (-gain[w], w))[:VOCABULARY])}
+
+
+def numbered_sentences(sample: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """(y, sizes, hits) of each document of ``sample(text, y)``, in order of label and text.
+
+    hits numbers the features of its sentences, one sentence after the other; sizes tells how many each of those has that
+    have any. Numbers are below VOCABULARY, so short ones do.
+    """
+    shared = sample.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def work(cols: dict[str, list]) -> dict[str, list]:
+        work_begins("sentences")
+        known, out = shared.value, {"y": cols["y"], "sizes": [], "hits": []}
+        for text in cols["text"]:
+            found = [sorted(known[w] for w in features(WORD.findall(s)) & known.keys()) for s in SENTENCE.findall(lower(text))]
+            out["sizes"].append([len(x) for x in found if x])
+            out["hits"].append([w for x in found for w in x])
+        return out
+
+    return map_batches(sample.select("text", "y").orderBy("y", "text"), work, "y int, sizes array<smallint>, hits array<smallint>")
+
+
+def fit(vocabulary: dict[str, int], y: np.ndarray, sentences: np.ndarray, sizes: np.ndarray, hits: np.ndarray) -> Model:
+    """Weights that make noisy-or over sentences explain the labels: Adam on the whole sample, from zero.
+
+    ``y`` and ``sentences``, their number, are of documents, ``sizes`` of sentences, as in ``numbered_sentences``.
+    """
+    of = np.repeat(np.arange(len(y)), sentences)
+    first = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    # so many sentences at a time that their features are about HITS
+    cuts = np.unique(np.concatenate([np.searchsorted(first, np.arange(0, len(hits), HITS)), [len(sizes)]])).tolist() if len(sizes) else [0]
+    theta, bias, z = np.zeros(len(vocabulary)), -4.0, np.zeros(len(of))
     m, v, mb, vb = np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0
     for step in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(sentence, theta[word], len(of)), -30, 30)))
+        for a, b in zip(cuts, cuts[1:]):
+            z[a:b] = np.add.reduceat(theta[hits[first[a] : first[b]]], first[a:b] - first[a])
+        p = 1 / (1 + np.exp(-np.clip(bias + z, -30, 30)))
         none = np.exp(np.bincount(of, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y)))
         some = np.maximum(1 - none, 1e-6)
         slope = p * (1 - y / some)[of] / len(y)  # of the loss by a sentence's logit
-        g = np.bincount(word, slope[sentence], len(theta)) + DECAY * theta
+        g = DECAY * theta
+        for a, b in zip(cuts, cuts[1:]):
+            g += np.bincount(hits[first[a] : first[b]], np.repeat(slope[a:b], sizes[a:b]), len(theta))
         gb = slope.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        a = 0.1 * math.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-        theta -= a * m / (np.sqrt(v) + 1e-8)
-        bias -= a * mb / (math.sqrt(vb) + 1e-8)
+        rate = 0.1 * math.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+        theta -= rate * m / (np.sqrt(v) + 1e-8)
+        bias -= rate * mb / (math.sqrt(vb) + 1e-8)
     return Model({w: float(theta[i]) for w, i in vocabulary.items() if abs(theta[i]) > 0.05}, float(bias))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """Fit on a bounded sample of labelled documents; without any of both kinds nothing counts as toxic."""
-    got = sample_labelled(docs, labels, label).toArrow().sort_by([("y", "ascending"), ("text", "ascending")])
-    return fit(got["text"].to_pylist(), got["y"].to_numpy().astype(np.int64))
+    """Fit on a bounded sample of labelled documents; without any of both kinds nothing counts as toxic.
+
+    Tasks read the texts; the driver gets counts of features, and of each sentence the numbers of those that are weighed.
+    """
+    sample = sample_labelled(docs, labels, label)
+    n = dict(sample.groupBy("y").count().collect())
+    if len(n) < 2:
+        return Model({}, -8.0)
+    vocabulary = telling_features(feature_counts(sample), n)
+    got = numbered_sentences(sample, vocabulary).toArrow()
+    sentences = np.concatenate([np.diff(x.offsets.to_numpy()) for x in got["sizes"].chunks])
+    y, sizes, hits = got["y"].to_numpy(), *(np.concatenate([x.flatten().to_numpy() for x in got[c].chunks]) for c in ("sizes", "hits"))
+    del got
+    model = fit(vocabulary, y, sentences, sizes, hits)
+    del y, sentences, sizes, hits
+    hand_back_memory()
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, offending: float = 0.5) -> DataFrame:

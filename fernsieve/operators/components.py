@@ -12,6 +12,8 @@ from fernsieve.plans.staging import drop_staged, stage_table
 
 #: Nodes that a task joins among themselves before it hands out what it has.
 MOST_NODES = 200_000
+#: Edges, counted first, up to which one task joins all at once; more of them take rounds of stars, with ten stages each.
+FEW_EDGES = 20_000
 
 
 def local_stars(edges: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     to the shared folder. The stars only ever regroup existing edges, so their number never grows, and each
     neighbourhood minimum is a partial aggregate followed by a join that adaptive execution may split; no neighbourhood
     is gathered anywhere. Before the first step, edges that lie in one partition are joined there, a bounded number of
-    nodes at a time.
+    nodes at a time. If FEW_EDGES or fewer are left, one task joins these, and no round follows.
     """
     a, b = F.col("a"), F.col("b")
     edges = edges.where(a.isNotNull() & b.isNotNull())
@@ -62,6 +64,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     before = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     if not before[0]:
         return current.select(a.alias("node"), b.alias("root"))
+    if before[0] <= min(FEW_EDGES, MOST_NODES // 2):
+        joined = stage_table(local_stars(current.coalesce(1)), "edges")
+        drop_staged(current)
+        return joined.select(a.alias("node"), b.alias("root")).union(joined.select(b.alias("node"), b.alias("root")).distinct())
     first = current
     nodes = current.select(a.alias("node")).union(current.select(b.alias("node"))).distinct()
     for _ in range(max_rounds):
