@@ -79,20 +79,31 @@ def has_letter(word: str) -> bool:
     return word.isalpha() or any(map(str.isalpha, word))
 
 
-class Scores(dict):
-    """Rows of a table of scores by word, filled as words come; -1 for what has no letter."""
+class Tables:
+    """A model as few arrays, which take less memory in a worker than an array for each word and gram."""
 
     def __init__(self, model: Model) -> None:
-        super().__init__()
-        self.model, self.many = model, 0
-        self.mixed: dict[str, list[str]] = {}  # words of several scripts, and their stretches
-        self.rows = np.zeros((1024, len(model.langs)))
+        self.langs = model.langs
+        self.words = dict(zip(model.words, range(len(model.words))))
+        self.known = np.array([*model.words.values()]).reshape(len(model.words), len(model.langs))
         #: which languages are written in a script, where that rules out some but not all
         self.masks = {s: fits for s, fits in model.scripts.items() if fits.any() and not fits.all()}
         grams = {numbered(g): v for by in model.grams for g, v in by.items()}
         self.grams = np.array(sorted(grams), np.int64)
         self.table = np.array([*(grams[g] for g in self.grams.tolist()), np.zeros(len(model.langs))])
 
+
+class Scores(dict):
+    """Rows of a table of scores by word, filled as words come; -1 for what has no letter."""
+
+    def __init__(self, model: Model | Tables) -> None:
+        super().__init__()
+        self.tables = tables = model if isinstance(model, Tables) else Tables(model)
+        self.many = 0
+        self.grams, self.table = tables.grams, tables.table
+        self.mixed: dict[str, list[str]] = {}  # words of several scripts, and their stretches
+        self.rows = np.zeros((2 * MOST_KEPT, len(tables.langs)))  # what is not filled takes no memory
+
     def places_of(self, grams: np.ndarray) -> np.ndarray:
         """Where numbered grams stand in the table; its last row, of zeros, for those that the model has not."""
         none = len(self.grams)
@@ -102,7 +113,7 @@ class Scores(dict):
     def spelled(self, words: list[str]) -> np.ndarray:
         """Log scores of words by their trigrams, each backing off to what the model has of its end."""
         if not words:
-            return np.zeros((0, len(self.model.langs)))
+            return np.zeros((0, len(self.tables.langs)))
         letters = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le"), "<u4").astype(np.int64)
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
         first = np.cumsum(sizes) - sizes
@@ -123,9 +134,9 @@ class Scores(dict):
         """Scores of lower-case words by language: 0 for the best, at least FLOOR for those that the script allows."""
         raw = self.spelled(words)
         for k, w in enumerate(words):
-            if (known := self.model.words.get(w)) is not None:
-                raw[k] = known
-            if (fits := self.masks.get(script_of(w))) is not None:
+            if (known := self.tables.words.get(w)) is not None:
+                raw[k] = self.tables.known[known]
+            if (fits := self.tables.masks.get(script_of(w))) is not None:
                 raw[k, ~fits] = -np.inf
         raw -= raw.max(axis=1, keepdims=True)
         return np.where(np.isinf(raw), 4 * FLOOR, np.maximum(raw, FLOOR))
@@ -313,7 +324,7 @@ def groups_of(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield group
 
 
-def label_texts(texts: list[str | None], model: Model, kept: Scores | None = None) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
+def label_texts(texts: list[str | None], model: Model | Tables, kept: Scores | None = None) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
     """(language, score, spans of (language, start, end)) of each text."""
     if not model.langs:
         return [("und", 0.0, []) for _ in texts]
@@ -395,7 +406,7 @@ def identify_languages(docs: DataFrame, model: Model) -> DataFrame:
     languages with equally many letters the first in the alphabet counts.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "spans")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_WORDS words, and trigrams of the sample
+    shared = docs.sparkSession.sparkContext.broadcast(Tables(model))  # MOST_WORDS words, and trigrams of the sample
 
     def work(cols: dict[str, list], kept: list[Scores] = []) -> dict[str, list]:  # noqa: B006  kept from batch to batch of a task
         if not kept:

@@ -1,3 +1,4 @@
+import pickle
 import random
 from collections import Counter
 
@@ -65,6 +66,16 @@ def test_language_learns_the_same_from_counts(spark, corpus, monkeypatch):
         assert mine.keys() == theirs.keys() and all(np.array_equal(v, mine[g]) for g, v in theirs.items())
 
 
+def test_language_workers_get_few_arrays(corpus):
+    rows = corpus[0].collect()
+    texts = [r["text"] for r in rows]
+    model = language.fit([f"{t} {' '.join(f'w{chr(97 + k % 26)}{chr(97 + k // 26)} ' * 6 for k in range(600))}" for t in texts[:5]], [r["lang"] for r in rows[:5]])
+    tables = pickle.loads(pickle.dumps(language.Tables(model)))
+    assert len(pickle.dumps(tables)) < len(pickle.dumps(model)) / 2
+    assert language.label_texts([*texts, "", None], tables) == language.label_texts([*texts, "", None], model)
+    assert language.label_texts(["a"], language.Tables(language.Model([])))[0][0] == "und" and language.Scores(language.Model([])) == {}
+
+
 def test_few_edges_take_no_rounds(spark, monkeypatch):
     rng = random.Random(3)
     edges = spark.createDataFrame([(f"n{rng.randrange(300):03}".encode(), f"n{rng.randrange(300):03}".encode()) for _ in range(200)], "a binary, b binary").repartition(6)
