@@ -143,3 +143,44 @@ def test_of_the_tables_of_pairs_one_stays_at_a_time(spark, monkeypatch):
     assert got == by_hand(rows, 0.9)
     assert len(written) > 3 and max(left) <= 2 and not held()
     assert "uuid_a" not in written[0].columns
+
+
+def test_pairs_linked_by_queue_equal_the_matrix_with_ties():
+    for seed in range(30):
+        rows = some_vectors(seed, (40,), 7)
+        x, names = np.array([r[3] for r in rows]), [r[1] for r in rows]
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        rank = {u: k for k, u in enumerate(sorted(names))}
+        a, b = np.nonzero(np.triu(d < 0.8, 1))
+        label = vectors.linked_pairs([rank[u] for u in names], a.tolist(), b.tolist(), d[a, b].tolist())
+        members = {}
+        for k, i in enumerate(label):
+            members.setdefault(i, []).append(k)
+        assert sorted(m for m in members.values() if len(m) > 1) == complete_linkage(names, d, 0.8)
+
+
+def test_near_pairs_of_a_large_group_are_few_at_a_time(spark, monkeypatch):
+    """Most pairs are near, and clusters outgrow a block: steps of a growing cut give the clusters of the matrix without a table of all near pairs."""
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "MATRIX", 60)
+    monkeypatch.setattr(vectors, "TASK_PAIRS", 600)
+    monkeypatch.setattr(vectors, "WIDE", 2)
+    monkeypatch.setattr(vectors, "SAMPLE", 100)
+    written, stage_table = [], vectors.stage_table
+
+    def stage(df, name):
+        got = stage_table(df, name)
+        if name in ("near", "parted", "pairs"):
+            written.append(got.count())
+        return got
+
+    monkeypatch.setattr(vectors, "stage_table", stage)
+    rng = np.random.default_rng(3)
+    rows = [(1, f"u{(k * 7) % 240:03d}", k, rng.normal(0, 0.3, 3).astype(np.float32).tolist(), 7) for k in range(240)]
+    rows += [(2, f"v{(k * 11) % 90:03d}", k, (4096 + rng.integers(0, 40, 3) * 0.25).tolist(), 7) for k in range(90)]  # far from 0, with ties
+    odd = [(1, "w0", 300, [float("nan"), 0.0, 0.0], 7), (1, "w1", 301, [float("inf"), 0.0, 0.0], 7)]
+    want = by_hand(rows, 1.5)
+    assert max(k for b, _, k, _ in want if b == 1) > 32  # more than two blocks in one cluster
+    assert sum(d < 1.5 for _, _, d in distances(rows, 1)) > 25_000
+    assert sorted(map(tuple, vectors.linkage_clusters(spark.createDataFrame(rows + odd, SCHEMA), 1.5).collect())) == want
+    assert len(written) > 2 and max(written) < 8_000
