@@ -543,7 +543,7 @@ def with_first_copy(vectors: DataFrame, cut: float, group: str) -> DataFrame:
     is as far from others as each of them, by the name of the earliest. Those that are not finite are near nothing,
     not even their equals.
     """
-    values = F.col("embedding").cast("array<double>")
+    values = F.col("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>")  # half the shuffle; floats are equal as doubles are
     odd = F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     keyed = vectors.withColumns({"_e": values, "_own": F.when(odd if cut > 0 else F.lit(True), F.col("uuid"))})
     firsts = keyed.groupBy(group, "_e", "_own").agg(F.min(F.struct("member_ord", "uuid")).alias("first"))
